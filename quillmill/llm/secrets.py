@@ -1,0 +1,242 @@
+"""Secret scan with a trigram index, in DataFrame expressions only.
+
+Each rule's regular expression is turned into a Boolean query over the trigrams that every
+match must hold. The index keeps, for the trigrams that the rules ask for, which documents
+hold them; postings stay in the partition of their documents, one bit a trigram and row, so
+intersecting them needs no shuffle. Only candidate rows meet the regular expression itself;
+a rule without mandatory trigrams scans every row.
+
+Positions come from the text between matches: `split` gives the gaps and
+`regexp_extract_all` the matches, and running sums of their lengths give the spans in code
+points.
+
+Defined cases: a null text is empty and has no span; repeated rows are scanned each; extra
+columns are kept by `scan` (it adds `secret_spans`, replacing a column of that name); an
+empty table gives no rows."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A kind of secret. measured: the group whose length must reach least; base: in the base set."""
+
+    kind: str
+    pattern: str
+    measured: int = 0
+    least: int = 1
+    base: bool = False
+
+
+#: Fixed by contract, in the order in which kinds are listed.
+ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+RULES = (
+    Rule("assign", ASSIGN, 2, 6, True),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", "[0-9a-f]+", 0, 24, True),
+    Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("cloud", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("signed", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+)
+
+# ---------------------------------------------------------------- trigram queries
+
+#: A query is True (any text), a trigram, or ("and" | "or", queries).
+Query = bool | str | tuple
+
+
+def both(kind: str, parts: list[Query]) -> Query:
+    """Join queries, with True as the neutral element of "and" and the absorbing one of "or"."""
+    if kind == "or" and any(p is True for p in parts):
+        return True
+    kept = list(dict.fromkeys(p for p in parts if p is not True))
+    return True if not kept else kept[0] if len(kept) == 1 else (kind, tuple(kept))
+
+
+def trigrams(words: set[str]) -> Query:
+    """What every text that holds one of the words must hold."""
+    return both("or", [both("and", [w[i : i + 3] for i in range(len(w) - 2)]) for w in sorted(words)])
+
+
+#: Limits of the exact strings followed through a pattern.
+MOST_STRINGS, MOST_CLASS = 64, 8
+
+
+def derive(pattern: str) -> Query:
+    """Boolean trigram query (lower case) that holds for every text with a match of pattern."""
+    import re._parser as parser
+
+    found: list[Query] = []
+
+    def exact(items: list) -> set[str] | None:
+        """The strings that a piece matches, if they are few."""
+        out = {""}
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                nxt = {chr(arg).lower()}
+            elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
+                nxt = {chr(c).lower() for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1))}
+                if len(nxt) > MOST_CLASS:
+                    return None
+            elif name == "SUBPATTERN":
+                nxt = exact(list(arg[3]))
+            elif name == "BRANCH":
+                each = [exact(list(b)) for b in arg[1]]
+                nxt = None if None in each else set().union(*each)
+            elif name == "MAX_REPEAT" and arg[1] <= 2:
+                one = exact(list(arg[2]))
+                nxt = None if one is None else set().union(*(reduce(lambda s, _: {a + b for a in s for b in one}, range(k), {""}) for k in range(arg[0], int(arg[1]) + 1)))
+            else:
+                return None
+            if nxt is None or len(out) * len(nxt) > MOST_STRINGS:
+                return None
+            out = {a + b for a in out for b in nxt}
+        return out
+
+    def walk(items: list) -> None:
+        run: list = []
+
+        def close() -> None:
+            words = exact(run) if run else None
+            if words and all(len(w) >= 3 for w in words):
+                found.append(trigrams(words))
+            run.clear()
+
+        for item in items:
+            if exact([*run, item]) is not None:
+                run.append(item)
+                continue
+            close()
+            op, arg = str(item[0]), item[1]
+            if exact([item]) is not None:
+                run.append(item)
+            elif op == "SUBPATTERN":
+                walk(list(arg[3]))
+            elif op == "MAX_REPEAT" and arg[0] >= 1:
+                walk(list(arg[2]))
+        close()
+
+    walk(list(parser.parse(pattern)))
+    return both("and", found)
+
+
+def asked(query: Query) -> set[str]:
+    if isinstance(query, str):
+        return {query}
+    return set() if query is True else set().union(*(asked(q) for q in query[1]))
+
+
+def holds(query: Query, bit: dict[str, int], bits: Column) -> Column | None:
+    """The query over a row's posting bits; None if every row is a candidate."""
+    if query is True:
+        return None
+    if isinstance(query, str):
+        return bits.bitwiseAND(F.lit(1 << bit[query])) != 0
+    parts = [holds(q, bit, bits) for q in query[1]]
+    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
+
+
+def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, dict[str, int]]:
+    """docs with `_low` (lower-case text) replaced by postings `_bits0`, ... of 62 trigrams each."""
+    wanted = sorted(set().union(*(asked(derive(r.pattern)) for r in rules)))
+    low = docs.withColumn("_low", F.lower(F.coalesce(F.col("text"), F.lit(""))))
+    columns = {}
+    for k in range(0, max(1, len(wanted)), 62):
+        bits = F.lit(0).cast("long")
+        for i, t in enumerate(wanted[k : k + 62]):
+            bits = bits.bitwiseOR(F.when(F.contains("_low", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        columns[f"_bits{k // 62}"] = bits
+    return low.withColumns(columns).drop("_low"), {t: i for i, t in enumerate(wanted)}
+
+
+def candidate(rule: Rule, bit: dict[str, int]) -> Column:
+    def over(query: Query) -> Column | None:
+        if query is True:
+            return None
+        if isinstance(query, str):
+            return F.col(f"_bits{bit[query] // 62}").bitwiseAND(F.lit(1 << bit[query] % 62)) != 0
+        return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), [over(q) for q in query[1]])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sure = rule.pattern
+    if rule.measured == 0 and sure.endswith("]+") and rule.least > 1:  # a run of the class, long enough
+        head = sure[: sure.rindex("[")]
+        sure = f"{sure[:-1]}{{{rule.least - len(head)},}}"
+    found = over(derive(rule.pattern))
+    return text.rlike(sure) if found is None else found & text.rlike(sure)
+
+
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def spans(rule: Rule, rank: int) -> Column:
+    """Leftmost non-overlapping matches of a rule that are long enough."""
+    text, pattern = F.coalesce(F.col("text"), F.lit("")), F.lit(rule.pattern)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.measured)), F.length)
+    rows = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), kept.alias("measure"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
+        out = F.when(x["measure"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
+        return F.struct((begin + F.coalesce(x["size"], F.lit(0))).alias("at"), out.alias("out"))
+
+    return F.aggregate(rows, start, step, lambda s: s["out"])
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs(text, ...) with `secret_spans`: (start, rank, end, kind) by start, then rank."""
+    with_index, bit = index(docs, rules)
+    none = F.expr(f"cast(array() as {SPAN})")
+    marks = [F.when(candidate(r, bit), spans(r, k)).otherwise(none) for k, r in enumerate(rules)]
+    made = with_index.withColumn("secret_spans", F.array_sort(F.concat(*marks)))
+    return made.drop(*[c for c in made.columns if c.startswith("_bits") and c not in docs.columns])
+
+
+def joined(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with each secret replaced by <kind>; overlapping spans are replaced as one, under
+    the kind that starts first. n_chars, where present, follows the new text."""
+    found = scan(docs, rules)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        piece = F.when(x["start"] >= s["at"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
+
+    new = F.aggregate("secret_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, new).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {r.kind: F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{r.kind}')) as long)").alias(f"n_{r.kind}") for r in RULES}
+    base = [r.kind for r in RULES if r.base]
+    return found.select(
+        "doc_id",
+        *[count[k] for k in base],
+        F.sha2(joined(F.filter("secret_spans", lambda s: s["rank"] < len(base))), 256).alias("base_sha256"),
+        joined(F.col("secret_spans")).alias("spans"),
+        *[count[r.kind] for r in RULES if not r.base],
+    )
