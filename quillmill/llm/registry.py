@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, packing, secrets, token_store
+from . import jaccard, language, packing, secrets, token_store
 
 QUERIES = {
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_secrets": secrets.op4_secrets,
     "op5_language": language.op5_language,
     "op6_token_store": token_store.op6_token_store,
