@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, packing, secrets, token_store
+from . import jaccard, language, packing, secrets, suffixes, token_store
 
 QUERIES = {
     "op3_jaccard": jaccard.op3_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_token_store": token_store.op6_token_store,
     "op8_packing": packing.op8_packing,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
