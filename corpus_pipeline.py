@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import language, packing, secrets
+from quillmill.llm import language, packing, secret_scan
 from quillmill.llm.common import cut
 
 
@@ -13,15 +13,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_confident(spark, docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+def find_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
 
 
-STAGES = [("language_id", language_id), ("secret_scan", secret_scan), ("pack", pack)]
+STAGES = [("language_id", language_id), ("secret_scan", find_secrets), ("pack", pack)]
 
 #: The stages run code that SQL does not have; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
