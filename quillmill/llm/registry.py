@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, packing, secrets, suffixes, token_store
+from . import collisions, interpolation, jaccard, language, packing, secret_scan, suffixes, token_store
 
 QUERIES = {
+    "op2_collisions": collisions.op2_collisions,
     "op3_jaccard": jaccard.op3_jaccard,
-    "op4_secrets": secrets.op4_secrets,
+    "op4_secrets": secret_scan.op4_secrets,
     "op5_language": language.op5_language,
     "op6_token_store": token_store.op6_token_store,
+    "op7_interpolation": interpolation.op7_interpolation,
     "op8_packing": packing.op8_packing,
     "op10_suffixes": suffixes.op10_suffixes,
 }
