@@ -1,90 +1,153 @@
 """Encoding of many texts with a file of the tokenizers library.
 
-Words recur, so each worker keeps the ids of the units it has met. Where a vocabulary drops
-white space, a unit is a word; else (spaced) it is the part of a text between single spaces,
-with the space before it. That is exact: the patterns end a pre-token at a space whose
-neighbours are not white space. A text with two white-space characters in a row (spaced), or
-with the string of a special token, is encoded whole.
+Words recur, so each worker keeps the ids of the units it has met and asks the library for
+new ones only. A unit is a stretch of text at whose ends the vocabulary's pattern ends a
+pre-token whatever stands around it, so that ids of units, one after another, are the ids of
+the text:
+
+* between units lies white space, or a change between letters, digits and other signs;
+* a word with an apostrophe stays whole, as the patterns take endings such as 's apart;
+* where white space is kept (spaced), a space belongs to the unit after it and any other
+  white-space character is a unit.
+
+Texts are cut this way if they hold ASCII and Latin letters only, have no string of a special
+token and (spaced) no two white-space characters in a row; all others are encoded whole.
+Units are cut and compared in bulk, by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space to Python but not to the vocabularies' patterns.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+from .common import PrefixHash
+
 #: Units remembered by a worker; beyond that it starts anew.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
+_SEPARATOR, _BLANK, _LETTER, _DIGIT, _SIGN, _BAD = range(6)
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[0] = _SEPARATOR
+_CLASS[[*range(9, 14), 32]] = _BLANK
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3, 0xC4, 0xC5]] = _LETTER
+_CLASS[48:58] = _DIGIT
+#: Control characters on which patterns and Python may differ, and bytes of other letters or signs.
+_CLASS[[*range(1, 9), *range(14, 32), 127, 0xC0, 0xC1, 0xC2, *range(0xC6, 256)]] = _BAD
+_ODD = re.compile(rb"<\||\xc3[\x97\xb7]|\x00")
+
 
 class Encoder:
-    """Ids of texts by the vocabulary at path; spaced: a unit's space takes part."""
+    """Ids of texts by the vocabulary at path; spaced: white space takes part."""
 
     def __init__(self, path: str, spaced: bool):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.first = np.zeros(1, dtype=np.int64)
-
-    def learn(self, units: list[str], whole: list[str]) -> np.ndarray:
-        """Remember units; returns the ids of whole, one array after the other, with their lengths first."""
-        asked = [u[1:] if u[:1] == " " else " " + u for u in units] if self.spaced else units
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(asked + whole, add_special_tokens=False)]
-        mine, rest = found[: len(units)], found[len(units) :]
-        base = len(self.known)
-        self.known.update(zip(units, range(base, base + len(units)), strict=True))
-        sizes = np.fromiter(map(len, mine), dtype=np.int64, count=len(mine))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in mine for i in x), dtype=np.uint32, count=int(sizes.sum()))])
-        return rest
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.first = np.zeros(1 << 16, dtype=np.int64)
+
+    def ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: list[int], units: list[str]) -> None:
+        found = self.ask(units)
+        base, n = len(self.known), len(keys)
+        used = int(self.first[base])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=n)
+        total = used + int(sizes.sum())
+        while base + n + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.first[base + 1 : base + n + 1] = used + np.cumsum(sizes)
+        self.flat[used:total] = [i for ids in found for i in ids]
+        self.known.update(zip(keys, range(base, base + n), strict=True))
+
+    def cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the units of texts joined by zero bytes."""
+        kind = _CLASS[data]
+        change = np.ones(len(data), dtype=bool)
+        change[1:] = kind[1:] != kind[:-1]
+        quote = np.flatnonzero(data == 0x27)
+        if len(quote):  # no unit ends within a word that has an apostrophe
+            edges = np.flatnonzero(kind <= _BLANK)
+            at = np.searchsorted(edges, quote)
+            low = np.where(at > 0, edges[np.maximum(at - 1, 0)], -1) + 2
+            high = np.where(at < len(edges), edges[np.minimum(at, len(edges) - 1)], len(data))
+            for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                change[a:b] = False
+        if not self.spaced:
+            start = np.flatnonzero(change)
+            end = np.append(start[1:], len(data))
+            keep = kind[start] > _BLANK
+            return start[keep], end[keep]
+        change |= kind <= _BLANK  # each white-space character starts a unit
+        after = np.flatnonzero(data == 32) + 1
+        after = after[after < len(data)]
+        change[after[kind[after] > _BLANK]] = False  # and a space goes with what follows
+        start = np.flatnonzero(change)
+        end = np.append(start[1:], len(data))
+        keep = kind[start] != _SEPARATOR
+        return start[keep], end[keep]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
         if len(self.known) > MEMORY:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        units: list[str] = []
-        split, counts, whole = [], [], []
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        split, parts, whole = [], [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = np.zeros(0, dtype=np.uint32)
+                continue
+            body = text.encode("utf-8", "surrogatepass")
+            if _ODD.search(body) or self.spaced and len(" ".join(text.split())) != len(text):
+                whole.append(i)
             else:
-                parts = text.split()
-                if "<|" in text or any(c in text for c in _ODD) or self.spaced and len(" ".join(parts)) != len(text):
-                    whole.append(i)
-                    continue
-                if self.spaced:
-                    parts = text.split(" ")
-                    parts[0] = " " + parts[0]  # no other unit holds a space
-                elif not parts:
-                    out[i] = np.zeros(0, dtype=np.uint32)
-                    continue
-                units += parts
                 split.append(i)
-                counts.append(len(parts))
-        new = list(set(units).difference(self.known))
-        rest = self.learn(new, [texts[i] for i in whole])
-        for i, ids in zip(whole, rest, strict=True):
+                parts.append(body)
+        if parts:
+            data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+            ends = np.cumsum(np.fromiter((len(x) + 1 for x in parts), dtype=np.int64, count=len(parts)))
+            bad = np.unique(np.searchsorted(ends, np.flatnonzero(_CLASS[data] == _BAD), side="right"))
+            if len(bad):
+                whole += [split[k] for k in bad]
+                bad = set(bad.tolist())
+                parts = [x for k, x in enumerate(parts) if k not in bad]
+                split = [x for k, x in enumerate(split) if k not in bad]
+                data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+                ends = np.cumsum(np.fromiter((len(x) + 1 for x in parts), dtype=np.int64, count=len(parts)))
+        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
             out[i] = np.array(ids, dtype=np.uint32)
-        if split:
-            at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
-            start, size = self.first[at], self.first[at + 1] - self.first[at]
-            ends = np.cumsum(size)
-            ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
-            bounds = ends[np.cumsum(counts) - 1]
-            for i, x in zip(split, np.split(ids, bounds[:-1]), strict=True):
-                out[i] = x
+        if not parts:
+            return out
+        start, end = self.cut(data)
+        keys, example, which = np.unique(PrefixHash(data).span(start, end), return_index=True, return_inverse=True)
+        names = keys.tolist()
+        at = [self.known.get(k, -1) for k in names]
+        new = [j for j, x in enumerate(at) if x < 0]
+        if new:
+            where = example[new]
+            body = data.tobytes()
+            self.learn([names[j] for j in new], [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            at = [self.known[k] for k in names]
+        row = np.array(at, dtype=np.int64)[which]
+        base = self.first[row]
+        size = self.first[row + 1] - base
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.flat[np.repeat(base - (upto - size), size) + np.arange(total)]
+        last = np.concatenate([[0], upto])[np.searchsorted(start, ends)]
+        for i, a, b in zip(split, [0, *last[:-1].tolist()], last.tolist(), strict=True):
+            out[i] = ids[a:b]
         return out
 
 
@@ -95,7 +158,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _ENCODERS[path, spaced]
 
 
-def encoded(texts: list[str], path: str, spaced: bool, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(texts: list[str], path: str, spaced: bool, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(position, ids) of each text in order, about limit characters at a time."""
     enc, first, size = encoder(path, spaced), 0, 0
     for i in range(len(texts) + 1):
