@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collisions, interpolation, jaccard, language, packing, secret_scan, suffixes, token_store
+from . import collisions, interpolation, jaccard, language, packing, secret_scan, segmentations, suffixes, token_store
 
 QUERIES = {
     "op2_collisions": collisions.op2_collisions,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_store": token_store.op6_token_store,
     "op7_interpolation": interpolation.op7_interpolation,
     "op8_packing": packing.op8_packing,
+    "op9_segmentations": segmentations.op9_segmentations,
     "op10_suffixes": suffixes.op10_suffixes,
 }
 
