@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import collisions, interpolation, jaccard, language, packing, secret_scan, segmentations, suffixes, token_store
+from . import collisions, images, interpolation, jaccard, language, packing, secret_scan, segmentations, suffixes, token_store
 
 QUERIES = {
+    "op1_images": images.op1_images,
     "op2_collisions": collisions.op2_collisions,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_secrets": secret_scan.op4_secrets,
