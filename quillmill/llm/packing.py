@@ -20,12 +20,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, table
 from .encoding import encoded
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 1024
 END_ID = 0
+#: Parts of a length whose ranks are counted apart.
+SALTS = 32
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -115,10 +117,8 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, keep_ids: bool)
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text): its document's part, its sequence and the
     offset there; with keep_ids also the ids, little-endian in 4 bytes."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    made = cut(pieces(docs, path, window, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n))))
-    # Counts by length and salt: at most window * n rows; they rank a hot length without gathering it.
+    made = cut(pieces(docs, path, window, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))))
+    # Counts by length and salt: at most window * SALTS rows; they rank a hot length without gathering it.
     sizes = made.groupBy("length", "salt").count()
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = cut(sizes.withColumn("base", F.coalesce(F.sum("count").over(earlier), F.lit(0))))
