@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from quillmill.llm import secrets
+from quillmill.llm import secret_scan as secrets
 
 from .helpers import awkward, docs, saved
 
