@@ -3,8 +3,9 @@ byte hashing, compact blocks of sorted hashes, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -18,10 +19,20 @@ M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text hashed at once; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+
+#: Rows handed to Python at once; texts are long, and Spark's default of 10000 holds too many.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,10 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: later stages
     start from files that outlive any executor."""
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_dir(spark).rstrip('/')}/quillmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,7 +83,29 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def trimmed(f: Callable) -> Callable:
+    """A worker function that hands the memory it is done with back to the system: workers
+    stay for later stages, and what they once held would count against the executor."""
+
+    def give_back() -> None:
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from f(batches)
+        give_back()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
+    prepare(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -88,11 +128,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + (1 << 18))
+        size = 1 << max(n, BLOCK_BYTES + 1).bit_length()
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 8 * BLOCK_BYTES:
             _POWERS[base] = have
     return have[:n]
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import prepare, table, trimmed
 
 #: The training sample: documents a language, and characters of each; they bound a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 1000
@@ -60,6 +60,7 @@ def predict(docs: DataFrame, dictionary: dict[str, bytes], margin: float = MARGI
     """doc_id, lang_pred, score (share by which the winner beats the runner-up) and rejected
     for docs(doc_id, text, ...). Only the text is looked at."""
     langs = list(dictionary)
+    prepare(docs.sparkSession)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         longer = [compressor(dictionary[x], LEVEL, PIECE) for x in langs]
@@ -83,7 +84,7 @@ def predict(docs: DataFrame, dictionary: dict[str, bytes], margin: float = MARGI
     fields = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
     rejected = (F.col("lang_pred") == "und") | (F.col("score") < margin)
-    return docs.mapInPandas(scored, schema).withColumn("rejected", rejected)
+    return docs.mapInPandas(trimmed(scored), schema).withColumn("rejected", rejected)
 
 
 def fold_of(n: int) -> Column:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, prepare, table, trimmed
 from .encoding import encoded
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -111,12 +111,13 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, keep_ids: bool)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(cut_up, schema)
+    return docs.select("doc_id", "text").mapInPandas(trimmed(cut_up), schema)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text): its document's part, its sequence and the
     offset there; with keep_ids also the ids, little-endian in 4 bytes."""
+    prepare(docs.sparkSession)
     made = cut(pieces(docs, path, window, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))))
     # Counts by length and salt: at most window * SALTS rows; they rank a hot length without gathering it.
     sizes = made.groupBy("length", "salt").count()

@@ -32,14 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, powers, squeeze, squeeze_sorted, table, utf8
+from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, powers, squeeze, squeeze_sorted, table, utf8, trimmed
 
 LENGTH = 200
 GRAM = 100
 #: Bytes on each side of an anchor that a LENGTH-byte string around it can reach.
 SIDE = LENGTH - GRAM
 #: Anchors that a task ships together; text hashed at once; edge rows sorted at once.
-SHIP, HASHED, SORTED = 600_000, 2 << 20, 40_000
+SHIP, HASHED, SORTED = 400_000, 1 << 20, 15_000
 
 
 def sliding(a: np.ndarray, w: int, ufunc: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -134,7 +134,7 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
         kind = np.where(alone, 0, np.where(first & has_edge[group], 2, 1))
         return pd.DataFrame({"doc_id": doc, "pos": pos.astype(np.int32), "anchor": anchor.view(np.int64), "context": context.view(np.int64), "kind": kind.astype(np.int32)})
 
-    shipped = docs.select("doc_id", "text").mapInPandas(ship, "range int, anchor binary, context binary, doc_id binary, pos binary")
+    shipped = docs.select("doc_id", "text").mapInPandas(trimmed(ship), "range int, anchor binary, context binary, doc_id binary, pos binary")
     return shipped.groupBy("range").applyInPandas(again, "doc_id long, pos int, anchor long, context long, kind int")
 
 
@@ -315,14 +315,14 @@ def spans(docs: DataFrame) -> DataFrame:
                 if waits or whole.any():
                     rows.append((i, mark, text, pack(*union(low[whole], high[whole])), waits, None, None, None, None, None))
                     size += len(text)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield pd.DataFrame(rows, columns=names)
                     rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
     with bloom_joins(spark):
-        both = cut(source.join(lists, "id").mapInPandas(applied, schema))
+        both = cut(source.join(lists, "id").mapInPandas(trimmed(applied), schema))
     edges = both.where("anchor is not null").withColumn("range", F.pmod(F.shiftrightunsigned("anchor", 20), F.lit(4 * parts)))
     more = edges.select("range", "doc_id", "mark", "anchor", "pos", "kind", "left", "right").groupBy("range").applyInPandas(resolve, "doc_id long, mark long, start long, end long")
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("m"))
@@ -340,7 +340,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     out = "doc_id long, mark long, text binary, runs binary"
     ready = both.where("anchor is null and not open").select("doc_id", "mark", "text", "runs")
-    return ready.union(waiting.mapInPandas(merged, out)).where("octet_length(runs) > 0")
+    return ready.union(waiting.mapInPandas(trimmed(merged), out)).where("octet_length(runs) > 0")
 
 
 def without(text: bytes, runs: np.ndarray, whole_characters: bool = False) -> bytes:
@@ -367,7 +367,7 @@ def removed(docs: DataFrame) -> DataFrame:
             kept = [without(t, r) for t, r in zip(pdf["text"], runs, strict=True)]
             yield pdf[["doc_id", "mark"]].assign(n_removed=[int((r[1] - r[0]).sum()) for r in runs], n_spans=[r.shape[1] for r in runs], kept=kept)
 
-    return spans(docs).mapInPandas(cut_out, "doc_id long, mark long, n_removed long, n_spans long, kept binary")
+    return spans(docs).mapInPandas(trimmed(cut_out), "doc_id long, mark long, n_removed long, n_spans long, kept binary")
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def strip(docs: DataFrame) -> DataFrame:
             kept = [without(t, unpack(r), True).decode("utf-8", "replace") for t, r in zip(pdf["text"], pdf["runs"], strict=True)]
             yield pd.DataFrame({"_id": pdf["doc_id"], "_mark": pdf["mark"], "_kept": kept})
 
-    new = spans(docs).mapInPandas(cut_out, "_id long, _mark long, _kept string").dropDuplicates(["_id", "_mark"])
+    new = spans(docs).mapInPandas(trimmed(cut_out), "_id long, _mark long, _kept string").dropDuplicates(["_id", "_mark"])
     id_, mark = F.coalesce("doc_id", F.lit(-(2**62))), F.xxhash64(F.coalesce("text", F.lit("")))
     both = docs.withColumns({"_i": id_, "_m": mark}).join(new, (F.col("_i") == F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
     changed = {"text": F.coalesce("_kept", "text")}
