@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, squeeze, squeeze_sorted, table, utf8, word_hashes
+from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, release, squeeze, squeeze_sorted, table, utf8, word_hashes, trimmed
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 700_000
 #: Hash values of the end token and of the mark before a text; no word is looked up by them.
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0xB5297A4D76543210)
 #: Cells a factor of two of a share, cells of a share, and buckets of a context's frequency.
@@ -84,7 +84,7 @@ def shipped(docs: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInPandas(ship, "kind string, range int, block string, a binary, b binary, c binary, d binary")
+    return docs.mapInPandas(trimmed(ship), "kind string, range int, block string, a binary, b binary, c binary, d binary")
 
 
 def totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,11 +154,12 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of
     docs(doc_id, text, train)."""
     spark = docs.sparkSession
-    ranges = 2 * partitions(spark)
+    ranges = 3 * partitions(spark)
     schema = "kind string, range int, block string, a binary, b binary, c binary, d binary"
     sent = shipped(docs.select("doc_id", "text", "train"), ranges)
     own = F.when(F.col("kind") == "block", F.col("block"))
     back = cut(sent.groupBy("kind", "range", own.alias("own")).applyInPandas(totals, schema))
+    release(spark)
     sums = back.where("kind = 'sum'").select("a", "b").toPandas()  # a row a range
     vocabulary = sum(int.from_bytes(x, "little") for x in sums["a"])
     n = sum(int.from_bytes(x, "little") for x in sums["b"])
@@ -177,6 +178,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     cells = open_blocks.applyInPandas(held_out, "code long, n double, two double, one double")
     cells = cells.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()  # at most BUCKETS * CELLS**2 rows
+    release(spark)
     weights = fit(cells.sort_values("code").assign(bucket=lambda x: x["code"] // CELLS**2), vocabulary)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
