@@ -17,8 +17,8 @@ The join runs in four steps.
 4. Verification. The representatives' sets meet and the overlap is counted in full. This
    goes in rounds: at first a list offers each member only its leader, and a representative is
    held against the leader that it shares most lists with; the last round takes every pair of
-   the lists that is not yet connected. A group of near copies so costs a few pairs a member,
-   and no link is lost: pairs left out are in one component already.
+   the lists that is not yet connected and whose bitmaps allow the overlap. A group of near copies so costs a few pairs a member,
+   and no link is lost: pairs left out are in one component already, or too far apart.
 
 Defined cases: a null text, or one without words, has no shingles, links with nothing and is
 its own component; a text of fewer than five words is one shingle; rows with equal sets are
@@ -31,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, mix, partitions, squeeze, squeeze_sorted, table, utf8, word_hashes
+from .common import BASE, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, mix, partitions, squeeze, squeeze_sorted, table, utf8, word_hashes, trimmed
 
 WORDS = 5
 #: The threshold as a fraction, so that comparisons stay in integers.
 ABOVE, OF = 75, 100
 #: Shingles of the documents that one task ships together.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
+#: Columns of a set's bitmap, 64 bits each: the parity of the number of shingles by hash.
+BITMAP = [f"s{k}" for k in range(8)]
+#: Bits of a hash that counting leaves out: a chance match only spares a document the filter.
+SPARED = np.uint64(16)
 
 
 def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -75,6 +79,14 @@ def fingerprint(a: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
+def bitmap(a: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes by their low bits. Two bitmaps differ in at most as many
+    bits as the sets have elements apart."""
+    size = 64 * len(BITMAP)
+    odd = np.bincount((a & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
     """(kind, ...) rows: per document n, its set's fingerprint and the number of its shingles
     that other documents have."""
@@ -94,7 +106,7 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
             order = np.argsort(every, kind="stable")
             every, which = every[order], which[order]
             bounds = np.searchsorted(bucket_of(every, ranges), np.arange(ranges + 1))
-            rows = [(r, block, squeeze_sorted(every[a:b]), squeeze(which[a:b]), None) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            rows = [(r, block, squeeze_sorted(every[a:b] >> SPARED), squeeze(which[a:b]), None) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
             marks = np.array([fingerprint(x) for x in held], dtype=np.int64)
             sizes = np.array([len(x) for x in held], dtype=np.uint32)
             rows.append((-1, block, np.array(ids, dtype=np.int64).tobytes(), sizes.tobytes(), marks.tobytes()))
@@ -137,7 +149,7 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
             common[expand(number, np.uint32)] += expand(count, np.uint32)
         return pd.DataFrame({"doc_id": ids, "n": n.astype(np.int64), "mark": mark, "common": common})
 
-    shipped = docs.select("doc_id", "text").mapInPandas(ship, "range int, block string, a binary, b binary, c binary")
+    shipped = docs.select("doc_id", "text").mapInPandas(trimmed(ship), "range int, block string, a binary, b binary, c binary")
     # The documents' own rows are spread by block; a range's rows meet by range.
     replies = shipped.groupBy("range", F.when(F.col("range") < 0, F.col("block")).alias("own")).applyInPandas(shared, "block string, a binary, b binary, c binary")
     return replies.groupBy("block").applyInPandas(summed, "doc_id long, n long, mark long, common long")
@@ -166,37 +178,72 @@ def boundary(mean_list: float, above: int, of: int, most: int = 1000) -> int:
     return best
 
 
-def lists(reps: DataFrame, above: int, of: int) -> DataFrame:
-    """(key, id, n): whom reps(id, n, items) may link with, by equal key; keys of one id are gone."""
+def slack(n: int) -> int:
+    """f(n): lists that two linked heavy sets of at least n shingles share."""
+    return 1 + n // 4
+
+
+def lists(reps: DataFrame, above: int, of: int, parts: int) -> DataFrame:
+    """(key, id, n): whom reps(id, n, items) may link with, by equal key. Keys of one id are gone."""
+    ranges = 4 * parts
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [prefix(expand_sorted(x), 1, above, of) for x in pdf["items"]]
             yield pd.DataFrame({"key": np.concatenate(own).view(np.int64) if own else np.zeros(0, dtype=np.int64)})
 
-    read = reps.mapInPandas(entries, "key long").agg(F.count("*").alias("k"), F.approx_count_distinct("key").alias("d")).first()
+    read = reps.mapInPandas(trimmed(entries), "key long").agg(F.count("*").alias("k"), F.approx_count_distinct("key").alias("d")).first()
     light = boundary(max(2.0, read["k"] / max(1, read["d"])), above, of)
     reach = light * of // above
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made, owner = [], []
+            made, heavy, ids, counts = [], [], [], []
             for i, items in zip(pdf["id"].tolist(), pdf["items"], strict=True):
                 s = expand_sorted(items)
                 n = len(s)
                 own = [pairs_of(prefix(s, 2, above, of))] if 1 < n <= reach else []
+                light_keys = len(own[0]) if own else 0
                 if n > light or n == 1:
-                    own.append(prefix(s, 1, above, of))
+                    own.append(prefix(s, slack(n), above, of))
                 own = np.concatenate(own)
                 made.append(own)
-                owner.append((i, n, len(own)))
-            if made:
-                i, n, k = (np.array(x, dtype=np.int64) for x in zip(*owner, strict=True))
-                yield pd.DataFrame({"key": np.concatenate(made).view(np.int64), "id": np.repeat(i, k), "n": np.repeat(n, k)})
-
-    rows = cut(reps.mapInPandas(keys, "key long, id long, n long"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    return cut(rows.join(shared, "key"))
+                heavy.append(np.arange(len(own)) >= light_keys)
+                ids.append((i, n))
+                counts.append(len(own))
+            if not made:
+                continue
+            every = np.concatenate(made)
+            i, n = (np.array(x, dtype=np.int64) for x in zip(*ids, strict=True))
+            order = np.argsort(every, kind="stable")
+            which = (np.repeat(np.arange(len(ids), dtype=np.uint32), counts) * np.uint32(2) + np.concatenate(heavy))[order].astype(np.uint32)
+            every = every[order]
+            bounds = np.searchsorted(bucket_of(every, ranges), np.arange(ranges + 1))
+            rows = []
+            for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if b > a:
+                    used, local = np.unique(which[a:b], return_inverse=True)
+                    rows.append((r, squeeze_sorted(every[a:b]), squeeze(local.astype(np.uint32)), np.stack([i[used >> 1], n[used >> 1], used & 1]).astype("<i8").tobytes()))
+            yield pd.DataFrame(rows, columns=["range", "key", "which", "ids"])
+
+    def met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, info = [], []
+        for k, which, ids in pdf[["key", "which", "ids"]].itertuples(index=False):
+            keys.append(expand_sorted(k))
+            info.append(np.frombuffer(ids, dtype="<i8").reshape(3, -1)[:, expand(which, np.uint32)])
+        every, info = np.concatenate(keys), np.concatenate(info, axis=1)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        size = np.repeat(np.diff(np.append(first, len(every))), np.diff(np.append(first, len(every))))
+        info = info[:, order[size > 1]]
+        return pd.DataFrame({"key": every[size > 1].view(np.int64), "id": info[0], "n": info[1], "heavy": info[2] > 0, "size": size[size > 1]})
+
+    shipped = reps.mapInPandas(trimmed(ship), "range int, key binary, which binary, ids binary")
+    found = shipped.groupBy("range").applyInPandas(met, "key long, id long, n long, heavy boolean, size long")
+    rank = F.row_number().over(Window.partitionBy("id", "heavy").orderBy(F.desc("size"), "key"))
+    left = f"floor(ceil(n * {above} / {of}) / 4)"  # f(t n) - 1, for the least partner
+    return found.withColumn("rank", rank).where(f"not heavy or n = 1 or rank > {left}").select("key", "id", "n")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, above: int, of: int) -> DataFrame:
@@ -215,7 +262,7 @@ def verified(pairs: DataFrame, reps: DataFrame, above: int, of: int) -> DataFram
                 keep.append(of * same >= above * (len(a) + len(b) - same))
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
 
-    return whole.select("a", "b", "x", "y").mapInPandas(enough, "u long, v long")
+    return whole.select("a", "b", "x", "y").mapInPandas(trimmed(enough), "u long, v long")
 
 
 def sizes_fit(above: int, of: int) -> str:
@@ -234,24 +281,34 @@ def open_lists(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key")
 
 
-def links(reps: DataFrame, above: int, of: int, rounds: int = 2) -> DataFrame:
+def links(reps: DataFrame, above: int, of: int, parts: int, rounds: int = 2) -> DataFrame:
     """Components (id, component_id) of the linked ones among reps(id, n, items)."""
-    rows = lists(reps, above, of)
+    rows = cut(lists(reps, above, of, parts))
     edges, found = None, None
     for k in range(rounds + 1):
         now = open_lists(with_component(rows, found))
+        if k:  # closed lists stay closed
+            rows = cut(now.select("key", "id", "n"))
+            now = with_component(rows, found)
         if k < rounds:  # each member against one leader of its list, another in each round
-            order = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
+            # The member in the most long lists is nearest to the others; later rounds try any.
+            central = -F.col("w") if k % 2 == 0 else F.lit(0.0)
+            order = F.struct(central.alias("w"), F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
+            if k % 2 == 0:
+                now = now.join(now.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("w", F.sum(F.log("m") / F.col("n")).over(Window.partitionBy("id")))
             lead = now.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"))
             met = now.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).join(lead, "key").where(f"ca <> cb and {sizes_fit(above, of)}")
             votes = met.groupBy("a", "b").count()
             pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         else:  # every pair left, with the members of a list's largest component met as a whole
             by = now.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-            all_ = now.join(by, "key")
-            rest = all_.where("c <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            other = all_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main")
-            met = rest.join(other, "key").where(f"ca <> cb and (cb = main or a < b) and {sizes_fit(above, of)}")
+            # Parity bitmaps bound the difference of two sets from below: pairs beyond it never
+            # leave the join, however many meet in a list.
+            signed = now.join(reps.select("id", *BITMAP), "id").join(by, "key")
+            rest = signed.where("c <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(x).alias(f"{x}a") for x in BITMAP])
+            other = signed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main", *[F.col(x).alias(f"{x}b") for x in BITMAP])
+            apart = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BITMAP)
+            met = rest.join(other, "key").where(f"ca <> cb and (cb = main or a < b) and {sizes_fit(above, of)} and {above + of} * (na + nb - ({apart})) >= {2 * above} * (na + nb)")
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = cut(verified(pairs, reps, above, of))
         edges = new if edges is None else edges.union(new)
@@ -273,12 +330,14 @@ def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS
             made = list(sets(utf8(pdf["text"]), size))
             keep = [fingerprint(s) == m for s, m in zip(made, pdf["mark"].tolist(), strict=True)]
             short = [squeeze_sorted(s) for s, k in zip(made, keep, strict=True) if k]
-            yield pd.DataFrame({"id": pdf["id"][keep], "n": [len(s) for s, k in zip(made, keep, strict=True) if k], "items": short})
+            kept = [s for s, k in zip(made, keep, strict=True) if k]
+            bits = np.array([bitmap(s) for s in kept], dtype=np.int64).reshape(-1, len(BITMAP))
+            yield pd.DataFrame({"id": pdf["id"][keep], "n": [len(s) for s in kept], "items": short, **{x: bits[:, i] for i, x in enumerate(BITMAP)}})
 
     with bloom_joins(spark):
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(alive, "id")
-        reps = cut(texts.mapInPandas(own_sets, "id long, n long, items binary").dropDuplicates(["id"]))
-    found = links(reps, above, of)
+        reps = cut(texts.mapInPandas(trimmed(own_sets), "id long, n long, items binary, " + ", ".join(f"{x} long" for x in BITMAP)).dropDuplicates(["id"]))
+    found = links(reps, above, of, parts)
     named = rows.join(equal.select("mark", "n", "id"), ["mark", "n"], "left").join(found, "id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id", "doc_id").alias("component_id"))
 
