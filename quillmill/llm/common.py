@@ -4,6 +4,7 @@ byte hashing, compact blocks of sorted hashes, and connected components."""
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -54,8 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass only drops Python's own references
+        gc.collect()
+        time.sleep(0.1)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def cut(df: DataFrame) -> DataFrame:
