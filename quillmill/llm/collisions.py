@@ -15,7 +15,7 @@ each vector and a spanning forest of its links, never the pairs.
 
 Defined cases: a vector that is null, zero, or has a null or non-finite component links with
 nothing and is its own component, as does one of another length than the first; equal vectors
-link; rows with the same vec_id link as one vector each and share a component; extra columns
+link; rows with the same vec_id share their links and component; extra columns
 are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, table
+from .common import Forest, components, cut, known_id, null_id, table
 
 THRESHOLD = 0.9
 TOP, COLLISIONS = 10, 2
@@ -103,7 +103,7 @@ def meet(tops_a: np.ndarray, tops_b: np.ndarray, x: np.ndarray, y: np.ndarray, p
 def near(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = cut(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    rows = cut(vectors.select(known_id("vec_id").alias("id"), F.col("embedding").alias("v")))
     first = rows.where("v is not null").select(F.size("v").alias("d")).agg(F.mode("d", True).alias("d"), F.count("*").alias("n")).first()
     dim, n = first["d"] or 1, projections(first["n"])
     listed = tails(rows, dim, n)
@@ -147,7 +147,7 @@ def near(vectors: DataFrame) -> DataFrame:
     group = components(found.select(F.col("root").alias("u"), F.col("id").alias("v")))
     out = rows.select("id").join(total, "id", "left").join(group, "id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(null_id(F.col("id")).alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), null_id(component).alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def op2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:

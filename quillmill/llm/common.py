@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
@@ -32,6 +32,29 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Stands for a null id inside the operators, after all others.
+NO_ID = 1 << 62
+
+
+def known_id(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(NO_ID))
+
+
+def null_id(c: Column) -> Column:
+    return F.when(c != NO_ID, c)
+
+
+def packed(docs: DataFrame, *also: Column) -> DataFrame:
+    """docs as one column `row`, with the columns that an operator needs beside it: columns of
+    docs then clash with none of its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *also)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs from rows(row, ...), those in new replaced."""
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

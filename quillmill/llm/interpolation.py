@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, release, squeeze, squeeze_sorted, table, utf8, word_hashes, trimmed
+from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, null_id, partitions, release, squeeze, squeeze_sorted, table, trimmed, utf8, word_hashes
 
 BLOCK_TOKENS = 700_000
 #: Hash values of the end token and of the mark before a text; no word is looked up by them.
@@ -35,7 +35,6 @@ FINE, CELLS, BUCKETS = 4, 128, 40
 ROUNDS = 60
 #: Bits of a pair's hash that shipping leaves out.
 SPARED = np.uint64(16)
-NO_ID = -(2**62)
 
 
 def pairs(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,7 +71,7 @@ def shipped(docs: DataFrame, ranges: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["kind", "range", "block", "a", "b", "c", "d"])
 
         for pdf in batches:
-            texts, ids, train = utf8(pdf["text"]), pdf["doc_id"].fillna(NO_ID).to_numpy(dtype=np.int64), pdf["train"].to_numpy(dtype=bool)
+            texts, ids, train = utf8(pdf["text"]), pdf["doc_id"].to_numpy(), pdf["train"].to_numpy(dtype=bool)
             for i, j in blocks(texts):
                 words, count = word_hashes(texts[i:j])
                 ends = np.cumsum(count)
@@ -156,7 +155,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranges = 3 * partitions(spark)
     schema = "kind string, range int, block string, a binary, b binary, c binary, d binary"
-    sent = shipped(docs.select("doc_id", "text", "train"), ranges)
+    sent = shipped(docs.select(known_id("doc_id").alias("doc_id"), "text", "train"), ranges)
     own = F.when(F.col("kind") == "block", F.col("block"))
     back = cut(sent.groupBy("kind", "range", own.alias("own")).applyInPandas(totals, schema))
     release(spark)
@@ -191,7 +190,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "n_tokens": lengths.astype(np.int64), "n_known": of((word > 0).astype(np.int64)), "base_score": of(base), "score": of(np.log10(p))})
 
     out = open_blocks.applyInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, mix, partitions, squeeze, squeeze_sorted, table, utf8, word_hashes, trimmed
+from .common import BASE, NO_ID, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, known_id, mix, null_id, packed, partitions, squeeze, squeeze_sorted, table, trimmed, unpacked, utf8, word_hashes
 
 WORDS = 5
 #: The threshold as a fraction, so that comparisons stay in integers.
@@ -320,6 +320,7 @@ def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     parts = partitions(spark)
+    docs = docs.select(known_id("doc_id").alias("doc_id"), "text")
     rows = cut(counted(docs, size, parts))
     equal = rows.where("n > 0").groupBy("mark", "n").agg(F.min("doc_id").alias("id"), F.max("common").alias("common"))
     equal = cut(equal)
@@ -339,13 +340,14 @@ def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS
         reps = cut(texts.mapInPandas(trimmed(own_sets), "id long, n long, items binary, " + ", ".join(f"{x} long" for x in BITMAP)).dropDuplicates(["id"]))
     found = links(reps, above, of, parts)
     named = rows.join(equal.select("mark", "n", "id"), ["mark", "n"], "left").join(found, "id", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id", "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", "id", "doc_id")
+    return named.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(component).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of each component, its columns unchanged."""
-    kept = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i")).distinct()
+    return unpacked(packed(docs, known_id("doc_id").alias("i")).join(kept, "i").dropDuplicates(["i"]), docs)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table, trimmed
+from .common import cut, known_id, null_id, prepare, table, trimmed
 from .encoding import encoded
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, keep_ids: bool)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(trimmed(cut_up), schema)
+    return docs.select(known_id("doc_id").alias("doc_id"), "text").mapInPandas(trimmed(cut_up), schema)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInPandas(placed, schema)
+    return ranked.select(*names, "rank").mapInPandas(placed, schema).withColumn("doc_id", null_id(F.col("doc_id")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

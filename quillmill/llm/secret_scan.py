@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 
 @dataclass(frozen=True)
@@ -213,8 +213,8 @@ def joined(found: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by <kind>; overlapping spans are replaced as one, under
-    the kind that starts first. n_chars, where present, follows the new text."""
-    found = scan(docs, rules)
+    the kind that starts first. Other columns stay; n_chars, where present, follows the text."""
+    found = scan(packed(docs, F.col("text")), rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -223,10 +223,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
 
     new = F.aggregate("secret_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, new).otherwise(F.col("text")))
+    any_ = F.size("secret_spans") > 0
+    out = found.withColumn("text", F.when(any_, new).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(any_, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs, **changed)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, mix, partitions, powers, squeeze, squeeze_sorted, table, utf8, trimmed
+from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, packed, partitions, powers, squeeze, squeeze_sorted, table, trimmed, unpacked, utf8
 
 LENGTH = 200
 GRAM = 100
@@ -98,7 +98,7 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["range", "anchor", "context", "doc_id", "pos"])
 
         for pdf in batches:
-            texts, ids = utf8(pdf["text"]), pdf["doc_id"].fillna(-(2**62)).to_numpy(dtype=np.int64)
+            texts, ids = utf8(pdf["text"]), pdf["id"].to_numpy()
             for i, j in blocks(texts, HASHED):
                 doc, pos, anchor, context = anchors(texts[i:j])
                 held.append((ids[i:j][doc], pos.astype(np.uint32), anchor, context))
@@ -134,7 +134,7 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
         kind = np.where(alone, 0, np.where(first & has_edge[group], 2, 1))
         return pd.DataFrame({"doc_id": doc, "pos": pos.astype(np.int32), "anchor": anchor.view(np.int64), "context": context.view(np.int64), "kind": kind.astype(np.int32)})
 
-    shipped = docs.select("doc_id", "text").mapInPandas(trimmed(ship), "range int, anchor binary, context binary, doc_id binary, pos binary")
+    shipped = docs.select(known_id("doc_id").alias("id"), "text").mapInPandas(trimmed(ship), "range int, anchor binary, context binary, doc_id binary, pos binary")
     return shipped.groupBy("range").applyInPandas(again, "doc_id long, pos int, anchor long, context long, kind int")
 
 
@@ -289,7 +289,7 @@ def spans(docs: DataFrame) -> DataFrame:
     found = cut(repeated(docs, parts))
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor", "context", "kind")).alias("a"))
     lists = lists.select(F.col("doc_id").alias("id"), F.col("a.pos").alias("pos"), F.col("a.anchor").alias("anchor"), F.col("a.context").alias("context"), F.col("a.kind").alias("kind"))
-    source = docs.select(F.coalesce("doc_id", F.lit(-(2**62))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    source = docs.select(known_id("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, text binary, runs binary, open boolean, anchor long, pos int, kind int, left binary, right binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -367,7 +367,7 @@ def removed(docs: DataFrame) -> DataFrame:
             kept = [without(t, r) for t, r in zip(pdf["text"], runs, strict=True)]
             yield pdf[["doc_id", "mark"]].assign(n_removed=[int((r[1] - r[0]).sum()) for r in runs], n_spans=[r.shape[1] for r in runs], kept=kept)
 
-    return spans(docs).mapInPandas(trimmed(cut_out), "doc_id long, mark long, n_removed long, n_spans long, kept binary")
+    return spans(docs.select("doc_id", "text")).mapInPandas(trimmed(cut_out), "doc_id long, mark long, n_removed long, n_spans long, kept binary")
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -379,20 +379,20 @@ def strip(docs: DataFrame) -> DataFrame:
             kept = [without(t, unpack(r), True).decode("utf-8", "replace") for t, r in zip(pdf["text"], pdf["runs"], strict=True)]
             yield pd.DataFrame({"_id": pdf["doc_id"], "_mark": pdf["mark"], "_kept": kept})
 
-    new = spans(docs).mapInPandas(trimmed(cut_out), "_id long, _mark long, _kept string").dropDuplicates(["_id", "_mark"])
-    id_, mark = F.coalesce("doc_id", F.lit(-(2**62))), F.xxhash64(F.coalesce("text", F.lit("")))
-    both = docs.withColumns({"_i": id_, "_m": mark}).join(new, (F.col("_i") == F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
-    changed = {"text": F.coalesce("_kept", "text")}
+    new = spans(docs.select("doc_id", "text")).mapInPandas(trimmed(cut_out), "_id long, _mark long, _kept string").dropDuplicates(["_id", "_mark"])
+    rows = packed(docs, known_id("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"))
+    both = rows.join(new, (F.col("i") == F.col("_id")) & (F.col("m") == F.col("_mark")), "left")
+    changed = {"text": F.coalesce("_kept", "row.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return both.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("row.n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return unpacked(both, docs, **changed)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lost = removed(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept").dropDuplicates(["doc_id", "mark"]).withColumnRenamed("doc_id", "id")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**62))).alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    rows = docs.select("doc_id", known_id("doc_id").alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     joined = rows.join(lost, ["id", "mark"], "left")
     none = F.lit(0).cast("long")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
