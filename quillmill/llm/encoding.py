@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import PrefixHash
 
 #: Units remembered by a worker; beyond that it starts anew.
-MEMORY = 1_500_000
+MEMORY = 1_000_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 _SEPARATOR, _BLANK, _LETTER, _DIGIT, _SIGN, _BAD = range(6)
@@ -48,29 +48,67 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        #: For each id, whether it ends a word, where the vocabulary has such marks.
+        self.final = None
+        vocabulary = {} if spaced else self.tokenizer.get_vocab()
+        if any(t.endswith("</w>") for t in vocabulary):
+            self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Hashes of the units met, sorted, and the number of each; its ids are
+        #: flat[first[number] : first[number + 1]].
+        self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.first = np.zeros(1 << 16, dtype=np.int64)
 
     def ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: list[int], units: list[str]) -> None:
-        found = self.ask(units)
-        base, n = len(self.known), len(keys)
+    def units(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the units, and their ids in it, one after another, with their sizes.
+
+        Words are asked for in runs where the vocabulary marks the ends of words, which
+        spares one answer a word; a run whose marks do not add up is asked for word by word."""
+        words = [] if self.final is None else [k for k, u in enumerate(units) if u.isalpha()]
+        order, ids, sizes = [], [], []
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
+            found = np.array(self.ask([" ".join([units[i] for i in part])])[0], dtype=np.uint32)
+            ends = np.flatnonzero(self.final[found]) + 1
+            if len(ends) == len(part) and ends[-1] == len(found):
+                order += part
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+        done = set(order)
+        rest = [k for k in range(len(units)) if k not in done]
+        found = self.ask([units[k] for k in rest])
+        ids.append(np.array([i for x in found for i in x], dtype=np.uint32))
+        sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        return order + rest, np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, keys: np.ndarray, units: list[str]) -> None:
+        order, ids, sizes = self.units(units)
+        base, n = len(self.keys), len(keys)
         used = int(self.first[base])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=n)
-        total = used + int(sizes.sum())
+        total = used + len(ids)
         while base + n + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.first[base + 1 : base + n + 1] = used + np.cumsum(sizes)
-        self.flat[used:total] = [i for ids in found for i in ids]
-        self.known.update(zip(keys, range(base, base + n), strict=True))
+        self.flat[used:total] = ids
+        every, numbers = np.concatenate([self.keys, keys[order]]), np.concatenate([self.numbers, np.arange(base, base + n, dtype=np.int32)])
+        by = np.argsort(every, kind="stable")
+        self.keys, self.numbers = every[by], numbers[by]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted keys, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], np.int32(-1))
 
     def cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the units of texts joined by zero bytes."""
@@ -101,7 +139,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        if len(self.known) > MEMORY:
+        if len(self.keys) > MEMORY:
             self.forget()
         out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
         split, parts, whole = [], [], []
@@ -131,15 +169,14 @@ class Encoder:
             return out
         start, end = self.cut(data)
         keys, example, which = np.unique(PrefixHash(data).span(start, end), return_index=True, return_inverse=True)
-        names = keys.tolist()
-        at = [self.known.get(k, -1) for k in names]
-        new = [j for j, x in enumerate(at) if x < 0]
-        if new:
+        at = self.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
             where = example[new]
             body = data.tobytes()
-            self.learn([names[j] for j in new], [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-            at = [self.known[k] for k in names]
-        row = np.array(at, dtype=np.int64)[which]
+            self.learn(keys[new], [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            at = self.find(keys)
+        row = at[which]
         base = self.first[row]
         size = self.first[row + 1] - base
         upto = np.cumsum(size)

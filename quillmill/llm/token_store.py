@@ -27,11 +27,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, shared_dir, table
+from .common import BASE, known_id, null_id, partitions, shared_dir, table, trimmed
 from .encoding import encoded
 
-#: Ids under the rolling window, the mask that ends a chunk (mean length), and its bounds.
-WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 2048
+#: Ids under the rolling window, the mean length of a chunk, and its bounds.
+WINDOW, MEAN, LEAST, MOST = 5, 512, 128, 4096
+FACTOR, THRESHOLD = np.uint64(BASE), np.uint64((1 << 64) // MEAN)
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -41,11 +42,13 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    value = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(min(WINDOW, n)):
-        rolled[k:] += value[: n - k] * np.uint64(2 * k + 3)
-    marks = np.flatnonzero((mix(rolled) & np.uint64(MEAN - 1)) == 0) + 1
+    value = ids.astype(np.uint64) * FACTOR
+    value ^= value >> np.uint64(29)
+    rolled = value.copy()
+    for k in range(1, WINDOW):
+        rolled[k:] += value[:-k] * np.uint64(2 * k + 3)
+    rolled *= FACTOR
+    marks = np.flatnonzero(rolled < THRESHOLD) + 1
     ends, last, at = [], 0, 0
     while n - last > LEAST:
         at = int(np.searchsorted(marks, last + LEAST))
@@ -150,8 +153,8 @@ def write(docs: DataFrame, root: str, path: str, end_id: int = END_ID, spaced: b
     schema = "digest binary, width int, ids binary, doc_id long, n_tokens long, digests array<binary>"
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     # Chunks meet by digest; recipes are spread by document, and both leave in one shuffle.
-    both = docs.select("doc_id", "text").mapInPandas(chunked, schema)
-    both = both.repartition(n, F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id"))).sortWithinPartitions("digest")
+    both = docs.select(known_id("doc_id").alias("doc_id"), "text").mapInPandas(trimmed(chunked), schema)
+    both = both.repartition(n, F.when(F.col("digest").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("digest"))).sortWithinPartitions("digest")
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -214,7 +217,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     wrong = roots(spark, root).alias("a").join(spark.read.parquet(f"{root}/manifest").alias("b"), "part", "full")
     if wrong.where("not (a.root <=> b.root) or not (a.n_docs <=> b.n_docs)").limit(1).count():
         raise ValueError("recipes do not match the manifest")
-    sums = chunks(spark, root).mapInPandas(summed, "digest binary, n long, crc long")
+    sums = chunks(spark, root).mapInPandas(trimmed(summed), "digest binary, n long, crc long")
     listed = recipes(spark, root).withColumn("row", F.xxhash64("doc_id", "digests", F.monotonically_increasing_id()))
     steps = listed.select("part", "doc_id", "n_tokens", "row", F.posexplode("digests").alias("seq", "digest"))
     joined = steps.join(sums, "digest", "left")
@@ -238,7 +241,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     base = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "part int, base long")
     within = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32", "row").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(base), "part")
-    return out.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select(null_id(F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
