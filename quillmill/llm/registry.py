@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collisions, images, interpolation, jaccard, language, packing, secret_scan, segmentations, suffixes, token_store
+from . import collisions, images, interpolation, jaccard, language, oracle, packing, secret_scan, segmentations, suffixes, token_store
 
 QUERIES = {
     "op1_images": images.op1_images,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_suffixes": suffixes.op10_suffixes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.ORACLE_SQL
