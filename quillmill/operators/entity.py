@@ -182,6 +182,26 @@ def pending_tokens(titles: DataFrame, known: DataFrame, limit: int = 80) -> Data
     return new.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(limit)
 
 
+def dynamic_candidates(titles: DataFrame, verified: DataFrame, owners: DataFrame, aliases: dict[str, str] = ALIAS_MAP) -> DataFrame:
+    """Candidates from a title's own tokens, where the whitelist is off: those that the lookup
+    verified(token, is_company) affirms, and those whose owner owners(token, company) gives."""
+    tokens = titles.select("seq", "title", F.explode(title_tokens(F.col("title"))).alias("token")).where(~F.lower("token").isin(*skip_tokens()))
+    sure = tokens.join(verified.where("is_company").select("token").distinct(), "token").select("*", canonical(F.col("token"), aliases).alias("company"), F.lit("dynamic_verified").alias("source"))
+    owned = tokens.join(owners.select("token", "company").distinct(), "token").select("seq", "title", "token", canonical(F.col("company"), aliases).alias("company"), F.lit("owner_inferred").alias("source"))
+    both = sure.select("seq", "title", "token", "company", "source").union(owned)
+    weight = F.when(F.col("source") == "dynamic_verified", SOURCE_WEIGHT["dynamic_verified"]).otherwise(SOURCE_WEIGHT["owner_inferred"])
+    scored = both.withColumn("pos", position(F.col("title"), F.col("token"))).where("pos >= 0").withColumn("score", candidate_score(F.col("title"), F.col("token"), weight))
+    return scored.select("seq", "company", F.col("token").alias("alias"), "source", "score", "pos", F.length("token").alias("len"), F.lit(1 << 20).alias("rule"))
+
+
+def refresh_lookups(pending: DataFrame, suggestions: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New rows of both lookups for pending(token), from suggestions(token, arr): what is an
+    organisation, and whose a product is."""
+    found = pending.select("token").distinct().join(suggestions, "token", "left").withColumn("arr", F.coalesce("arr", F.array().cast("array<string>")))
+    verified = found.select("token", F.coalesce(verdict(F.col("token"), F.col("arr")), F.lit(False)).alias("is_company"))
+    return verified, infer_owner(found, entries)
+
+
 def verdict(word: Column, suggestions: Column) -> Column:
     """Whether search suggestions speak for an organisation called word."""
     s = F.filter(F.transform(F.slice(suggestions, 1, 10), lambda x: strip(or_empty(x))), lambda x: F.length(x) > 0)

@@ -191,6 +191,13 @@ class Settings:
     selection: Selection = field(default_factory=Selection)
 
 
+def stable_hash(raw: dict) -> str:
+    """SHA-256 of a configuration, whatever the order of its keys."""
+    import hashlib
+
+    return hashlib.sha256(json.dumps(raw, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
 def _count(v: object) -> bool:
     return str(v).strip().lower() == "repeat"
 
