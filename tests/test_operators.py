@@ -189,12 +189,12 @@ def test_tokens_and_owners(spark):
 
 
 def test_lookups_beyond_the_dictionary(spark):
-    titles = spark.createDataFrame([(1, "星云科技 后端 一面"), (2, "小鹅通 面经"), (3, "甲乙 一面")], "seq long, title string")
+    titles = spark.createDataFrame([(1, "星云科技 后端 一面"), (2, "小鹅直播 面经"), (3, "甲乙 一面")], "seq long, title string")
     entries = spark.createDataFrame([("腾讯", "腾讯", "known_company", 100, 0)], "alias string, company string, source string, weight int, rule int")
     pending = titles.select(F.explode(entity.title_tokens(F.col("title"))).alias("token"))
-    said = spark.createDataFrame([("星云科技", ["星云科技有限公司"]), ("小鹅通", ["小鹅通是腾讯旗下的", "小鹅通 属于腾讯"])], "token string, arr array<string>")
+    said = spark.createDataFrame([("星云科技", ["星云科技有限公司"]), ("小鹅直播", ["小鹅直播是腾讯旗下的", "小鹅直播 属于腾讯"])], "token string, arr array<string>")
     verified, owners = entity.refresh_lookups(pending, said, entries)
-    assert {r["token"]: r["is_company"] for r in verified.collect()} == {"星云科技": True, "小鹅通": False, "甲乙": False}
+    assert {r["token"]: r["is_company"] for r in verified.collect()} == {"星云科技": True, "小鹅直播": False, "甲乙": False}
     found = entity.dynamic_candidates(titles, verified, owners)
     assert {r["seq"]: r["company"] for r in entity.best_company(titles, found).collect()} == {1: "星云科技", 2: "腾讯", 3: "其他"}
     assert config.stable_hash({"a": 1, "b": 2}) == config.stable_hash({"b": 2, "a": 1})
