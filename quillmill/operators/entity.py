@@ -133,10 +133,10 @@ def candidates(titles: DataFrame, entries: DataFrame, aliases: dict[str, str] =
     """(seq, company, alias, source, score, pos, len, rule) of the entries that titles(seq,
     title) contain; only(company): the organisations allowed."""
     low = F.lower(F.col("title"))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.lit(KEY))))
-    # One-character entries meet by their only character.
-    singles = F.array_distinct(F.split(low, ""))
-    keyed = titles.select("seq", "title", F.explode(F.array_union(starts, singles)).alias("k"))
+    chars = F.split(low, "")
+    # Pairs of neighbours, and single characters for entries of one.
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    keyed = titles.select("seq", "title", F.explode(F.array_union(pairs, chars)).alias("k"))
     named = entries.withColumn("company", canonical(F.col("company"), aliases)).withColumn("k", F.substring(F.lower("alias"), 1, KEY))
     if only is not None:
         named = named.join(only.select("company").distinct(), "company", "left_semi")

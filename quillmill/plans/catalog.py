@@ -450,12 +450,11 @@ def plausible_name(spark, sf):
 
 def suggestions(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
-    words = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2)])
-    rows = d.groupBy((F.col("doc_id") % 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("i"), words.alias("t")))).alias("x"))
+    rows = d.groupBy((F.col("doc_id") % 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")))).alias("x"))
     return rows.select("g", F.transform("x", lambda x: x["t"]).alias("arr"))
 
 
-VERDICT = """g as (select doc_id % 50 as g, list({'i': doc_id, 't': concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2))} order by doc_id) as x from documents group by 1),
+VERDICT = """g as (select doc_id % 50 as g, list({'i': doc_id, 't': text} order by doc_id) as x from documents group by 1),
 s as (select g, [trim(y.t) for y in list_slice(x, 1, 10) if trim(y.t) <> ''] as s from g)"""
 
 
@@ -468,13 +467,13 @@ OWNERS = [("of", "Alpha"), ("the", "Beta"), ("in", "Gamma"), ("de", "Delta")]
 
 
 @query("owner_inference", """with g as (select doc_id % 50 as g, doc_id, text from documents), r as (select *, row_number() over (partition by g order by doc_id) as rn from g),
-w as (select g, doc_id, regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', ' ', 'g') as t, contains(left(text, 200), '集团') as hint from r where rn <= 12),
+w as (select g, doc_id, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') as t from r where rn <= 12),
 a as (select * from (values ('of', 'Alpha'), ('the', 'Beta'), ('in', 'Gamma'), ('de', 'Delta')) v(alias, company)),
 sc as (select g, company, sum(2 + case when contains(' ' || t || ' ', ' and ') then 1 else 0 end) as score from w join a on contains(' ' || t || ' ', ' ' || alias || ' ') group by g, company),
 b as (select *, row_number() over (partition by g order by score desc, company) as rn from sc)
 select g, company, cast(score as bigint) as score from b where rn = 1 and score >= 4""")
 def owner_inference(spark, sf):
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("g"), "doc_id", F.left("text", F.lit(200)).alias("text"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("g"), "doc_id", "text")
     arr = d.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("arr"))
     entries = spark.createDataFrame([(a, c, "alias_map", 110, i) for i, (a, c) in enumerate(OWNERS)], "alias string, company string, source string, weight int, rule int")
     lookups = arr.select(F.lit("and").alias("token"), "arr", "g")
@@ -484,6 +483,9 @@ def owner_inference(spark, sf):
 # ---------------------------------------------------------------- knowledge base
 
 
+FULL = "concat_ws(' ', p_name, p_type, p_brand)"
+
+
 def hot(spark, sf) -> DataFrame:
     p = table(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 500).cast("int").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("frequency"), F.lit("a").alias("source"))
@@ -510,14 +512,14 @@ def keep_best(spark, sf):
     return knowledge.keep_best(rows, F.lower("p_brand")).select(F.col("key").alias("brand"), "title", F.col("frequency").cast("long").alias("frequency"))
 
 
-@query("hot_match_details", """with h as (select p_partkey as id, p_name as title, regexp_replace(lower(p_name), '\\s+', '', 'g') as k, p_size as frequency from part where p_partkey <= 400),
-p as (select p_partkey as seq, (p_partkey * 7) % 600 as id, regexp_replace(lower(p_name), '\\s+', '', 'g') as k from part),
+@query("hot_match_details", """with h as (select p_partkey as id, concat_ws(' ', p_name, p_type, p_brand) as title, regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand)), '\\s+', '', 'g') as k, p_size as frequency from part),
+p as (select p_partkey as seq, (p_partkey * 7) % 600 as id, regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand)), '\\s+', '', 'g') as k from part),
 m as (select seq, h.id, h.title, h.frequency, 'id' as by_ from p join h on p.id = h.id union select seq, h.id, h.title, h.frequency, 'title' from p join h on p.k = h.k)
 select seq, concat('id:', id) as key, any_value(title) as title, cast(any_value(frequency) as bigint) as frequency, string_agg(by_, ',' order by by_) as matched_by from m group by seq, id""")
 def hot_match_details(spark, sf):
     p = table(spark, sf, "part")
-    h = p.where("p_partkey <= 400").select(F.col("p_partkey").cast("int").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("frequency"))
-    rows = p.select(F.col("p_partkey").alias("seq"), F.array(((F.col("p_partkey") * 7) % 600).cast("int")).alias("ids"), F.array(text.title_key(F.col("p_name"))).alias("titles"))
+    h = p.select(F.col("p_partkey").cast("int").alias("id"), F.expr(FULL).alias("title"), F.col("p_size").alias("frequency"))
+    rows = p.select(F.col("p_partkey").alias("seq"), F.array(((F.col("p_partkey") * 7) % 600).cast("int")).alias("ids"), F.array(text.title_key(F.expr(FULL))).alias("titles"))
     out = knowledge.match_details(rows, h)
     return out.select("seq", "key", "title", F.col("frequency").cast("long").alias("frequency"), F.array_join("matched_by", ",").alias("matched_by"))
 
@@ -535,24 +537,25 @@ def title_in_context(spark, sf):
     return normal(posts(spark, sf)).select(F.col("seq").alias("doc_id"), match.in_context(F.col("c"), "tion", ["of", "and"]).alias("near"))
 
 
+def two_sources(spark, sf) -> DataFrame:
+    """Every part by number and title, and again by title only, in capitals."""
+    p = table(spark, sf, "part")
+    a = p.select(F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("int").alias("id"), F.expr(FULL).alias("title"), F.col("p_size").alias("frequency"), F.lit("a").alias("source"))
+    b = p.select((F.col("p_partkey") + (1 << 40)).alias("seq"), F.upper(F.expr(FULL)).alias("title"), F.lit(7).alias("frequency"), F.lit("b").alias("source"))
+    return knowledge.entries(knowledge.unite(a, b))
+
+
 @query("kb_merge")
 def kb_merge(spark, sf):
     """Two sources merged by number or title; the fold is tested against plain Python."""
-    p = table(spark, sf, "part")
-    a = hot(spark, sf).where("seq <= 300")
-    b = p.where("p_partkey <= 200").select((F.col("p_partkey") + 1_000_000).alias("seq"), F.lit(None).cast("int").alias("id"), F.upper("p_name").alias("title"), F.lit(7).alias("frequency"), F.lit("b").alias("source"))
-    merged = knowledge.merge(knowledge.entries(knowledge.unite(a, b)))
-    return merged.select("id", "title", "frequency", "source", "url")
+    return knowledge.merge(two_sources(spark, sf)).select("id", "title", "frequency", "source", "url")
 
 
-@query("kb_merge_by_title", """with e as (select p_partkey as seq, p_name as title, p_size as frequency, 'a' as source from part union all select p_partkey + 1000000, upper(p_name), 7, 'b' from part where p_partkey <= 200),
+@query("kb_merge_by_title", f"""with e as (select {FULL} as title, p_size as frequency, 'a' as source from part union all select upper({FULL}), 7, 'b' from part),
 k as (select *, regexp_replace(lower(title), '\\s+', '', 'g') as key from e)
 select key, cast(max(frequency) as bigint) as frequency, count(distinct source) as n_sources from k group by key""")
 def kb_merge_by_title(spark, sf):
-    p = table(spark, sf, "part")
-    a = p.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.col("p_size").alias("frequency"), F.lit("a").alias("source"))
-    b = p.where("p_partkey <= 200").select((F.col("p_partkey") + 1_000_000).alias("seq"), F.upper("p_name").alias("title"), F.lit(7).alias("frequency"), F.lit("b").alias("source"))
-    out = knowledge.merge(knowledge.entries(knowledge.unite(a, b)))
+    out = knowledge.merge(two_sources(spark, sf).withColumn("id", F.lit(None).cast("int")))
     return out.select(text.title_key(F.col("title")).alias("key"), F.col("frequency").cast("long").alias("frequency"), F.size(F.split("source", ",")).cast("long").alias("n_sources"))
 
 
@@ -584,15 +587,23 @@ def annotations_format(spark, sf):
     return rows.select("p_brand", knowledge.annotations(F.col("m")).alias("lines"))
 
 
-@query("outline_format", f"with {OUTLINE}, d as (select conv_id, min(i) as i, concat(no, '. ', body) as x from good where no > before group by conv_id, concat(no, '. ', body)) select conv_id, string_agg(x, chr(10) order by i) as lines from d group by conv_id")
+@query("outline_format", f"""with {OUTLINE}, f as (select *, row_number() over (partition by conv_id order by i) as rn from good where no > before),
+d as (select conv_id, min(i) as i, concat(no, '. ', body) as x from f where rn <= 30 group by conv_id, concat(no, '. ', body)) select conv_id, string_agg(x, chr(10) order by i) as lines from d group by conv_id""")
 def outline_format(spark, sf):
     rows = outlines(spark, sf).withColumn("items", quality.numbered_items(F.col("content"))).where("size(items) > 0")
-    return rows.select("conv_id", knowledge.outline_text(F.col("items"), 1000).alias("lines"))
+    return rows.select("conv_id", knowledge.outline_text(F.col("items")).alias("lines"))
+
 
+MARKS = ("^\\s{0,3}#{1,6}\\s*", "^\\s*>\\s*", "^\\s*[-*+]\\s+", "^\\s*\\d+\\.\\s+")
 
-@query("markdown_clean", f"select conv_id, turn, md5({TRIM.format('''regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')''')}) as digest from conversations where not regexp_matches(text, '(^|\\n)\\s*([#>*+-]|\\d+\\.)|```|\\t')")
+
+@query("markdown_clean", f"""with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from conversations),
+a as (select conv_id, turn, i, regexp_replace(replace(regexp_replace(x, '\\s+$', ''), chr(9), '    '), '{MARKS[0]}', '') as x from l),
+b as (select conv_id, turn, i, replace(regexp_replace(regexp_replace(regexp_replace(x, '{MARKS[1]}', ''), '{MARKS[2]}', ''), '{MARKS[3]}', ''), '```', repeat(chr(39), 3)) as x from a where not regexp_full_match(x, '\\s*[-*_]{{3,}}\\s*')),
+j as (select conv_id, turn, string_agg(x, chr(10) order by i) as x from b group by conv_id, turn)
+select conv_id, turn, md5({TRIM.format("regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g')")}) as digest from j""")
 def markdown_clean(spark, sf):
-    c = table(spark, sf, "conversations").where(~F.col("text").rlike(r"(^|\n)\s*([#>*+-]|\d+\.)|```|\t"))
+    c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.md5(text.markdown_content(F.col("text"))).alias("digest"))
 
 
@@ -603,20 +614,21 @@ def markdown_clean(spark, sf):
 def comments_flatten(spark, sf):
     c = table(spark, sf, "conversations").withColumn("top", F.col("turn") - F.col("turn") % 2)
     one = c.groupBy("conv_id", "top").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    record = F.struct(F.element_at("x", 1)["text"].alias("content"), F.transform(F.slice("x", 2, 100), lambda r: F.struct(r["text"].alias("content"))).alias("replyList"))
+    record = F.struct(F.element_at("x", 1)["text"].alias("content"), F.transform(F.slice("x", F.lit(2), F.size("x")), lambda r: F.struct(r["text"].alias("content"))).alias("replyList"))
     nested = one.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("top", record.alias("r")))), lambda y: y["r"]).alias("records"))
     out = readers.flat_comments(nested.select(F.col("conv_id").cast("string").alias("post_id"), F.struct("records").alias("data")))
     return out.select(F.col("post_id").cast("long").alias("conv_id"), F.array_join("comments", "\n").alias("comments"))
 
 
-@query("detail_fallback", """select d.doc_id, coalesce(nullif(case when d.doc_id % 2 = 0 then coalesce(c.html, m.html) else coalesce(m.html, c.html) end, ''), d.text) = d.text as from_search,
+@query("detail_fallback", """select d.doc_id, md5(coalesce(nullif(case when d.doc_id % 2 = 0 then coalesce(c.html, m.url) else coalesce(m.url, c.html) end, ''), d.text)) as digest,
 case when d.doc_id % 2 = 0 then 'https://www.nowcoder.com/discuss/' || d.doc_id else 'https://www.nowcoder.com/feed/main/detail/' || (d.doc_id + 50) end as url
-from documents d left join (select * from pages where page_id % 3 = 0) c on c.page_id = d.doc_id left join (select * from pages where page_id % 3 = 1) m on m.page_id = d.doc_id + 50""")
+from documents d left join pages c on c.page_id = d.doc_id left join pages m on m.page_id = d.doc_id + 50""")
 def detail_fallback(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") + 50).cast("string").alias("uuid"), F.when(F.col("doc_id") % 2 == 0, "content-data").otherwise("moment-data").alias("detail_api_type"), F.col("text").alias("search_content"))
     g = table(spark, sf, "pages")
-    details = g.where("page_id % 3 < 2").select(F.when(F.col("page_id") % 3 == 0, "content-data").otherwise("moment-data").alias("kind"), F.col("page_id").cast("string").alias("key"), F.col("html").alias("content"))
-    return runs.with_details(d, details).select(F.col("seq").alias("doc_id"), (F.col("content") == F.col("search_content")).alias("from_search"), "url")
+    one = lambda kind, c: g.select(F.lit(kind).alias("kind"), F.col("page_id").cast("string").alias("key"), F.col(c).alias("content"))
+    details = one("content-data", "html").union(one("moment-data", "url"))
+    return runs.with_details(d, details).select(F.col("seq").alias("doc_id"), F.md5("content").alias("digest"), "url")
 
 
 @query("json_state", "select event_id, concat('v', json_extract_string(props, '$.k')) as content from events where json_extract_string(props, '$.k') is not null")
@@ -638,9 +650,9 @@ def search_scan(spark, sf):
     return readers.search_posts(pages).select(F.col("id").cast("long").alias("doc_id"), "id", "title", "search_content")
 
 
-@query("ranking_scan", "select p_partkey as seq, cast(p_partkey as bigint) as id, p_name as title, case p_size % 4 when 1 then '容易' when 2 then '中等' when 3 then '困难' else '' end as difficulty, cast(p_size as bigint) as frequency, 'https://leetcode.cn/problems/' || p_brand as url from part where p_partkey > 0")
+@query("ranking_scan", "select p_partkey + 1 as seq, cast(p_partkey + 1 as bigint) as id, p_name as title, case p_size % 4 when 1 then '容易' when 2 then '中等' when 3 then '困难' else '' end as difficulty, cast(p_size as bigint) as frequency, 'https://leetcode.cn/problems/' || p_brand as url from part")
 def ranking_scan(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey > 0")
+    p = table(spark, sf, "part").withColumn("p_partkey", F.col("p_partkey") + 1)
     leet = F.struct(F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("frontend_question_id"), F.lit("0").alias("question_id"), (F.col("p_size") % 4).cast("int").alias("level"), F.col("p_brand").alias("slug_title"))
     rows = p.select(F.lit(1).alias("page"), F.array(F.struct(leet.alias("leetcode"), F.lit("2024-01-02T00").alias("time"), F.col("p_size").alias("value"))).alias("list"))
     out = readers.ranking(rows)
