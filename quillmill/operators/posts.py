@@ -48,12 +48,11 @@ def select_posts(posts: DataFrame, rules: Rules = Rules(), q: Quality = Quality(
     """Scored posts of each keyword: "pool" the best of all, "early" those up to the batch
     that fills the pool, "elastic" with the moving limit, "first" the first that pass."""
     scored = quality.evaluate(posts, q, rules, library).withColumn("content_chars", F.col("breakdown.content_chars"))
-    passed = scored.where("passed")
     chosen = {
-        "pool": lambda: rank.top_pool(passed, s.pool),
+        "pool": lambda: rank.top_pool(scored, s.pool, only="passed"),
         "early": lambda: rank.early_stop_pool(scored, s),
         "elastic": lambda: rank.elastic_pool(scored, s),
-        "first": lambda: rank.first_rows(passed, s.items),
+        "first": lambda: rank.first_rows(scored, s.items, only="passed"),
     }[mode]()
     return Outcome(chosen, scored.where("not passed"))
 

@@ -24,14 +24,23 @@ def heap_order() -> list[Column]:
     return [F.desc("quality_score"), F.desc("content_chars"), F.desc(F.col("id").cast("string"))]
 
 
-def top_pool(scored: DataFrame, k: int, by: str = "keyword") -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: list[Column], only: str | None) -> DataFrame:
+    """rows with `rank` in their keyword, those for which the column `only` holds first; the
+    others are dropped after the ranking, so what makes the column is computed once."""
+    first = [F.desc(only)] if only else []
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*first, *order)))
+
+
+def top_pool(scored: DataFrame, k: int, by: str = "keyword", only: str | None = None) -> DataFrame:
     """The k best rows of each keyword, with their rank."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*heap_order()))).where(F.col("rank") <= k)
+    out = ranked(scored, by, heap_order(), only).where(F.col("rank") <= k)
+    return out.where(only) if only else out
 
 
-def first_rows(scored: DataFrame, k: int, by: str = "keyword") -> DataFrame:
+def first_rows(scored: DataFrame, k: int, by: str = "keyword", only: str | None = None) -> DataFrame:
     """The first k rows of each keyword by arrival."""
-    return scored.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy("seq"))).where(F.col("_rn") <= k).drop("_rn")
+    out = ranked(scored, by, [F.col("seq")], only).where(F.col("rank") <= k).drop("rank")
+    return out.where(only) if only else out
 
 
 def early_stop_pool(scored: DataFrame, s: Selection = Selection(), by: str = "keyword") -> DataFrame:

@@ -324,7 +324,7 @@ POOL = "row_number() over (partition by keyword order by score desc, chars desc,
 
 @query("topk_per_keyword", f"with {ALL}, p as (select *, {POOL} as rank from scored where passed) select keyword, rank, seq as doc_id, score from p where rank <= {PICK.pool}")
 def topk_per_keyword(spark, sf):
-    out = rank.top_pool(scored(spark, sf).where("passed"), PICK.pool)
+    out = rank.top_pool(scored(spark, sf), PICK.pool, only="passed")
     return out.select("keyword", F.col("rank").cast("long").alias("rank"), F.col("seq").alias("doc_id"), F.col("quality_score").cast("long").alias("score"))
 
 
@@ -350,7 +350,7 @@ def elastic_topk(spark, sf):
 
 @query("first_rows_limit", f"with {ALL}, p as (select *, row_number() over (partition by keyword order by seq) as rn from scored where passed) select keyword, seq as doc_id from p where rn <= {PICK.items}")
 def first_rows_limit(spark, sf):
-    return rank.first_rows(scored(spark, sf).where("passed"), PICK.items).select("keyword", F.col("seq").alias("doc_id"))
+    return rank.first_rows(scored(spark, sf), PICK.items, only="passed").select("keyword", F.col("seq").alias("doc_id"))
 
 
 @query("dedup_first", "select min(doc_id) as doc_id from documents group by lang, text")
