@@ -20,7 +20,7 @@ M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text hashed at once; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 #: Rows handed to Python at once; texts are long, and Spark's default of 10000 holds too many.
@@ -110,19 +110,21 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def trimmed(f: Callable) -> Callable:
-    """A worker function that hands the memory it is done with back to the system: workers
-    stay for later stages, and what they once held would count against the executor."""
+def give_back() -> None:
+    """Hand memory that is done with back to the system: workers stay for later stages, and
+    what they once held would count against the executor."""
+    import ctypes
+
+    import pyarrow
 
-    def give_back() -> None:
-        import ctypes
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
-        import pyarrow
 
-        pyarrow.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+def trimmed(f: Callable) -> Callable:
+    """A function of batches that gives memory back at the end of its partition."""
 
     def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from f(batches)
@@ -131,6 +133,17 @@ def trimmed(f: Callable) -> Callable:
     return wrapped
 
 
+def trimmed_group(f: Callable) -> Callable:
+    """A function of a key and its rows that gives memory back after each group."""
+
+    def wrapped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(key, pdf)
+        give_back()
+        return out
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     prepare(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -155,11 +168,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(n, BLOCK_BYTES + 1).bit_length()
+        size = max(n, BLOCK_BYTES + (1 << 16))
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * BLOCK_BYTES:
+        if size <= 16 * BLOCK_BYTES:
             _POWERS[base] = have
     return have[:n]
 

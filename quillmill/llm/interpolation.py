@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, null_id, partitions, release, squeeze, squeeze_sorted, table, trimmed, utf8, word_hashes
+from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, null_id, partitions, release, squeeze, squeeze_sorted, table, trimmed, trimmed_group, utf8, word_hashes
 
 BLOCK_TOKENS = 700_000
 #: Hash values of the end token and of the mark before a text; no word is looked up by them.
@@ -157,7 +157,7 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "kind string, range int, block string, a binary, b binary, c binary, d binary"
     sent = shipped(docs.select(known_id("doc_id").alias("doc_id"), "text", "train"), ranges)
     own = F.when(F.col("kind") == "block", F.col("block"))
-    back = cut(sent.groupBy("kind", "range", own.alias("own")).applyInPandas(totals, schema))
+    back = cut(sent.groupBy("kind", "range", own.alias("own")).applyInPandas(trimmed_group(totals), schema))
     release(spark)
     sums = back.where("kind = 'sum'").select("a", "b").toPandas()  # a row a range
     vocabulary = sum(int.from_bytes(x, "little") for x in sums["a"])

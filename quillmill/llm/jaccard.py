@@ -34,13 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, NO_ID, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, known_id, mix, null_id, packed, partitions, squeeze, squeeze_sorted, table, trimmed, unpacked, utf8, word_hashes
+from .common import BASE, NO_ID, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, known_id, mix, null_id, packed, partitions, squeeze, squeeze_sorted, table, trimmed, trimmed_group, unpacked, utf8, word_hashes
 
 WORDS = 5
 #: The threshold as a fraction, so that comparisons stay in integers.
 ABOVE, OF = 75, 100
 #: Shingles of the documents that one task ships together.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 800_000
 #: Columns of a set's bitmap, 64 bits each: the parity of the number of shingles by hash.
 BITMAP = [f"s{k}" for k in range(8)]
 #: Bits of a hash that counting leaves out: a chance match only spares a document the filter.
@@ -151,8 +151,8 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
     shipped = docs.select("doc_id", "text").mapInPandas(trimmed(ship), "range int, block string, a binary, b binary, c binary")
     # The documents' own rows are spread by block; a range's rows meet by range.
-    replies = shipped.groupBy("range", F.when(F.col("range") < 0, F.col("block")).alias("own")).applyInPandas(shared, "block string, a binary, b binary, c binary")
-    return replies.groupBy("block").applyInPandas(summed, "doc_id long, n long, mark long, common long")
+    replies = shipped.groupBy("range", F.when(F.col("range") < 0, F.col("block")).alias("own")).applyInPandas(trimmed_group(shared), "block string, a binary, b binary, c binary")
+    return replies.groupBy("block").applyInPandas(trimmed_group(summed), "doc_id long, n long, mark long, common long")
 
 
 
@@ -240,7 +240,7 @@ def lists(reps: DataFrame, above: int, of: int, parts: int) -> DataFrame:
         return pd.DataFrame({"key": every[size > 1].view(np.int64), "id": info[0], "n": info[1], "heavy": info[2] > 0, "size": size[size > 1]})
 
     shipped = reps.mapInPandas(trimmed(ship), "range int, key binary, which binary, ids binary")
-    found = shipped.groupBy("range").applyInPandas(met, "key long, id long, n long, heavy boolean, size long")
+    found = shipped.groupBy("range").applyInPandas(trimmed_group(met), "key long, id long, n long, heavy boolean, size long")
     rank = F.row_number().over(Window.partitionBy("id", "heavy").orderBy(F.desc("size"), "key"))
     left = f"floor(ceil(n * {above} / {of}) / 4)"  # f(t n) - 1, for the least partner
     return found.withColumn("rank", rank).where(f"not heavy or n = 1 or rank > {left}").select("key", "id", "n")

@@ -26,6 +26,8 @@ from .encoding import encoded
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 1024
 END_ID = 0
+#: Characters encoded at once.
+BLOCK = 1 << 20
 #: Parts of a length whose ranks are counted apart.
 SALTS = 32
 
@@ -98,7 +100,7 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, keep_ids: bool)
             doc_ids = pdf["doc_id"].tolist()
             rows: list[tuple] = []
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            for i, ids in encoded(texts, path, True):
+            for i, ids in encoded(texts, path, True, BLOCK):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), window):
                     body = ids[s : s + window].tobytes()

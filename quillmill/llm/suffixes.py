@@ -32,14 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, packed, partitions, powers, squeeze, squeeze_sorted, table, trimmed, unpacked, utf8
+from .common import BASE, BYTE_VALUE, PrefixHash, bloom_joins, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, packed, partitions, powers, squeeze, squeeze_sorted, table, trimmed, trimmed_group, unpacked, utf8
 
 LENGTH = 200
 GRAM = 100
 #: Bytes on each side of an anchor that a LENGTH-byte string around it can reach.
 SIDE = LENGTH - GRAM
 #: Anchors that a task ships together; text hashed at once; edge rows sorted at once.
-SHIP, HASHED, SORTED = 400_000, 1 << 20, 15_000
+SHIP, HASHED, SORTED = 300_000, 1 << 19, 15_000
 
 
 def sliding(a: np.ndarray, w: int, ufunc: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -135,7 +135,7 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame({"doc_id": doc, "pos": pos.astype(np.int32), "anchor": anchor.view(np.int64), "context": context.view(np.int64), "kind": kind.astype(np.int32)})
 
     shipped = docs.select(known_id("doc_id").alias("id"), "text").mapInPandas(trimmed(ship), "range int, anchor binary, context binary, doc_id binary, pos binary")
-    return shipped.groupBy("range").applyInPandas(again, "doc_id long, pos int, anchor long, context long, kind int")
+    return shipped.groupBy("range").applyInPandas(trimmed_group(again), "doc_id long, pos int, anchor long, context long, kind int")
 
 
 # ---------------------------------------------------------------- sorting by hashes
@@ -324,7 +324,7 @@ def spans(docs: DataFrame) -> DataFrame:
     with bloom_joins(spark):
         both = cut(source.join(lists, "id").mapInPandas(trimmed(applied), schema))
     edges = both.where("anchor is not null").withColumn("range", F.pmod(F.shiftrightunsigned("anchor", 20), F.lit(4 * parts)))
-    more = edges.select("range", "doc_id", "mark", "anchor", "pos", "kind", "left", "right").groupBy("range").applyInPandas(resolve, "doc_id long, mark long, start long, end long")
+    more = edges.select("range", "doc_id", "mark", "anchor", "pos", "kind", "left", "right").groupBy("range").applyInPandas(trimmed_group(resolve), "doc_id long, mark long, start long, end long")
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("m"))
     waiting = both.where("anchor is null and open").select("doc_id", "mark", "text", "runs").join(more, ["doc_id", "mark"], "left")
     waiting = waiting.select("doc_id", "mark", "text", "runs", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
