@@ -13,7 +13,7 @@ QUERIES = {
     "op6_token_store": token_store.op6_token_store,
     "op7_interpolation": interpolation.op7_interpolation,
     "op8_packing": packing.op8_packing,
-    "op9_segmentations": segmentations.op9_segmentations,
+    "op9_segmentations": segmentations.op9_documents,
     "op10_suffixes": suffixes.op10_suffixes,
 }
 

@@ -6,7 +6,9 @@ k distinct ones without replacement. They are found without enumeration: the gre
 value of all segmentations that start in one way is drawn top down, so a priority queue of
 open prefixes, best first (A-star with the perturbed value as its exact bound), meets complete
 segmentations in the order of the sample. Backward sums over the lattice give the share of
-each next piece. No piece crosses the start of a word, so lattices are kept by word.
+each next piece. No piece crosses the start of a word, so lattices are kept by word. Where a
+prefix has become so unlikely that no other way from it can be among the k, which is so after
+the first words of a long text, the rest is drawn word by word.
 
 The noise comes from a generator seeded by the row's key: results do not depend on partitions.
 Each sample carries its log probability, its perturbed value, and the probability that it
@@ -24,8 +26,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,13 +38,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import known_id, null_id, table, trimmed
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 3
 SPACE = "▁"
+#: Pieces of the samples that a worker holds before it hands them on.
+HELD = 200_000
 #: Words whose lattices a worker keeps.
 MEMORY = 150_000
+#: A prefix with log probability x has a value over c with a chance under exp(x - c); from this
+#: distance on that is under a uniform double's resolution.
+SURE = 40.0
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _LATTICES: dict[str, Lattices] = {}
 
 
@@ -72,16 +83,11 @@ class Lattices:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.by_word:
             return [marked]
-        out, at = [], 0
-        for k in range(1, len(marked)):
-            if marked[k] == SPACE and marked[k - 1] != SPACE:
-                out.append(marked[at:k])
-                at = k
-        return [*out, marked[at:]]
+        return _WORD.findall(marked)
 
     def lattice(self, word: str) -> tuple:
         """At each position (end, ids, log share) of the next pieces, most likely first, and
-        the log of the total weight."""
+        their cumulated shares but the last."""
         if word in self.known:
             return self.known[word]
         n = len(word)
@@ -100,7 +106,8 @@ class Lattices:
             steps[i] = tuple(sorted(((j, ids, x - back[i]) for j, ids, x in found), key=lambda x: -x[2]))
         if len(self.known) >= MEMORY:
             self.known.clear()
-        self.known[word] = (steps, back[0])
+        cumulated = tuple(tuple(accumulate(math.exp(c[2]) for c in x[:-1])) for x in steps)
+        self.known[word] = (steps, cumulated)
         return self.known[word]
 
 
@@ -130,9 +137,33 @@ class Noise:
         return self.held.pop()
 
 
+def above(g: float, cutoff: float) -> float:
+    """Greatest v at which g - log(1 + exp(v)) is still over the cutoff."""
+    c = g - cutoff
+    return math.inf if c == math.inf else c if c > 30 else math.log(math.expm1(c)) if c > 0 else -math.inf
+
+
+def drawn(lat: Lattices, words: list[str], noise: Noise) -> tuple[list[int], float]:
+    """Ids and log probability of words that are cut by plain draws."""
+    out: list[int] = []
+    logp = 0.0
+    uniform: list[float] = []
+    for word in words:
+        (steps, cumulated), at = lat.lattice(word), 0
+        end = len(steps)
+        if len(uniform) < end:
+            uniform = noise.rng.random(256 + end).tolist()
+        while at < end:
+            at, ids, share = steps[at][bisect(cumulated[at], uniform.pop()) if cumulated[at] else 0]
+            out += ids
+            logp += share
+    return out, logp
+
+
 def sample(lat: Lattices, text: str, k: int, key: str) -> list[tuple[list[int], float, float, float]]:
     """Up to k segmentations (ids, log probability, perturbed value, inclusion), best first."""
-    parts = [lat.lattice(w)[0] for w in lat.words(text)]
+    words = lat.words(text)
+    parts: list = [None] * len(words)
     noise = Noise(key)
     # An open prefix: (-perturbed, order, word, position, log probability, link to the ids before).
     heap: list[tuple] = [(-noise.one(), 0, 0, 0, 0.0, None)]
@@ -143,8 +174,15 @@ def sample(lat: Lattices, text: str, k: int, key: str) -> list[tuple[list[int],
         # Only the best of the rest can still be among the k.
         room = k + 1 - len(done)
         cutoff = -heapq.nsmallest(room, heap)[-1][0] if len(heap) >= room else -math.inf
+        bar = above(g, cutoff)
         while w < len(parts):
-            steps = parts[w]
+            if not at and cutoff - logp > SURE:
+                # No other way from here on is among the k, and the best one does not depend on g.
+                ids, share = drawn(lat, words[w:], noise)
+                logp += share
+                link = (ids, link)
+                break
+            steps = parts[w] = parts[w] or lat.lattice(words[w])[0]
             end = len(steps)
             while at < end:
                 choices = steps[at]
@@ -157,14 +195,21 @@ def sample(lat: Lattices, text: str, k: int, key: str) -> list[tuple[list[int],
                     for i, d in enumerate(draws):
                         if i == pick:
                             continue
-                        # The value of the other prefix, given that the best one's is g.
                         gap = d - best
+                        # Below, v is greater than this: not among the k whatever its exact value.
+                        if gap < -0.7 and g - (logp + d) - 0.7 > bar:
+                            continue
+                        # The value of the other prefix, given that the best one's is g.
                         v = g - (logp + d) + (math.log1p(-math.exp(gap)) if gap < 0 else -math.inf)
                         other = g - max(v, 0.0) - math.log1p(math.exp(-abs(v))) if v != -math.inf else g
                         if other > cutoff:
                             j, ids, share = choices[i]
                             heapq.heappush(heap, (-other, order, w, j, logp + share, (ids, link)))
                             order += 1
+                            if len(heap) > 16 * k:  # a long text opens far more than can matter
+                                heap = heapq.nsmallest(k + 1, heap)
+                                cutoff = max(cutoff, -heap[-1][0])
+                                bar = above(g, cutoff)
                     at, ids, share = choices[pick]
                 logp += share
                 link = (ids, link)
@@ -190,40 +235,46 @@ def decode(lat: Lattices, ids: list[int]) -> str:
     return out.decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
 
 
-def segmentations(rows: DataFrame, key: Column, path: str, k: int = SAMPLES) -> DataFrame:
+def segmentations(rows: DataFrame, key: Column, path: str, k: int = SAMPLES, digest: bool = False) -> DataFrame:
     """One row per sample of rows(text, ...): their other columns, sample (from 1), ids,
-    log_prob, perturbed and inclusion. key names a row for its noise."""
+    log_prob, perturbed and inclusion. key names a row for its noise. A digest has n_pieces and
+    ids_crc32, as the last columns, for the ids."""
     keep = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    schema += ", sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
+    made = "log_prob double, perturbed double, inclusion double, n_pieces long, ids_crc32 long" if digest else "ids array<int>, log_prob double, perturbed double, inclusion double"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "sample int", made])
     names = [f.name for f in keep]
+    columns = ["sample", *(c.split()[0] for c in made.split(", "))]
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattices(path)
         for pdf in batches:
             keys = pdf["_key"].tolist()
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            at, out = [], []
+            at, out, held = [], [], 0
             for i, (text, name) in enumerate(zip(texts, keys, strict=True)):
-                for r, (ids, logp, g, inc) in enumerate(sample(lat, text, k, name or "")):
+                for r, (ids, *values) in enumerate(sample(lat, text, k, name or "")):
                     at.append(i)
-                    out.append((r + 1, ids, logp, g, inc))
-                if len(at) > 3000 or i + 1 == len(texts) and at:
-                    made = pdf[names].iloc[at].reset_index(drop=True)
-                    yield pd.concat([made, pd.DataFrame(out, columns=["sample", "ids", "log_prob", "perturbed", "inclusion"])], axis=1)
-                    at, out = [], []
+                    if digest:
+                        out.append((r + 1, *values, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())))
+                    else:
+                        out.append((r + 1, ids, *values))
+                        held += len(ids)
+                if len(at) > 3000 or held > HELD or i + 1 == len(texts) and at:
+                    rest = pdf[names].iloc[at].reset_index(drop=True)
+                    yield pd.concat([rest, pd.DataFrame(out, columns=columns)], axis=1)
+                    at, out, held = [], [], 0
 
-    return rows.withColumn("_key", key.cast("string")).mapInPandas(sampled, schema)
+    return rows.withColumn("_key", key.cast("string")).mapInPandas(trimmed(sampled), schema)
 
 
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every turn of `conversations`, as digests."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    made = segmentations(rows, F.concat_ws(":", "conv_id", "turn"), public_tokenizers.path(MODEL))
+    return segmentations(rows, F.concat_ws(":", "conv_id", "turn"), public_tokenizers.path(MODEL), digest=True)
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            crc = [zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in pdf["ids"]]
-            yield pdf.drop(columns=["ids"]).assign(n_pieces=[len(x) for x in pdf["ids"]], ids_crc32=crc)
 
-    return made.mapInPandas(digests, "conv_id long, turn long, sample int, log_prob double, perturbed double, inclusion double, n_pieces long, ids_crc32 long")
+def op9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every whole text of `documents`, as digests."""
+    rows = table(spark, sf_dir, "documents").select(known_id("doc_id").alias("doc_id"), "text")
+    made = segmentations(rows, F.col("doc_id"), public_tokenizers.path(MODEL), digest=True)
+    return made.withColumn("doc_id", null_id(F.col("doc_id")))

@@ -4,9 +4,10 @@ from collections import Counter
 import pytest
 import public_tokenizers
 
+from quillmill.llm import registry
 from quillmill.llm import segmentations as S
 
-from .helpers import awkward, docs
+from .helpers import awkward, docs, prose
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,15 @@ def test_table(spark, sf):
     path = public_tokenizers.path(S.MODEL)
     assert S.segmentations(docs(spark, []).select("doc_id", "text"), S.F.col("doc_id"), path).count() == 0
     assert S.segmentations(docs(spark, [None, "a"]).select("doc_id", "text"), S.F.col("doc_id"), path).where("doc_id = 0").count() == 1
+
+
+def test_query_reads_every_whole_document(spark, sf, tmp_path, lat):
+    long = prose(1, 20_000, 3000)
+    rows = docs(spark, [*awkward(), long, long]).withColumn("doc_id", S.F.when(S.F.col("doc_id") != 4, S.F.col("doc_id")))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["sample"]): r for r in registry.QUERIES["op9_segmentations"](spark, str(tmp_path)).collect()}
+    assert {i for i, _ in got} == {r["doc_id"] for r in rows.collect()}
+    for i in (13, 14):
+        for k, (ids, logp, _, _) in enumerate(S.sample(lat, long, S.SAMPLES, str(i))):
+            assert S.decode(lat, ids) == long
+            assert got[i, k + 1]["n_pieces"] == len(ids) and got[i, k + 1]["log_prob"] == pytest.approx(logp)
