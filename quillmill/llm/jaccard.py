@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, NO_ID, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, known_id, mix, null_id, packed, partitions, squeeze, squeeze_sorted, table, trimmed, trimmed_group, unpacked, utf8, word_hashes
+from .common import BASE, blocks, bloom_joins, bucket_of, components, cut, expand, expand_sorted, known_id, mix, null_id, packed, partitions, squeeze, squeeze_sorted, table, trimmed, trimmed_group, unpacked, utf8, word_hashes
 
 WORDS = 5
 #: The threshold as a fraction, so that comparisons stay in integers.
@@ -95,7 +95,7 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
     def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from uuid import uuid4
 
-        ids: list[int] = []
+        ids: list[list[int]] = []
         held: list[np.ndarray] = []
         total = 0
 
@@ -113,8 +113,8 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["range", "block", "a", "b", "c"])
 
         for pdf in batches:
-            for doc_id, s in zip(pdf["doc_id"].tolist(), sets(utf8(pdf["text"]), size), strict=True):
-                ids.append(doc_id)
+            for *own, s in zip(pdf["doc_id"].tolist(), pdf["row_key"].tolist(), sets(utf8(pdf["text"]), size), strict=True):
+                ids.append(own)
                 held.append(s)
                 total += len(s)
                 if total >= BLOCK_SHINGLES:
@@ -143,16 +143,16 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
     def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         whole = pdf[pdf["c"].notna()].iloc[0]
-        ids, n, mark = np.frombuffer(whole["a"], dtype=np.int64), np.frombuffer(whole["b"], dtype=np.uint32), np.frombuffer(whole["c"], dtype=np.int64)
+        ids, n, mark = np.frombuffer(whole["a"], dtype=np.int64).reshape(-1, 2), np.frombuffer(whole["b"], dtype=np.uint32), np.frombuffer(whole["c"], dtype=np.int64)
         common = np.zeros(len(ids), dtype=np.int64)
         for number, count in pdf.loc[pdf["c"].isna(), ["a", "b"]].itertuples(index=False):
             common[expand(number, np.uint32)] += expand(count, np.uint32)
-        return pd.DataFrame({"doc_id": ids, "n": n.astype(np.int64), "mark": mark, "common": common})
+        return pd.DataFrame({"doc_id": ids[:, 0], "row_key": ids[:, 1], "n": n.astype(np.int64), "mark": mark, "common": common})
 
-    shipped = docs.select("doc_id", "text").mapInPandas(trimmed(ship), "range int, block string, a binary, b binary, c binary")
+    shipped = docs.select("doc_id", "row_key", "text").mapInPandas(trimmed(ship), "range int, block string, a binary, b binary, c binary")
     # The documents' own rows are spread by block; a range's rows meet by range.
     replies = shipped.groupBy("range", F.when(F.col("range") < 0, F.col("block")).alias("own")).applyInPandas(trimmed_group(shared), "block string, a binary, b binary, c binary")
-    return replies.groupBy("block").applyInPandas(trimmed_group(summed), "doc_id long, n long, mark long, common long")
+    return replies.groupBy("block").applyInPandas(trimmed_group(summed), "doc_id long, row_key long, n long, mark long, common long")
 
 
 
@@ -316,14 +316,21 @@ def links(reps: DataFrame, above: int, of: int, parts: int, rounds: int = 2) ->
     return found
 
 
-def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
+def row_key() -> Column:
+    """Names a row by its id and its text: rows without an id, or of one id, may differ."""
+    return F.xxhash64(known_id("doc_id"), F.col("text"))
+
+
+def components_of(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS) -> DataFrame:
+    """doc_id, row_key, n and component (doc_id, row_key: its least) of every row of
+    docs(doc_id, text); NO_ID stands for null."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    docs = docs.select(known_id("doc_id").alias("doc_id"), "text")
+    docs = docs.select(known_id("doc_id").alias("doc_id"), row_key().alias("row_key"), "text")
     rows = cut(counted(docs, size, parts))
-    equal = rows.where("n > 0").groupBy("mark", "n").agg(F.min("doc_id").alias("id"), F.max("common").alias("common"))
-    equal = cut(equal)
+    own = F.struct("doc_id", "row_key")
+    equal = rows.where("n > 0").groupBy("mark", "n").agg(F.min(own).alias("least"), F.max("common").alias("common"))
+    equal = cut(equal.withColumn("id", F.col("least.row_key")))
     alive = equal.where(f"{of} * common >= {above} * n").select("id", "mark")
 
     def own_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,18 +343,28 @@ def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS
             yield pd.DataFrame({"id": pdf["id"][keep], "n": [len(s) for s in kept], "items": short, **{x: bits[:, i] for i, x in enumerate(BITMAP)}})
 
     with bloom_joins(spark):
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(alive, "id")
+        texts = docs.select(F.col("row_key").alias("id"), "text").join(alive, "id")
         reps = cut(texts.mapInPandas(trimmed(own_sets), "id long, n long, items binary, " + ", ".join(f"{x} long" for x in BITMAP)).dropDuplicates(["id"]))
     found = links(reps, above, of, parts)
-    named = rows.join(equal.select("mark", "n", "id"), ["mark", "n"], "left").join(found, "id", "left")
-    component = F.coalesce("component_id", "id", "doc_id")
-    return named.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(component).alias("component_id"))
+    together = equal.join(found, "id", "left").select("mark", "n", "least", F.coalesce("component_id", "id").alias("c"))
+    together = cut(together)
+    first = together.groupBy("c").agg(F.min("least").alias("component"))
+    named = rows.join(together.join(first, "c").select("mark", "n", "component"), ["mark", "n"], "left")
+    return named.select("doc_id", "row_key", "n", F.coalesce("component", own).alias("component"))
+
+
+def classes(docs: DataFrame, above: int = ABOVE, of: int = OF, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
+    named = components_of(docs, above, of, size)
+    return named.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.col("component.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component, its columns unchanged."""
-    kept = classes(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i")).distinct()
-    return unpacked(packed(docs, known_id("doc_id").alias("i")).join(kept, "i").dropDuplicates(["i"]), docs)
+    """The document with the least doc_id of each component, its columns unchanged. Rows are
+    told apart by id and text; those without words all stay."""
+    kept = components_of(docs.select("doc_id", "text")).where("row_key = component.row_key").select(F.col("row_key").alias("i"), (F.col("n") > 0).alias("worded")).distinct()
+    found = packed(docs, row_key().alias("i")).withColumn("at", F.monotonically_increasing_id()).join(kept, "i")
+    return unpacked(found.withColumn("at", F.when(~F.col("worded"), F.col("at"))).dropDuplicates(["i", "at"]), docs)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

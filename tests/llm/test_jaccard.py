@@ -67,3 +67,14 @@ def test_keep_one_and_empty(spark, texts):
 
 def test_boundary_balances_cost():
     assert jaccard.boundary(2.0, 75, 100) < jaccard.boundary(8.0, 75, 100)
+
+
+def test_rows_without_an_id_or_of_one_id_are_told_apart(spark):
+    a, b, c, d = (prose(k, 60, 5000) for k in (1, 2, 3, 4))
+    rows = [(7, a), (None, edited(a, 1, 1)), (None, b), (None, c), (8, d), (9, d), (9, prose(5, 60, 5000)), (None, ""), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.classes(frame).collect()
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["7", "None", "None", "None", "None"]
+    assert sorted(r["component_id"] for r in got if r["doc_id"] == 9) == [8, 9]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in jaccard.keep_one(frame).collect())
+    assert kept == sorted((str(i), t) for k, (i, t) in enumerate(rows) if k not in (1, 5))
