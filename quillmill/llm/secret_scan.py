@@ -38,6 +38,12 @@ class Rule:
 
 #: Fixed by contract, in the order in which kinds are listed.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+#: A private key through its END line, or without one to the end of its base64 lines.
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    "(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    "|(?:(?:\\s|\\\\[nr])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\\s|\\\\[nr])++[A-Za-z0-9+/]++={0,2}(?=\\s*(?:\n|$)))?)"
+)
 RULES = (
     Rule("assign", ASSIGN, 2, 6, True),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, True),
@@ -45,7 +51,7 @@ RULES = (
     Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("signed", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )
 

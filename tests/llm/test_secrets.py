@@ -57,3 +57,14 @@ def test_redaction_and_extra_kinds(spark):
     assert "ghp_" not in out[i + 3] and "<forge>" in out[i + 3] and "<pem>" in out[i + 3]
     assert out[0] is None and out[1] == ""
     assert secrets.redact(docs(spark, [])).count() == 0
+
+
+def test_a_private_key_goes_with_its_body(spark):
+    lines = ["MIIEpAIBAAKCAQEA1kZ" + "aB3+/xYz" * 5 + str(i) for i in range(300)]
+    body = "\n".join([*lines, "Qw=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n"
+    texts = [f"a {head}\n{body}\n{end} z", f"a {head}{info}\n{body}\n{end} z", f"a {head}\n{body}\nand more words", f"a {head}\n{body}", f"a {head} is a header"]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(5)] == ["a <pem> z", "a <pem> z", "a <pem>\nand more words", "a <pem>", "a <pem> is a header"]
+    assert secrets.derive(secrets.PEM) == secrets.derive("-----BEGIN [A-Z ]*PRIVATE KEY-----")
