@@ -1,9 +1,8 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Every vector is projected on many random directions; sorting a projection puts near vectors
-side by side. A query looks at the windows around itself in those projections where it stands
-in the upper tail, its TOP greatest ones: there the window, which reaches from the tail's
-threshold upwards, holds few vectors, and a near vector is likely to be among them. A pair's
+Every vector is projected on many random directions and filed under its TOP greatest ones.
+These lists replace windows on sorted projections: they need no global order, and near vectors
+are likely to share some. All members of a list collide, however far apart they stand. A pair's
 collisions are counted over all projections, and pairs with at least COLLISIONS are verified
 by their cosine in double precision. TOP and COLLISIONS are calibrated on pairs at the
 threshold itself: `expected_recall` gives the share that passes.
