@@ -157,11 +157,6 @@ def counted(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
 
 
-def prefix(items: np.ndarray, extra: int, above: int, of: int) -> np.ndarray:
-    """The first n - ceil(t n) + extra shingles in the order of their hashes."""
-    return items[: len(items) - needed(len(items), above, of) + extra]
-
-
 def pairs_of(p: np.ndarray) -> np.ndarray:
     x, y = np.triu_indices(len(p), 1)
     return mix(p[x] * np.uint64(BASE) + mix(p[y]))
@@ -178,72 +173,94 @@ def boundary(mean_list: float, above: int, of: int, most: int = 1000) -> int:
     return best
 
 
-def slack(n: int) -> int:
-    """f(n): lists that two linked heavy sets of at least n shingles share."""
-    return 1 + n // 4
-
-
 def lists(reps: DataFrame, above: int, of: int, parts: int) -> DataFrame:
-    """(key, id, n): whom reps(id, n, items) may link with, by equal key. Keys of one id are gone."""
+    """(key, id, n, pos): whom reps(id, n, items) may link with, by equal key; pos is the place
+    of the key, or of the later shingle of a pair, in the order from rare to frequent."""
     ranges = 4 * parts
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [prefix(expand_sorted(x), 1, above, of) for x in pdf["items"]]
-            yield pd.DataFrame({"key": np.concatenate(own).view(np.int64) if own else np.zeros(0, dtype=np.int64)})
+    def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from uuid import uuid4
 
-    read = reps.mapInPandas(trimmed(entries), "key long").agg(F.count("*").alias("k"), F.approx_count_distinct("key").alias("d")).first()
-    light = boundary(max(2.0, read["k"] / max(1, read["d"])), above, of)
-    reach = light * of // above
+        ids: list[tuple[int, int]] = []
+        held: list[np.ndarray] = []
+        total = 0
 
-    def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made, heavy, ids, counts = [], [], [], []
-            for i, items in zip(pdf["id"].tolist(), pdf["items"], strict=True):
-                s = expand_sorted(items)
-                n = len(s)
-                own = [pairs_of(prefix(s, 2, above, of))] if 1 < n <= reach else []
-                light_keys = len(own[0]) if own else 0
-                if n > light or n == 1:
-                    own.append(prefix(s, slack(n), above, of))
-                own = np.concatenate(own)
-                made.append(own)
-                heavy.append(np.arange(len(own)) >= light_keys)
-                ids.append((i, n))
-                counts.append(len(own))
-            if not made:
-                continue
-            every = np.concatenate(made)
-            i, n = (np.array(x, dtype=np.int64) for x in zip(*ids, strict=True))
+        def flush() -> pd.DataFrame:
+            block = uuid4().hex
+            which = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            every = np.concatenate(held)
             order = np.argsort(every, kind="stable")
-            which = (np.repeat(np.arange(len(ids), dtype=np.uint32), counts) * np.uint32(2) + np.concatenate(heavy))[order].astype(np.uint32)
-            every = every[order]
+            every, which = every[order], which[order]
             bounds = np.searchsorted(bucket_of(every, ranges), np.arange(ranges + 1))
-            rows = []
-            for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    used, local = np.unique(which[a:b], return_inverse=True)
-                    rows.append((r, squeeze_sorted(every[a:b]), squeeze(local.astype(np.uint32)), np.stack([i[used >> 1], n[used >> 1], used & 1]).astype("<i8").tobytes()))
-            yield pd.DataFrame(rows, columns=["range", "key", "which", "ids"])
-
-    def met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, info = [], []
-        for k, which, ids in pdf[["key", "which", "ids"]].itertuples(index=False):
-            keys.append(expand_sorted(k))
-            info.append(np.frombuffer(ids, dtype="<i8").reshape(3, -1)[:, expand(which, np.uint32)])
-        every, info = np.concatenate(keys), np.concatenate(info, axis=1)
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        size = np.repeat(np.diff(np.append(first, len(every))), np.diff(np.append(first, len(every))))
-        info = info[:, order[size > 1]]
-        return pd.DataFrame({"key": every[size > 1].view(np.int64), "id": info[0], "n": info[1], "heavy": info[2] > 0, "size": size[size > 1]})
-
-    shipped = reps.mapInPandas(trimmed(ship), "range int, key binary, which binary, ids binary")
-    found = shipped.groupBy("range").applyInPandas(trimmed_group(met), "key long, id long, n long, heavy boolean, size long")
-    rank = F.row_number().over(Window.partitionBy("id", "heavy").orderBy(F.desc("size"), "key"))
-    left = f"floor(ceil(n * {above} / {of}) / 4)"  # f(t n) - 1, for the least partner
-    return found.withColumn("rank", rank).where(f"not heavy or n = 1 or rank > {left}").select("key", "id", "n")
+            rows = [(r, block, squeeze_sorted(every[a:b]), squeeze(which[a:b])) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            rows.append((-1, block, np.array(ids, dtype="<i8").tobytes(), None))
+            return pd.DataFrame(rows, columns=["range", "block", "a", "b"])
+
+        for pdf in batches:
+            for i, items in zip(pdf["id"].tolist(), pdf["items"], strict=True):
+                held.append(expand_sorted(items))
+                ids.append((i, len(held[-1])))
+                total += len(held[-1])
+                if total >= BLOCK_SHINGLES:
+                    yield flush()
+                    ids, held, total = [], [], 0
+        if ids:
+            yield flush()
+
+    def frequent(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Entries whose shingle more than one set has, with the number of sets that have it."""
+        if key[0] < 0:
+            return pdf.assign(c=None, entries=0, keys=0)[["block", "a", "b", "c", "entries", "keys"]]
+        own = [expand_sorted(x) for x in pdf["a"]]
+        names, count = np.unique(np.concatenate(own), return_counts=True)
+        names, count = names[count > 1], count[count > 1]
+        rows = []
+        for block, entry, which in zip(pdf["block"], own, pdf["b"], strict=True):
+            if len(names):
+                at = np.minimum(np.searchsorted(names, entry), len(names) - 1)
+                hit = names[at] == entry
+                if hit.any():
+                    rows.append((block, squeeze_sorted(entry[hit]), squeeze(expand(which, np.uint32)[hit]), squeeze(count[at[hit]].astype(np.uint32)), int(hit.sum()), 0))
+        if rows:
+            rows[0] = (*rows[0][:5], len(names))
+        return pd.DataFrame(rows, columns=["block", "a", "b", "c", "entries", "keys"])
+
+    shipped = reps.mapInPandas(trimmed(ship), "range int, block string, a binary, b binary")
+    replies = cut(shipped.groupBy("range", F.when(F.col("range") < 0, F.col("block")).alias("own")).applyInPandas(trimmed_group(frequent), "block string, a binary, b binary, c binary, entries long, keys long"))
+    read = replies.agg(F.sum("entries").alias("k"), F.sum("keys").alias("d")).first()
+    light = boundary(max(2.0, (read["k"] or 0) / max(1, read["d"] or 0)), above, of)
+    reach = light * of // above
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n = np.frombuffer(pdf.loc[pdf["c"].isna(), "a"].iloc[0], dtype="<i8").reshape(-1, 2).T
+        met = pdf[pdf["c"].notna()]
+        columns = {"key": np.zeros(0, dtype=np.int64), "id": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64), "pos": np.zeros(0, dtype=np.int64)}
+        if not len(met):
+            return pd.DataFrame(columns)
+        key = np.concatenate([expand_sorted(x) for x in met["a"]])
+        doc = np.concatenate([expand(x, np.uint32) for x in met["b"]]).astype(np.int64)
+        count = np.concatenate([expand(x, np.uint32) for x in met["c"]])
+        order = np.lexsort((key, count, doc))
+        key, doc = key[order], doc[order]
+        shared = np.bincount(doc, minlength=len(n))
+        first = np.cumsum(shared) - shared
+        pos = n[doc] - shared[doc] + np.arange(len(doc)) - first[doc]  # shingles of one set alone come first
+        last = n - (n * above + of - 1) // of  # the first n - ceil(t n) + 1 shingles
+        keep = (pos <= last[doc]) & ((n[doc] > light) | (n[doc] == 1))
+        made = [(key[keep], ids[doc[keep]], n[doc[keep]], pos[keep])]
+        small = (n > 1) & (n <= reach)
+        take = small[doc] & (pos <= last[doc] + 1)
+        bounds = np.searchsorted(doc[take], np.arange(len(n) + 1))
+        few, where = key[take], pos[take]
+        for d in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            a, b = bounds[d], bounds[d + 1]
+            own = pairs_of(few[a:b])
+            made.append((own, np.full(len(own), ids[d]), np.full(len(own), n[d]), where[a:b][np.triu_indices(b - a, 1)[1]]))
+        key, i, size, pos = (np.concatenate(x) for x in zip(*made, strict=True))
+        return pd.DataFrame({"key": key.view(np.int64), "id": i, "n": size, "pos": pos})
+
+    found = replies.select("block", "a", "b", "c").groupBy("block").applyInPandas(trimmed_group(lambda key, pdf: chosen(pdf)), "key long, id long, n long, pos long")
+    return found
 
 
 def verified(pairs: DataFrame, reps: DataFrame, above: int, of: int) -> DataFrame:
@@ -265,8 +282,11 @@ def verified(pairs: DataFrame, reps: DataFrame, above: int, of: int) -> DataFram
     return whole.select("a", "b", "x", "y").mapInPandas(trimmed(enough), "u long, v long")
 
 
-def sizes_fit(above: int, of: int) -> str:
-    return f"{of} * least(na, nb) >= {above} * greatest(na, nb)"
+def may_fit(above: int, of: int) -> str:
+    """Whether sizes allow a link, and the shingles from the shared one on: a linked pair meets
+    this at the first key that both sets have. A pair key's earlier shingle adds one."""
+    most = "2 + least(na - pa - 1, nb - pb - 1)"
+    return f"{of} * least(na, nb) >= {above} * greatest(na, nb) and {of} * ({most}) >= {above} * (na + nb - ({most}))"
 
 
 def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -288,16 +308,16 @@ def links(reps: DataFrame, above: int, of: int, parts: int, rounds: int = 2) ->
     for k in range(rounds + 1):
         now = open_lists(with_component(rows, found))
         if k:  # closed lists stay closed
-            rows = cut(now.select("key", "id", "n"))
+            rows = cut(now.select("key", "id", "n", "pos"))
             now = with_component(rows, found)
         if k < rounds:  # each member against one leader of its list, another in each round
             # The member in the most long lists is nearest to the others; later rounds try any.
             central = -F.col("w") if k % 2 == 0 else F.lit(0.0)
-            order = F.struct(central.alias("w"), F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
+            order = F.struct(central.alias("w"), F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c", "pos")
             if k % 2 == 0:
                 now = now.join(now.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("w", F.sum(F.log("m") / F.col("n")).over(Window.partitionBy("id")))
-            lead = now.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"))
-            met = now.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).join(lead, "key").where(f"ca <> cb and {sizes_fit(above, of)}")
+            lead = now.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"), F.col("l.pos").alias("pa"))
+            met = now.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("pos").alias("pb")).join(lead, "key").where(f"ca <> cb and {may_fit(above, of)}")
             votes = met.groupBy("a", "b").count()
             pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         else:  # every pair left, with the members of a list's largest component met as a whole
@@ -305,10 +325,10 @@ def links(reps: DataFrame, above: int, of: int, parts: int, rounds: int = 2) ->
             # Parity bitmaps bound the difference of two sets from below: pairs beyond it never
             # leave the join, however many meet in a list.
             signed = now.join(reps.select("id", *BITMAP), "id").join(by, "key")
-            rest = signed.where("c <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(x).alias(f"{x}a") for x in BITMAP])
-            other = signed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main", *[F.col(x).alias(f"{x}b") for x in BITMAP])
+            rest = signed.where("c <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("pos").alias("pa"), *[F.col(x).alias(f"{x}a") for x in BITMAP])
+            other = signed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("pos").alias("pb"), "main", *[F.col(x).alias(f"{x}b") for x in BITMAP])
             apart = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BITMAP)
-            met = rest.join(other, "key").where(f"ca <> cb and (cb = main or a < b) and {sizes_fit(above, of)} and {above + of} * (na + nb - ({apart})) >= {2 * above} * (na + nb)")
+            met = rest.join(other, "key").where(f"ca <> cb and (cb = main or a < b) and {may_fit(above, of)} and {above + of} * (na + nb - ({apart})) >= {2 * above} * (na + nb)")
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = cut(verified(pairs, reps, above, of))
         edges = new if edges is None else edges.union(new)
