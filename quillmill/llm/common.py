@@ -3,11 +3,11 @@ byte hashing, compact blocks of sorted hashes, and connected components."""
 
 from __future__ import annotations
 
-import gc
-import time
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pandas as pd
@@ -61,45 +61,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set for tests only where the cluster names none."""
+    """The folder that all executors share. Where the session names none, a run on one machine
+    gets a temporary one; on a cluster that would lose data, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        option = jsc.getCheckpointDir()
+        option = spark.sparkContext._jsc.sc().getCheckpointDir()
         if option.isDefined():
             return option.get()
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/quillmill-checkpoint"
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that nobody holds any more."""
-    for _ in range(2):  # the first pass only drops Python's own references
-        gc.collect()
-        time.sleep(0.1)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: later stages
-    start from files that outlive any executor."""
-    spark = df.sparkSession
-    release(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/quillmill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def folder(spark: SparkSession, name: str = "quillmill") -> str:
+    """A new path under the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 @contextmanager
-def bloom_joins(spark: SparkSession) -> Iterator[None]:
-    """Let Spark drop rows that cannot join before it shuffles a scanned table: its own
-    Bloom filters, of bounded size, also on tables under its usual threshold."""
-    changed = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+def settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in changed}
     try:
         for k, v in changed.items():
@@ -110,6 +96,27 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def tidy(spark: SparkSession) -> AbstractContextManager:
+    """Queries made and run within remove their shuffle files when they end."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: later stages
+    start from files that outlive any executor."""
+    spark = df.sparkSession
+    path = folder(spark)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bloom_joins(spark: SparkSession) -> AbstractContextManager:
+    """Let Spark drop rows that cannot join before it shuffles a scanned table: its own
+    Bloom filters, of bounded size, also on tables under its usual threshold."""
+    return settings(spark, {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"})
+
+
 def give_back() -> None:
     """Hand memory that is done with back to the system: workers stay for later stages, and
     what they once held would count against the executor."""

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, null_id, partitions, release, squeeze, squeeze_sorted, table, trimmed, trimmed_group, utf8, word_hashes
+from .common import BASE, blocks, bucket_of, cut, expand, expand_sorted, known_id, mix, null_id, partitions, squeeze, squeeze_sorted, table, tidy, trimmed, trimmed_group, utf8, word_hashes
 
 BLOCK_TOKENS = 700_000
 #: Hash values of the end token and of the mark before a text; no word is looked up by them.
@@ -158,7 +158,6 @@ def score(docs: DataFrame) -> DataFrame:
     sent = shipped(docs.select(known_id("doc_id").alias("doc_id"), "text", "train"), ranges)
     own = F.when(F.col("kind") == "block", F.col("block"))
     back = cut(sent.groupBy("kind", "range", own.alias("own")).applyInPandas(trimmed_group(totals), schema))
-    release(spark)
     sums = back.where("kind = 'sum'").select("a", "b").toPandas()  # a row a range
     vocabulary = sum(int.from_bytes(x, "little") for x in sums["a"])
     n = sum(int.from_bytes(x, "little") for x in sums["b"])
@@ -175,9 +174,9 @@ def score(docs: DataFrame) -> DataFrame:
         total = lambda x: np.bincount(at, weights=x, minlength=len(found))
         return pd.DataFrame({"code": found, "n": total(np.ones(len(at))), "two": total(two), "one": total(one)})
 
-    cells = open_blocks.applyInPandas(held_out, "code long, n double, two double, one double")
-    cells = cells.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()  # at most BUCKETS * CELLS**2 rows
-    release(spark)
+    with tidy(spark):
+        cells = open_blocks.applyInPandas(held_out, "code long, n double, two double, one double")
+        cells = cells.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()  # at most BUCKETS * CELLS**2 rows
     weights = fit(cells.sort_values("code").assign(bucket=lambda x: x["code"] // CELLS**2), vocabulary)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:

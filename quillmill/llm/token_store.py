@@ -17,7 +17,6 @@ an empty table gives an empty store."""
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, known_id, null_id, partitions, shared_dir, table, trimmed
+from .common import BASE, folder, known_id, null_id, partitions, table, trimmed
 from .encoding import encoded
 
 #: Ids under the rolling window, the mean length of a chunk, and its bounds.
@@ -245,6 +244,6 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    root = folder(spark, "store")
     write(table(spark, sf_dir, "documents"), root, public_tokenizers.path(VOCABULARY))
     return read(spark, root)
