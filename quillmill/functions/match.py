@@ -5,6 +5,7 @@ pass of a shared automaton in an Arrow function takes its place, with the same r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -51,16 +52,19 @@ def automaton_hits(text: Column, words: list[str]) -> Column:
     order = {w: i for i, w in enumerate(words)}
 
     @F.pandas_udf("array<string>")
-    def found(s: pd.Series) -> pd.Series:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
             import ahocorasick
         except ImportError:
-            return s.map(lambda t: [w for w in words if w in (t or "")])
+            for s in batches:
+                yield s.map(lambda t: [w for w in words if w in (t or "")])
+            return
         machine = ahocorasick.Automaton()
         for w in words:
             machine.add_word(w, w)
         machine.make_automaton()
-        return s.map(lambda t: sorted({w for _, w in machine.iter(t or "")}, key=order.__getitem__))
+        for s in batches:
+            yield s.map(lambda t: sorted({w for _, w in machine.iter(t or "")}, key=order.__getitem__))
 
     return found(text)
 
@@ -137,19 +141,23 @@ def longest_only(found: Column) -> Column:
     return F.filter(found, lambda x: ~F.exists(found, lambda y: (x != y) & F.contains(y, x)))
 
 
-def in_context(text: Column, title: str, context: list[str], reach: int = 24) -> Column:
-    """Whether a context word ends within reach characters before an occurrence of title."""
-    fits = [k for k in context if len(k) <= reach]
-    if not fits:
+def in_context(text: Column, title: str | Column, context: list[str], reach: int = 24) -> Column:
+    """Whether a context word ends within reach characters before an occurrence of title;
+    without context words or reach every occurrence counts."""
+    if not context or reach <= 0:
+        return F.lit(True)
+    before = "|".join(f"\\Q{k}\\E.{{0,{reach - len(k)}}}" for k in context if len(k) <= reach)
+    if not before:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [text.rlike(f"(?s)\\Q{k}\\E.{{0,{reach - len(k)}}}\\Q{title}\\E") for k in fits])
+    title = F.lit(title) if isinstance(title, str) else title
+    return F.regexp_like(text, F.concat(F.lit(f"(?s)(?:{before})\\Q"), title, F.lit("\\E")))
 
 
 #: Ways in which a problem's number is written.
 ID_PATTERNS = (
     r"(?:第\s*|题号\s*[:：]?\s*)(\d{1,4})\s*题?",
     r"(?<!\d)(\d{1,4})\s*题(?!\d)",
-    r"(?:算法题|leetcode题|力扣题)\s*[:：]?\s*(\d{1,4})(?=\s|$|[\.．、\)\]|\[，。；;,:：!！?？#])",
+    r"(?:算法题|leetcode题|力扣题)\s*[:：]?\s*(\d{1,4})(?=\s|$|[\.．、\)]|[，。；;,:：!！?？#])",
     r"(?:lc|leetcode|力扣)\s*[-#：: ]\s*(\d{1,4})",
 )
 

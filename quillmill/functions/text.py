@@ -234,12 +234,6 @@ def unique_strings(c: Column, min_len: int = 1) -> Column:
     return F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(strip(x))), lambda x: F.length(x) >= min_len))
 
 
-def pattern_tokens(c: Column) -> Column:
-    """A pattern text as its tokens."""
-    parts = F.transform(F.split(or_empty(c), r"(?U)[\s,，;；、|/]+"), lambda x: trim_chars(x, "[]【】()（）\"'“”‘’"))
-    return F.filter(parts, lambda x: F.length(x) > 0)
-
-
 def page_text(c: Column, mark: str) -> Column:
     """Text of the first element that mark (a pattern up to its tag's end) opens."""
     return F.regexp_extract(or_empty(c), rf"(?is){mark}[^>]*>(.*?)</", 1)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,81 +37,52 @@ def unite(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def join_two(a: dict, b: dict) -> dict:
-    """The more frequent of two entries (the first at a tie), its gaps filled from the other."""
-    best, other = (a, b) if a["frequency"] >= b["frequency"] else (b, a)
-    out = dict(best)
-    for name in ("id", "frontend_id", "difficulty", "last_date", "url"):
-        if not out[name]:
-            out[name] = other[name]
-    names = [best["source"]]
-    if other["source"] and other["source"] not in best["source"]:
-        names.append(other["source"])
-    out["source"] = ",".join(n for n in names if n)
-    return out
+GAPS = ("id", "frontend_id", "difficulty", "last_date", "url")
 
 
-def merged(rows: list[dict]) -> list[dict]:
-    """Entries joined by number or title, in order of arrival."""
-    kept: dict[tuple, dict] = {}
-    by_title: dict[str, tuple] = {}
-    for row in rows:
-        key_title = "".join(row["title"].lower().split())
-        if not key_title:
-            continue
-        own = ("id", row["id"]) if row["id"] else None
-        named, plain = by_title.get(key_title), ("title", key_title)
-        key = own if own in kept else named if named in kept else plain if plain in kept else own or plain
-        if own and key[0] == "title" and key in kept:  # the number is known now
-            kept[own] = kept.pop(key)
-            by_title.update({t: own for t, k in by_title.items() if k == key})
-            key = own
-        kept[key] = join_two(kept[key], row) if key in kept else dict(row)
-        if key[0] == "id" and plain in kept:
-            kept[key] = join_two(kept[key], kept.pop(plain))
-        by_title[key_title] = key
-        by_title["".join(kept[key]["title"].lower().split())] = key
-    return list(kept.values())
+def gathered(found: DataFrame, *key: str, gaps: tuple[str, ...] = GAPS) -> DataFrame:
+    """One entry a key: the most frequent row (the first at a tie), its gaps filled.
 
+    A row that is more frequent than all before it takes the lead and is filled from what the
+    leaders before it left; any other row fills what is still empty when it arrives. So a gap
+    takes the value of the latest leader that has one, else of the first other row that has."""
+    before = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    leads = F.col("frequency") > F.coalesce(F.max("frequency").over(before), F.lit(-1))
+    rows = found.withColumn("_o", F.struct(~leads, F.when(leads, -F.col("seq")).otherwise(F.col("seq"))))
+    filled = lambda c: F.length(F.col(c).cast("string")) > 0
+    first = [F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col("_o"))).alias(c) for c in gaps]
+    whole = [F.min_by(c, "_o").alias(c) for c in ("seq", "title", "frequency", *(g for g in GAPS if g not in gaps))]
+    named = F.array_sort(F.collect_list(F.when(filled("source"), F.struct("_o", "source"))))
+    return rows.groupBy(*key).agg(*first, *whole, F.array_distinct(F.transform(named, lambda x: x["source"])).alias("_sources"))
 
-def merge(found: DataFrame) -> DataFrame:
-    """Entries joined wherever they share a number or a title, most frequent first.
 
-    Each group of entries that numbers and titles connect is folded in order of arrival;
-    groups come from label spreading over the two keys."""
-    rows = found.withColumn("_t", text.title_key(F.col("title"))).withColumn("_g", F.col("seq"))
+def groups(found: DataFrame) -> DataFrame:
+    """found with `_t` (title key) and `_g`: the least title key that a chain of shared titles
+    and numbers leads to. Rows without a number take no part in the second kind of step."""
+    rows = found.withColumn("_t", text.title_key(F.col("title"))).where("_t <> ''")
+    pairs = rows.where("id is not null").select("id", "_t").distinct()
+    # Only numbers that stand under several titles connect anything.
+    shared = pairs.groupBy("id").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo <> hi").select("id")
+    pairs = pairs.join(shared, "id").persist()
+    label = pairs.select("_t", F.col("_t").alias("_g")).distinct().persist()
     while True:
-        by_title = F.min("_g").over(Window.partitionBy("_t"))
-        step = rows.withColumn("_a", by_title)
-        step = step.withColumn("_n", F.when(F.col("id").isNull(), F.col("_a")).otherwise(F.min("_a").over(Window.partitionBy("id"))))
-        step = step.select(*rows.columns, "_n").persist()
-        changed = step.where("_n < _g").limit(1).count()
-        rows = step.withColumn("_g", F.col("_n")).drop("_n")
+        least = pairs.join(label, "_t").groupBy("id").agg(F.min("_g").alias("_m"))
+        new = pairs.join(least, "id").groupBy("_t").agg(F.min("_m").alias("_n"))
+        step = label.join(new, "_t").select("_t", F.least("_g", "_n").alias("_g"), (F.col("_n") < F.col("_g")).alias("moved")).persist()
+        changed = step.where("moved").limit(1).count()
+        label.unpersist()
+        label = step.drop("moved")
         if not changed:
-            break
-    names = [x.split()[0] for x in ENTRY.split(", ")]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = None, []
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame(merged(held), columns=names).astype({"id": "Int32", "frequency": "int32"})
-
-        for pdf in batches:
-            ids = pdf["id"].tolist()
-            pdf = pdf.assign(id=[None if pd.isna(x) else int(x) for x in ids]).astype({"id": object})
-            for row in pdf.to_dict("records"):
-                if row["_g"] != group and held:
-                    yield done()
-                    held = []
-                group = row["_g"]
-                held.append({k: row[k] for k in names} | {"id": None if pd.isna(row["id"]) else int(row["id"])})
-        if held:
-            yield done()
-
-    out = rows.select(*names, "_g").repartition("_g").sortWithinPartitions("_g", "seq").mapInPandas(fold, ENTRY)
+            return rows.join(label, "_t", "left").withColumn("_g", F.coalesce("_g", "_t"))
+
+
+def merge(found: DataFrame) -> DataFrame:
+    """Entries joined wherever a number or a title connects them, most frequent first."""
+    out = gathered(groups(found), "_g").withColumn("source", F.array_join("_sources", ","))
     url = F.when(F.length("url") > 0, F.col("url")).otherwise(text.search_url(F.col("title")))
-    return out.withColumn("url", url).orderBy(F.desc("frequency"), "title")
+    none = F.lit("")
+    out = out.withColumns({"url": url, **{c: F.coalesce(c, none) for c in ("frontend_id", "difficulty", "last_date")}})
+    return out.select([c.split()[0] for c in ENTRY.split(", ")]).orderBy(F.desc("frequency"), "title")
 
 
 def slim(found: DataFrame) -> DataFrame:
@@ -140,10 +108,10 @@ def hot_scores(found: DataFrame) -> DataFrame:
 
 
 def keep_best(found: DataFrame, key: Column) -> DataFrame:
-    """For each key the most frequent entry (the first at a tie), gaps filled from the others."""
-    order = F.struct(F.col("frequency"), -F.col("seq"))
-    fill = [F.max_by(F.when(F.length(F.col(c).cast("string")) > 0, F.col(c)), F.when(F.length(F.col(c).cast("string")) > 0, order)).alias(c) for c in ("id", "frontend_id", "difficulty", "last_date", "url", "source")]
-    return found.groupBy(key.alias("key")).agg(F.max_by("title", order).alias("title"), F.max("frequency").alias("frequency"), *fill)
+    """For each key the most frequent entry (the first at a tie), its gaps but the number filled
+    from the others."""
+    out = gathered(found.withColumn("key", key), "key", gaps=GAPS[1:])
+    return out.withColumn("source", F.element_at("_sources", 1)).drop("_sources", "seq")
 
 
 def match_details(posts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -159,16 +127,17 @@ def match_details(posts: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def annotations(matches: Column, most: int = 20) -> Column:
-    """Lines "id. title | 频度:f | 难度:d | 链接:u" of the first matches, empty parts left out."""
+    """Lines "id. title | 频度:f | 难度:d | 链接:u" of the first matches, empty parts and entries
+    without a title left out."""
 
     def line(m: Column) -> Column:
         number = F.coalesce(F.nullif(m["id"].cast("string"), F.lit("")), F.nullif(m["frontend_id"], F.lit("")))
-        title = F.coalesce(m["title"], F.lit(""))
-        head = F.when(number.isNotNull() & (F.length(title) > 0), F.concat(number, F.lit(". "), title)).when(number.isNotNull(), number).otherwise(title)
+        title = text.strip(F.coalesce(m["title"], F.lit("")))
+        head = F.when(number.isNotNull(), F.concat(number, F.lit(". "), title)).otherwise(title)
         part = lambda label, c: F.when(F.length(c.cast("string")) > 0, F.concat(F.lit(label), c.cast("string")))
-        return F.concat_ws(" | ", head, part("频度:", F.when(m["frequency"] > 0, m["frequency"])), part("难度:", m["difficulty"]), part("链接:", m["url"]))
+        return F.when(F.length(title) > 0, F.concat_ws(" | ", head, part("频度:", F.when(m["frequency"] > 0, m["frequency"])), part("难度:", m["difficulty"]), part("链接:", m["url"])))
 
-    return F.array_join(F.filter(F.transform(F.slice(matches, 1, most), line), lambda x: F.length(x) > 0), "\n")
+    return F.array_join(F.array_compact(F.transform(F.slice(matches, 1, most), line)), "\n")
 
 
 def outline_text(items: Column, most: int = 30) -> Column:

@@ -159,8 +159,37 @@ class Library:
                 self.hot_titles[word] = max(self.hot_titles.get(word, 0), score(f))
             if h.get("id"):
                 self.hot_ids[int(h["id"])] = max(self.hot_ids.get(int(h["id"]), 0), score(f))
-        self.titles = list(dict.fromkeys([*match.patterns(list(titles), rules, 2), *self.hot_titles]))
-        self.ids = sorted({int(i) for i in ids if 1 <= int(i) <= 9999} | set(self.hot_ids))
+        self.titles = match.patterns(list(titles), rules, 2)
+        #: Titles by their form without punctuation and spaces, the first of each.
+        table = {ord(c): None for c in rules.strip_chars}
+        self.compacted: dict[str, str] = {}
+        for t in self.titles:
+            if len(short := t.translate(table)) >= 2:
+                self.compacted.setdefault(short, t)
+        self.ids = sorted({int(i) for i in ids if 1 <= int(i) <= 9999})
+
+
+def named(text: Column, found: Column, context: list[str]) -> Column:
+    """Found titles that stand in their context, without those that lie in another such one."""
+    return F.array_sort(match.longest_only(F.filter(found, lambda w: match.in_context(text, w, context))))
+
+
+def algorithm_signal(title: Column, content: Column, raw: Column, q: Quality = Quality(), rules: Rules = Rules(), library: Library | None = None) -> Column:
+    """Struct of the problem titles, numbers and hot titles that a post names and of the score.
+    title and content are in normal form; numbers are read from raw, as written."""
+    library = library or Library([])
+    both = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(content, F.lit("")))
+    context = match.patterns(q.alg_context, rules)
+    problems, hot = match.hits(both, library.titles), match.hits(both, list(library.hot_titles))
+    if library.compacted:
+        table = F.create_map(*[F.lit(x) for pair in library.compacted.items() for x in pair])
+        short = match.hits(match.compact(both, rules.strip_chars), list(library.compacted))
+        problems = F.array_union(problems, F.transform(short, lambda x: F.element_at(table, x)))
+    problems, hot = named(both, problems, context), named(both, hot, context)
+    ids = match.problem_ids(raw, F.array(*[F.lit(i) for i in library.ids])) if library.ids else F.array().cast("array<int>")
+    size = lambda words: F.size(match.hits(both, match.patterns(words, rules)))
+    score = algorithm_score(size(q.alg_markers), size(q.alg_topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, library.hot_ids), q)
+    return F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), score.cast("int").alias("score"))
 
 
 def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), library: Library | None = None) -> DataFrame:
@@ -175,21 +204,13 @@ def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), l
     must, combine = match.patterns(rules.must, rules), match.patterns(rules.combine, rules)
     direct = F.size(match.word_hits(c, must, rules))
     content_hits = F.when(direct > 0, direct).otherwise(F.size(match.combine_hits(c, combine, rules.strip_chars)))
-    both = F.concat_ws("\n", t, c)
-    context = match.patterns(q.alg_context, rules)
-    found = match.longest_only(match.hits(both, library.titles))
-    if library.titles:
-        named = F.array_compact(F.array(*[F.when(F.array_contains(found, w) & match.in_context(both, w, context), F.lit(w)) for w in library.titles]))
-    else:
-        named = match.array([])
-    ids = match.problem_ids(both, F.array(*[F.lit(i) for i in library.ids]) if library.ids else F.array().cast("array<int>"))
-    alg = algorithm_score(F.size(match.hits(both, match.patterns(q.alg_markers, rules))), F.size(match.hits(both, match.patterns(q.alg_topics, rules))), F.size(named), F.size(ids), hot_sum(named, library.hot_titles), hot_sum(ids, library.hot_ids), q)
+    base = base.withColumn("_found", algorithm_signal(t, c, F.concat_ws("\n", F.col("title"), F.col("_raw")), q, rules, library))
     all_tags = F.array_distinct(F.concat(text.tags(F.coalesce(tags, F.array().cast("array<string>"))), text.tail_hashtags(F.col("_tail"))))
     ads = numbered_ads(F.col("_raw"), q, rules)
     points = F.size("_items")
     parts = base.withColumns({
         "_title": title_score(F.size(match.word_hits(t, must, rules)), q), "_content": content_score(content_hits, q), "_key": keyword_score(t, c, q, rules),
-        "_alg": alg, "_tags": all_tags, "_promo": promotion_hits(t, c, q, rules), "_ads": ads,
+        "_alg": F.col("_found.score"), "_tags": all_tags, "_promo": promotion_hits(t, c, q, rules), "_ads": ads,
         "_structure": structure_score(points, chars, q) if q.structure_enabled else text.length_score(chars, q.length_weight),
     })
     parts = parts.withColumn("_drain", tail_penalty(F.col("_tags"), q)).withColumn("_signal", F.col("_title") + F.col("_content") + F.col("_key") + F.col("_alg"))
@@ -197,5 +218,5 @@ def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), l
     parts = parts.withColumn("_match", match_score(F.col("_signal"), chars, tail_ratio(F.col("_drain"), q), q))
     raw = F.col("_structure") + F.col("_match") - F.when(promo, q.promo_penalty).otherwise(0) - F.when(ad, q.ad_penalty).otherwise(0)
     score = F.least(F.greatest(raw, F.lit(0)), F.lit(100))
-    breakdown = F.struct(*[F.col(f"_{k}").alias(f"{k}_score") for k in ("title", "content", "key", "alg", "signal", "structure", "match")], F.col("_drain").alias("tail_penalty"), F.col("_promo").alias("promo_hits"), F.col("_ads").alias("numbered_ads"), promo.alias("promo_blocked"), chars.alias("content_chars"), F.col("_tags").alias("tail_tags"))
+    breakdown = F.struct(*[F.col(f"_{k}").alias(f"{k}_score") for k in ("title", "content", "key", "alg", "signal", "structure", "match")], F.col("_drain").alias("tail_penalty"), F.col("_promo").alias("promo_hits"), F.col("_ads").alias("numbered_ads"), promo.alias("promo_blocked"), chars.alias("content_chars"), F.col("_tags").alias("tail_tags"), F.col("_found").alias("algorithm"))
     return parts.select(*[F.col(f"`{x}`") for x in posts.columns], score.alias("quality_score"), ((score >= q.threshold) & ~promo & ~ad).alias("passed"), F.col("_items").alias("question_outline"), points.alias("question_outline_count"), breakdown.alias("breakdown"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -448,33 +449,33 @@ def plausible_name(spark, sf):
     return names.select("name", entity.plausible_name(F.col("name")).alias("plausible"), entity.looks_like_token(F.col("name")).alias("token"))
 
 
-def suggestions(spark, sf) -> DataFrame:
+def suggestions(spark, sf, size: int) -> DataFrame:
+    """Lookups of size documents each, as many as the table gives."""
     d = table(spark, sf, "documents")
-    rows = d.groupBy((F.col("doc_id") % 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")))).alias("x"))
+    rows = d.groupBy(F.floor(F.col("doc_id") / size).alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")))).alias("x"))
     return rows.select("g", F.transform("x", lambda x: x["t"]).alias("arr"))
 
 
-VERDICT = """g as (select doc_id % 50 as g, list({'i': doc_id, 't': text} order by doc_id) as x from documents group by 1),
+VERDICT = """g as (select doc_id // 10 as g, list({'i': doc_id, 't': text} order by doc_id) as x from documents group by 1),
 s as (select g, [trim(y.t) for y in list_slice(x, 1, 10) if trim(y.t) <> ''] as s from g)"""
 
 
 @query("suggestion_verdict", f"with {VERDICT} select g, len([x for x in s if contains(lower(x), 'the')]) >= 2 and len([x for x in s if starts_with(lower(x), 'the')]) >= 1 as is_company from s")
 def suggestion_verdict(spark, sf):
-    return suggestions(spark, sf).select("g", entity.verdict(F.lit("the"), F.col("arr")).alias("is_company"))
+    return suggestions(spark, sf, 10).select("g", entity.verdict(F.lit("the"), F.col("arr")).alias("is_company"))
 
 
 OWNERS = [("of", "Alpha"), ("the", "Beta"), ("in", "Gamma"), ("de", "Delta")]
 
 
-@query("owner_inference", """with g as (select doc_id % 50 as g, doc_id, text from documents), r as (select *, row_number() over (partition by g order by doc_id) as rn from g),
+@query("owner_inference", """with g as (select doc_id // 12 as g, doc_id, text from documents), r as (select *, row_number() over (partition by g order by doc_id) as rn from g),
 w as (select g, doc_id, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') as t from r where rn <= 12),
 a as (select * from (values ('of', 'Alpha'), ('the', 'Beta'), ('in', 'Gamma'), ('de', 'Delta')) v(alias, company)),
 sc as (select g, company, sum(2 + case when contains(' ' || t || ' ', ' and ') then 1 else 0 end) as score from w join a on contains(' ' || t || ' ', ' ' || alias || ' ') group by g, company),
 b as (select *, row_number() over (partition by g order by score desc, company) as rn from sc)
 select g, company, cast(score as bigint) as score from b where rn = 1 and score >= 4""")
 def owner_inference(spark, sf):
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("g"), "doc_id", "text")
-    arr = d.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("arr"))
+    arr = suggestions(spark, sf, 12)
     entries = spark.createDataFrame([(a, c, "alias_map", 110, i) for i, (a, c) in enumerate(OWNERS)], "alias string, company string, source string, weight int, rule int")
     lookups = arr.select(F.lit("and").alias("token"), "arr", "g")
     return entity.infer_owner(lookups, entries, {}, key="g").select("g", "company", F.col("score").cast("long").alias("score"))
@@ -505,11 +506,15 @@ def hot_freq_score(spark, sf):
     return knowledge.hot_scores(hot(spark, sf)).select("title", F.col("frequency").cast("long").alias("frequency"), F.col("score").cast("long").alias("score"))
 
 
-@query("keep_best", "with k as (select *, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rn from part) select lower(p_brand) as brand, p_name as title, cast(p_size as bigint) as frequency from k where rn = 1")
+@query("keep_best", """with b as (select lower(p_brand) as brand, p_partkey as seq, p_name as title, p_size as frequency, case when p_partkey % 3 = 0 then p_type end as url, case when p_partkey % 5 = 1 then p_name end as difficulty from part),
+r as (select *, frequency > coalesce(max(frequency) over (partition by brand order by seq rows between unbounded preceding and 1 preceding), -1) as leads from b),
+o as (select *, row_number() over (partition by brand order by leads desc, case when leads then -seq else seq end) as n from r)
+select brand, arg_min(title, n) as title, cast(max(frequency) as bigint) as frequency, arg_min(seq, n) as id, arg_min(url, n) filter (where url is not null) as url, arg_min(difficulty, n) filter (where difficulty is not null) as difficulty from o group by brand""")
 def keep_best(spark, sf):
     p = table(spark, sf, "part")
-    rows = p.select(F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("int").alias("id"), F.lit("").alias("frontend_id"), F.col("p_name").alias("title"), F.lit("").alias("difficulty"), F.lit("").alias("last_date"), F.col("p_size").alias("frequency"), F.lit("").alias("url"), F.lit("a").alias("source"), "p_brand")
-    return knowledge.keep_best(rows, F.lower("p_brand")).select(F.col("key").alias("brand"), "title", F.col("frequency").cast("long").alias("frequency"))
+    some = lambda c, by, left: F.when(F.col("p_partkey") % by == left, F.col(c)).otherwise("")
+    rows = p.select(F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("int").alias("id"), F.lit("").alias("frontend_id"), F.col("p_name").alias("title"), some("p_name", 5, 1).alias("difficulty"), F.lit("").alias("last_date"), F.col("p_size").alias("frequency"), some("p_type", 3, 0).alias("url"), F.lit("a").alias("source"), "p_brand")
+    return knowledge.keep_best(rows, F.lower("p_brand")).select(F.col("key").alias("brand"), "title", F.col("frequency").cast("long").alias("frequency"), F.col("id").cast("long").alias("id"), "url", "difficulty")
 
 
 @query("hot_match_details", """with h as (select p_partkey as id, concat_ws(' ', p_name, p_type, p_brand) as title, regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand)), '\\s+', '', 'g') as k, p_size as frequency from part),
@@ -537,6 +542,35 @@ def title_in_context(spark, sf):
     return normal(posts(spark, sf)).select(F.col("seq").alias("doc_id"), match.in_context(F.col("c"), "tion", ["of", "and"]).alias("near"))
 
 
+CONTEXT = ("of", "and")
+HOT = {"thing": 40, "ation": 9, "ther": 2}
+BEFORE = "(?s)(of.{0,22}|and.{0,21})"
+GATED = {k: f"[x for x in [" + ", ".join(f"case when regexp_matches(b, '{BEFORE}{w}') then '{w}' end" for w in words) + "] if x is not null]" for k, words in (("p", TITLES), ("h", HOT))}
+LIBRARY = quality.Library([{"title": t, "frequency": f} for t, f in HOT.items()], TITLES, rules=RULES)
+
+
+def longest_sql(c: str) -> str:
+    return f"list_sort([x for x in {c} if len([y for y in {c} if y <> x and contains(y, x)]) = 0])"
+
+
+def capped(n: str, rule: tuple[int, int]) -> str:
+    return f"least({n} * {rule[0]}, {rule[1]})"
+
+
+HOT_SQL = " + ".join(f"case when list_contains(h, '{t}') then {v} else 0 end" for t, v in LIBRARY.hot_titles.items())
+SIGNAL = f"least({capped('m', Q.alg_marker)} + {capped('len(p)', Q.alg_problem)} + least(least({HOT_SQL}, {Q.hot_title_cap}), {Q.hot_total_cap}), {Q.alg_total_cap})"
+
+
+@query("algorithm_signal", f"""with {POSTS}, b as (select seq, concat_ws(chr(10), nullif(t, ''), nullif(c, '')) as b from n),
+g as (select seq, {GATED['p']} as gp, {GATED['h']} as gh, len({list_sql('b', Q.alg_markers)}) as m from b), l as (select seq, m, {longest_sql('gp')} as p, {longest_sql('gh')} as h from g)
+select seq as doc_id, array_to_string(p, ',') as titles, array_to_string(h, ',') as hot_titles, cast({SIGNAL} as bigint) as score from l""")
+def algorithm_signal(spark, sf):
+    q = replace(Q, alg_context=CONTEXT, alg_topics=())
+    n = normal(posts(spark, sf))
+    found = quality.algorithm_signal(F.col("t"), F.col("c"), F.concat_ws("\n", "title", "content"), q, RULES, LIBRARY)
+    return n.select(F.col("seq").alias("doc_id"), found.alias("x")).select("doc_id", F.array_join("x.titles", ",").alias("titles"), F.array_join("x.hot_titles", ",").alias("hot_titles"), F.col("x.score").cast("long").alias("score"))
+
+
 def two_sources(spark, sf) -> DataFrame:
     """Every part by number and title, and again by title only, in capitals."""
     p = table(spark, sf, "part")
@@ -545,10 +579,21 @@ def two_sources(spark, sf) -> DataFrame:
     return knowledge.entries(knowledge.unite(a, b))
 
 
-@query("kb_merge")
+GATHERED = f"""e as (select p_partkey as seq, case when p_partkey between 1 and 9999 then p_partkey end as id, {FULL} as title, greatest(p_size, 1) as frequency, 'a' as source from part
+union all select p_partkey + 1099511627776, null, upper({FULL}), 7, 'b' from part),
+k as (select *, regexp_replace(lower(title), '\\s+', '', 'g') as key from e),
+r as (select *, frequency > coalesce(max(frequency) over (partition by key order by seq rows between unbounded preceding and 1 preceding), -1) as leads from k),
+o as (select *, row_number() over (partition by key order by leads desc, case when leads then -seq else seq end) as n from r),
+s as (select key, source, min(n) as m from o group by key, source),
+names as (select key, string_agg(source, ',' order by m) as source from s group by key)"""
+
+
+@query("kb_merge", f"""with {GATHERED}, m as (select key, arg_min(id, n) filter (where id is not null) as id, arg_min(title, n) as title, max(frequency) as frequency from o group by key)
+select cast(id as bigint) as id, title, cast(frequency as bigint) as frequency, source, concat('https://leetcode.cn/problemset/all/?search=', replace(replace(title, ' ', '%20'), '#', '%23')) as url from m join names using (key)""")
 def kb_merge(spark, sf):
-    """Two sources merged by number or title; the fold is tested against plain Python."""
-    return knowledge.merge(two_sources(spark, sf)).select("id", "title", "frequency", "source", "url")
+    """Two sources merged by number or title."""
+    out = knowledge.merge(two_sources(spark, sf))
+    return out.select(F.col("id").cast("long").alias("id"), "title", F.col("frequency").cast("long").alias("frequency"), "source", "url")
 
 
 @query("kb_merge_by_title", f"""with e as (select {FULL} as title, p_size as frequency, 'a' as source from part union all select upper({FULL}), 7, 'b' from part),
@@ -690,7 +735,10 @@ def _streamed(spark: SparkSession, build: Callable[[DataFrame, str, str], object
     """Run a stream over a table's files to its end and read what it wrote."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillmill-stream"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file:///tmp/quillmill-stream"
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     # A table is one file or a folder of parts.
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -721,9 +769,9 @@ def stream_event_counts(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value")).cast("long").alias("total"))
 
 
-@query("archive_run")
+@query("archive_run", f"with {QUOTA} select cast(seq as varchar) as id, company from k where company <> '其他' and used < 3")
 def archive_run(spark, sf):
-    """From scored posts to archive rows, whole run; its parts have their own SQL."""
+    """From scored posts to archive rows, whole run."""
     rows = titles(spark, sf).withColumns({"id": F.col("seq").cast("string"), "url": F.lit(""), "content": F.col("title")})
     entries = brand_entries(spark, sf)
     done = runs.clean(rows, entries, entries.where(ALLOWED), 3)

@@ -198,6 +198,28 @@ def stable_hash(raw: dict) -> str:
     return hashlib.sha256(json.dumps(raw, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def tokens(pattern: str) -> list[str]:
+    """The words of a pattern text: parted by white space, commas and the like, brackets and
+    quotes at their ends left out."""
+    import re
+
+    parts = (x.strip("[]【】()（）\"'“”‘’") for x in re.split(r"[\s,，;；、|/]+", pattern))
+    return [x for x in parts if x]
+
+
+def _every(words: object) -> tuple[str, ...]:
+    return tuple(t for w in ([words] if isinstance(words, str) else words) for t in tokens(str(w)))
+
+
+def _weighted(entries: list, weight: int) -> tuple[Keyword, ...]:
+    out = []
+    for k in entries:
+        k = {"keyword": k} if isinstance(k, str) else k
+        for word in tokens(str(k.get("keyword", ""))):
+            out.append(Keyword(word, int(k.get("weight", weight)), str(k.get("scope", "both")).strip().lower(), _count(k.get("count", k.get("count_mode", "once")))))
+    return tuple(out)
+
+
 def _count(v: object) -> bool:
     return str(v).strip().lower() == "repeat"
 
@@ -207,7 +229,7 @@ def settings(raw: dict) -> Settings:
     f = raw.get("filter_rules", {})
     n, s, fc, sc = f.get("normalization", {}), f.get("score_filter", {}), f.get("force_combine", {}), f.get("skip_char_match", {})
     rules = Rules(
-        must=tuple(f.get("must_contain", ())), must_not=tuple(f.get("must_not_contain", ())), allow=tuple(f.get("allow_overrides", ())),
+        must=_every(f.get("must_contain", ())), must_not=tuple(f.get("must_not_contain", ())), allow=tuple(f.get("allow_overrides", ())),
         title_force=tuple(fc.get("title_force_contains", ())), combine=tuple(fc.get("content_combine_contains", ())),
         strip_chars=fc.get("combine_strip_chars", Rules.strip_chars), skip_enabled=bool(sc.get("enabled", False)), max_skips=int(sc.get("max_skips", 2)),
         normalization=Normalization(n.get("enable_nfkc", True), n.get("map_digit_variants", True), n.get("strip_zero_width", True), n.get("collapse_repeats", False), int(n.get("repeat_threshold", 3)), tuple((n.get("semantic_aliases") or {}).items())),
@@ -226,8 +248,8 @@ def settings(raw: dict) -> Settings:
     if "numbered_ad_markers" in s:
         given["ad_markers"] = tuple(s["numbered_ad_markers"])
     if "weighted_keywords" in s:
-        given["keywords"] = tuple(Keyword(k["keyword"], int(k.get("weight", s.get("default_keyword_weight", 6))), k.get("scope", "both"), _count(k.get("count", "once"))) for k in s["weighted_keywords"])
+        given["keywords"] = _weighted(s["weighted_keywords"], s.get("default_keyword_weight", 6))
     if "tail_drain_words" in s:
-        given["tail_drain"] = tuple((k, int(v)) for k, v in s["tail_drain_words"].items())
+        given["tail_drain"] = tuple((t, int(v)) for k, v in s["tail_drain_words"].items() for t in tokens(k))
     selection = Selection(items=int(raw.get("max_items_per_keyword", 10)), fill_quota=bool(raw.get("fill_valid_quota", False)), multiplier=float(s.get("heap_pool_multiplier", 1.5)), max_multiplier=float(s.get("heap_elastic_max_multiplier", 2.2)), max_pool=int(s.get("heap_max_pool", 0)))
     return Settings(rules, Quality(**given), selection)

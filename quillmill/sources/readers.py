@@ -234,10 +234,11 @@ class _PagedReader(DataSourceReader):
                 with urllib.request.urlopen(self.options["url"].format(page=partition.page), timeout=float(self.options.get("timeout", "15"))) as r:
                     yield (partition.page, r.read().decode("utf-8", "replace"))
                 return
-            except urllib.error.HTTPError as e:
-                if e.code != 429 and e.code < 500 or k == tries:
+            except (urllib.error.URLError, TimeoutError) as e:  # an answer with a code, or none at all
+                code = getattr(e, "code", None)
+                if code is not None and code != 429 and code < 500 or k == tries:
                     raise
-                time.sleep(min(2**k, 30 if e.code == 429 else 10))
+                time.sleep(min(2**k, 30 if code == 429 else 10))
 
 
 def owner_aliases(over: dict[str, str] | None = None) -> dict[str, str]:

@@ -136,3 +136,9 @@ def test_planning():
     assert page_limit(5, 10, True) == 30 and page_limit(5, 10, False) == 5
     s = Selection(items=10)
     assert (s.pool, s.pool_max, s.pool_step) == (15, 22, 3)
+
+
+def test_numbers_end_where_the_pattern_says(one):
+    assert one(match.problem_ids(F.lit("算法题12"))) == [12] and one(match.problem_ids(F.lit("算法题12 [a"))) == [12]
+    assert one(match.problem_ids(F.lit("算法题12|"))) == [] and one(match.problem_ids(F.lit("算法题12["))) == []
+    assert one(match.in_context(F.lit("2数之和"), "2数之和", [])) is True

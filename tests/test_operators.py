@@ -233,3 +233,39 @@ def test_stream_errors_reach_the_caller(spark, tmp_path):
 
     with pytest.raises(Exception, match="stop here"):
         streams.run(streams.read_posts(spark, str(tmp_path / "in"), "id long"), fail, str(tmp_path / "c")).awaitTermination()
+
+
+def test_gaps_are_filled_in_order_of_arrival(spark):
+    schema = "seq long, id int, frontend_id string, title string, difficulty string, last_date string, frequency int, url string, source string"
+    rows = [(1, None, "", "t", "", "", 3, "", "x"), (2, 5, "", "t", "a", "", 1, "", "y"), (3, 6, "", "t", "b", "d1", 2, "", "x"), (4, 7, "", "t", "", "", 9, "u", "z")]
+    df = spark.createDataFrame(rows, schema)
+    three = knowledge.keep_best(df.where("seq < 4"), F.col("title")).first()
+    assert (three["frequency"], three["difficulty"], three["id"]) == (3, "a", None)
+    whole = knowledge.merge(df).first()
+    assert (whole["frequency"], whole["id"], whole["difficulty"], whole["last_date"], whole["url"], whole["source"]) == (9, 7, "a", "d1", "u", "z,x,y")
+
+
+def test_entries_join_along_chains_of_numbers_and_titles(spark):
+    schema = "seq long, id int, frontend_id string, title string, difficulty string, last_date string, frequency int, url string, source string"
+    rows = [(1, 1, "", "a", "", "", 1, "", ""), (2, 1, "", "B", "", "", 2, "", ""), (3, 2, "", "b", "", "", 1, "", ""), (4, 2, "", "c", "", "", 5, "", ""), (5, None, "", "d", "", "", 1, "", ""), (6, None, "", "D ", "", "", 1, "", "")]
+    got = knowledge.merge(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["title"], r["frequency"], r["id"]) for r in got] == [("c", 5, 2), ("d", 1, None)]
+
+
+def test_titles_are_gated_before_longer_ones_hide_shorter_ones(spark):
+    rules = config.Rules(normalization=config.Normalization(nfkc=False))
+    q = config.Quality(alg_context=("手撕",))
+    library = quality.Library([{"title": "最长子", "frequency": 5}], ["最长子串", "最长子"], [1], rules)
+    rows = [("手撕 最长子 题。" + "x" * 40 + "最长子串", "第一题"), ("最长子串", "第1题"), ("手撕 最 长 子 串", "")]
+    df = spark.createDataFrame(rows, "t string, raw string")
+    got = [r["x"] for r in df.select(quality.algorithm_signal(F.col("t"), F.lit(""), F.col("raw"), q, rules, library).alias("x")).collect()]
+    assert [(r["titles"], r["ids"], r["hot_titles"]) for r in got] == [(["最长子"], [], ["最长子"]), ([], [1], []), ([], [], [])]
+    free = config.Quality(alg_context=())
+    assert df.select(quality.algorithm_signal(F.col("t"), F.lit(""), F.col("raw"), free, rules, library)["titles"].alias("x")).collect()[2]["x"] == ["最长子串"]
+
+
+def test_pattern_texts_are_parted_into_words():
+    s = config.settings({"filter_rules": {"must_contain": ["a、b", "【c】"], "score_filter": {"weighted_keywords": ["x|y", {"keyword": "z w", "weight": 9}], "tail_drain_words": {"m,n": 2}}}})
+    assert s.rules.must == ("a", "b", "c")
+    assert [(k.keyword, k.weight) for k in s.quality.keywords] == [("x", 6), ("y", 6), ("z", 9), ("w", 9)]
+    assert s.quality.tail_drain == (("m", 2), ("n", 2))
