@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 
@@ -16,7 +17,7 @@ def lat():
 
 
 def every(lat, word):
-    steps, _ = lat.lattice(word)
+    steps = lat.lattice(word, int(lat.nodes([word])[0]))
 
     def walk(at):
         if at == len(steps):
@@ -32,7 +33,7 @@ def every(lat, word):
 def test_lattice_shares_are_probabilities(lat):
     found = every(lat, S.SPACE + "hello")
     assert sum(map(math.exp, found.values())) == pytest.approx(1)
-    weight = {ids: sum(lat.log[i] for i in ids) for ids in found}
+    weight = {ids: sum(lat.weight[i] for i in ids) for ids in found}
     a, b = list(found)[:2]
     assert found[a] - found[b] == pytest.approx(weight[a] - weight[b])
 
@@ -60,6 +61,35 @@ def test_first_sample_and_inclusion_follow_the_model(lat):
     assert total / runs == pytest.approx(1, abs=0.06)
 
 
+def test_plain_draws_follow_the_shares(lat):
+    word = S.SPACE + "é\U0001f600an"
+    shares = {k: math.exp(v) for k, v in every(lat, word).items()}
+    assert sum(shares.values()) == pytest.approx(1)
+    runs = 40_000
+    ids, count, logp, _ = lat.drawn(np.repeat(lat.nodes([word]), runs), S.mix(np.arange(runs, dtype=np.uint64)))
+    found = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1]))
+    assert set(found) <= set(shares)
+    for k, p in shares.items():
+        assert found[k] / runs == pytest.approx(p, abs=5 * math.sqrt(p / runs) + 1e-3)
+    assert np.exp(logp[0]) == pytest.approx(shares[tuple(ids[: count[0]].tolist())])
+
+
+def test_the_most_likely_segmentation(lat):
+    for word in ("hello", "thinking", "日本x"):
+        ways = every(lat, S.SPACE + word)
+        assert ways[tuple(S.best(lat, word))] == pytest.approx(max(ways.values()))
+    assert S.decode(lat, S.best(lat, "two  words here")) == "two  words here"
+
+
+def test_nodes_do_not_depend_on_what_is_kept(lat, monkeypatch):
+    texts = [prose(k, 300, 5000) for k in range(3)]
+    want = [S.sample(lat, t, 3, "k") for t in texts]
+    monkeypatch.setattr(S, "WORDS", 5)
+    small = S.Lattices(public_tokenizers.path(S.MODEL))
+    assert [S.sample(small, t, 3, "k") for t in texts] == want
+    assert [[x[0].tolist() for x in out] for out in S.sampled(small, texts, 3, ["k"] * 3)] == [[x[0] for x in out] for out in want]
+
+
 def test_all_when_few(lat):
     word = S.SPACE + "th"
     out = S.sample(lat, "th", 50, "x")
