@@ -6,7 +6,7 @@ the runner-up is nearly as small.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and rejected; rows
 without a label or text teach nothing; ties go to the alphabetically first language; with no
-labelled row at all every text is `und`; an empty table gives no rows; extra columns are
+labelled row at all every text is `und`; rows without doc_id are not held out; an empty table gives no rows; extra columns are
 ignored by `predict` and kept by `keep_confident`."""
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, trimmed
 
-#: The training sample: documents a language, and characters of each; they bound a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 1000
+#: The training sample bounds a dictionary: documents a language, taken whole, and characters
+#: after which no further one is taken.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 300_000
 #: Bytes compressed at once, so that a long text keeps leaning on the dictionaries, and the
-#: zstandard levels for longer texts and for those of at most SHORT bytes.
-PIECE, SHORT, LEVEL, SHORT_LEVEL = 1500, 600, 6, 12
+#: zstandard level.
+PIECE, LEVEL = 1500, 12
 #: Share of the runner-up's size by which the winner must be smaller.
 MARGIN = 0.002
 
@@ -39,10 +40,13 @@ def folded(text: str) -> bytes:
 
 def dictionaries(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Raw-content dictionary of each language, from the rows of labelled(doc_id, text, lang)
-    with the least hashes: at most docs rows of chars characters a language reach the driver."""
+    with the least hashes: at most docs whole texts a language reach the driver, the last of
+    them the one that brings their characters to chars or beyond."""
     rows = labelled.where("text is not null and lang is not null and text <> ''").withColumn("h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    chosen = rows.select("lang", "h", "doc_id", F.substring("text", 1, chars).alias("text")).withColumn("k", rank).where(F.col("k") <= docs)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    first = rows.select("lang", "h", "doc_id", "text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("before", before).where(F.col("before") < chars)
     found: dict[str, list[tuple[int, str]]] = {}
     for r in chosen.select("lang", "k", "text").collect():
         found.setdefault(r["lang"], []).append((r["k"], r["text"]))
@@ -63,8 +67,7 @@ def predict(docs: DataFrame, dictionary: dict[str, bytes], margin: float = MARGI
     prepare(docs.sparkSession)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        longer = [compressor(dictionary[x], LEVEL, PIECE) for x in langs]
-        shorter = [compressor(dictionary[x], SHORT_LEVEL, SHORT) for x in langs]
+        tools = [compressor(dictionary[x], LEVEL, PIECE) for x in langs]
         for pdf in batches:
             pred, score = [], []
             for text in pdf["text"]:
@@ -72,7 +75,6 @@ def predict(docs: DataFrame, dictionary: dict[str, bytes], margin: float = MARGI
                 if isinstance(text, str) and langs and any(c.isalpha() for c in text):
                     data = folded(text)
                     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)] or [b""]
-                    tools = shorter if len(data) <= SHORT else longer
                     sizes = np.array([sum(len(t.compress(p)) for p in pieces) for t in tools])
                     first = int(sizes.argmin())
                     rest = np.delete(sizes, first)
@@ -88,7 +90,8 @@ def predict(docs: DataFrame, dictionary: dict[str, bytes], margin: float = MARGI
 
 
 def fold_of(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """A document's fold; rows without an id are in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(0))
 
 
 def keep_confident(spark: SparkSession, docs: DataFrame) -> DataFrame:
