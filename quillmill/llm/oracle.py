@@ -27,10 +27,19 @@ ids as (select id from s), {REACH}
 select s.id as doc_id, cast(len(s.s) as bigint) as n_shingles, component.component_id from s join component on component.id = s.id"""
 
 
+def without_possession(pattern: str) -> str:
+    """A rule's pattern for an engine that neither backtracks nor looks ahead: possessive
+    repetitions are plain ones there, and runs of fewer than five dashes are spelled out."""
+    plain = pattern.replace("[^-]*+(?:-(?!----)[^-]*+)*+", "(?:[^-]|-{1,4}[^-])*")
+    for mark in ("*", "+", "}"):
+        plain = plain.replace(f"{mark}+", mark)
+    return plain
+
+
 def secrets_sql() -> str:
     parts = []
     for k, r in enumerate(secret_scan.RULES):
-        p = r.pattern.replace("'", "''")
+        p = without_possession(r.pattern).replace("'", "''") if r.pattern == secret_scan.PEM else r.pattern.replace("'", "''")
         parts.append(f"select doc_id, '{r.kind}' as kind, {k} as rank, {r.least} as least, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {r.measured}) as v from d")
     base = sum(r.base for r in secret_scan.RULES)
     counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.RULES)

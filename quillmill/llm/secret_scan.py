@@ -38,11 +38,12 @@ class Rule:
 
 #: Fixed by contract, in the order in which kinds are listed.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-#: A private key through its END line, or without one to the end of its base64 lines.
+#: A private key through its END line, or without one to the end of its base64 lines: a last
+#: short line counts as one if it is padded.
 PEM = (
     "-----BEGIN [A-Z ]*PRIVATE KEY-----"
     "(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
-    "|(?:(?:\\s|\\\\[nr])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\\s|\\\\[nr])++[A-Za-z0-9+/]++={0,2}(?=\\s*(?:\n|$)))?)"
+    "|(?:(?:[\\x09-\\x0D ]|\\\\[nr])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:[\\x09-\\x0D ]|\\\\[nr])++[A-Za-z0-9+/]++={1,2})?)"
 )
 RULES = (
     Rule("assign", ASSIGN, 2, 6, True),
