@@ -4,7 +4,9 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 every suffix of a corpus is not needed for that: of each LENGTH-byte string, the least hash
 among its GRAM-byte strings marks an anchor, and equal strings mark equal anchors.
 
-1. Each task finds the anchors of its documents (about one in 50 bytes) and ships hash,
+1. Strings that start again within four bytes (a run of one byte, say) are found on the spot,
+   and only the first ones of a run need anchors, so a long run costs as much as a short one.
+   Each task finds the anchors of its documents (about one in 50 bytes) and ships hash,
    context hash and place, compactly, by hash range. A range's task drops anchors that occur
    once. An anchor whose whole context (all LENGTH-byte strings around it) occurs again needs
    no more; the others are edges.
@@ -38,6 +40,8 @@ LENGTH = 200
 GRAM = 100
 #: Bytes on each side of an anchor that a LENGTH-byte string around it can reach.
 SIDE = LENGTH - GRAM
+#: Strings that start again up to PERIOD bytes on are found where they are.
+PERIOD = 4
 #: Anchors that a task ships together; text hashed at once; edge rows sorted at once.
 SHIP, HASHED, SORTED = 300_000, 1 << 19, 15_000
 
@@ -54,6 +58,18 @@ def sliding(a: np.ndarray, w: int, ufunc: np.ufunc, fill: np.uint64) -> np.ndarr
     return ufunc(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def nearby(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(p, starts) of the strings that start again p <= PERIOD bytes on, as in a run of one byte,
+    by comparing the bytes."""
+    n = len(data)
+    for p in range(1, min(PERIOD, n - LENGTH) + 1):
+        few = np.append(0, np.cumsum(data[: n - p : 25] == data[p:n:25]))
+        if (few[7:] - few[:-7] < 7).all():  # no LENGTH bytes in a row can be the same
+            continue
+        same = np.append(0, np.cumsum(data[:-p] == data[p:]))
+        yield p, np.flatnonzero(same[LENGTH:] - same[:-LENGTH] == LENGTH)
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, position, anchor hash, context hash) of all anchors of some texts."""
     none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
@@ -70,7 +86,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     fits = size >= LENGTH
     np.add.at(valid, (end - size)[fits], 1)
     np.add.at(valid, np.minimum(end - LENGTH + 1, len(least))[fits], -1)
-    least[np.cumsum(valid)[:-1] <= 0] = 0
+    valid = np.cumsum(valid)[:-1] > 0
+    least[~valid] = 0
+    for p, start in nearby(data):  # strings that recur at once need no anchor but for the first ones of a run
+        start = start[valid[start] & valid[start + p]]
+        run = start - np.arange(len(start))
+        least[start[np.arange(len(start)) - np.searchsorted(run, run) > PERIOD]] = 0
     wide = np.concatenate([np.zeros(SIDE, dtype=np.uint64), least, np.zeros(SIDE, dtype=np.uint64)])
     place = np.flatnonzero(sliding(wide, SIDE + 1, np.maximum, np.uint64(0)) == gram)
     doc = np.searchsorted(end, place, side="right")
@@ -306,14 +327,16 @@ def spans(docs: DataFrame) -> DataFrame:
                 mine = mix(hashes.span(low, high) + (pos - low).astype(np.uint64) * np.uint64(BASE)).view(np.int64) == context
                 mine &= high - low >= LENGTH
                 whole = mine & (kind > 0)
+                near = [(start, start + LENGTH + p) for p, start in nearby(np.frombuffer(text, dtype=np.uint8))]
                 edge = np.flatnonzero(mine & (kind != 1))
                 for k in edge.tolist():
                     p = int(pos[k])
                     rows.append((i, mark, None, None, None, int(anchor[k]), p, int(kind[k]), text[low[k] : p][::-1], text[p + GRAM : high[k]]))
                 size += len(edge) * LENGTH
                 waits = bool((kind[edge] == 0).any())
-                if waits or whole.any():
-                    rows.append((i, mark, text, pack(*union(low[whole], high[whole])), waits, None, None, None, None, None))
+                if waits or whole.any() or near:
+                    runs = union(*(np.concatenate(x) for x in zip((low[whole], high[whole]), *near, strict=True)))
+                    rows.append((i, mark, text, pack(*runs), waits, None, None, None, None, None))
                     size += len(text)
                 if size > 4 << 20:
                     yield pd.DataFrame(rows, columns=names)

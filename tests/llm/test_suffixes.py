@@ -82,3 +82,20 @@ def test_collisions_fall_back_to_bytes(monkeypatch):
     rows = np.random.default_rng(1).integers(97, 122, (50, suffixes.SIDE)).astype(np.uint8)
     order, _ = suffixes.sorted_extensions(rows, np.zeros(50, dtype=np.int64))
     assert [rows[i].tobytes() for i in order] == sorted(r.tobytes() for r in rows)
+
+
+def test_long_runs_need_few_anchors(spark):
+    texts = ["x" * 5000, "y" * 100 + "x" * 200, "ab" * 300 + "c", "x" * 200 + "z" * 10, "q" * 201, "w" * 200, "abcd" * 90, "head " + "-" * 400 + " tail", "\n" * 250 + "one", "x" * 199]
+    raw = [t.encode() for t in texts]
+    assert len(suffixes.anchors([b"x" * 100_000])[0]) < 300
+    count = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    want = {}
+    for i, b in enumerate(raw):
+        lost = set()
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                lost |= set(range(k, k + 200))
+        if lost:
+            want[i] = (len(lost), bytes(x for k, x in enumerate(b) if k not in lost))
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.removed(docs(spark, texts)).collect()}
+    assert got == want
