@@ -3,15 +3,18 @@
 Layout under one folder, all Parquet, all written and read by Spark:
 
 * chunks(digest, width, ids): each distinct chunk once, ids little-endian in 2 or 4 bytes;
-* recipes(part, doc_id, n_tokens, digests): documents in ascending doc_id order, part by part;
-* manifest(part, n_docs, root): the Merkle root over a part's recipes.
+* recipes(part, seq, doc_id, n_tokens, digests): documents in ascending doc_id order, part by
+  part; seq is a document's place in this order;
+* manifest(part, n_docs, root): the Merkle root over a part's recipes, and in part -1 the root
+  over the parts' roots.
 
 A rolling hash over the last ids decides where a stream is cut, so equal passages give
 equal chunks wherever they stand. Reading checks every chunk against its digest and
-every part against its root, and fails on a mismatch.
+every part against its root, and fails on a mismatch. `read` gives places, lengths and checksums
+without moving a chunk; `rebuild` gives the ids themselves.
 
 Defined cases: a null or empty text is a document of the end id alone; rows with the same
-doc_id are kept, ordered among themselves by their recipe; extra input columns are ignored;
+doc_id, or without one (after all others), are kept, ordered among themselves by their recipe; extra input columns are ignored;
 an empty table gives an empty store."""
 
 from __future__ import annotations
@@ -168,12 +171,12 @@ def write(docs: DataFrame, root: str, path: str, end_id: int = END_ID, spaced: b
     raw = spark.read.schema(f"{schema}, kind string").parquet(f"{root}/raw")
     ordered = raw.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
     ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests")
-    ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "digests").write.option("compression", "zstd").parquet(f"{root}/recipes")
-    roots(spark, root).write.parquet(f"{root}/manifest")
+    ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "doc_id", "n_tokens", "digests").write.option("compression", "zstd").parquet(f"{root}/recipes")
+    whole(roots(spark, root)).coalesce(1).write.parquet(f"{root}/manifest")
 
 
 def recipes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id long, n_tokens long, digests array<binary>").parquet(f"{root}/recipes")
+    return spark.read.schema("part int, seq long, doc_id long, n_tokens long, digests array<binary>").parquet(f"{root}/recipes")
 
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -182,21 +185,58 @@ def chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def roots(spark: SparkSession, root: str) -> DataFrame:
-    """Merkle root of each part as its files stand now: leaves first, then 64 to a node
-    group, so that no task holds more than a part's hashes."""
+    """Merkle root of each part as its files stand now: no task holds more than a part's hashes,
+    a leaf of 32 bytes a document."""
 
     def part_root(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "n_docs": [len(pdf)], "root": [merkle(pdf.sort_values(["doc_id", "leaf"])["leaf"].tolist())]})
+        return pd.DataFrame({"part": [key[0]], "n_docs": [len(pdf)], "root": [merkle(pdf.sort_values("seq")["leaf"].tolist())]})
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [leaf(d, n, list(x)) for d, n, x in zip(pdf["doc_id"].tolist(), pdf["n_tokens"].tolist(), pdf["digests"], strict=True)]
-            yield pd.DataFrame({"part": pdf["part"], "doc_id": pdf["doc_id"], "leaf": made})
+            yield pd.DataFrame({"part": pdf["part"], "seq": pdf["seq"], "leaf": made})
 
-    made = recipes(spark, root).mapInPandas(leaves, "part int, doc_id long, leaf binary")
+    made = recipes(spark, root).mapInPandas(leaves, "part int, seq long, leaf binary")
     return made.groupBy("part").applyInPandas(part_root, "part int, n_docs long, root binary")
 
 
+def whole(parts: DataFrame) -> DataFrame:
+    """parts(part, n_docs, root), a row a part, with the root over them as part -1."""
+    rows = parts.orderBy("part").collect()
+    top = (-1, sum(r["n_docs"] for r in rows), bytearray(merkle([bytes(r["root"]) for r in rows])))
+    return parts.sparkSession.createDataFrame([top, *[(r["part"], r["n_docs"], r["root"]) for r in rows]], "part int, n_docs long, root binary")
+
+
+def verify(spark: SparkSession, root: str) -> None:
+    """Fail unless the recipes give the roots of the manifest."""
+    wrong = whole(roots(spark, root)).alias("a").join(spark.read.parquet(f"{root}/manifest").alias("b"), "part", "full")
+    if wrong.where("not (a.root <=> b.root) or not (a.n_docs <=> b.n_docs)").limit(1).count():
+        raise ValueError("recipes do not match the manifest")
+
+
+def rebuild(spark: SparkSession, root: str) -> DataFrame:
+    """(seq, doc_id, n_tokens, ids) of a store's documents, checked: ids as little-endian
+    unsigned 32-bit integers, put together from the chunks that the recipe names."""
+    verify(spark, root)
+    steps = recipes(spark, root).select("seq", "doc_id", "n_tokens", F.posexplode("digests").alias("k", "digest"))
+    joined = steps.join(chunks(spark, root), "digest", "left")
+    docs = joined.groupBy("seq", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "width", "ids"))).alias("steps"))
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for want, steps in zip(pdf["n_tokens"].tolist(), pdf["steps"], strict=True):
+                if any(x["ids"] is None or digest(x["width"], bytes(x["ids"])) != bytes(x["digest"]) for x in steps):
+                    raise ValueError("a chunk of the store does not match its digest")
+                out.append(b"".join(np.frombuffer(x["ids"], dtype=f"<u{x['width']}").astype("<u4").tobytes() for x in steps))
+                if len(out[-1]) != 4 * want:
+                    raise ValueError("a document cannot be rebuilt from its recipe")
+            yield pdf[["seq", "doc_id", "n_tokens"]].assign(ids=out)
+
+    made = docs.mapInPandas(trimmed(put_together), "seq long, doc_id long, n_tokens long, ids binary")
+    return made.withColumn("doc_id", null_id(F.col("doc_id")))
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
     """Documents of a store, checked: (doc_id, start, n_tokens, ids_crc32).
 
@@ -213,12 +253,9 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                 crc.append(zlib.crc32(ids.tobytes()))
             yield pd.DataFrame({"digest": pdf["digest"], "n": n, "crc": crc})
 
-    wrong = roots(spark, root).alias("a").join(spark.read.parquet(f"{root}/manifest").alias("b"), "part", "full")
-    if wrong.where("not (a.root <=> b.root) or not (a.n_docs <=> b.n_docs)").limit(1).count():
-        raise ValueError("recipes do not match the manifest")
+    verify(spark, root)
     sums = chunks(spark, root).mapInPandas(trimmed(summed), "digest binary, n long, crc long")
-    listed = recipes(spark, root).withColumn("row", F.xxhash64("doc_id", "digests", F.monotonically_increasing_id()))
-    steps = listed.select("part", "doc_id", "n_tokens", "row", F.posexplode("digests").alias("seq", "digest"))
+    steps = recipes(spark, root).select("part", "doc_id", "n_tokens", F.col("seq").alias("row"), F.posexplode("digests").alias("seq", "digest"))
     joined = steps.join(sums, "digest", "left")
     docs = joined.groupBy("part", "doc_id", "row").agg(F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", F.coalesce("n", F.lit(-1)).alias("n"), "crc"))).alias("steps"))
 
@@ -238,7 +275,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
         offsets[r["part"]] = total
         total += r["n"]
     base = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "part int, base long")
-    within = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(base), "part")
     return out.select(null_id(F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -1,11 +1,13 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmill.llm import packing, token_store
+from quillmill.llm import encoding, packing, token_store
 from quillmill.llm.common import shared_dir
 
 from .helpers import awkward, docs, saved
@@ -107,3 +109,32 @@ def test_best_fill_is_optimal():
 
 def test_no_documents(spark, tmp_path):
     assert packing.op8_packing(spark, saved(spark, tmp_path, [])).count() == 0
+
+
+def test_documents_are_rebuilt_from_the_store(spark):
+    rows = [*awkward(), "same text here", "same text here", None]
+    root = f"{shared_dir(spark)}/store-rebuilt-{id(rows)}"
+    frame = docs(spark, rows).withColumn("doc_id", F.when(F.col("doc_id") % 5 != 2, F.col("doc_id") % 7))
+    token_store.write(frame, root, public_tokenizers.path(token_store.VOCABULARY))
+    found = token_store.rebuild(spark, root).collect()
+    want = sorted((str(r["doc_id"]), np.array(plain("word_bpe_49k.json", r["text"], 1), dtype="<u4").tobytes()) for r in frame.collect())
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in found) == want
+    total, at = 0, {r["seq"]: r for r in found}
+    starts = {(r["doc_id"], r["start"], r["ids_crc32"]) for r in token_store.read(spark, root).collect()}
+    for k in sorted(at):
+        assert (at[k]["doc_id"], total, zlib.crc32(bytes(at[k]["ids"]))) in starts
+        total += at[k]["n_tokens"]
+    manifest = spark.read.parquet(f"{root}/manifest").collect()
+    parts = sorted((r["part"], bytes(r["root"])) for r in manifest)
+    assert parts[0][0] == -1 and parts[0][1] == token_store.merkle([x for _, x in parts[1:]])
+
+
+def test_units_encode_as_the_library_does():
+    r = random.Random(4)
+    pieces = ["the", " ", "  ", "\n", "don't", "L'eau", "x9", "42", "é", "Ünï", "...", "!?", "'s", "a'", "_", "$5", "ça", "ABC", "-", "\t", "日", "<|", "\u00d7", "\x00"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = public_tokenizers.path(name)
+        tool = Tokenizer.from_file(path)
+        for i, ids in encoding.encoded(texts, path, spaced):
+            assert ids.tolist() == tool.encode(texts[i], add_special_tokens=False).ids, texts[i]
