@@ -9,7 +9,8 @@ The join runs in four steps.
    A document with fewer than the needed overlap of such shingles has no partner.
 2. Classes. Among the rest, documents with equal sets are one class with one representative.
 3. Candidates, heavy and light. A pair that links shares at least l of the first
-   n - ceil(t n) + l shingles of both in any one order. Small sets (light) enumerate the
+   n - ceil(t n) + l shingles of both in one order, here from rare to frequent as counted among
+   the representatives; places in it bound a pair's overlap. Small sets (light) enumerate the
    subsets of l = 2 of these and meet by equal subset; large sets (heavy) are scanned through
    the inverted lists of l = 1. The boundary is the size at which a set has more subsets than
    list entries to read, with the mean list length as measured. Sets up to boundary / t also
