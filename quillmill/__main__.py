@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import entity, knowledge, posts
+from .operators import entity, knowledge, posts, quality
 from .plans import config
 from .sources import readers, sinks
 
@@ -23,12 +23,16 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p = sub.add_parser("posts")
     p.add_argument("--posts", required=True, help="Parquet: seq, id, uuid, detail_api_type, title, keyword, search_content")
     p.add_argument("--details", help="Parquet: kind, key, content")
+    p.add_argument("--comments", help="JSON comment responses: post_id, page, data")
+    p.add_argument("--library", help="JSON library of problems, as `library` writes it")
     p.add_argument("--companies", required=True, help="JSON list of organisations")
     p.add_argument("--config", help="folder of configuration layers")
     p.add_argument("--keywords", nargs="*", help="keep only these")
     p.add_argument("--items", type=int)
     p.add_argument("--fill-valid-quota", action="store_true")
     p.add_argument("--mode", choices=["pool", "early", "elastic", "first"], default="early")
+    p.add_argument("--with", dest="extra", nargs="*", default=[], choices=["id", "comments", "outline", "annotations"], help="further columns of the archive")
+    p.add_argument("--keep-unknown", action="store_true", help="keep posts of no known organisation")
     p.add_argument("--formats", default="md,txt")
     p.add_argument("--output", required=True)
     k = sub.add_parser("library")
@@ -46,15 +50,30 @@ def run_posts(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
         found = found.where(F.col("keyword").isin(*a.keywords))
     details = spark.read.parquet(a.details) if a.details else spark.createDataFrame([], "kind string, key string, content string")
     full = posts.with_details(posts.filter_candidates(found, s.rules), details)
+    if a.comments:
+        full = posts.with_comments(full, readers.flat_comments(spark.read.schema(readers.COMMENTS).json(a.comments)))
     names = readers.companies(spark, a.companies)
     known = [r["company"] for r in names.collect()]  # a dictionary, some hundred names
-    chosen = posts.select_posts(full, s.rules, s.quality, pick, mode=a.mode).selected
-    done = posts.clean(chosen, entity.dictionary(spark, known), names, pick.items)
-    order = done.where("is_kept").select("seq", *[c for c in ("title", "company", "keyword", "url", "content")])
-    rows = order.withColumnsRenamed({c: n for c, n in posts.COLUMNS.items() if c in order.columns})
+    parts = readers.algorithm_library(spark, a.library) if a.library else {}
+    chosen = posts.select_posts(full, s.rules, s.quality, pick, library_of(parts, s), a.mode).selected
+    extra = set(a.extra) - ({"comments"} if not a.comments else set()) - ({"annotations"} if not parts else set())
+    if "annotations" in extra:
+        chosen = posts.with_matches(chosen, knowledge.entries(parts["hot"]), s.rules)
+    done = posts.clean(chosen, entity.dictionary(spark, known), names, pick.items, not a.keep_unknown)
+    rows = posts.archive(done, **{f"with_{x}": True for x in extra}, order=("seq",))
     return sinks.export(rows, a.output, "posts", a.formats.split(","))
 
 
+def library_of(parts: dict, s: config.Settings) -> quality.Library | None:
+    """The library as the score takes it, from the parts of its file: a dictionary, some
+    thousand entries, which every task needs."""
+    if not parts:
+        return None
+    words = lambda part, c: [r[0] for r in parts[part].orderBy("seq").select(c).collect()]
+    hot = [r.asDict() for r in knowledge.entries(parts["hot"]).select("id", "title", "frequency").collect()]
+    return quality.Library(hot, words("titles", "title"), words("ids", "id"), s.rules, s.quality, words("markers", "word"), words("topics", "word"))
+
+
 def run_library(spark: SparkSession, a: argparse.Namespace) -> str:
     sources = []
     if a.ranking:

@@ -115,15 +115,19 @@ def keep_best(found: DataFrame, key: Column) -> DataFrame:
 
 
 def match_details(posts: DataFrame, hot: DataFrame) -> DataFrame:
-    """(seq, key, title, frequency, matched_by) of the entries that posts(seq, ids, titles)
-    name by number or by title; an entry named by both appears once."""
-    hot = hot.withColumn("_t", text.title_key(F.col("title")))
+    """(seq, key, title, frequency, matched_by, id, frontend_id, difficulty, url) of the entries
+    that posts(seq, ids, titles) name by number or by title; an entry named by both appears once.
+    Titles meet by `_t` where hot has it, else by their title key."""
+    fields = ("frontend_id", "difficulty", "url")
+    hot = hot.drop("seq").withColumns({c: F.col(c) if c in hot.columns else F.lit("") for c in fields})
+    hot = hot if "_t" in hot.columns else hot.withColumn("_t", text.title_key(F.col("title")))
     key = F.when(F.col("id").isNotNull(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("title:"), F.col("_t")))
     by_id = posts.select("seq", F.explode("ids").alias("id")).distinct().join(hot, "id")
     by_title = posts.select("seq", F.explode("titles").alias("_t")).distinct().join(hot, "_t")
-    rows = by_id.select("seq", key.alias("key"), "title", "frequency", F.lit("id").alias("by"), F.lit(0).alias("o")).unionByName(by_title.select("seq", key.alias("key"), "title", "frequency", F.lit("title").alias("by"), F.lit(1).alias("o")))
+    found = lambda rows, by, o: rows.select("seq", key.alias("key"), "title", "frequency", "id", *fields, F.lit(by).alias("by"), F.lit(o).alias("o"))
     order = F.struct(F.col("o"), -F.col("frequency"), F.col("title"))
-    return rows.groupBy("seq", "key").agg(F.min_by("title", order).alias("title"), F.min_by("frequency", order).alias("frequency"), F.array_sort(F.collect_set("by")).alias("matched_by"))
+    best = [F.min_by(c, order).alias(c) for c in ("title", "frequency", "id", *fields)]
+    return found(by_id, "id", 0).unionByName(found(by_title, "title", 1)).groupBy("seq", "key").agg(*best, F.array_sort(F.collect_set("by")).alias("matched_by"))
 
 
 def annotations(matches: Column, most: int = 20) -> Column:

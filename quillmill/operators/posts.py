@@ -33,6 +33,25 @@ def with_details(posts: DataFrame, details: DataFrame) -> DataFrame:
     return out.where(F.col("content").isNotNull())
 
 
+def with_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """posts with the array `comments` of comments(post_id, comments), pages in their order;
+    empty for posts without any."""
+    page = F.col("page") if "page" in comments.columns else F.lit(0)
+    lists = comments.groupBy("post_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(page.alias("page"), "comments"))), lambda x: x["comments"])).alias("comments"))
+    return posts.join(lists, F.col("id") == F.col("post_id"), "left").drop("post_id").withColumn("comments", F.coalesce("comments", F.array().cast("array<string>")))
+
+
+def with_matches(scored: DataFrame, hot: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Scored posts with `algorithm_matches`: the entries of hot that a post names by number or
+    title, most frequent first; empty for posts that name none."""
+    named = scored.select("seq", F.col("breakdown.algorithm.ids").alias("ids"), F.transform("breakdown.algorithm.hot_titles", text.title_key).alias("titles"))
+    keyed = hot.withColumn("_t", text.title_key(text.normalize(F.col("title"), rules.normalization)))
+    item = F.struct((-F.col("frequency")).alias("order"), "title", "id", "frontend_id", "frequency", "difficulty", "url")
+    lists = knowledge.match_details(named, keyed).groupBy("seq").agg(F.array_sort(F.collect_list(item)).alias("algorithm_matches"))
+    out = scored.join(lists, "seq", "left")
+    return out.withColumn("algorithm_matches", F.coalesce("algorithm_matches", F.array().cast(lists.schema["algorithm_matches"].dataType)))
+
+
 def detail_url(host: str = "https://www.nowcoder.com") -> Column:
     """A post's page."""
     return F.when((F.col("detail_api_type") == "content-data") & (F.length("id") > 0), F.concat(F.lit(f"{host}/discuss/"), F.col("id"))).otherwise(F.concat(F.lit(f"{host}/feed/main/detail/"), F.coalesce("uuid", F.lit(""))))
@@ -74,15 +93,22 @@ def clean(posts: DataFrame, entries: DataFrame, companies: DataFrame, per_keywor
 COLUMNS = {"id": "ID", "title": "标题", "company": "公司", "keyword": "搜索关键词", "url": "帖子链接", "content": "正文", "comments": "评论及回复", "question_outline": "面试题清单", "annotations": "算法标注"}
 
 
-def archive(rows: DataFrame, with_id: bool = False, with_comments: bool = False, with_outline: bool = False, with_annotations: bool = False) -> DataFrame:
-    """Kept rows in the archive's columns."""
+def archive(rows: DataFrame, with_id: bool = False, with_comments: bool = False, with_outline: bool = False, with_annotations: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """Kept rows in the archive's columns, after those of order as they are."""
     wanted = [c for c, on in (("id", with_id), ("title", True), ("company", True), ("keyword", True), ("url", True), ("content", True), ("comments", with_comments), ("question_outline", with_outline), ("annotations", with_annotations)) if on]
     out = rows.where("is_kept")
     if with_outline:
         out = out.withColumn("question_outline", knowledge.outline_text(F.col("question_outline")))
-    return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(COLUMNS[c]) for c in wanted])
+    if with_annotations:
+        out = out.withColumn("annotations", knowledge.annotations(F.col("algorithm_matches")))
+    return out.select(*order, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(COLUMNS[c]) for c in wanted])
 
 
 def rejected_sample(rows: DataFrame, most: int = 30) -> DataFrame:
     """The first rejected posts, for a report."""
     return rows.select("seq", "keyword", "title", "quality_score", "breakdown").orderBy("seq").limit(most)
+
+
+def dropped_sample(rows: DataFrame, most: int = 30) -> DataFrame:
+    """The first posts that cleaning dropped as of no known organisation, for a report."""
+    return rows.where("is_dropped").select("seq", "keyword", "title", "company").orderBy("seq").limit(most)

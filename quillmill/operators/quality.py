@@ -91,7 +91,7 @@ def tail_ratio(penalty: Column, q: Quality = Quality()) -> Column:
 
 def match_score(signal: Column, chars: Column, tail: Column, q: Quality = Quality()) -> Column:
     """Relevance: the signals' share of what they can reach, less what tail and shortness take."""
-    whole = float(q.title_hit_cap + q.content_hit_cap + q.keyword_max + q.alg_total_cap)
+    whole = float(q.title_hit_cap + q.content_hit_cap + q.keyword_max + (q.alg_total_cap if q.alg_enabled else 0))
     raw = F.least(signal / F.lit(whole), F.lit(1.0))
     short = F.when((chars > 0) & (chars < q.short_chars), F.least((q.short_chars - chars) / F.lit(float(q.short_chars)), F.lit(1.0)) * 0.35).otherwise(0.0)
     share = F.least(F.greatest(raw * (1 - tail) - short, F.lit(0.0)), F.lit(1.0))
@@ -145,9 +145,10 @@ def hot_sum(found: Column, scores: dict) -> Column:
 
 
 class Library:
-    """What is known of algorithm problems: titles, ids, and how often each is asked."""
+    """What is known of algorithm problems: titles, ids, how often each is asked, and further
+    markers and topics."""
 
-    def __init__(self, hot: list[dict], titles: list[str] = (), ids: list[int] = (), rules: Rules = Rules(), q: Quality = Quality()):
+    def __init__(self, hot: list[dict], titles: list[str] = (), ids: list[int] = (), rules: Rules = Rules(), q: Quality = Quality(), markers: list[str] = (), topics: list[str] = ()):
         import math
 
         score = lambda f: 0 if f <= 0 else min(max(round(math.log(f + 1, q.hot_base) * q.hot_scale), 1), q.hot_max)
@@ -159,7 +160,8 @@ class Library:
                 self.hot_titles[word] = max(self.hot_titles.get(word, 0), score(f))
             if h.get("id"):
                 self.hot_ids[int(h["id"])] = max(self.hot_ids.get(int(h["id"]), 0), score(f))
-        self.titles = match.patterns(list(titles), rules, 2)
+        self.markers, self.topics = match.patterns([*q.alg_markers, *markers], rules), match.patterns([*topics, *q.alg_topics], rules)
+        self.titles = match.patterns([*titles, *q.alg_titles], rules, 2)
         #: Titles by their form without punctuation and spaces, the first of each.
         table = {ord(c): None for c in rules.strip_chars}
         self.compacted: dict[str, str] = {}
@@ -169,33 +171,36 @@ class Library:
         self.ids = sorted({int(i) for i in ids if 1 <= int(i) <= 9999})
 
 
-def named(text: Column, found: Column, context: list[str]) -> Column:
+def named(text: Column, found: Column, context: list[str], reach: int = 24) -> Column:
     """Found titles that stand in their context, without those that lie in another such one."""
-    return F.array_sort(match.longest_only(F.filter(found, lambda w: match.in_context(text, w, context))))
+    return F.array_sort(match.longest_only(F.filter(found, lambda w: match.in_context(text, w, context, reach))))
 
 
 def algorithm_signal(title: Column, content: Column, raw: Column, q: Quality = Quality(), rules: Rules = Rules(), library: Library | None = None) -> Column:
     """Struct of the problem titles, numbers and hot titles that a post names and of the score.
     title and content are in normal form; numbers are read from raw, as written."""
-    library = library or Library([])
+    library = library or Library([], rules=rules, q=q)
+    if not q.alg_enabled:
+        none = F.array().cast("array<string>")
+        return F.struct(none.alias("titles"), F.array().cast("array<int>").alias("ids"), none.alias("hot_titles"), F.lit(0).alias("score"))
     both = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(content, F.lit("")))
-    context = match.patterns(q.alg_context, rules)
-    problems, hot = match.hits(both, library.titles), match.hits(both, list(library.hot_titles))
+    context = match.patterns(q.alg_context, rules) if q.alg_context_required else []
+    problems, hot = match.hits(both, library.titles), match.hits(both, list(library.hot_titles) if q.hot_enabled else [])
     if library.compacted:
         table = F.create_map(*[F.lit(x) for pair in library.compacted.items() for x in pair])
         short = match.hits(match.compact(both, rules.strip_chars), list(library.compacted))
         problems = F.array_union(problems, F.transform(short, lambda x: F.element_at(table, x)))
-    problems, hot = named(both, problems, context), named(both, hot, context)
+    problems, hot = named(both, problems, context, q.alg_reach), named(both, hot, context, q.alg_reach)
     ids = match.problem_ids(raw, F.array(*[F.lit(i) for i in library.ids])) if library.ids else F.array().cast("array<int>")
-    size = lambda words: F.size(match.hits(both, match.patterns(words, rules)))
-    score = algorithm_score(size(q.alg_markers), size(q.alg_topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, library.hot_ids), q)
+    size = lambda words: F.size(match.hits(both, words))
+    hot_ids = library.hot_ids if q.hot_enabled else {}
+    score = algorithm_score(size(library.markers), size(library.topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, hot_ids), q)
     return F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), score.cast("int").alias("score"))
 
 
 def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), library: Library | None = None) -> DataFrame:
     """posts(title, content, tags, ...) with quality_score, passed, question_outline,
     question_outline_count and the struct `breakdown`."""
-    library = library or Library([])
     tags = F.col("tags") if "tags" in posts.columns else F.array().cast("array<string>")
     base = posts.withColumn("_raw", text.scoring_content(F.col("content")))
     # Normal forms are computed once and kept as columns.
@@ -214,7 +219,8 @@ def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), l
         "_structure": structure_score(points, chars, q) if q.structure_enabled else text.length_score(chars, q.length_weight),
     })
     parts = parts.withColumn("_drain", tail_penalty(F.col("_tags"), q)).withColumn("_signal", F.col("_title") + F.col("_content") + F.col("_key") + F.col("_alg"))
-    promo, ad = F.size("_promo") >= q.promo_min_hits, F.col("_ads.blocked")
+    promo = (F.size("_promo") >= q.promo_min_hits) & F.lit(q.promo_enabled)
+    ad = F.col("_ads.blocked") & F.lit(q.ad_enabled)
     parts = parts.withColumn("_match", match_score(F.col("_signal"), chars, tail_ratio(F.col("_drain"), q), q))
     raw = F.col("_structure") + F.col("_match") - F.when(promo, q.promo_penalty).otherwise(0) - F.when(ad, q.ad_penalty).otherwise(0)
     score = F.least(F.greatest(raw, F.lit(0)), F.lit(100))

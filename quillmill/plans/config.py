@@ -127,6 +127,12 @@ class Quality:
         ("内推", 15), ("简历", 12), ("互助", 8), ("咨询", 8), ("联系", 8), ("关注", 8), ("微信", 20), ("vx", 18),
         ("面试", 3), ("校招", 3), ("秋招", 3), ("春招", 3), ("实习", 2),
     )
+    promo_enabled: bool = True
+    ad_enabled: bool = True
+    alg_enabled: bool = True
+    hot_enabled: bool = True
+    alg_context_required: bool = True
+    alg_reach: int = 24
     alg_total_cap: int = 60
     alg_marker: tuple[int, int] = (10, 20)
     alg_topic: tuple[int, int] = (4, 24)
@@ -141,6 +147,7 @@ class Quality:
     alg_markers: tuple[str, ...] = ("leetcode", "力扣", "hot100", "hot 100", "lc", "算法题", "刷题", "题解", "coding interview")
     alg_context: tuple[str, ...] = ("算法", "算法题", "手撕", "手写", "力扣", "leetcode", "lc", "刷题", "题解", "编程题", "hot100", "hot 100", "coding interview")
     alg_topics: tuple[str, ...] = ()
+    alg_titles: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -242,7 +249,23 @@ def settings(raw: dict) -> Settings:
         "promo_min_hits": "promo_block_min_hits", "promo_penalty": "promo_block_penalty", "ad_penalty": "numbered_ad_penalty", "keyword_max": "weighted_keyword_max_score",
         "tail_chars": "tail_scan_chars", "tail_tag_penalty": "tail_tag_penalty", "tail_tag_cap": "tail_tag_penalty_cap", "tail_drain_cap": "tail_drain_penalty_cap",
     }
-    given = {ours: s[theirs] for ours, theirs in plain.items() if theirs in s}
+    plain |= {
+        "structure_enabled": "structure_scoring_enabled", "line_min_chars": "structure_line_min_chars", "noise_step_chars": "structure_noise_penalty_step_chars",
+        "noise_step_penalty": "structure_noise_penalty_per_step", "promo_enabled": "promo_block_enabled", "ad_enabled": "numbered_ad_block_enabled",
+        "ad_follow_chars": "numbered_ad_follow_chars_threshold", "ad_follow_lines": "numbered_ad_follow_lines_threshold", "ad_min_items": "numbered_ad_block_min_items",
+        "ad_ratio": "numbered_ad_block_ratio", "ad_marker_hits": "numbered_ad_marker_block_hits", "length_weight": "length_weight",
+        "alg_enabled": "alg_enabled", "hot_enabled": "alg_hot_enabled", "alg_context_required": "alg_context_required", "alg_reach": "alg_context_prefix_chars",
+        "alg_total_cap": "alg_total_cap", "hot_total_cap": "alg_hot_total_cap", "hot_title_cap": "alg_hot_title_cap", "hot_id_cap": "alg_hot_id_cap",
+        "hot_scale": "alg_hot_freq_scale", "hot_base": "alg_hot_log_base", "hot_max": "alg_hot_max_per_problem",
+    }
+    # A value takes the type of its default.
+    given = {ours: type(getattr(Quality, ours))(s[theirs]) for ours, theirs in plain.items() if theirs in s}
+    for ours, theirs in (("alg_marker", "alg_marker"), ("alg_topic", "alg_topic"), ("alg_problem", "alg_problem"), ("alg_id", "alg_problem_id")):
+        weight, cap = getattr(Quality, ours)
+        given[ours] = (int(s.get(f"{theirs}_weight", weight)), int(s.get(f"{theirs}_cap", cap)))
+    for ours, theirs in (("alg_markers", "alg_markers"), ("alg_context", "alg_context_prefix_keywords"), ("alg_topics", "alg_topic_keywords"), ("alg_titles", "alg_problem_titles")):
+        if theirs in s:
+            given[ours] = tuple(s[theirs])
     if "promo_block_words" in s:
         given["promo_words"] = tuple(s["promo_block_words"])
     if "numbered_ad_markers" in s:
@@ -251,5 +274,9 @@ def settings(raw: dict) -> Settings:
         given["keywords"] = _weighted(s["weighted_keywords"], s.get("default_keyword_weight", 6))
     if "tail_drain_words" in s:
         given["tail_drain"] = tuple((t, int(v)) for k, v in s["tail_drain_words"].items() for t in tokens(k))
-    selection = Selection(items=int(raw.get("max_items_per_keyword", 10)), fill_quota=bool(raw.get("fill_valid_quota", False)), multiplier=float(s.get("heap_pool_multiplier", 1.5)), max_multiplier=float(s.get("heap_elastic_max_multiplier", 2.2)), max_pool=int(s.get("heap_max_pool", 0)))
+    selection = Selection(
+        items=int(raw.get("max_items_per_keyword", 10)), fill_quota=bool(raw.get("fill_valid_quota", False)), multiplier=float(s.get("heap_pool_multiplier", 1.5)), max_multiplier=float(s.get("heap_elastic_max_multiplier", 2.2)), max_pool=int(s.get("heap_max_pool", 0)),
+        step_ratio=float(s.get("heap_elastic_step_ratio", 0.25)), elastic=bool(s.get("heap_elastic_enabled", True)), replace_threshold=int(s.get("heap_elastic_replace_threshold", 6)),
+        idle_rounds=int(s.get("heap_elastic_shrink_idle_rounds", 3)), batch=max(int(s.get("parallel_batch_size", 8)), 1),
+    )
     return Settings(rules, Quality(**given), selection)

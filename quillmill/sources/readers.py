@@ -17,7 +17,7 @@ from ..operators import entity
 
 _PART = "struct<id:string,uuid:string,title:string,content:string>"
 SEARCH = f"keyword string, page int, data struct<records:array<struct<data:struct<momentData:{_PART},contentData:{_PART}>>>>"
-COMMENTS = "post_id string, data struct<records:array<struct<content:string,replyList:array<struct<content:string>>>>>"
+COMMENTS = "post_id string, page int, data struct<records:array<struct<content:string,replyList:array<struct<content:string>>>>>"
 RANKING = "count int, page int, list array<struct<leetcode:struct<title:string,frontend_question_id:string,question_id:string,level:int,slug_title:string>,time:string,value:int>>"
 
 
@@ -33,9 +33,10 @@ def search_posts(responses: DataFrame) -> DataFrame:
 
 
 def flat_comments(responses: DataFrame) -> DataFrame:
-    """(post_id, comments): each comment, then its replies."""
+    """(post_id, comments): each comment, then its replies; with the page where there is one."""
     one = F.transform("data.records", lambda r: F.concat(F.array(r["content"]), F.transform(F.coalesce(r["replyList"], F.array().cast("array<struct<content:string>>")), lambda x: x["content"])))
-    return responses.select("post_id", F.filter(F.flatten(one), lambda x: F.length(x) > 0).alias("comments"))
+    page = [c for c in ("page",) if c in responses.columns]
+    return responses.select("post_id", *page, F.filter(F.flatten(one), lambda x: F.length(x) > 0).alias("comments"))
 
 
 def initial_state(page: Column) -> Column:
@@ -179,13 +180,14 @@ def companies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def algorithm_library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Parts of a library file: markers, topics, titles, ids (1 to 9999) and hot entries."""
+    """Parts of a library file: markers, topics (categories among them), titles, ids (1 to 9999)
+    and hot entries."""
     hot = "struct<id:string,frontend_id:string,title:string,frequency:string,count:string,difficulty:string,last_date:string,url:string,link:string,source:string>"
-    schema = f"markers array<string>, topic_keywords array<string>, problem_titles array<string>, problem_ids array<int>, interview_hot_problems array<{hot}>"
+    schema = f"markers array<string>, categories array<string>, topic_keywords array<string>, problem_titles array<string>, problem_ids array<int>, interview_hot_problems array<{hot}>"
     one = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("x"))
     part = lambda c, name: one.select(F.posexplode(f"x.{c}").alias("seq", name))
     return {
-        "markers": part("markers", "word"), "topics": part("topic_keywords", "word"), "titles": part("problem_titles", "title"),
+        "markers": part("markers", "word"), "topics": one.select(F.posexplode(F.concat(*[F.coalesce(f"x.{c}", F.array().cast("array<string>")) for c in ("categories", "topic_keywords")])).alias("seq", "word")), "titles": part("problem_titles", "title"),
         "ids": part("problem_ids", "id").where("id between 1 and 9999"), "hot": part("interview_hot_problems", "x").select("seq", "x.*"),
     }
 

@@ -79,8 +79,13 @@ def save_parquet(rows: DataFrame, path: str, order: str = "seq") -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def save_csv(rows: DataFrame, path: str, order: str = "seq") -> None:
+    """Quoted fields with a header; line breaks stay in their fields."""
+    rows.orderBy(order).drop(order).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
 #: Names of formats, any case.
-WRITERS: dict[str, Callable[..., None]] = {"xlsx": save_excel, "excel": save_excel, "md": save_markdown, "markdown": save_markdown, "txt": save_text, "text": save_text, "parquet": save_parquet}
+WRITERS: dict[str, Callable[..., None]] = {"xlsx": save_excel, "excel": save_excel, "md": save_markdown, "markdown": save_markdown, "txt": save_text, "text": save_text, "csv": save_csv, "parquet": save_parquet}
 
 
 def day_path(root: str, kind: str, at: datetime) -> str:
