@@ -160,7 +160,7 @@ class Library:
                 self.hot_titles[word] = max(self.hot_titles.get(word, 0), score(f))
             if h.get("id"):
                 self.hot_ids[int(h["id"])] = max(self.hot_ids.get(int(h["id"]), 0), score(f))
-        self.markers, self.topics = match.patterns([*q.alg_markers, *markers], rules), match.patterns([*topics, *q.alg_topics], rules)
+        self.markers, self.topics = tuple(markers), tuple(topics)
         self.titles = match.patterns([*titles, *q.alg_titles], rules, 2)
         #: Titles by their form without punctuation and spaces, the first of each.
         table = {ord(c): None for c in rules.strip_chars}
@@ -192,9 +192,9 @@ def algorithm_signal(title: Column, content: Column, raw: Column, q: Quality = Q
         problems = F.array_union(problems, F.transform(short, lambda x: F.element_at(table, x)))
     problems, hot = named(both, problems, context, q.alg_reach), named(both, hot, context, q.alg_reach)
     ids = match.problem_ids(raw, F.array(*[F.lit(i) for i in library.ids])) if library.ids else F.array().cast("array<int>")
-    size = lambda words: F.size(match.hits(both, words))
+    size = lambda *words: F.size(match.hits(both, match.patterns(words, rules)))
     hot_ids = library.hot_ids if q.hot_enabled else {}
-    score = algorithm_score(size(library.markers), size(library.topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, hot_ids), q)
+    score = algorithm_score(size(*q.alg_markers, *library.markers), size(*library.topics, *q.alg_topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, hot_ids), q)
     return F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), score.cast("int").alias("score"))
 
 

@@ -22,14 +22,14 @@ def test_posts_with_library_comments_and_annotations(spark, tmp_path):
     rows = [(1, "1", "", "content-data", "字节 后端面经", "k", body), (2, "2", "", "content-data", "字节 后端面经二", "k", body.replace("三数之和", "别的"))]
     spark.createDataFrame(rows, "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string").write.parquet(str(tmp_path / "p"))
     (tmp_path / "c.json").write_text(json.dumps(["字节"], ensure_ascii=False))
-    (tmp_path / "lib.json").write_text(json.dumps({"categories": ["图论"], "problem_titles": ["三数之和"], "problem_ids": [15], "interview_hot_problems": [{"id": "15", "title": "三数之和", "frequency": "9", "difficulty": "2"}]}, ensure_ascii=False))
+    (tmp_path / "lib.json").write_text(json.dumps({"categories": ["图论"], "problem_titles": ["三数之和"], "problem_ids": [15], "interview_hot_problems": [{"id": "15", "title": "三数之和", "frequency": "9", "difficulty": "2", "link": "u"}]}, ensure_ascii=False))
     say = lambda *words: {"records": [{"content": w, "replyList": []} for w in words]}
     pages = [{"post_id": "1", "page": 2, "data": say("later")}, {"post_id": "1", "page": 1, "data": say("first", "second")}]
     (tmp_path / "m.json").write_text("\n".join(json.dumps(p) for p in pages))
     args = ["posts", "--posts", tmp_path / "p", "--companies", tmp_path / "c.json", "--library", tmp_path / "lib.json", "--comments", tmp_path / "m.json", "--with", "id", "comments", "outline", "annotations", "--mode", "pool", "--formats", "csv", "--output", tmp_path / "o"]
     out = cli.run_posts(spark, cli.arguments([str(x) for x in args]))
     got = {r["ID"]: r for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["csv"]).collect()}
-    assert got["1"]["算法标注"].startswith("15. 三数之和 | 频度:9 | 难度:中等 | 链接:https://")
+    assert got["1"]["算法标注"] == "15. 三数之和 | 频度:9 | 难度:中等 | 链接:u"
     assert got["1"]["评论及回复"] == "first\nsecond\nlater" and not got["2"]["评论及回复"] and not got["2"]["算法标注"]
     assert got["1"]["面试题清单"].startswith("1. 介绍一下")
 
