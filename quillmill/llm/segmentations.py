@@ -89,6 +89,10 @@ class Lattices:
             raise ValueError("two pieces have one hash")
         self.some = np.zeros(1 << 20, dtype=bool)
         self.some[keys >> np.uint64(44)] = True
+        # Where the keys of each entry of the table begin, and how many the fullest entry has.
+        tops = self.keys >> np.uint64(44)
+        self.slot = np.searchsorted(tops, np.arange(1 << 20, dtype=np.uint64)).astype(np.int32)
+        self.fullest = int(np.bincount(tops.astype(np.int64)).max())
         self.known: dict[str, int] = {}
         self.kept = (0, 0)
         self.first = np.zeros(1, dtype=np.int64)
@@ -123,10 +127,15 @@ class Lattices:
         for size in range(min(self.longest, int(left.max(initial=0))), 0, -1):
             at = np.flatnonzero(left >= size)
             key = self.spans(prefix, at, size)
-            may = self.some[key >> np.uint64(44)]
-            at, key = at[may], key[may]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            top = key >> np.uint64(44)
+            may = np.flatnonzero(self.some[top])
+            at, key, place = at[may], key[may], self.slot[top[may]]
             hit = self.keys[place] == key
+            for more in range(1, self.fullest):
+                rest = np.flatnonzero(~hit)
+                near = np.minimum(place[rest] + more, len(self.keys) - 1)
+                same = self.keys[near] == key[rest]
+                place[rest[same]], hit[rest[same]] = near[same], True
             found.append((at[hit], np.full(int(hit.sum()), size), self.ids[place[hit]]))
         start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         return start, size, piece
@@ -175,7 +184,7 @@ class Lattices:
             back[at[a:b][group]] = total
             value[order[a:b]] = v - np.repeat(total, reps)
         to = np.where(size == ahead, -1, start + size)
-        first = np.searchsorted(start, np.arange(n + 1))
+        first = np.append(0, np.cumsum(np.bincount(start, minlength=n)))
         share = np.exp(value)
         run = np.cumsum(share)
         cum = run - np.repeat(np.append(0.0, run)[first[:-1]], np.diff(first))
