@@ -49,7 +49,7 @@ def gains(own: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFram
     count = lambda df, name: df.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias(name))
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(count(own, "s"), "bucket", "left").join(count(target, "t"), "bucket", "left").fillna(0, ["s", "t"])
-    both = cut(both.coalesce(1))  # a row a bucket
+    both = cut(both)  # a row a bucket; the totals of tasks meet by bucket, not in one task
     total = both.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     up = (F.col("t") + 1).cast("double") * F.lit(float(total["s"] + buckets))
     down = (F.col("s") + 1).cast("double") * F.lit(float(total["t"] + buckets))
