@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import licenses, lloyd, resampling, secret_scan
 
 #: Nodes and their least reachable node; needs ids(id) and edges(u, v), both directions.
 REACH = """reach(id, c) as (select id, id from ids union select e.v, r.c from reach r join edges e on e.u = r.id),
@@ -66,4 +66,89 @@ n as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans from runs grou
 select h.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.kept, h))) as kept_sha256
 from h left join n using (doc_id) left join kept using (doc_id)"""
 
-ORACLE_SQL = {"op2_collisions": OP2, "op3_jaccard": OP3, "op4_secrets": secrets_sql(), "op10_suffixes": OP10}
+
+def low(c: str) -> str:
+    return f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+WORDS = f"regexp_extract_all({low('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def licenses_sql() -> str:
+    ts = licenses.TEMPLATES
+    rows = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, {len(licenses.runs_of(t.text))}, {len(licenses.runs_of(t.text)) if t.phrase else licenses.VOTES}, {0 if t.phrase else licenses.SLIP}, {1.0 if t.phrase else licenses.SHARE})" for k, t in enumerate(ts))
+    runs = ", ".join(f"({k}, {s}, '{r}')" for k, t in enumerate(ts) for s, r in enumerate(licenses.runs_of(t.text)))
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(1, licenses.K + 1))
+    return f"""with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+t(template, label, base, size, votes, slip, least) as (values {rows}),
+g(template, spot, run) as (values {runs}),
+p as (select r, w, unnest(range(0, len(w) - {licenses.K - 1})) as i from d),
+v as (select r, template, i - spot as diagonal, count(distinct spot) as n, min(spot) as a, max(spot) as b, list(distinct spot) as spots from (select r, i, {gram} as own from p) join g on own = run group by all),
+strong as (select v.*, t.* exclude (template, votes) from v join t using (template) where n >= votes),
+new as (select *, case when diagonal - lag(diagonal) over (partition by r, template order by diagonal) <= slip then 0 else 1 end as fresh from strong),
+band as (select *, sum(fresh) over (partition by r, template order by diagonal) as band from new),
+merged as (select r, template, label, base, size, least, band, min(diagonal + a) as s, len(list_distinct(flatten(list(spots)))) / size as share from band group by r, template, label, base, size, least, band),
+sure as (select * from merged where share >= least),
+f as (select r, count(*) filter (where base) as n_base, min(s) filter (where base) as first_word, max(s) filter (where base) as last_word,
+ string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from sure group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, cast(coalesce(score, 0) as double) as score
+from d left join f using (r)"""
+
+
+def lloyd_sql() -> str:
+    def to(c: str) -> str:  # squared distance of integer vectors held as doubles
+        return f"list_dot_product(v, v) - 2 * list_dot_product(v, {c}) + list_dot_product({c}, {c})"
+
+    rounds = ""
+    for k in range(lloyd.ROUNDS):
+        rounds += f""",
+a{k} as materialized (select i, v, min({{'d': {to("c")}, 'k': k}}) as b from x, c{k} group by i, v),
+s{k} as (select b.k as k, j, sum(v[j]) as s, count(*) as n from a{k}, range(1, {lloyd.DIM + 1}) r(j) group by all),
+m{k} as (select k, list(floor(s / n) order by j) as c from s{k} group by k),
+c{k + 1} as materialized (select c{k}.k, coalesce(m{k}.c, c{k}.c) as c from c{k} left join m{k} using (k))"""
+    last = f"c{lloyd.ROUNDS}"
+    return f"""with kept as (select vec_id, embedding::double[] as e from embeddings where len(embedding) = {lloyd.DIM} and len([y for y in embedding if y is null or not isfinite(y)]) = 0),
+x as materialized (select row_number() over () as i, vec_id, [floor({lloyd.SCALE} * y) for y in e] as v from kept),
+c0 as materialized (select row_number() over (order by sha256('{lloyd.SEED}:' || vec_id), v) - 1 as k, v as c from x qualify k < {lloyd.CENTROIDS}){rounds},
+a as (select i, vec_id, min({{'d': {to("c")}, 'k': k}}) as b from x, {last} group by i, vec_id),
+o as (select vec_id, cast(b.k as integer) as cluster, cast(b.d as bigint) as distance from a)
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+ sha256(array_to_string([cast(y as bigint) for y in c], ',')) as centroid_sha256 from o join {last} on k = cluster"""
+
+
+def resampling_sql() -> str:
+    table = []
+    for b in range(256):  # the rule that makes the table of the checksum
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    step = f"xor(a >> 8, list_extract({table}, cast(xor(a, b) & 255 as integer) + 1))"
+    octets = "[cast(('0x' || substr(hex(encode(g)), 2 * j + 1, 2)) as bigint) for j in range(strlen(g))]"
+    n = resampling.BUCKETS
+    grams = lambda of: f"select r, unnest(list_concat(w, [w[j] || ' ' || w[j + 1] for j in range(1, len(w))])) as g from {of}"
+    return f"""with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+q as (select row_number() over () as r, {WORDS} as w from benchmark),
+df as ({grams("d")}), qf as ({grams("q")}),
+names as (select distinct g from (select g from df union all select g from qf)),
+h as materialized (select g, xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda a, b: {step}), 4294967295) % {n} as bucket from names),
+s as (select bucket, count(*) as s from df join h using (g) group by 1),
+t as (select bucket, count(*) as t from qf join h using (g) group by 1),
+total as (select coalesce((select sum(s) from s), 0) as big_s, coalesce((select sum(t) from t), 0) as big_t),
+gain as (select b as bucket, cast(floor(1000.0 * ln((coalesce(t, 0) + 1)::double * (big_t * 0 + big_s + {n})::double / ((coalesce(s, 0) + 1)::double * (big_t + {n})::double))) as bigint) as gain
+ from range({n}) r(b) left join s on s.bucket = b left join t on t.bucket = b, total),
+m as (select r, count(*) as n, sum(gain) as total from df join h using (g) join gain using (bucket) group by r),
+x as (select doc_id, len(w) as words, coalesce(n, 0) as n_features, coalesce(floor(total / n), 0) as weight, cast(('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8)) as bigint) as h from d left join m using (r)),
+y as (select doc_id, words, n_features, cast(weight as bigint) as weight, cast(weight + floor(-1000.0 * ln(-ln((h + 0.5) / 4294967296.0::double))) as bigint) as score from x),
+z as (select *, words >= {resampling.LEAST_WORDS} as able, row_number() over (partition by words >= {resampling.LEAST_WORDS} order by score desc, doc_id) as k, count(*) filter (where words >= {resampling.LEAST_WORDS}) over () as n from y)
+select doc_id, n_features, weight, score, case when able and k <= {resampling.PERCENT} * n // 100 then k end as rank from z"""
+
+
+ORACLE_SQL = {
+    "op2_collisions": OP2,
+    "op3_jaccard": OP3,
+    "op4_secrets": secrets_sql(),
+    "op10_suffixes": OP10,
+    "op11_licenses": licenses_sql(),
+    "op12_lloyd": lloyd_sql(),
+    "op13_resampling": resampling_sql(),
+}

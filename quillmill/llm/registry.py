@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collisions, images, interpolation, jaccard, language, oracle, packing, resampling, secret_scan, segmentations, suffixes, token_store
+from . import collisions, images, interpolation, jaccard, language, licenses, lloyd, oracle, packing, resampling, secret_scan, segmentations, suffixes, token_store
 
 QUERIES = {
     "op1_images": images.op1_images,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_segmentations": segmentations.op9_documents,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op11_licenses": licenses.op11_licenses,
+    "op12_lloyd": lloyd.op12_lloyd,
     "op13_resampling": resampling.op13_resampling,
 }
 
