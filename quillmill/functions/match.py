@@ -1,21 +1,20 @@
 """Pattern matching as Column expressions: filters of titles and contents, hit sets, counts.
 
-A small dictionary is a literal array and stays in the JVM; from AUTOMATON patterns on, one
-pass of a shared automaton in an Arrow function takes its place, with the same results."""
+A small dictionary is a literal array and stays in the JVM; from AUTOMATON patterns on, or COUNTED
+counted ones, one pass of an automaton over the text takes its place, with the same results."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.config import Rules
-from .text import normalize_local, or_empty, quoted
+from .automaton import occurrences
+from .text import bound, normalize_local, or_empty, quoted
 
-AUTOMATON = 400
+AUTOMATON, COUNTED = 400, 32
 
 
 def patterns(words: list[str] | tuple[str, ...], rules: Rules = Rules(), least: int = 1) -> list[str]:
@@ -49,24 +48,9 @@ def count_hits(text: Column, words: list[str]) -> Column:
 
 def automaton_hits(text: Column, words: list[str]) -> Column:
     """hits by one automaton over all words."""
-    order = {w: i for i, w in enumerate(words)}
-
-    @F.pandas_udf("array<string>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-        except ImportError:
-            for s in batches:
-                yield s.map(lambda t: [w for w in words if w in (t or "")])
-            return
-        machine = ahocorasick.Automaton()
-        for w in words:
-            machine.add_word(w, w)
-        machine.make_automaton()
-        for s in batches:
-            yield s.map(lambda t: sorted({w for _, w in machine.iter(t or "")}, key=order.__getitem__))
-
-    return found(text)
+    names, empty = [w for w in dict.fromkeys(words) if w], [w for w in words if not w][:1]
+    found = F.transform(occurrences(text, names)["at"], lambda i: F.element_at(array(names), i + 1))
+    return F.concat(array(empty), found) if empty else found
 
 
 def overlapping_count(text: Column, word: str) -> Column:
@@ -74,6 +58,35 @@ def overlapping_count(text: Column, word: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?=\\Q{word}\\E)"))
 
 
+def weighted(found: Column, weights: list[int], repeated: bool) -> Column:
+    """Sum of the weights of what occurrences found, times how often if repeated."""
+    table = F.array(*[F.lit(w) for w in weights])
+    pairs = F.arrays_zip(found["at"].alias("at"), found["n"].alias("n"))
+    return F.aggregate(pairs, F.lit(0), lambda a, x: a + F.element_at(table, x["at"] + 1) * (x["n"] if repeated else F.lit(1)))
+
+
+def weighted_counts(title: Column, content: Column, entries: list[tuple[str, str, bool, int]]) -> Column:
+    """Sum over entries (word, scope, repeated, weight) of the weight of those that are in their
+    scope, times their occurrences if repeated; each text is read once, whatever the entries."""
+    words = list(dict.fromkeys(w for w, *_ in entries if w))
+    place = {w: i for i, w in enumerate(words)}
+
+    def weights(wanted: tuple[str, ...], repeated: bool) -> list[int]:
+        out = [0] * len(words)
+        for w, scope, often, weight in entries:
+            if w and scope in wanted and often == repeated:
+                out[place[w]] += weight
+        return out
+
+    def total(t: Column, c: Column) -> Column:
+        either = F.struct(F.array_union(t["at"], c["at"]).alias("at"), F.array().cast("array<int>").alias("n"))
+        parts = [(t, ("title",), False), (c, ("content",), False), (either, ("both",), False), (t, ("title", "both"), True), (c, ("content", "both"), True)]
+        used = [(found, weights(scopes, often), often) for found, scopes, often in parts]
+        return reduce(lambda a, b: a + b, [weighted(found, w, often) for found, w, often in used if any(w)], F.lit(0))
+
+    return bound(F.struct(occurrences(title, words).alias("t"), occurrences(content, words).alias("c")), lambda x: total(x["t"], x["c"]))
+
+
 def keyword_count(text: Column, word: str) -> Column:
     """Occurrences of a keyword: whole words if it is of ASCII letters and digits, else
     anywhere, not overlapping."""
