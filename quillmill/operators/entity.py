@@ -1,8 +1,8 @@
 """Which organisation a title is about: dictionary candidates, their scores, the best one.
 
-Titles meet dictionaries by containment. Titles are cut into the token starts that an entry
-could match, so the meeting is an equi-join on the entry's first characters rather than a
-test of every title against every entry; the exact test follows."""
+Titles meet dictionaries by containment. Each entry is filed under its gram (two neighbouring
+characters) that the fewest titles hold, and titles ask for the grams that they hold, so the
+meeting is an equi-join that common beginnings do not heat up; the exact test follows."""
 
 from __future__ import annotations
 
@@ -125,22 +125,37 @@ def dictionary(spark: SparkSession, companies: list[str], owner: dict[str, str]
     return spark.createDataFrame(rows, "alias string, company string, source string, weight int, rule int")
 
 
-#: Characters by which titles and dictionary entries meet.
-KEY = 2
+def grams(c: Column, alone: bool) -> Column:
+    """Distinct pairs of neighbouring characters in lower case; with alone, single ones too."""
+    chars = F.split(F.lower(c), "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_union(pairs, chars) if alone else F.array_distinct(F.when(F.size(pairs) > 0, pairs).otherwise(chars))
+
+
+def signatures(titles: DataFrame, entries: DataFrame) -> DataFrame:
+    """(alias, k, n): the gram under which an entry is filed, of those it holds the one that the
+    fewest titles hold, and by how many. Titles are counted for the dictionary's grams only."""
+    held = entries.select("alias").distinct().withColumn("k", F.explode(grams(F.col("alias"), False)))
+    asked = titles.select(F.explode(grams(F.col("title"), True)).alias("k")).join(held.select("k").distinct(), "k", "left_semi")
+    count = asked.groupBy("k").agg(F.count("*").alias("n"))
+    known = held.join(count, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return known.groupBy("alias").agg(F.min(F.struct("n", "k")).alias("x")).select("alias", "x.k", "x.n")
+
+
+def meetings(titles: DataFrame, entries: DataFrame) -> DataFrame:
+    """Titles with the entries whose gram they hold: all that contain an entry, and few more."""
+    filed = entries.join(signatures(titles, entries).where("n > 0").select("alias", "k"), "alias")
+    asked = titles.select("seq", "title", F.explode(grams(F.col("title"), True)).alias("k"))
+    return asked.join(filed, "k").drop("k")
 
 
 def candidates(titles: DataFrame, entries: DataFrame, aliases: dict[str, str] = ALIAS_MAP, only: DataFrame | None = None) -> DataFrame:
     """(seq, company, alias, source, score, pos, len, rule) of the entries that titles(seq,
     title) contain; only(company): the organisations allowed."""
-    low = F.lower(F.col("title"))
-    chars = F.split(low, "")
-    # Pairs of neighbours, and single characters for entries of one.
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    keyed = titles.select("seq", "title", F.explode(F.array_union(pairs, chars)).alias("k"))
-    named = entries.withColumn("company", canonical(F.col("company"), aliases)).withColumn("k", F.substring(F.lower("alias"), 1, KEY))
+    named = entries.withColumn("company", canonical(F.col("company"), aliases))
     if only is not None:
         named = named.join(only.select("company").distinct(), "company", "left_semi")
-    met = keyed.join(named, "k")
+    met = meetings(titles, named)
     scored = met.withColumn("pos", position(F.col("title"), F.col("alias"))).where("pos >= 0")
     scored = scored.withColumn("score", candidate_score(F.col("title"), F.col("alias"), F.col("weight")))
     return scored.select("seq", "company", "alias", "source", "score", "pos", F.length("alias").alias("len"), "rule").distinct()

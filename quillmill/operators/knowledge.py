@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .components import components
 
 ENTRY = "seq long, id int, frontend_id string, title string, difficulty string, last_date string, frequency int, url string, source string"
 
@@ -58,22 +59,15 @@ def gathered(found: DataFrame, *key: str, gaps: tuple[str, ...] = GAPS) -> DataF
 
 def groups(found: DataFrame) -> DataFrame:
     """found with `_t` (title key) and `_g`: the least title key that a chain of shared titles
-    and numbers leads to. Rows without a number take no part in the second kind of step."""
+    and numbers leads to. Rows without a number connect nothing by it."""
     rows = found.withColumn("_t", text.title_key(F.col("title"))).where("_t <> ''")
     pairs = rows.where("id is not null").select("id", "_t").distinct()
-    # Only numbers that stand under several titles connect anything.
-    shared = pairs.groupBy("id").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo <> hi").select("id")
-    pairs = pairs.join(shared, "id").persist()
-    label = pairs.select("_t", F.col("_t").alias("_g")).distinct().persist()
-    while True:
-        least = pairs.join(label, "_t").groupBy("id").agg(F.min("_g").alias("_m"))
-        new = pairs.join(least, "id").groupBy("_t").agg(F.min("_m").alias("_n"))
-        step = label.join(new, "_t").select("_t", F.least("_g", "_n").alias("_g"), (F.col("_n") < F.col("_g")).alias("moved")).persist()
-        changed = step.where("moved").limit(1).count()
-        label.unpersist()
-        label = step.drop("moved")
-        if not changed:
-            return rows.join(label, "_t", "left").withColumn("_g", F.coalesce("_g", "_t"))
+    # A number joins each of its titles to the least of them: a row a title, however many.
+    least = pairs.groupBy("id").agg(F.min("_t").alias("u"))
+    edges = pairs.join(least, "id").select("u", F.col("_t").alias("v")).where("u <> v")
+    label, _ = components(edges)
+    joined = rows.join(label, F.col("_t") == F.col("node"), "left")
+    return joined.withColumn("_g", F.coalesce("component", "_t")).drop("node", "component")
 
 
 def merge(found: DataFrame) -> DataFrame:
