@@ -13,16 +13,25 @@ from ..functions import match, text
 from ..plans.config import Rules
 
 
+#: Posts as a scan leaves them.
+POSTS = "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string"
+
+
 def read_posts(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
     """New files of a folder, a bounded number a micro-batch (the back pressure)."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def matching(posts: DataFrame, rules: Rules = Rules(), content: str = "search_content") -> DataFrame:
+    """Posts whose title and text match; stateless."""
+    t, c = text.normalize(F.col("title"), rules.normalization), text.normalize(F.col(content), rules.normalization)
+    kept = posts.withColumns({"_t": t, "_c": c}).where(match.title_passes(F.col("_t"), rules) & match.relevant(F.col("_t"), F.col("_c"), rules))
+    return kept.drop("_t", "_c")
+
+
 def clean_stream(posts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Relevant posts with archive content; stateless, so any sink and mode will do."""
-    t, c = text.normalize(F.col("title"), rules.normalization), text.normalize(F.col("content"), rules.normalization)
-    kept = posts.withColumns({"_t": t, "_c": c}).where(match.title_passes(F.col("_t"), rules) & match.relevant(F.col("_t"), F.col("_c"), rules))
-    return kept.drop("_t", "_c").withColumn("content", text.archive_content(F.col("content")))
+    return matching(posts, rules, "content").withColumn("content", text.archive_content(F.col("content")))
 
 
 def first_seen(posts: DataFrame, *keys: str, time: str | None = None, lateness: str = "1 hour") -> DataFrame:
