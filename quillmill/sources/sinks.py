@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import knowledge
 from ..operators.posts import COLUMNS
-
+from .reports import save_report
 
 
 def _field(c: str) -> Column:
@@ -37,20 +37,12 @@ def text_rows(rows: DataFrame, order: str) -> DataFrame:
     return rows.select(F.col(order).alias("seq"), F.concat(F.lit("=" * 80 + "\n"), body, F.lit("\n")).alias("value"))
 
 
-def _report(sections: DataFrame, head: str, path: str, single: bool) -> None:
-    """Sections in order under a head; as one file, or as ordered parts for large results."""
-    first = sections.sparkSession.createDataFrame([(-(2**62), head)], "seq long, value string")
-    out = first.union(sections.select(F.col("seq").cast("long").alias("seq"), "value"))
-    out = out.repartition(1).sortWithinPartitions("seq") if single else out.orderBy("seq")
-    out.select("value").write.mode("overwrite").text(path)
-
-
-def save_markdown(rows: DataFrame, path: str, order: str = "seq", single: bool = True) -> None:
-    _report(markdown_rows(rows, order), f"# Report\n\nRows: {rows.count()}\n", path, single)
+def save_markdown(rows: DataFrame, path: str, order: str = "seq") -> None:
+    save_report(markdown_rows(rows, order), "# Report\n\nRows: {rows}\n", path, "md")
 
 
-def save_text(rows: DataFrame, path: str, order: str = "seq", single: bool = True) -> None:
-    _report(text_rows(rows, order), f"Rows: {rows.count()}", path, single)
+def save_text(rows: DataFrame, path: str, order: str = "seq") -> None:
+    save_report(text_rows(rows, order), "Rows: {rows}", path, "txt")
 
 
 def save_excel(rows: DataFrame, path: str, order: str = "seq", most: int = 1_000_000) -> None:
