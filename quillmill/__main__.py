@@ -9,19 +9,24 @@ from __future__ import annotations
 import argparse
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import entity, knowledge, posts, quality
 from .plans import config
 from .sources import readers, sinks
+from .streaming import pool
+from .streaming import posts as streams
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="quillmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("posts")
-    p.add_argument("--posts", required=True, help="Parquet: seq, id, uuid, detail_api_type, title, keyword, search_content")
+    source = p.add_mutually_exclusive_group(required=True)
+    source.add_argument("--posts", help="Parquet: seq, id, uuid, detail_api_type, title, keyword, search_content")
+    source.add_argument("--responses", help="JSON search responses: keyword, page, data")
+    p.add_argument("--pages", type=int, help="pages of a keyword among which an empty one ends its scan")
     p.add_argument("--details", help="Parquet: kind, key, content")
     p.add_argument("--comments", help="JSON comment responses: post_id, page, data")
     p.add_argument("--library", help="JSON library of problems, as `library` writes it")
@@ -31,6 +36,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--items", type=int)
     p.add_argument("--fill-valid-quota", action="store_true")
     p.add_argument("--mode", choices=["pool", "early", "elastic", "first"], default="early")
+    p.add_argument("--stream", help="folder of a stream's state: --posts is read file by file, and a later run goes on with new files (modes pool and first)")
     p.add_argument("--with", dest="extra", nargs="*", default=[], choices=["id", "comments", "outline", "annotations"], help="further columns of the archive")
     p.add_argument("--keep-unknown", action="store_true", help="keep posts of no known organisation")
     p.add_argument("--formats", default="md,txt")
@@ -42,20 +48,37 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     return top.parse_args(args)
 
 
+def chosen_posts(spark: SparkSession, a: argparse.Namespace, s: config.Settings, pick: config.Selection, library: quality.Library | None) -> DataFrame:
+    """The posts that the selection keeps, scored, with a number that tells them apart."""
+    details = spark.read.parquet(a.details) if a.details else spark.createDataFrame([], "kind string, key string, content string")
+    mine = F.col("keyword").isin(*a.keywords) if a.keywords else F.lit(True)
+    if a.stream:
+        if a.mode not in ("pool", "first") or not a.posts:
+            raise SystemExit("--stream goes with --posts and the modes pool and first")
+        best = a.mode == "pool"
+        k = pick.pool if best else pick.items
+        found = streams.matching(streams.read_posts(spark, a.posts, streams.POSTS), s.rules).where(mine)
+        scored = quality.evaluate(posts.with_details(found, details), s.quality, s.rules, library).withColumn("content_chars", F.col("breakdown.content_chars"))
+        entered = pool.entrants(scored, k, best=best)
+        pool.to_table(entered, f"{a.stream}/entered", f"{a.stream}/state").awaitTermination()
+        return readers.arrival(pool.pool(spark.read.schema(entered.schema).parquet(f"{a.stream}/entered"), k, best=best), a.keywords or ())
+    if a.responses:
+        found = readers.search_posts(spark.read.schema(readers.SEARCH).json(a.responses), a.keywords or (), a.pages or s.pages, s.rules)
+    else:
+        found = readers.arrival(spark.read.parquet(a.posts), a.keywords or ())
+    full = posts.with_details(posts.filter_candidates(found.where(mine), s.rules), details)
+    return posts.select_posts(full, s.rules, s.quality, pick, library, a.mode).selected
+
+
 def run_posts(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
     s = config.settings(config.load(a.config)) if a.config else config.Settings()
     pick = replace(s.selection, items=a.items or s.selection.items, fill_quota=a.fill_valid_quota or s.selection.fill_quota)
-    found = spark.read.parquet(a.posts)
-    if a.keywords:
-        found = found.where(F.col("keyword").isin(*a.keywords))
-    details = spark.read.parquet(a.details) if a.details else spark.createDataFrame([], "kind string, key string, content string")
-    full = posts.with_details(posts.filter_candidates(found, s.rules), details)
-    if a.comments:
-        full = posts.with_comments(full, readers.flat_comments(spark.read.schema(readers.COMMENTS).json(a.comments)))
     names = readers.companies(spark, a.companies)
     known = [r["company"] for r in names.collect()]  # a dictionary, some hundred names
     parts = readers.algorithm_library(spark, a.library) if a.library else {}
-    chosen = posts.select_posts(full, s.rules, s.quality, pick, library_of(parts, s), a.mode).selected
+    chosen = chosen_posts(spark, a, s, pick, library_of(parts, s))
+    if a.comments:
+        chosen = posts.with_comments(chosen, readers.flat_comments(spark.read.schema(readers.COMMENTS).json(a.comments)))
     extra = set(a.extra) - ({"comments"} if not a.comments else set()) - ({"annotations"} if not parts else set())
     if "annotations" in extra:
         chosen = posts.with_matches(chosen, knowledge.entries(parts["hot"]), s.rules)

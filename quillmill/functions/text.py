@@ -4,6 +4,7 @@ space or digits of other scripts count too."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,20 +47,29 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: an expression that a lambda's body names is
+    computed for each element, an argument is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(c: Column, rules: Normalization = Normalization()) -> Column:
     """The form in which patterns and texts are compared: NFKC, lower case, one writing of
     punctuation and digits, no zero-width characters, white space folded."""
     out = or_empty(c)
     if rules.nfkc:
         out = nfkc(out)
-    out = F.translate(F.lower(out), *PUNCTUATION)
+    out = F.lower(out)
+    if rules.unify_punctuation:
+        out = F.translate(out, *PUNCTUATION)
     if rules.map_digits:
         out = F.translate(out, *DIGITS)
     if rules.strip_zero_width:
         out = F.translate(out, ZERO_WIDTH, "")
-    out = strip(F.regexp_replace(out, r"(?U)\s+", " "))
+    if rules.fold_spaces:
+        out = strip(F.regexp_replace(out, r"(?U)\s+", " "))
     for old, new in rules.aliases:
-        out = F.replace(out, F.lit(old), F.lit(new))
+        out = F.replace(out, F.lit(old.lower()), F.lit(new.lower()))
     if rules.collapse_repeats:
         n = max(2, rules.repeat_threshold)
         out = F.regexp_replace(out, rf"(?s)(.)\1{{{n - 1},}}", "$1")
@@ -71,12 +81,13 @@ def normalize_local(text: str, rules: Normalization = Normalization()) -> str:
     import unicodedata
 
     out = unicodedata.normalize("NFKC", text) if rules.nfkc else text
-    out = out.lower().translate(str.maketrans(*PUNCTUATION))
+    out = out.lower()
+    out = out.translate(str.maketrans(*PUNCTUATION)) if rules.unify_punctuation else out
     out = out.translate(str.maketrans(*DIGITS)) if rules.map_digits else out
     out = out.translate({ord(z): None for z in ZERO_WIDTH}) if rules.strip_zero_width else out
-    out = " ".join(out.split())
+    out = " ".join(out.split()) if rules.fold_spaces else out
     for old, new in rules.aliases:
-        out = out.replace(old, new)
+        out = out.replace(old.lower(), new.lower())
     if rules.collapse_repeats:
         out = re.sub(rf"(?s)(.)\1{{{max(2, rules.repeat_threshold) - 1},}}", r"\1", out)
     return out

@@ -78,15 +78,18 @@ def select_posts(posts: DataFrame, rules: Rules = Rules(), q: Quality = Quality(
 
 def clean(posts: DataFrame, entries: DataFrame, companies: DataFrame, per_keyword: int = 0, drop_unknown: bool = True) -> DataFrame:
     """Archive rows of posts(seq, id, title, keyword, url, content, ...): markup gone, the
-    organisation found, a quota a keyword; `is_kept` and `is_dropped` say what became of each."""
-    titles = posts.select("seq", "title")
-    found = entity.candidates(titles, entries, only=companies)
-    named = posts.join(entity.best_company(titles, found).select("seq", "company"), "seq")
-    named = named.withColumn("content", text.archive_content(F.col("content")))
-    if "comments" in posts.columns:
-        named = named.withColumn("comments", text.archive_content(F.array_join("comments", "\n")))
+    organisation found, a quota a keyword; `is_kept` and `is_dropped` say what became of each.
+    `seq` must tell posts apart. Names and quota are found on titles alone; the contents are
+    shuffled once, when what was found is joined back."""
+    titles = posts.select("seq", "title", "keyword")
+    found = entity.candidates(titles.select("seq", "title"), entries, only=companies)
+    named = entity.best_company(titles, found).select("seq", "keyword", "company")
     kept = (F.col("company") != entity.UNKNOWN) if drop_unknown else F.lit(True)
-    return rank.running_quota(named, per_keyword or (1 << 31) - 1, kept)
+    flags = rank.running_quota(named, per_keyword or (1 << 31) - 1, kept).drop("keyword")
+    out = posts.join(flags, "seq").withColumn("content", text.archive_content(F.col("content")))
+    if "comments" in posts.columns:
+        out = out.withColumn("comments", text.archive_content(F.array_join("comments", "\n")))
+    return out
 
 
 #: The archive's columns.

@@ -25,7 +25,7 @@ def numbered_lines(content: Column) -> Column:
 
 def numbered_items(content: Column, least: int = 6) -> Column:
     """Items of an outline ("n. body"): numbered lines with enough text and a number above
-    all before it."""
+    all before it. Numbers have two digits, so the list that is kept grows 99 times at most."""
     found = F.transform(numbered_lines(content), lambda x: F.struct(F.regexp_extract(x, NUMBERED, 1).cast("int").alias("no"), text.strip(F.regexp_replace(F.regexp_extract(x, NUMBERED, 2), r"(?U)\s+", " ")).alias("body")))
     good = F.filter(found, lambda x: (text.dense_length(x["body"]) >= least) & (x["no"] > 0))
     none = F.struct(F.lit(0).alias("last"), F.expr(f"cast(array() as {ITEM})").alias("out"))
@@ -58,6 +58,8 @@ def keyword_score(title: Column, content: Column, q: Quality = Quality(), rules:
         if word:
             key = (word[0], k.scope, k.repeated)
             best[key] = max(best.get(key, k.weight), k.weight)
+    if len(best) >= match.COUNTED and all(weight >= 0 for weight in best.values()):  # then a cap at the end is one at each step
+        return F.least(match.weighted_counts(title, content, [(*key, weight) for key, weight in best.items()]), F.lit(q.keyword_max))
     total = F.lit(0)
     for (word, scope, repeated), weight in best.items():
         seen = {"title": [title], "content": [content]}.get(scope, [title, content])
@@ -107,10 +109,11 @@ def numbered_ads(content: Column, q: Quality = Quality(), rules: Rules = Rules()
     """Struct of what follows numbered lines: segments, suspicious ones, distinct markers, and
     whether that is an advertisement. normalized: the lines are in normal form already."""
     markers = match.patterns(q.ad_markers, rules)
-    marked = F.transform(lines(content), lambda x: F.struct(x.alias("line"), x.rlike(NUMBERED).alias("start")))
-    empty = F.expr("cast(array() as array<array<string>>)")
-    # Each segment: the lines between a numbered line and the next one.
-    segments = F.aggregate(marked, empty, lambda s, x: F.when(x["start"], F.concat(s, F.array(F.array().cast("array<string>")))).when(F.size(s) > 0, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.concat(F.element_at(s, -1), F.array(x["line"]))))).otherwise(s))
+    # Each segment: the lines between a numbered line and the next one, cut out by its bounds.
+    # Lines and bounds are bound to a lambda's argument, so they are made once and not once a line.
+    found = text.bound(lines(content), lambda rows: F.struct(rows.alias("rows"), F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(NUMBERED), i + 1)), lambda i: i.isNotNull()).alias("starts")))
+    ends = lambda x: F.concat(F.slice(x["starts"], F.lit(2), F.size(x["starts"])), F.array(F.size(x["rows"]) + 1))
+    segments = text.bound(found, lambda x: F.when(F.size(x["starts"]) > 0, F.zip_with(x["starts"], ends(x), lambda a, b: F.slice(x["rows"], a + 1, b - a - 1))).otherwise(F.array().cast("array<array<string>>")))
     low = (lambda c: c) if normalized else (lambda c: F.lower(c))
 
     def facts(seg: Column) -> Column:
@@ -120,13 +123,15 @@ def numbered_ads(content: Column, q: Quality = Quality(), rules: Rules = Rules()
         suspect = (F.size(seg) > 0) & (((chars >= q.ad_follow_chars) & (F.size(seg) >= q.ad_follow_lines)) | ((F.size(found) > 0) & (chars >= max(20, 30))))
         return F.struct(suspect.alias("suspect"), F.when(F.size(seg) > 0, found).otherwise(F.array().cast("array<string>")).alias("found"))
 
-    seen = F.transform(segments, facts)
-    n = F.size(segments)
-    bad = F.size(F.filter(seen, lambda x: x["suspect"]))
-    kinds = F.size(F.array_distinct(F.flatten(F.transform(seen, lambda x: x["found"]))))
-    enough = n >= q.ad_min_items
-    blocked = (enough & (bad >= 2) & (bad >= n * q.ad_ratio)) | (enough & (bad >= 1) & (kinds >= q.ad_marker_hits))
-    return F.struct(n.alias("segments"), bad.alias("suspicious"), kinds.alias("markers"), blocked.alias("blocked"))
+    def verdict(seen: Column) -> Column:
+        n = F.size(seen)
+        bad = F.size(F.filter(seen, lambda x: x["suspect"]))
+        kinds = F.size(F.array_distinct(F.flatten(F.transform(seen, lambda x: x["found"]))))
+        enough = n >= q.ad_min_items
+        blocked = (enough & (bad >= 2) & (bad >= n * q.ad_ratio)) | (enough & (bad >= 1) & (kinds >= q.ad_marker_hits))
+        return F.struct(n.alias("segments"), bad.alias("suspicious"), kinds.alias("markers"), blocked.alias("blocked"))
+
+    return text.bound(F.transform(segments, facts), verdict)
 
 
 def algorithm_score(markers: Column, topics: Column, problems: Column, ids: Column, hot_titles: Column, hot_ids: Column, q: Quality = Quality()) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import Selection
+from ..sources.tables import cut
+from . import order
 
 
 def first_arrivals(posts: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
@@ -43,16 +45,24 @@ def first_rows(scored: DataFrame, k: int, by: str = "keyword", only: str | None
     return out.where(only) if only else out
 
 
+def stops(rows: DataFrame, s: Selection, by: str = "keyword") -> DataFrame:
+    """(keyword, stop): the place in `seq` of the first full batch of rows(seq, keyword, passed)
+    after which the pool is full; keywords that never fill it are missing. Counts run over
+    ranges of `seq`, so no task sees a whole keyword."""
+    sums = {"_n": F.lit(1), "_ok": F.col("passed").cast("int")}
+    counted = order.running(rows.select("seq", by, "passed"), by, ["seq"], sums)
+    full = (F.col("_n") % s.batch == 0) & (F.col("_ok") >= s.pool)
+    return counted.where(full).groupBy(by).agg(F.min("seq").alias("stop"))
+
+
 def early_stop_pool(scored: DataFrame, s: Selection = Selection(), by: str = "keyword") -> DataFrame:
     """The pool when a keyword's scan stops at the first full batch after which the pool is
-    full; scored(passed, ...) holds all rows with content."""
-    w = Window.partitionBy(by).orderBy("seq")
-    rows = scored.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.floor((F.col("_n") - 1) / s.batch))
-    rows = rows.withColumn("_ok", F.sum(F.col("passed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    full = (F.col("_n") % s.batch == 0) & (F.col("_ok") >= s.pool)
-    rows = rows.withColumn("_stop", F.min(F.when(full, F.col("_b"))).over(Window.partitionBy(by)))
-    kept = rows.where("passed and (_stop is null or _b <= _stop)").drop("_n", "_b", "_ok", "_stop")
-    return top_pool(kept, s.pool, by)
+    full; scored(passed, ...) holds all rows with content. scored is written once, as it is read
+    to find the stops and again to choose; only a task's k best of a keyword meet in the choice."""
+    rows = cut(scored)
+    last = stops(rows, s, by).select(F.col(by).alias("_by"), "stop")
+    kept = rows.where("passed").join(last, F.col(by).eqNullSafe(F.col("_by")), "left").where("stop is null or seq <= stop")
+    return top_pool(kept.drop("_by", "stop"), s.pool, by)
 
 
 def elastic_pool(scored: DataFrame, s: Selection = Selection(), by: str = "keyword") -> DataFrame:
@@ -118,11 +128,11 @@ def elastic_pool(scored: DataFrame, s: Selection = Selection(), by: str = "keywo
 
 def running_quota(rows: DataFrame, n: int, kept: Column, by: str = "keyword") -> DataFrame:
     """Rows in arrival order with `is_kept` (kept and among the first n such of a non-empty
-    keyword) and `is_dropped` (not kept, before the quota was full)."""
-    before = F.coalesce(F.sum(F.col("_k").cast("int")).over(Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = (before < n) | (F.length(text_of(by)) == 0)
-    out = rows.withColumn("_k", kept).withColumn("_open", open_)
-    return out.withColumn("is_kept", F.col("_k") & F.col("_open")).withColumn("is_dropped", ~F.col("_k") & F.col("_open")).drop("_k", "_open")
+    keyword) and `is_dropped` (not kept, before the quota was full). Counts run over ranges of
+    `seq`, which tells rows apart; rows should be slim, and be joined by `seq` afterwards."""
+    out = order.running(rows.withColumn("_k", kept), by, ["seq"], {"_used": F.col("_k").cast("int")}, before=True)
+    open_ = (F.col("_used") < n) | (F.length(text_of(by)) == 0)
+    return out.withColumn("is_kept", F.col("_k") & open_).withColumn("is_dropped", ~F.col("_k") & open_).drop("_k", "_used")
 
 
 def text_of(name: str) -> Column:

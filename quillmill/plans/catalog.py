@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import match, text
+from ..functions import automaton, match, text
 from ..operators import entity, knowledge, quality, rank, stats
 from ..operators import posts as runs
 from ..sources import readers
@@ -137,6 +137,22 @@ def pattern_counts_overlap(spark, sf):
     return normal(posts(spark, sf)).select(F.col("seq").alias("doc_id"), *[match.overlapping_count(F.col("c"), w).cast("long").alias(f"n_{w}") for w in ("the", "ion", "ou")])
 
 
+#: 500 features: pairs of letters, then triples.
+FEATURES = [a + b for a in "etaoinshrdlucmfpgwyb" for b in "etaoinshrdlucmfpgwyb"] + [a + b + c for a in "etaoi" for b in "nshr" for c in "etaoi"]
+
+
+@query("pattern_counts_many", f"""with {POSTS}, f(word, weight) as (values {", ".join(f"('{w}', {i % 7 + 1})" for i, w in enumerate(FEATURES))}),
+g as (select seq, substr(c, i, 2) as word from (select seq, c, unnest(range(1, length(c))) as i from n) union all select seq, substr(c, i, 3) from (select seq, c, unnest(range(1, length(c) - 1)) as i from n)),
+k as (select seq, word, weight, count(*) as n from g join f using (word) group by all)
+select n.seq as doc_id, count(word) as kinds, cast(coalesce(sum(k.n), 0) as bigint) as occurrences, cast(coalesce(sum(k.n * weight), 0) as bigint) as total from n left join k on n.seq = k.seq group by n.seq""")
+def pattern_counts_many(spark, sf):
+    """Overlapping counts of 500 features at once: one automaton, one pass over each text."""
+    found = automaton.occurrences(F.col("c"), FEATURES)
+    rows = normal(posts(spark, sf)).select("seq", found.alias("x"))
+    sum_ = F.aggregate("x.n", F.lit(0).cast("long"), lambda a, n: a + n)
+    return rows.select(F.col("seq").alias("doc_id"), F.size("x.at").cast("long").alias("kinds"), sum_.alias("occurrences"), match.weighted(F.col("x"), [i % 7 + 1 for i in range(len(FEATURES))], True).cast("long").alias("total"))
+
+
 def whole(w: str) -> str:
     return f"cast(len([x for x in string_split(regexp_replace(c, '[^a-z0-9]+', ' ', 'g'), ' ') if x = '{w}']) as bigint)"
 
@@ -338,7 +354,8 @@ p as (select *, {POOL} as rank from kept)"""
 
 @query("early_stop_topk", f"with {EARLY} select keyword, rank, seq as doc_id, score from p where rank <= {PICK.pool}")
 def early_stop_topk(spark, sf):
-    out = rank.early_stop_pool(scored(spark, sf), PICK)
+    rows = scored(spark, sf).select("seq", "id", "keyword", "quality_score", "content_chars", "passed")
+    out = rank.early_stop_pool(rows, PICK)
     return out.select("keyword", F.col("rank").cast("long").alias("rank"), F.col("seq").alias("doc_id"), F.col("quality_score").cast("long").alias("score"))
 
 
@@ -401,6 +418,16 @@ def entity_candidates(spark, sf):
     return found_brands(spark, sf).select("seq", "company", F.col("score").cast("long").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
+@query("entity_signatures", """with tt as (select lower(concat_ws('-', p_name, p_type, p_brand)) as title from part),
+al as (select distinct lower(split_part(p_type, ' ', 1)) as alias from part union select distinct lower(p_brand) from part),
+g as (select k, count(*) as n from (select unnest(list_distinct([title[i:i + 1] for i in range(1, length(title))])) as k from tt) group by k),
+h as (select distinct alias, k from (select alias, unnest([alias[i:i + 1] for i in range(1, length(alias))]) as k from al)),
+c as (select alias, k, coalesce(n, 0) as n from h left join g using (k))
+select alias, k as gram, n as titles from c qualify row_number() over (partition by alias order by n, k) = 1""")
+def entity_signatures(spark, sf):
+    return entity.signatures(titles(spark, sf), brand_entries(spark, sf)).select("alias", F.col("k").alias("gram"), F.col("n").alias("titles"))
+
+
 @query("entity_best", f"with {ENTITY} select tt.seq, coalesce(best.company, '其他') as company from tt left join best on tt.seq = best.seq and rn = 1")
 def entity_best(spark, sf):
     return entity.best_company(titles(spark, sf), found_brands(spark, sf)).select("seq", "company")
@@ -695,6 +722,24 @@ def search_scan(spark, sf):
     return readers.search_posts(pages).select(F.col("id").cast("long").alias("doc_id"), "id", "title", "search_content")
 
 
+KIND = "split_part(p_type, ' ', 1)"
+SCAN = QUOTA.replace(ENTITY[: ENTITY.index("al as")], f"tt as (select row_number() over (order by {KIND}, p_partkey) as seq, p_partkey, lower(concat_ws('-', p_name, p_type, p_brand)) as title, {KIND} as keyword from part),\n")
+
+
+@query("scan_clean", f"with {SCAN} select k.seq, cast(p_partkey as varchar) as id, k.keyword, company, company <> '其他' and used < 7 as is_kept, company = '其他' and used < 7 as is_dropped from k join tt on k.seq = tt.seq")
+def scan_clean(spark, sf):
+    """A scan of several keywords, pages and records, numbered as a whole and cleaned."""
+    p = table(spark, sf, "part").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("keyword"), F.lower(F.concat_ws("-", "p_name", "p_type", "p_brand")).alias("title"))
+    part = F.struct(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("u"), "p_partkey").alias("uuid"), "title", F.lit("").alias("content"))
+    record = F.struct(F.struct(part.alias("momentData"), part.alias("contentData")).alias("data"))
+    # A page holds the records of 40 numbers, so a keyword has many pages with several records each.
+    pages = p.groupBy("keyword", (F.floor(F.col("p_partkey") / 40) + 1).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", record.alias("r")))), lambda x: x["r"]).alias("records"))
+    found = readers.search_posts(pages.select("keyword", "page", F.struct("records").alias("data")))
+    entries = brand_entries(spark, sf)
+    rows = found.withColumns({"url": F.lit(""), "content": F.col("search_content")})
+    return runs.clean(rows, entries, entries.where(ALLOWED), 7).select("seq", "id", "keyword", "company", "is_kept", "is_dropped")
+
+
 @query("ranking_scan", "select p_partkey + 1 as seq, cast(p_partkey + 1 as bigint) as id, p_name as title, case p_size % 4 when 1 then '容易' when 2 then '中等' when 3 then '困难' else '' end as difficulty, cast(p_size as bigint) as frequency, 'https://leetcode.cn/problems/' || p_brand as url from part")
 def ranking_scan(spark, sf):
     p = table(spark, sf, "part").withColumn("p_partkey", F.col("p_partkey") + 1)

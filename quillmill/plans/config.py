@@ -57,6 +57,8 @@ class Normalization:
     collapse_repeats: bool = False
     repeat_threshold: int = 3
     aliases: tuple[tuple[str, str], ...] = ()
+    unify_punctuation: bool = True
+    fold_spaces: bool = True
 
 
 @dataclass(frozen=True)
@@ -196,6 +198,7 @@ class Settings:
     rules: Rules = field(default_factory=Rules)
     quality: Quality = field(default_factory=Quality)
     selection: Selection = field(default_factory=Selection)
+    pages: int = 5
 
 
 def stable_hash(raw: dict) -> str:
@@ -210,36 +213,91 @@ def tokens(pattern: str) -> list[str]:
     quotes at their ends left out."""
     import re
 
-    parts = (x.strip("[]【】()（）\"'“”‘’") for x in re.split(r"[\s,，;；、|/]+", pattern))
+    parts = (x.strip().strip("[](){}<>\"'`") for x in re.split(r"[\s,，;；、|/]+", pattern.strip()))
     return [x for x in parts if x]
 
 
+def _listed(words: object) -> list:
+    """A setting that is one text, a list, or nothing, as a list; anything else is nothing."""
+    return [words] if isinstance(words, str) else list(words) if isinstance(words, (list, tuple)) else []
+
+
 def _every(words: object) -> tuple[str, ...]:
-    return tuple(t for w in ([words] if isinstance(words, str) else words) for t in tokens(str(w)))
+    return tuple(t for w in _listed(words) for t in tokens(str(w or "")))
+
+
+def _whole(words: object) -> tuple[str, ...]:
+    return tuple(str(w) for w in _listed(words) if w is not None)
+
+
+def _number(value: object, default: int) -> int:
+    """A weight, 0 at least; what is no number is the default."""
+    try:
+        return max(int(value), 0)
+    except (TypeError, ValueError):
+        return default
 
 
-def _weighted(entries: list, weight: int) -> tuple[Keyword, ...]:
+def _weighted(entries: object, weight: int) -> tuple[Keyword, ...]:
+    """Weighted keywords from {keyword: weight}, a text, or a list of texts and of entries."""
+    rows = [{"keyword": k, "weight": v} for k, v in entries.items()] if isinstance(entries, dict) else _listed(entries)
     out = []
-    for k in entries:
+    for k in rows:
         k = {"keyword": k} if isinstance(k, str) else k
-        for word in tokens(str(k.get("keyword", ""))):
-            out.append(Keyword(word, int(k.get("weight", weight)), str(k.get("scope", "both")).strip().lower(), _count(k.get("count", k.get("count_mode", "once")))))
+        if not isinstance(k, dict):
+            continue
+        scope = str(k.get("scope") or "both").strip().lower()
+        for word in tokens(str(k.get("keyword") or "")):
+            out.append(Keyword(word, _number(k.get("weight", weight), weight), scope if scope in ("title", "content") else "both", _count(k.get("count", k.get("count_mode", "once")))))
     return tuple(out)
 
 
+def _drains(entries: object, penalty: int, rules: Normalization) -> tuple[tuple[str, int], ...]:
+    """Words with penalties: those of {word: penalty} and of entries are whole, texts are parted
+    and have the default; of a word's penalties the greatest counts."""
+    from ..functions.text import normalize_local
+
+    if isinstance(entries, dict):
+        pairs = list(entries.items())
+    else:
+        pairs = []
+        for x in _listed(entries):
+            if isinstance(x, dict):
+                pairs.append((x.get("keyword", ""), x.get("penalty", x.get("weight", penalty))))
+            elif isinstance(x, str):
+                pairs += [(t, penalty) for t in tokens(x)]
+    out: dict[str, int] = {}
+    for word, cost in pairs:
+        key, n = normalize_local(str(word or "").strip(), rules), _number(cost, penalty)
+        if key and n > 0:
+            out[key] = max(out.get(key, n), n)
+    return tuple(out.items())
+
+
+def _aliases(entries: object) -> tuple[tuple[str, str], ...]:
+    """(from, to) of {from: to} or of a list of {"from": ..., "to": ...}."""
+    pairs = list(entries.items()) if isinstance(entries, dict) else [(x.get("from"), x.get("to")) for x in _listed(entries) if isinstance(x, dict)]
+    made = [(str(a or "").strip(), str(b or "").strip()) for a, b in pairs]
+    return tuple((a, b) for a, b in made if a)
+
+
+def _section(raw: dict, name: str) -> dict:
+    return raw[name] if isinstance(raw.get(name), dict) else {}
+
+
 def _count(v: object) -> bool:
     return str(v).strip().lower() == "repeat"
 
 
 def settings(raw: dict) -> Settings:
     """Typed settings of a merged configuration; an explicit 0 is kept."""
-    f = raw.get("filter_rules", {})
-    n, s, fc, sc = f.get("normalization", {}), f.get("score_filter", {}), f.get("force_combine", {}), f.get("skip_char_match", {})
+    f = _section(raw, "filter_rules")
+    n, s, fc, sc = (_section(f, x) for x in ("normalization", "score_filter", "force_combine", "skip_char_match"))
+    form = Normalization(n.get("enable_nfkc", True), n.get("map_digit_variants", True), n.get("strip_zero_width", True), n.get("collapse_repeats", False), int(n.get("repeat_threshold") or 3), _aliases(n.get("semantic_aliases")), bool(n.get("unify_punctuation", True)), bool(n.get("fold_spaces", True)))
     rules = Rules(
-        must=_every(f.get("must_contain", ())), must_not=tuple(f.get("must_not_contain", ())), allow=tuple(f.get("allow_overrides", ())),
-        title_force=tuple(fc.get("title_force_contains", ())), combine=tuple(fc.get("content_combine_contains", ())),
-        strip_chars=fc.get("combine_strip_chars", Rules.strip_chars), skip_enabled=bool(sc.get("enabled", False)), max_skips=int(sc.get("max_skips", 2)),
-        normalization=Normalization(n.get("enable_nfkc", True), n.get("map_digit_variants", True), n.get("strip_zero_width", True), n.get("collapse_repeats", False), int(n.get("repeat_threshold", 3)), tuple((n.get("semantic_aliases") or {}).items())),
+        must=_every(f.get("must_contain")), must_not=_whole(f.get("must_not_contain")), allow=_whole(f.get("allow_overrides")),
+        title_force=_whole(fc.get("title_force_contains")), combine=_whole(fc.get("content_combine_contains")),
+        strip_chars=fc.get("combine_strip_chars") or Rules.strip_chars, skip_enabled=bool(sc.get("enabled", False)), max_skips=int(sc.get("max_skips", 2)), normalization=form,
     )
     plain = {
         "threshold": "threshold", "title_hit_weight": "title_hit_weight", "title_hit_cap": "title_hit_cap", "content_hit_weight": "content_hit_weight",
@@ -259,24 +317,24 @@ def settings(raw: dict) -> Settings:
         "hot_scale": "alg_hot_freq_scale", "hot_base": "alg_hot_log_base", "hot_max": "alg_hot_max_per_problem",
     }
     # A value takes the type of its default.
-    given = {ours: type(getattr(Quality, ours))(s[theirs]) for ours, theirs in plain.items() if theirs in s}
+    given = {ours: type(getattr(Quality, ours))(s[theirs]) for ours, theirs in plain.items() if s.get(theirs) is not None}
     for ours, theirs in (("alg_marker", "alg_marker"), ("alg_topic", "alg_topic"), ("alg_problem", "alg_problem"), ("alg_id", "alg_problem_id")):
         weight, cap = getattr(Quality, ours)
         given[ours] = (int(s.get(f"{theirs}_weight", weight)), int(s.get(f"{theirs}_cap", cap)))
     for ours, theirs in (("alg_markers", "alg_markers"), ("alg_context", "alg_context_prefix_keywords"), ("alg_topics", "alg_topic_keywords"), ("alg_titles", "alg_problem_titles")):
         if theirs in s:
-            given[ours] = tuple(s[theirs])
+            given[ours] = _whole(s[theirs])
     if "promo_block_words" in s:
-        given["promo_words"] = tuple(s["promo_block_words"])
+        given["promo_words"] = _whole(s["promo_block_words"])
     if "numbered_ad_markers" in s:
-        given["ad_markers"] = tuple(s["numbered_ad_markers"])
+        given["ad_markers"] = _whole(s["numbered_ad_markers"])
     if "weighted_keywords" in s:
-        given["keywords"] = _weighted(s["weighted_keywords"], s.get("default_keyword_weight", 6))
+        given["keywords"] = _weighted(s["weighted_keywords"], max(int(s.get("default_keyword_weight") or 6), 1))
     if "tail_drain_words" in s:
-        given["tail_drain"] = tuple((t, int(v)) for k, v in s["tail_drain_words"].items() for t in tokens(k))
+        given["tail_drain"] = _drains(s["tail_drain_words"], max(int(s.get("default_tail_drain_penalty") or 6), 1), form)
     selection = Selection(
         items=int(raw.get("max_items_per_keyword", 10)), fill_quota=bool(raw.get("fill_valid_quota", False)), multiplier=float(s.get("heap_pool_multiplier", 1.5)), max_multiplier=float(s.get("heap_elastic_max_multiplier", 2.2)), max_pool=int(s.get("heap_max_pool", 0)),
         step_ratio=float(s.get("heap_elastic_step_ratio", 0.25)), elastic=bool(s.get("heap_elastic_enabled", True)), replace_threshold=int(s.get("heap_elastic_replace_threshold", 6)),
         idle_rounds=int(s.get("heap_elastic_shrink_idle_rounds", 3)), batch=max(int(s.get("parallel_batch_size", 8)), 1),
     )
-    return Settings(rules, Quality(**given), selection)
+    return Settings(rules, Quality(**given), selection, int(raw.get("max_pages") or 5))

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import text
-from ..operators import entity
+from ..functions import match, text
+from ..operators import entity, order
+from ..plans.config import Rules
+from .tables import cut
 
 _PART = "struct<id:string,uuid:string,title:string,content:string>"
 SEARCH = f"keyword string, page int, data struct<records:array<struct<data:struct<momentData:{_PART},contentData:{_PART}>>>>"
@@ -21,15 +23,60 @@ COMMENTS = "post_id string, page int, data struct<records:array<struct<content:s
 RANKING = "count int, page int, list array<struct<leetcode:struct<title:string,frontend_question_id:string,question_id:string,level:int,slug_title:string>,time:string,value:int>>"
 
 
-def search_posts(responses: DataFrame) -> DataFrame:
-    """Candidates of search responses (SEARCH): one row a record, in the order of pages and
-    records; the moment gives id, uuid and title, the content part the text."""
+def keyword_place(keywords: tuple[str, ...] | list[str], name: str = "keyword") -> Column:
+    """A keyword's place in the list of those asked for; others come after, by name."""
+    if not keywords:
+        return F.lit(0)
+    place = F.array_position(F.array(*[F.lit(k) for k in keywords]), F.coalesce(F.col(name), F.lit("")))
+    return F.when(place > 0, place).otherwise(len(keywords) + 1)
+
+
+def scan_ends(pages: DataFrame, most: int) -> DataFrame:
+    """(keyword, last): the page with which a keyword's scan ends, of pages(keyword, page,
+    records, matched): an empty one among the first `most`; after those, an empty one that
+    follows a page without records or matches. Keywords that are read to their last page are
+    missing. A keyword has a bounded number of pages; a page saved twice counts once."""
+    once = pages.groupBy("keyword", "page").agg(F.max("records").alias("records"), F.max("matched").alias("matched"))
+    at = Window.partitionBy("keyword").orderBy("page")
+    numbered = once.withColumns({"_visit": F.row_number().over(at), "_before": F.lag("matched").over(at)})
+    idle = F.coalesce((F.col("_visit") - 1 > most) & (F.col("_before") == 0), F.lit(False))
+    return numbered.where((F.col("records") == 0) & ((F.col("_visit") <= most) | idle)).groupBy("keyword").agg(F.min("page").alias("last"))
+
+
+def search_records(responses: DataFrame) -> DataFrame:
+    """Records of search responses (SEARCH) that have both ids, with their place (page, at): the
+    moment gives id, uuid and title, the content part the text."""
     rows = responses.select("keyword", "page", F.posexplode("data.records").alias("at", "r"))
     m, c = "r.data.momentData", "r.data.contentData"
-    first = lambda name, a, b: F.coalesce(F.nullif(F.col(f"{a}.{name}"), F.lit("")), F.nullif(F.col(f"{b}.{name}"), F.lit("")), F.lit("")).alias(name if name != "content" else "search_content")
-    kind = F.when(F.col(m).isNotNull(), "moment-data").otherwise("content-data").alias("detail_api_type")
-    seq = (F.col("page").cast("long") * 100_000 + F.col("at")).alias("seq")
-    return rows.where(F.col(m).isNotNull() | F.col(c).isNotNull()).select(seq, first("id", m, c), first("uuid", m, c), kind, first("title", m, c), "keyword", first("content", c, m))
+    first = lambda name, a, b, empty="": F.coalesce(F.nullif(F.col(f"{a}.{name}"), F.lit("")), F.nullif(F.col(f"{b}.{name}"), F.lit("")), F.lit(empty))
+    kind = F.when(F.length(f"{m}.uuid") > 0, "moment-data").otherwise("content-data")
+    made = rows.select("page", "at", first("id", m, c).alias("id"), first("uuid", m, c).alias("uuid"), kind.alias("detail_api_type"), first("title", m, c, "untitled").alias("title"), "keyword", first("content", c, m).alias("search_content"))
+    return made.where("id <> '' and uuid <> ''")
+
+
+def search_posts(responses: DataFrame, keywords: tuple[str, ...] | list[str] = (), most_pages: int | None = None, rules: Rules = Rules()) -> DataFrame:
+    """Posts of search responses (SEARCH) in the order of keywords, pages and records, which
+    `seq` counts from 1: one number a post over all keywords. With most_pages, a keyword's scan
+    ends as scan_ends says; a page matches with the posts that pass the rules there first."""
+    found = search_records(responses)
+    if most_pages is not None:
+        t, c = text.normalize(F.col("title"), rules.normalization), text.normalize(F.col("search_content"), rules.normalization)
+        good = found.withColumns({"_t": t, "_c": c}).where(match.title_passes(F.col("_t"), rules) & match.relevant(F.col("_t"), F.col("_c"), rules))
+        hits = good.groupBy("keyword", "id", "uuid").agg(F.min("page").alias("page")).groupBy("keyword", "page").agg(F.count("*").alias("matched"))
+        pages = responses.select("keyword", "page", F.coalesce(F.size("data.records"), F.lit(0)).alias("records"))
+        pages = pages.withColumn("records", F.greatest("records", F.lit(0))).join(hits, ["keyword", "page"], "left").fillna(0, ["matched"])
+        ends = scan_ends(pages, most_pages).select(F.col("keyword").alias("_keyword"), "last")
+        found = found.join(ends, F.col("keyword").eqNullSafe(F.col("_keyword")), "left").where("last is null or page < last").drop("_keyword", "last")
+    placed = order.numbered(found.withColumn("_k", keyword_place(keywords)), "_k", "keyword", "page", "at", "id", "uuid", name="seq")
+    return placed.select("seq", "id", "uuid", "detail_api_type", "title", "keyword", "search_content", "page", "at")
+
+
+def arrival(posts: DataFrame, keywords: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """posts(seq, keyword, id, uuid, ...) with `seq` made unique: saved scans may count each
+    keyword, or each run, from the start. Order: keywords, then the old number, then the ids."""
+    own = [c for c in posts.columns if c != "seq"]
+    rows = posts.withColumnRenamed("seq", "_old").withColumn("_k", keyword_place(keywords))
+    return order.numbered(rows, "_k", "keyword", "_old", "id", "uuid", name="seq").select("seq", *[F.col(f"`{c}`") for c in own])
 
 
 def flat_comments(responses: DataFrame) -> DataFrame:
@@ -112,17 +159,35 @@ def detail_content(api: Column, page: Column) -> Column:
     return F.replace(full, F.lit("​"), F.lit(""))
 
 
-def ranking(responses: DataFrame, source: str = "codetop") -> DataFrame:
-    """Raw entries of ranking responses (RANKING), in order."""
+def ranking_end(responses: DataFrame) -> int | None:
+    """The page with which a scan of ranking responses ends: an empty one, or the one that brings
+    the named entries to the number that the first page says there are; None if neither comes.
+    Entries are counted over ranges of pages."""
+    named = F.size(F.filter("list", lambda x: F.length(text.strip(text.or_empty(x["leetcode"]["title"]))) > 0))
+    pages = cut(responses.groupBy("page").agg(F.max("count").alias("count"), F.max(F.size("list")).alias("rows"), F.max(named).alias("named")))
+    said = pages.agg(F.min_by("count", "page").alias("n")).first()["n"] or 0
+    counted = order.running(pages.withColumn("_all", F.lit(0)), "_all", ["page"], {"_sum": F.greatest("named", F.lit(0))})
+    ends = (F.coalesce("rows", F.lit(0)) <= 0) | ((F.lit(said) > 0) & (F.col("_sum") >= said))
+    return counted.where(ends).agg(F.min("page").alias("page")).first()["page"]
+
+
+def ranking(responses: DataFrame, source: str = "codetop", whole: bool = True) -> DataFrame:
+    """Raw entries of ranking responses (RANKING); `seq` counts them from 1 in the order of pages
+    and rows. whole: all pages; else up to where a scan ends."""
+    if not whole:
+        last = ranking_end(responses)
+        responses = responses if last is None else responses.where(F.col("page") <= last)
     rows = responses.select("page", F.posexplode("list").alias("at", "x"))
     slug = F.col("x.leetcode.slug_title")
     url = F.when(F.length(slug) > 0, F.concat(F.lit("https://leetcode.cn/problems/"), slug)).otherwise("")
     number = F.coalesce(text.positive(F.col("x.leetcode.frontend_question_id")), text.positive(F.col("x.leetcode.question_id")))
-    return rows.select(
-        (F.col("page").cast("long") * 100_000 + F.col("at")).alias("seq"), number.alias("id"), F.coalesce("x.leetcode.frontend_question_id", F.lit("")).alias("frontend_id"),
+    made = rows.select(
+        "page", "at", number.alias("id"), F.coalesce("x.leetcode.frontend_question_id", F.lit("")).alias("frontend_id"),
         text.strip(text.or_empty(F.col("x.leetcode.title"))).alias("title"), text.difficulty_of_level(F.col("x.leetcode.level")).alias("difficulty"),
         text.day_of(F.col("x.time")).alias("last_date"), F.col("x.value").alias("frequency"), url.alias("url"), F.lit(source).alias("source"),
     ).where("title <> ''")
+    placed = order.numbered(made, "page", "at", "title", "frontend_id", name="seq")
+    return placed.select("seq", "id", "frontend_id", "title", "difficulty", "last_date", "frequency", "url", "source")
 
 
 def ranking_list(content: str, source: str = "raw_alg_md") -> list[dict]:

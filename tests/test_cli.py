@@ -1,6 +1,7 @@
 import json
 
 from quillmill import __main__ as cli
+from quillmill.sources import reports
 
 
 def test_posts_and_library(spark, tmp_path):
@@ -9,7 +10,7 @@ def test_posts_and_library(spark, tmp_path):
     spark.createDataFrame(rows, "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string").write.parquet(str(tmp_path / "p"))
     (tmp_path / "c.json").write_text(json.dumps(["字节"], ensure_ascii=False))
     out = cli.run_posts(spark, cli.arguments(["posts", "--posts", str(tmp_path / "p"), "--companies", str(tmp_path / "c.json"), "--items", "3", "--mode", "pool", "--formats", "md", "--output", str(tmp_path / "o")]))
-    report = spark.read.text(out["md"], wholetext=True).first()[0]
+    report = reports.read_report(out["md"])
     assert report.count("## 字节") == 3 and "https://www.nowcoder.com/discuss/" in report
     (tmp_path / "l.md").write_text("1. a\n简单\n2024-01-01\n3\n2. b\nhard\n")
     cli.run_library(spark, cli.arguments(["library", "--list", str(tmp_path / "l.md"), "--output", str(tmp_path / "lib")]))
@@ -42,3 +43,29 @@ def test_switches_and_weights_of_a_configuration():
     assert (q.alg_enabled, q.promo_enabled, q.ad_enabled, q.alg_topic, q.alg_topics, q.ad_ratio) == (False, False, True, (9, 24), ("dp",), 1.0)
     assert (p.step_ratio, p.replace_threshold, p.batch, p.idle_rounds) == (0.5, 2, 3, 3)
     assert config.settings({}).quality == config.Quality()
+
+
+def test_a_streamed_run_goes_on_with_new_files(spark, tmp_path):
+    body = "\n".join(f"{i}. 介绍一下 mysql 索引 和 redis 缓存 事务 并发 {i}" + " 以及项目里的实际用法和遇到的困难" * 3 for i in range(1, 10))
+    schema = "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string"
+    (tmp_path / "c.json").write_text(json.dumps(["字节"], ensure_ascii=False))
+
+    def run(folder, *more):
+        out = cli.run_posts(spark, cli.arguments([str(x) for x in ("posts", "--posts", folder, "--companies", tmp_path / "c.json", "--items", 3, "--mode", "pool", "--formats", "csv", "--with", "id", "--output", tmp_path / f"o{len(list(tmp_path.iterdir()))}", *more)]))
+        return sorted((r["ID"], r["公司"]) for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["csv"]).collect())
+
+    for part in range(2):
+        rows = [(i, str(i), f"u{i}", "content-data", f"字节 后端面经{i}", f"k{i % 2}", body + "。" * (i * 7 % 11)) for i in range(10 * part, 10 * part + 10)]
+        spark.createDataFrame(rows, schema).coalesce(2).write.mode("append").parquet(str(tmp_path / "p"))
+        assert run(tmp_path / "p", "--stream", tmp_path / "s") == run(tmp_path / "p")
+
+
+def test_posts_from_saved_responses(spark, tmp_path):
+    body = "\n".join(f"{i}. 介绍一下 mysql 索引 和 redis 缓存 事务 并发 {i}" + " 以及项目里的实际用法和遇到的困难" * 3 for i in range(1, 10))
+    part = lambda i, t: {"id": i, "uuid": f"u{i}", "title": t, "content": body}
+    page = lambda k, p, *posts: json.dumps({"keyword": k, "page": p, "data": {"records": [{"data": {"momentData": x}} for x in posts]}}, ensure_ascii=False)
+    (tmp_path / "r.json").write_text("\n".join([page("a", 1, part("1", "字节 面经")), page("a", 2), page("a", 3, part("2", "字节 面经二")), page("b", 1, part("3", "美团 面经"))]))
+    (tmp_path / "c.json").write_text(json.dumps(["字节", "美团"], ensure_ascii=False))
+    out = cli.run_posts(spark, cli.arguments([str(x) for x in ("posts", "--responses", tmp_path / "r.json", "--companies", tmp_path / "c.json", "--mode", "pool", "--formats", "csv", "--with", "id", "--output", tmp_path / "o")]))
+    got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["csv"]).collect()
+    assert sorted((r["ID"], r["公司"], r["搜索关键词"]) for r in got) == [("1", "字节", "a"), ("3", "美团", "b")]

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import entity, knowledge, posts, quality, rank, stats
+from quillmill.functions import text
 from quillmill.plans import config
-from quillmill.sources import readers, sinks
+from quillmill.sources import readers, reports, sinks
 from quillmill.streaming import posts as streams
 
 
@@ -119,7 +120,7 @@ def test_layers(tmp_path):
 
 
 def test_search_and_comments(spark):
-    raw = {"keyword": "k", "page": 1, "data": {"records": [{"data": {"momentData": {"id": "1", "uuid": "u", "title": "t", "content": "m"}, "contentData": {"id": "9", "content": "c"}}}, {"data": {"contentData": {"id": "2", "title": "t2", "content": "c2"}}}, {"data": {}}]}}
+    raw = {"keyword": "k", "page": 1, "data": {"records": [{"data": {"momentData": {"id": "1", "uuid": "u", "title": "t", "content": "m"}, "contentData": {"id": "9", "content": "c"}}}, {"data": {"contentData": {"id": "2", "uuid": "v", "title": "t2", "content": "c2"}}}, {"data": {"contentData": {"id": "3", "title": "no uuid"}}}, {"data": {}}]}}
     df = spark.read.schema(readers.SEARCH).json(spark.sparkContext.parallelize([json.dumps(raw)]))
     rows = readers.search_posts(df).orderBy("seq").collect()
     assert [(r["id"], r["title"], r["search_content"], r["detail_api_type"]) for r in rows] == [("1", "t", "c", "moment-data"), ("2", "t2", "c2", "content-data")]
@@ -165,7 +166,8 @@ def test_reports_and_library(spark, tmp_path):
     at = datetime(2024, 5, 6)
     out = sinks.export(rows, str(tmp_path), "r", ["MD", "text", "parquet"], at=at)
     assert all("/2024/05/06/" in p for p in out.values())
-    report = "\n".join(r[0] for r in spark.read.text(out["md"], wholetext=True).collect())
+    report = reports.read_report(out["md"])
+    assert report.startswith("# Report\n\nRows: 2\n")
     assert report.index("## t1") < report.index("## t2") and "# a" not in report.replace("## a", "")
     with pytest.raises(ValueError, match="unknown format"):
         sinks.export(rows, str(tmp_path), "r", ["pdf"])
@@ -177,6 +179,27 @@ def test_reports_and_library(spark, tmp_path):
     assert parts["hot"].count() == 2 and parts["ids"].first()["id"] == 1
 
 
+def test_a_report_is_written_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = lambda n: spark.range(n).select((F.lit(n) - F.col("id")).alias("seq"), F.concat(F.lit("row "), F.lit(n) - F.col("id")).alias("value")).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.save_report(rows(50), "{rows} rows", path, "txt")
+        assert len(list((tmp_path / "r").glob("part-*"))) > 2
+        assert reports.read_report(path).splitlines() == ["50 rows", *(f"row {i}" for i in range(1, 51))]
+        bad = rows(40).withColumn("value", F.when(F.col("seq") == 33, F.raise_error(F.lit("broken"))).otherwise(F.col("value")))
+        with pytest.raises(Exception, match="broken"):
+            reports.save_report(bad, "{rows} rows", path, "txt")
+        assert reports.read_report(path).startswith("50 rows") and not list((tmp_path / "r").glob("_staged*"))
+        with pytest.raises(Exception, match="broken"):
+            reports.save_report(bad, "{rows} rows", str(tmp_path / "new"), "txt")
+        assert not list((tmp_path / "new").glob("*"))
+        reports.save_report(rows(0), "{rows} rows", path, "txt")
+        assert reports.read_report(path) == "0 rows\n"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_tokens_and_owners(spark):
     titles = spark.createDataFrame([("星云科技 后端 一面 面经",), ("字节 一面",)], "title string")
     known = spark.createDataFrame([("x",)], "token string")
@@ -265,7 +288,120 @@ def test_titles_are_gated_before_longer_ones_hide_shorter_ones(spark):
 
 
 def test_pattern_texts_are_parted_into_words():
-    s = config.settings({"filter_rules": {"must_contain": ["a、b", "【c】"], "score_filter": {"weighted_keywords": ["x|y", {"keyword": "z w", "weight": 9}], "tail_drain_words": {"m,n": 2}}}})
+    s = config.settings({"filter_rules": {"must_contain": ["a、b", "<c>"], "score_filter": {"weighted_keywords": ["x|y", {"keyword": "z w", "weight": 9}], "tail_drain_words": {"m,n": 2}}}})
     assert s.rules.must == ("a", "b", "c")
     assert [(k.keyword, k.weight) for k in s.quality.keywords] == [("x", 6), ("y", 6), ("z", 9), ("w", 9)]
-    assert s.quality.tail_drain == (("m", 2), ("n", 2))
+    assert s.quality.tail_drain == (("m,n", 2),)  # keys of a map stay whole
+
+
+@pytest.mark.parametrize("words, want", [(None, ()), ("a，b", ("a", "b")), (["a", None, "b c"], ("a", "b", "c")), (7, ())])
+def test_forms_of_must_contain(words, want):
+    assert config.settings({"filter_rules": {"must_contain": words}}).rules.must == want
+
+
+@pytest.mark.parametrize("words, want", [(None, ()), ({"Ｍ,N": 2, "z": 0, "": 5}, (("m,n", 2),)), ("m，n", (("m", 6), ("n", 6))), (["m n", {"keyword": "p q", "penalty": "x"}, {"keyword": "m", "weight": 9}, 3], (("m", 9), ("n", 6), ("p q", 6)))])
+def test_forms_of_drain_words(words, want):
+    assert config.settings({"filter_rules": {"score_filter": {"tail_drain_words": words}}}).quality.tail_drain == want
+
+
+@pytest.mark.parametrize("words, want", [(None, []), ({"a": 3, "b": "x"}, [("a", 3, "both"), ("b", 6, "both")]), ("a b", [("a", 6, "both"), ("b", 6, "both")]), ([{"keyword": "a", "weight": -2, "scope": "TITLE"}, {"keyword": "b", "scope": "q"}, 4, None], [("a", 0, "title"), ("b", 6, "both")])])
+def test_forms_of_weighted_keywords(words, want):
+    assert [(k.keyword, k.weight, k.scope) for k in config.settings({"filter_rules": {"score_filter": {"weighted_keywords": words}}}).quality.keywords] == want
+
+
+@pytest.mark.parametrize("form", [{"TikTok": " Byte "}, [{"from": "TikTok", "to": "Byte"}, {"to": "x"}, "y"]])
+def test_forms_of_aliases(spark, form):
+    rules = config.settings({"filter_rules": {"normalization": {"semantic_aliases": form}}}).rules.normalization
+    df = spark.createDataFrame([("TIKTOK 面经",)], "t string")
+    assert df.select(text.normalize(F.col("t"), rules)).first()[0] == "byte 面经" == text.normalize_local("TIKTOK 面经", rules)
+
+
+def test_switches_of_the_normal_form(spark):
+    df = spark.createDataFrame([(" A，  b ",)], "t string")
+    for punctuation, spaces, want in ((True, True, "a, b"), (False, True, "a， b"), (True, False, " a,  b "), (False, False, " a，  b ")):
+        rules = config.settings({"filter_rules": {"normalization": {"enable_nfkc": False, "unify_punctuation": punctuation, "fold_spaces": spaces}}}).rules.normalization
+        assert df.select(text.normalize(F.col("t"), rules)).first()[0] == want == text.normalize_local(" A，  b ", rules)
+
+
+def test_settings_without_sections():
+    assert config.settings({"filter_rules": None}) == config.settings({"filter_rules": {"score_filter": None, "normalization": [], "force_combine": None}})
+
+
+def responses(spark, pages):
+    """Search responses of {(keyword, page): ids of records}."""
+    part = lambda i: {"id": i, "uuid": f"u{i}", "title": f"t {i}", "content": f"c {i}"}
+    rows = [json.dumps({"keyword": k, "page": p, "data": {"records": [{"data": {"momentData": part(i)}} for i in ids]}}) for (k, p), ids in pages.items()]
+    return spark.read.schema(readers.SEARCH).json(spark.sparkContext.parallelize(rows, 3))
+
+
+def test_scan_numbers_are_unique_over_keywords(spark):
+    pages = {("b", 1): ["1", "2"], ("a", 1): ["1", "3"], ("a", 2): ["4"], ("c", 1): ["5"]}
+    rows = readers.search_posts(responses(spark, pages), ["b", "a"]).orderBy("seq").collect()
+    assert [(r["seq"], r["keyword"], r["id"]) for r in rows] == [(1, "b", "1"), (2, "b", "2"), (3, "a", "1"), (4, "a", "3"), (5, "a", "4"), (6, "c", "5")]
+
+
+def test_posts_of_two_keywords_keep_their_companies(spark):
+    found = readers.search_posts(responses(spark, {("后端 面经", 1): ["字节", "x"], ("腾讯 面经", 1): ["美团", "腾讯"]}))
+    rows = found.withColumns({"content": F.col("search_content"), "url": F.lit("")})
+    known = spark.createDataFrame([("字节",), ("美团",), ("腾讯",)], "company string")
+    got = posts.clean(rows, entity.dictionary(spark, ["字节", "美团", "腾讯"]), known, 1).collect()
+    assert sorted((r["keyword"], r["id"], r["company"], r["is_kept"], r["is_dropped"]) for r in got) == [("后端 面经", "x", "其他", False, False), ("后端 面经", "字节", "字节", True, False), ("腾讯 面经", "美团", "美团", True, False), ("腾讯 面经", "腾讯", "腾讯", False, False)]
+
+
+def plain_scan(pages, most, good):
+    """Ids that a scan page by page finds, and where it ends."""
+    out, streak, seen = [], 0, set()
+    for n, page in enumerate(sorted(pages), start=1):
+        ids = pages[page]
+        if not ids:
+            streak += 1
+            if n <= most or streak >= 2:
+                break
+            continue
+        streak, matched = 0, 0
+        for i in ids:
+            out.append(i)
+            if i in good and i not in seen:
+                seen.add(i)
+                matched += 1
+        if matched == 0 and n > most:
+            streak += 1
+    return out
+
+
+def test_scans_end_at_empty_pages(spark):
+    r = random.Random(8)
+    for _ in range(4):
+        pages = {(k, p): [str(r.randrange(12)) for _ in range(r.choice([0, 1, 2, 2, 3]))] for k in "abcdef" for p in range(1, 9)}
+        rules = config.Rules(must=("1", "3", "5"))
+        got = readers.search_posts(responses(spark, pages), most_pages=3, rules=rules).orderBy("seq").collect()
+        good = {str(i) for i in range(12) if set(str(i)) & set("135")}
+        for k in "abcdef":
+            assert [x["id"] for x in got if x["keyword"] == k] == plain_scan({p: v for (q, p), v in pages.items() if q == k}, 3, good)
+
+
+def test_ranking_scan_ends(spark):
+    entry = lambda i: {"leetcode": {"title": f"t{i}" if i else "", "frontend_question_id": str(i), "level": 1}, "time": "2024-01-02", "value": i}
+    rank_pages = lambda count, pages: spark.read.schema(readers.RANKING).json(spark.sparkContext.parallelize([json.dumps({"count": count, "page": p, "list": [entry(i) for i in ids]}) for p, ids in enumerate(pages, 1)], 2))
+    ids = lambda df: [r["id"] for r in readers.ranking(df, whole=False).orderBy("seq").collect()]
+    assert ids(rank_pages(4, [[1, 2], [0, 3], [4, 5], [6]])) == [1, 2, 3, 4, 5]
+    assert ids(rank_pages(0, [[1, 2], [], [3]])) == [1, 2]
+    assert ids(rank_pages(99, [[1], [2], [3]])) == [1, 2, 3]
+
+
+def test_numbers_of_saved_posts_are_made_unique(spark):
+    rows = [(1, "b", "7", "u"), (1, "a", "8", "u"), (2, "a", "9", "u")]
+    got = readers.arrival(spark.createDataFrame(rows, "seq long, keyword string, id string, uuid string"), ["b"]).orderBy("seq").collect()
+    assert [(r["seq"], r["id"]) for r in got] == [(1, "7"), (2, "8"), (3, "9")]
+
+
+def test_segments_of_many_lines(spark):
+    """Cut by bounds: 16,000 lines take no copies of what came before."""
+    import time
+
+    body = "\n".join(f"{i % 90 + 1}. 介绍一下 mysql 索引 {i}" if i % 2 else f"答：说明 {i}" for i in range(16_000))
+    df = spark.createDataFrame([(body,)], "c string")
+    df.select(quality.numbered_ads(F.lit("1. abc\nx"))).collect()
+    began = time.time()
+    got = df.select(quality.numbered_ads(F.col("c")).alias("x")).first()["x"]
+    assert got["segments"] == 8000 and time.time() - began < 4
