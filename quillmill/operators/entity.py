@@ -149,6 +149,19 @@ def meetings(titles: DataFrame, entries: DataFrame) -> DataFrame:
     return asked.join(filed, "k").drop("k")
 
 
+def contained(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """texts(seq, text) with `found`: those of words(word) that the text holds, sorted. Long texts
+    do not travel with their grams: the few words that may be there are gathered by `seq`, joined
+    to the texts, and tested there. Both sides must be in the same case."""
+    titles, entries = texts.select("seq", F.col("text").alias("title")), words.select(F.col("word").alias("alias")).where("alias <> ''").distinct()
+    filed = signatures(titles, entries).where("n > 0").select("alias", "k")
+    asked = titles.select("seq", F.explode(grams(F.col("title"), True)).alias("k"))
+    maybe = asked.join(filed, "k").groupBy("seq").agg(F.collect_set("alias").alias("_maybe"))
+    met = texts.join(maybe, "seq", "left")
+    found = F.filter(F.coalesce("_maybe", F.array().cast("array<string>")), lambda w: F.contains(F.col("text"), w))
+    return met.withColumn("found", F.array_sort(found)).drop("_maybe")
+
+
 def candidates(titles: DataFrame, entries: DataFrame, aliases: dict[str, str] = ALIAS_MAP, only: DataFrame | None = None) -> DataFrame:
     """(seq, company, alias, source, score, pos, len, rule) of the entries that titles(seq,
     title) contain; only(company): the organisations allowed."""
@@ -217,6 +230,14 @@ def refresh_lookups(pending: DataFrame, suggestions: DataFrame, entries: DataFra
     return verified, infer_owner(found, entries)
 
 
+def learnt(titles: DataFrame, suggestions: DataFrame, entries: DataFrame, verified: DataFrame, owners: DataFrame, at: int, limit: int = 80) -> tuple[DataFrame, DataFrame]:
+    """What a run adds to the saved lookups (token, value, at), from titles of no known
+    organisation: for the tokens that verified does not know yet, the most frequent first."""
+    pending = pending_tokens(titles, verified, limit)
+    sure, owned = refresh_lookups(pending, suggestions, entries)
+    return sure.select("token", F.col("is_company").alias("value"), F.lit(at).alias("at")), owned.select("token", F.col("company").alias("value"), F.lit(at).alias("at"))
+
+
 def verdict(word: Column, suggestions: Column) -> Column:
     """Whether search suggestions speak for an organisation called word."""
     s = F.filter(F.transform(F.slice(suggestions, 1, 10), lambda x: strip(or_empty(x))), lambda x: F.length(x) > 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import match, text
 from ..plans.config import Quality, Rules, Selection
-from . import entity, knowledge, quality, rank
+from . import entity, knowledge, quality, rank, stats
 
 
 def filter_candidates(posts: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -63,10 +63,11 @@ class Outcome:
     rejected: DataFrame
 
 
-def select_posts(posts: DataFrame, rules: Rules = Rules(), q: Quality = Quality(), s: Selection = Selection(), library: quality.Library | None = None, mode: str = "pool") -> Outcome:
+def select_posts(posts: DataFrame, rules: Rules = Rules(), q: Quality = Quality(), s: Selection = Selection(), library: quality.Library | quality.LibraryTables | None = None, mode: str = "pool", counts: stats.RunCounts | None = None) -> Outcome:
     """Scored posts of each keyword: "pool" the best of all, "early" those up to the batch
     that fills the pool, "elastic" with the moving limit, "first" the first that pass."""
     scored = quality.evaluate(posts, q, rules, library).withColumn("content_chars", F.col("breakdown.content_chars"))
+    scored = counts.at("scored", scored) if counts else scored
     chosen = {
         "pool": lambda: rank.top_pool(scored, s.pool, only="passed"),
         "early": lambda: rank.early_stop_pool(scored, s),
@@ -76,13 +77,16 @@ def select_posts(posts: DataFrame, rules: Rules = Rules(), q: Quality = Quality(
     return Outcome(chosen, scored.where("not passed"))
 
 
-def clean(posts: DataFrame, entries: DataFrame, companies: DataFrame, per_keyword: int = 0, drop_unknown: bool = True) -> DataFrame:
+def clean(posts: DataFrame, entries: DataFrame, companies: DataFrame, per_keyword: int = 0, drop_unknown: bool = True, lookups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Archive rows of posts(seq, id, title, keyword, url, content, ...): markup gone, the
     organisation found, a quota a keyword; `is_kept` and `is_dropped` say what became of each.
     `seq` must tell posts apart. Names and quota are found on titles alone; the contents are
-    shuffled once, when what was found is joined back."""
+    shuffled once, when what was found is joined back. lookups: (verified, owners) as
+    entity.dynamic_candidates takes them, for titles beyond the dictionary."""
     titles = posts.select("seq", "title", "keyword")
     found = entity.candidates(titles.select("seq", "title"), entries, only=companies)
+    if lookups:
+        found = found.unionByName(entity.dynamic_candidates(titles, *lookups))
     named = entity.best_company(titles, found).select("seq", "keyword", "company")
     kept = (F.col("company") != entity.UNKNOWN) if drop_unknown else F.lit(True)
     flags = rank.running_quota(named, per_keyword or (1 << 31) - 1, kept).drop("keyword")

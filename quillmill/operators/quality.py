@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import match, text
 from ..plans.config import Quality, Rules
+from ..sources.tables import cut
+from . import entity
 
 #: Fixed value: a numbered line.
 NUMBERED = r"(?d)^\s*(\d{1,2})\s*[\.．、\)\]）]\s*(.{2,280})\s*$"
@@ -176,6 +179,66 @@ class Library:
         self.ids = sorted({int(i) for i in ids if 1 <= int(i) <= 9999})
 
 
+@dataclass(frozen=True)
+class LibraryTables:
+    """The same as tables, for libraries of any size: words(kind, word, name, score), kind being
+    title, compact, hot, marker or topic and name what a found word stands for; ids(id, score)."""
+
+    words: DataFrame
+    ids: DataFrame
+
+
+def library_tables(titles: DataFrame, hot: DataFrame, ids: DataFrame, markers: DataFrame, topics: DataFrame, rules: Rules = Rules(), q: Quality = Quality()) -> LibraryTables:
+    """Tables of a library from titles(seq, title), hot(id, title, frequency), ids(id),
+    markers(word) and topics(word), with what the settings add. Words are in normal form; of
+    titles with one compact form the first stands for it; of a title's scores the greatest counts."""
+    spark = titles.sparkSession
+    own = lambda words, at: spark.createDataFrame([(at + k, w) for k, w in enumerate(words)], "seq long, word string")
+    form = text.normalize(F.col("word"), rules.normalization)
+    every = titles.select(F.col("seq").cast("long").alias("seq"), F.col("title").alias("word")).union(own(q.alg_titles, 1 << 40)).withColumn("word", form).where("length(word) >= 2")
+    short = every.withColumn("c", match.compact(F.col("word"), rules.strip_chars)).where("length(c) >= 2").groupBy("c").agg(F.min_by("word", "seq").alias("name"))
+    score = text.frequency_score(F.col("frequency"), q.hot_scale, q.hot_base, q.hot_max)
+    rated = hot.select("id", F.col("title").alias("word"), score.alias("score")).withColumn("word", form)
+    no = F.lit(0)
+    row = lambda df, kind, word, name, value: df.select(F.lit(kind).alias("kind"), word.alias("word"), name.alias("name"), value.alias("score"))
+    w = F.col("word")
+    listed = lambda df, words: df.select("word").union(own(words, 0).select("word")).withColumn("word", form).where("word <> ''").distinct()
+    parts = [row(every.select("word").distinct(), "title", w, w, no), row(short, "compact", F.col("c"), F.col("name"), no), row(listed(markers, q.alg_markers), "marker", w, w, no), row(listed(topics, q.alg_topics), "topic", w, w, no)]
+    if q.hot_enabled:
+        parts.append(row(rated.where("length(word) >= 2").groupBy("word").agg(F.max("score").alias("score")), "hot", w, w, F.col("score")))
+    known = ids.select(F.col("id").cast("int").alias("id")).where("id between 1 and 9999").distinct()
+    scores = rated.where("id is not null").groupBy(F.col("id").cast("int").alias("id")).agg(F.max("score").alias("score"))
+    scored = known.join(scores, "id", "left").select("id", F.coalesce("score", no).alias("score")) if q.hot_enabled else known.withColumn("score", no)
+    return LibraryTables(reduce(lambda a, b: a.union(b), parts), scored)
+
+
+def with_signal(posts: DataFrame, title: Column, content: Column, raw: Column, library: LibraryTables, q: Quality = Quality(), rules: Rules = Rules()) -> DataFrame:
+    """posts(seq, ...) with `_found`: algorithm_signal by joins with the library's tables. Texts
+    meet words under the words' rarest grams; what a post names is exploded once, joined with the
+    scores and summed by post. `seq` must tell posts apart."""
+    words = cut(library.words)
+    both = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(content, F.lit("")))
+    texts = cut(posts.select("seq", both.alias("both"), raw.alias("raw")))
+    plain = entity.contained(texts.select("seq", F.col("both").alias("text")), words.where("kind <> 'compact'"))
+    dense = entity.contained(texts.select("seq", match.compact(F.col("both"), rules.strip_chars).alias("text")), words.where("kind = 'compact'"))
+    held = plain.select("seq", F.explode("found").alias("word"), F.lit(False).alias("dense")).union(dense.select("seq", F.explode("found").alias("word"), F.lit(True).alias("dense")))
+    kinds = words.withColumn("dense", F.col("kind") == "compact")
+    of = lambda *kind: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kind), F.col("name"))))
+    lists = held.join(kinds, ["word", "dense"]).groupBy("seq").agg(of("title", "compact").alias("p"), of("hot").alias("h"), F.size(of("marker")).alias("m"), F.size(of("topic")).alias("t"))
+    context = match.patterns(q.alg_context, rules) if q.alg_context_required else []
+    none = F.array().cast("array<string>")
+    gate = lambda c: named(F.col("both"), F.coalesce(F.col(c), none), context, q.alg_reach)
+    seen = texts.join(lists, "seq", "left").select("seq", gate("p").alias("titles"), gate("h").alias("hot_titles"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("t", F.lit(0)).alias("t"), match.problem_ids(F.col("raw")).alias("ids"))
+    seen = cut(seen)
+    keys = seen.select("seq", F.explode(F.concat(F.transform("hot_titles", lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("id"))), F.transform("ids", lambda i: F.struct(F.lit(None).cast("string").alias("word"), i.alias("id"))))).alias("x")).select("seq", "x.*")
+    hot = keys.where("word is not null").join(words.where("kind = 'hot'").select("word", "score"), "word").select("seq", F.lit(None).cast("int").alias("id"), "score")
+    numbers = keys.where("id is not null").join(library.ids, "id").select("seq", "id", "score")
+    sums = hot.union(numbers).groupBy("seq").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.sum(F.when(F.col("id").isNull(), F.col("score"))).alias("hot"), F.sum(F.when(F.col("id").isNotNull(), F.col("score"))).alias("rated"))
+    done = seen.drop("ids").join(sums, "seq", "left").withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "hot": F.coalesce("hot", F.lit(0)), "rated": F.coalesce("rated", F.lit(0))})
+    score = algorithm_score(F.col("m"), F.col("t"), F.size("titles"), F.size("ids"), F.col("hot"), F.col("rated"), q)
+    return posts.join(done.select("seq", F.struct("titles", "ids", "hot_titles", score.cast("int").alias("score")).alias("_found")), "seq", "left")
+
+
 def named(text: Column, found: Column, context: list[str], reach: int = 24) -> Column:
     """Found titles that stand in their context, without those that lie in another such one."""
     return F.array_sort(match.longest_only(F.filter(found, lambda w: match.in_context(text, w, context, reach))))
@@ -203,9 +266,10 @@ def algorithm_signal(title: Column, content: Column, raw: Column, q: Quality = Q
     return F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), score.cast("int").alias("score"))
 
 
-def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), library: Library | None = None) -> DataFrame:
+def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), library: Library | LibraryTables | None = None) -> DataFrame:
     """posts(title, content, tags, ...) with quality_score, passed, question_outline,
-    question_outline_count and the struct `breakdown`."""
+    question_outline_count and the struct `breakdown`. A library of tables needs posts with a
+    `seq` that tells them apart."""
     tags = F.col("tags") if "tags" in posts.columns else F.array().cast("array<string>")
     base = posts.withColumn("_raw", text.scoring_content(F.col("content")))
     # Normal forms are computed once and kept as columns.
@@ -214,7 +278,11 @@ def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), l
     must, combine = match.patterns(rules.must, rules), match.patterns(rules.combine, rules)
     direct = F.size(match.word_hits(c, must, rules))
     content_hits = F.when(direct > 0, direct).otherwise(F.size(match.combine_hits(c, combine, rules.strip_chars)))
-    base = base.withColumn("_found", algorithm_signal(t, c, F.concat_ws("\n", F.col("title"), F.col("_raw")), q, rules, library))
+    raw_text = F.concat_ws("\n", F.col("title"), F.col("_raw"))
+    if isinstance(library, LibraryTables) and q.alg_enabled:
+        base = with_signal(base, t, c, raw_text, library, q, rules)
+    else:
+        base = base.withColumn("_found", algorithm_signal(t, c, raw_text, q, rules, library if isinstance(library, Library) else None))
     all_tags = F.array_distinct(F.concat(text.tags(F.coalesce(tags, F.array().cast("array<string>"))), text.tail_hashtags(F.col("_tail"))))
     ads = numbered_ads(F.col("_raw"), q, rules)
     points = F.size("_items")

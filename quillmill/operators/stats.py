@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,25 @@ def run_counts(rows: DataFrame) -> DataFrame:
     """One row: candidates, with content, passed, rejected, kept and dropped ones."""
     c = F.count_if
     return rows.agg(F.count("*").alias("candidates"), c(F.length("content") > 0).alias("with_content"), c(F.col("passed")).alias("passed"), c(~F.col("passed")).alias("rejected"), c(F.col("is_kept")).alias("kept"), c(F.col("is_dropped")).alias("dropped_unknown"))
+
+
+class RunCounts:
+    """The counts of run_counts taken while a run's plans execute: each point of the run is
+    observed where its rows pass, so nothing is counted by a further pass. A point's numbers are
+    those of the first execution that it is part of."""
+
+    POINTS = {"found": ("candidates",), "scored": ("with_content", "passed", "rejected"), "cleaned": ("kept", "dropped_unknown")}
+
+    def __init__(self) -> None:
+        self.points: dict[str, Observation] = {}
+
+    def at(self, point: str, rows: DataFrame) -> DataFrame:
+        """rows with the point's counts observed."""
+        every = F.count(F.lit(1))
+        count = {"candidates": every, "with_content": every, "passed": F.count_if(F.col("passed")), "rejected": F.count_if(~F.col("passed")), "kept": F.count_if(F.col("is_kept")), "dropped_unknown": F.count_if(F.col("is_dropped"))}
+        self.points[point] = Observation()
+        return rows.observe(self.points[point], *[count[c].alias(c) for c in self.POINTS[point]])
+
+    def get(self) -> dict[str, int]:
+        """The counts of all points; waits for their executions."""
+        return {name: n for seen in self.points.values() for name, n in seen.get.items()}

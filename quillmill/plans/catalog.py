@@ -598,6 +598,20 @@ def algorithm_signal(spark, sf):
     return n.select(F.col("seq").alias("doc_id"), found.alias("x")).select("doc_id", F.array_join("x.titles", ",").alias("titles"), F.array_join("x.hot_titles", ",").alias("hot_titles"), F.col("x.score").cast("long").alias("score"))
 
 
+@query("library_signal", ORACLE_SQL["algorithm_signal"])
+def library_signal(spark, sf):
+    """The same signals by joins with the library's tables."""
+    q = replace(Q, alg_context=CONTEXT, alg_topics=())
+    words = lambda rows, schema: spark.createDataFrame(rows, schema)
+    titles = words([(k, t) for k, t in enumerate(TITLES)], "seq long, title string")
+    hot = words([(None, t, f) for t, f in HOT.items()], "id int, title string, frequency int")
+    none = words([], "word string")
+    tables = quality.library_tables(titles, hot, words([], "id int"), none, none, RULES, q)
+    n = normal(posts(spark, sf))
+    out = quality.with_signal(n, F.col("t"), F.col("c"), F.concat_ws("\n", "title", "content"), tables, q, RULES)
+    return out.select(F.col("seq").alias("doc_id"), F.array_join("_found.titles", ",").alias("titles"), F.array_join("_found.hot_titles", ",").alias("hot_titles"), F.col("_found.score").cast("long").alias("score"))
+
+
 def two_sources(spark, sf) -> DataFrame:
     """Every part by number and title, and again by title only, in capitals."""
     p = table(spark, sf, "part")
@@ -749,6 +763,24 @@ def ranking_scan(spark, sf):
     return out.select(F.col("id").cast("long").alias("seq"), F.col("id").cast("long").alias("id"), "title", "difficulty", F.col("frequency").cast("long").alias("frequency"), "url")
 
 
+LEVELS = "case p_size % 4 when 1 then 'easy' when 2 then '中等' when 3 then 'HARD' else '' end"
+
+
+@query("written_lists", f"""with x as (select p_partkey, p_partkey + 1 as n, p_name, p_size, {LEVELS} as level from part)
+select row_number() over (order by n // 50, n) as seq, case when n > 0 then cast(n as bigint) end as id, p_name as title, case p_size % 4 when 1 then '容易' when 2 then '中等' when 3 then '困难' else '' end as difficulty, case when p_size % 3 = 0 then '2024-01-02' else '' end as last_date, case when p_size % 2 = 0 then cast(p_size as bigint) else 0 end as frequency, 'https://x.y/' || n as url from x""")
+def written_lists(spark, sf):
+    """Many written lists, some of them not in UTF-8, parsed on the executors."""
+    p = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("n"), "p_name", "p_size")
+    level = F.expr(LEVELS)
+    lines = [F.concat(F.col("n").cast("string"), F.lit(". "), "p_name"), F.lit(""), F.concat(level, F.lit(" https://x.y/"), F.col("n").cast("string"))]
+    block = F.concat_ws("\n", *lines, F.when(F.col("p_size") % 3 == 0, F.lit("2024-01-02")), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")))
+    file = F.floor(F.col("n") / 50)
+    texts = p.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("t"))
+    body = F.when(F.col("file") % 2 == 0, F.encode("t", "UTF-8")).otherwise(F.encode("t", "GBK"))
+    found = readers.listed_entries(texts.select(F.format_string("%09d", "file").alias("path"), body.alias("content")))
+    return found.select("seq", F.col("id").cast("long").alias("id"), "title", "difficulty", "last_date", F.col("frequency").cast("long").alias("frequency"), "url")
+
+
 @query("crawl_rates", "select user_id, count(*) as requests, count(*) filter (where event_type <> 'error') as successes, count(*) filter (where event_type = 'error') as failures, cast(round(10000.0 * count(*) filter (where event_type <> 'error') / greatest(count(*), 1), 0) as bigint) as success_bp from events group by user_id")
 def crawl_rates(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("stage"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "purchase").alias("hit"), F.col("value").alias("seconds"))

@@ -5,8 +5,6 @@ parallel; a paged service can be read live through `PagedSource`."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import match, text
 from ..operators import entity, order
 from ..plans.config import Rules
+from . import lookups
 from .tables import cut
 
 _PART = "struct<id:string,uuid:string,title:string,content:string>"
@@ -193,6 +192,7 @@ def ranking(responses: DataFrame, source: str = "codetop", whole: bool = True) -
 def ranking_list(content: str, source: str = "raw_alg_md") -> list[dict]:
     """Entries of a written list. A block starts with "N. title"; the next line may name the
     difficulty and a link, then a date and a frequency may follow. Blank lines do not count."""
+    # The patterns below.
     import re
 
     rows = [x.strip() for x in content.replace("\ufeff", "").splitlines()]
@@ -227,9 +227,8 @@ def ranking_list(content: str, source: str = "raw_alg_md") -> list[dict]:
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "gbk")
 
 
-def read_text(path: str | Path) -> str:
-    """A text file in the first encoding that fits."""
-    body = Path(path).read_bytes()
+def decoded(body: bytes) -> str:
+    """Text in the first encoding that fits."""
     for name in ENCODINGS:
         try:
             return body.decode(name)
@@ -238,6 +237,34 @@ def read_text(path: str | Path) -> str:
     return body.decode("utf-8", "replace")
 
 
+#: Columns of a written list's entries, in the order in which the table function gives them.
+LIST_ENTRY = "at int, id int, frontend_id string, title string, difficulty string, last_date string, frequency int, url string"
+
+
+@F.udtf(returnType=LIST_ENTRY)
+class ListEntries:
+    """Table function: the entries of one written list, given as bytes."""
+
+    def eval(self, body: bytes):
+        for x in ranking_list(decoded(bytes(body or b""))):
+            yield x["seq"], x["id"], x["frontend_id"], x["title"], x["difficulty"], x["last_date"], x["frequency"], x["url"]
+
+
+def listed_entries(files: DataFrame, source: str = "raw_alg_md") -> DataFrame:
+    """Entries of files(path, content), each parsed where it was read; `seq` counts them from 1
+    in the order of paths and places. A file is one task's, a folder is many tasks'."""
+    spark = files.sparkSession
+    spark.udtf.register("list_entries", ListEntries)
+    rows = spark.sql("select f.path, e.* from {files} f, lateral list_entries(f.content) e", files=files)
+    placed = order.numbered(rows, "path", "at", name="seq")
+    return placed.select("seq", "id", "frontend_id", "title", "difficulty", "last_date", "frequency", "url", F.lit(source).alias("source"))
+
+
+def written_lists(spark: SparkSession, path: str, source: str = "raw_alg_md") -> DataFrame:
+    """Entries of the written lists in a file, or in the files of a folder."""
+    return listed_entries(spark.read.format("binaryFile").load(path).select("path", "content"), source)
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
     """The dictionary of organisations (a JSON list), plausible names only."""
     names = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("company"))
@@ -257,10 +284,10 @@ def algorithm_library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def lookup_cache(spark: SparkSession, path: str, kind: str, most: int = 20_000, most_values: int = 20) -> DataFrame:
-    """A saved lookup (token, value): the last rows, lists cut to most_values."""
-    rows = spark.read.parquet(f"{path}/{kind}").orderBy(F.desc("at"), "token").limit(most)
-    return rows.withColumn("value", F.slice("value", 1, most_values)) if dict(rows.dtypes)["value"].startswith("array") else rows
+def lookup_cache(spark: SparkSession, path: str, kind: str, most: int = 20_000, most_values: int = 20, value: str = "array<string>") -> DataFrame:
+    """A saved lookup (token, value, at): the last rows, lists cut to most_values."""
+    rows = lookups.read(spark, path, kind, value).orderBy(F.desc("at"), "token").limit(most)
+    return rows.withColumn("value", F.slice("value", 1, most_values)) if value.startswith("array") else rows
 
 
 class _Page(InputPartition):
@@ -291,21 +318,26 @@ class _PagedReader(DataSourceReader):
         return [_Page(k) for k in range(1, int(self.options.get("pages", "1")) + 1)]
 
     def read(self, partition):
-        import time
-        import urllib.error
-        import urllib.request
-
-        tries = int(self.options.get("retries", "2"))
-        for k in range(tries + 1):
-            try:
-                with urllib.request.urlopen(self.options["url"].format(page=partition.page), timeout=float(self.options.get("timeout", "15"))) as r:
-                    yield (partition.page, r.read().decode("utf-8", "replace"))
-                return
-            except (urllib.error.URLError, TimeoutError) as e:  # an answer with a code, or none at all
-                code = getattr(e, "code", None)
-                if code is not None and code != 429 and code < 500 or k == tries:
-                    raise
-                time.sleep(min(2**k, 30 if code == 429 else 10))
+        yield partition.page, fetched(self.options["url"].format(page=partition.page), int(self.options.get("retries", "2")), float(self.options.get("timeout", "15")))
+
+
+def fetched(url: str, retries: int = 2, timeout: float = 15) -> str:
+    """The text at a URL. Overload, errors of the server and no answer at all are tried again,
+    with growing pauses."""
+    import time
+    import urllib.error
+    import urllib.request
+
+    for k in range(retries + 1):
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as r:
+                return r.read().decode("utf-8", "replace")
+        except (urllib.error.URLError, TimeoutError) as e:  # an answer with a code, or none at all
+            code = getattr(e, "code", None)
+            if code is not None and code != 429 and code < 500 or k == retries:
+                raise
+            time.sleep(min(2**k, 30 if code == 429 else 10))
+    raise AssertionError("not reached")
 
 
 def owner_aliases(over: dict[str, str] | None = None) -> dict[str, str]:

@@ -110,8 +110,3 @@ def add_companies(known: DataFrame, new: DataFrame, path: str) -> DataFrame:
     added = new.select("company").distinct().join(known, "company", "left_anti").persist()
     added.write.mode("append").parquet(path)
     return added
-
-
-def save_lookups(rows: DataFrame, path: str, kind: str) -> None:
-    """Replace a saved lookup (token, value, at)."""
-    rows.write.mode("overwrite").parquet(f"{path}/{kind}")

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from quillmill import __main__ as cli
+from quillmill.operators import stats
 from quillmill.sources import reports
 
 
@@ -69,3 +72,35 @@ def test_posts_from_saved_responses(spark, tmp_path):
     out = cli.run_posts(spark, cli.arguments([str(x) for x in ("posts", "--responses", tmp_path / "r.json", "--companies", tmp_path / "c.json", "--mode", "pool", "--formats", "csv", "--with", "id", "--output", tmp_path / "o")]))
     got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["csv"]).collect()
     assert sorted((r["ID"], r["公司"], r["搜索关键词"]) for r in got) == [("1", "字节", "a"), ("3", "美团", "b")]
+
+
+def test_lookups_grow_from_run_to_run(spark, tmp_path):
+    body = "\n".join(f"{i}. 介绍一下 mysql 索引 和 redis 缓存 事务 并发 {i}" + " 以及项目里的实际用法和遇到的困难" * 3 for i in range(1, 10))
+    schema = "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string"
+    titles = ["星云科技 后端 面经", "小鹅直播 面经", "甲乙丙 面经", "字节 面经"]
+    spark.createDataFrame([(i, str(i), f"u{i}", "content-data", t, "k", body) for i, t in enumerate(titles)], schema).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "c.json").write_text(json.dumps(["字节", "腾讯"], ensure_ascii=False))
+    said = [{"token": "星云科技", "arr": ["星云科技有限公司"]}, {"token": "小鹅直播", "arr": ["小鹅直播是腾讯旗下的", "小鹅直播 属于腾讯"]}]
+    (tmp_path / "s.json").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in said))
+    got = []
+    for n, more in enumerate((["--suggestions", tmp_path / "s.json"], [], ["--suggestions", tmp_path / "s.json"])):
+        out = cli.run_posts(spark, cli.arguments([str(x) for x in ("posts", "--posts", tmp_path / "p", "--companies", tmp_path / "c.json", "--mode", "pool", "--formats", "csv", "--with", "id", "--lookups", tmp_path / "l", "--output", tmp_path / f"o{n}", *more)]))
+        got.append(sorted((r["ID"], r["公司"]) for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["csv"]).collect()))
+    assert got[0] == [("0", "星云科技"), ("1", "腾讯"), ("3", "字节")] and got[0] == got[1] == got[2]
+
+
+@pytest.mark.parametrize("mode", ["pool", "early"])
+def test_a_run_counts_in_passing(spark, tmp_path, mode):
+    """Observed counts equal those of run_counts over all posts; samples hold what was left out."""
+    body = "\n".join(f"{i}. 介绍一下 mysql 索引 和 redis 缓存 事务 并发 {i}" + " 以及项目里的实际用法和遇到的困难" * 3 for i in range(1, 10))
+    schema = "seq long, id string, uuid string, detail_api_type string, title string, keyword string, search_content string"
+    rows = [(i, str(i), f"u{i}", "content-data", f"{'字节' if i % 3 else ''} 后端面经{i}", "k", "短" if i % 4 == 0 else "" if i % 7 == 0 else body) for i in range(30)]
+    spark.createDataFrame([*rows, rows[1]], schema).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "c.json").write_text(json.dumps(["字节"], ensure_ascii=False))
+    counts = stats.RunCounts()
+    cli.run_posts(spark, cli.arguments([str(x) for x in ("posts", "--posts", tmp_path / "p", "--companies", tmp_path / "c.json", "--items", 30, "--mode", mode, "--formats", "csv,txt", "--samples", 4, "--output", tmp_path / "o")]), counts)
+    with_content = [r for r in rows if r[6]]
+    passed = [r for r in with_content if r[6] == body]
+    named = [r for r in passed if r[0] % 3]
+    assert counts.get() == {"candidates": 30, "with_content": len(with_content), "passed": len(passed), "rejected": len(with_content) - len(passed), "kept": len(named), "dropped_unknown": len(passed) - len(named)}
+    assert spark.read.json(str(tmp_path / "o/samples/rejected")).count() == 4 and spark.read.json(str(tmp_path / "o/samples/dropped")).count() == min(4, len(passed) - len(named))

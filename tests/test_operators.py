@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import entity, knowledge, posts, quality, rank, stats
 from quillmill.functions import text
 from quillmill.plans import config
-from quillmill.sources import readers, reports, sinks
+from quillmill.sources import lookups, paged, readers, reports, sinks
 from quillmill.streaming import posts as streams
 
 
@@ -139,8 +139,17 @@ def test_pages(spark):
 def test_written_list_and_encodings(tmp_path):
     rows = readers.ranking_list("﻿1. 两数之和\n\n简单 https://x.y/z\n2024-01-02\n12\n2. b\nhard\nnoise\n3. c\n中等\n7\n")
     assert [(r["id"], r["title"], r["difficulty"], r["last_date"], r["frequency"], r["url"]) for r in rows] == [(1, "两数之和", "容易", "2024-01-02", 12, "https://x.y/z"), (2, "b", "困难", "", 0, ""), (3, "c", "中等", "", 7, "")]
-    (tmp_path / "g").write_bytes("中文".encode("gb18030"))
-    assert readers.read_text(tmp_path / "g") == "中文"
+    assert readers.decoded("中文".encode("gb18030")) == "中文" == readers.decoded("中文".encode())
+
+
+def test_written_lists_of_a_folder(spark, tmp_path):
+    (tmp_path / "b.md").write_bytes("1. 二\n中等\n7\n".encode("gb18030"))
+    (tmp_path / "a.md").write_text("9. x\nhard\n2024-01-02\n3\n10. y\n")
+    (tmp_path / "c.md").write_text("")
+    got = readers.written_lists(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["seq"], r["id"], r["title"], r["difficulty"], r["frequency"]) for r in got] == [(1, 9, "x", "困难", 3), (2, 10, "y", "", 0), (3, 1, "二", "中等", 7)]
+    one = readers.written_lists(spark, str(tmp_path / "b.md")).collect()
+    assert [r["title"] for r in one] == ["二"]
 
 
 def test_paged_source(spark, tmp_path):
@@ -151,16 +160,63 @@ def test_paged_source(spark, tmp_path):
     assert sorted((r["page"], json.loads(r["body"])["n"]) for r in rows.collect()) == [(1, 1), (2, 2)]
 
 
+def test_paged_stream_ends_and_goes_on(spark, tmp_path):
+    """Pages served from files: an empty one ends the scan, a restart reads no page twice."""
+    spark.dataSource.register(paged.PagedStream)
+
+    def serve(page, n):
+        (tmp_path / f"p{page}.json").write_text(json.dumps({"data": {"records": [{"id": f"{page}-{i}"} for i in range(n)]}}))
+
+    def run():
+        stream = spark.readStream.format("paged_stream").option("url", f"file://{tmp_path}/p{{page}}.json").option("pages", "2").option("most", "7").load()
+        query = streams.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        assert query.awaitTermination(60)
+        return sorted(r["page"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for page in (1, 2):
+        serve(page, 2)
+    serve(3, 2), serve(4, 0), serve(5, 2)
+    seen = run()
+    while len(now := run()) > len(seen):
+        seen = now
+    assert seen == [1, 2, 3]
+    reader = paged.PagedStreamReader({"url": f"file://{tmp_path}/p{{page}}.json", "pages": "2"})
+    assert [p for p, _ in reader.readBetweenOffsets({"page": 1}, {"page": 3})] == [1, 2] and [p for p, _ in reader.readBetweenOffsets({"page": 3}, {"page": 0})] == [3]
+
+
 def test_dictionaries(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(["字节", " 美团 ", "面经", "7"], ensure_ascii=False))
     assert {r[0] for r in readers.companies(spark, str(tmp_path / "c.json")).collect()} == {"字节", "美团"}
     known = spark.createDataFrame([("字节",)], "company string")
     new = spark.createDataFrame([("字节",), ("新厂",)], "company string")
     assert [r[0] for r in sinks.add_companies(known, new, str(tmp_path / "out")).collect()] == ["新厂"]
-    sinks.save_lookups(spark.createDataFrame([("t", ["a"] * 30, 1)], "token string, value array<string>, at long"), str(tmp_path), "s")
+    lookups.upsert(spark.createDataFrame([("t", ["a"] * 30, 1)], "token string, value array<string>, at long"), str(tmp_path), "s")
     assert len(readers.lookup_cache(spark, str(tmp_path), "s").first()["value"]) == 20
 
 
+def test_lookups_are_read_while_written(spark, tmp_path):
+    path, schema = str(tmp_path), "token string, value string, at long"
+    rows = lambda *x: spark.createDataFrame(x, schema)
+    known = lambda: {r["token"]: r["value"] for r in lookups.read(spark, path, "k", "string").collect()}
+    assert known() == {}
+    want = {}
+    for n in range(lookups.UPSERTS + 3):
+        before = lookups.read(spark, path, "k", "string")  # planned before the write, run after it
+        lookups.upsert(rows((f"t{n % 4}", f"v{n}", n), ("old", "x", -n)), path, "k", "string")
+        assert {r["token"]: r["value"] for r in before.collect()} == want
+        want = want | {f"t{n % 4}": f"v{n}", "old": "x"}
+        assert known() == want
+    kinds = [k for _, k, _ in lookups.versions(spark, f"{path}/k")]
+    assert kinds.count("all") == 1 and len(kinds) > 1
+    lookups.upsert(lookups.read(spark, path, "k", "string").withColumn("value", F.upper("value")).withColumn("at", F.lit(99)), path, "k", "string")
+    assert known() == {k: v.upper() for k, v in want.items()}
+    (tmp_path / "k" / f"v{10**9:010}-new-ab").mkdir()  # a writer that has not finished
+    assert known() == {k: v.upper() for k, v in want.items()}
+    lookups.compact(spark, path, "k", "string")
+    lookups.compact(spark, path, "k", "string")
+    assert known() == {k: v.upper() for k, v in want.items()}
+
+
 def test_reports_and_library(spark, tmp_path):
     rows = spark.createDataFrame([(2, "t2", "b"), (1, "t1", "# a")], "seq long, title string, content string").withColumnsRenamed({k: v for k, v in posts.COLUMNS.items() if k in ("title", "content")})
     at = datetime(2024, 5, 6)

@@ -169,3 +169,23 @@ def test_idle_keys_give_up_their_pool(spark, tmp_path):
     assert [r["seq"] for r in pool.pool(found, 1).collect()] == [0]
 
 
+
+
+def test_a_library_of_20000_titles_by_joins(spark):
+    """The same signals as the columns give, with no list of titles on the driver."""
+    r = random.Random(9)
+    # 20,000 titles of which the posts name some; one is the compact form of another's text
+    made = spark.range(20_000).select(F.col("id").alias("seq"), F.concat(F.lit("题目"), F.conv(F.col("id").cast("string"), 10, 36), F.lit(" 号")).alias("title"))
+    few = [made.where(f"seq = {k}").first()["title"] for k in (5, 50, 500, 19_999)]
+    say = lambda: " ".join(r.choice(["手撕", "第 7 题", "leetcode 11", "动态规划", "中文", few[r.randrange(4)], few[r.randrange(4)].replace(" ", "")]) for _ in range(8))
+    posts_ = spark.createDataFrame([(i, say(), say()) for i in range(40)] + [(40, "", ""), (41, None, None)], "seq long, title string, content string")
+    hot = spark.createDataFrame([(7, few[0], 99), (11, few[1], 3), (None, "动态规划", 8)], "id int, title string, frequency int")
+    rules = config.Rules(normalization=config.Normalization(nfkc=False, map_digits=False))
+    q = config.Quality(alg_topics=("中文",))
+    column = quality.Library([x.asDict() for x in hot.collect()], [x["title"] for x in made.where("seq in (5, 50, 500, 19999)").collect()], [7, 11, 12], rules, q, ["手撕"], ["动态"])
+    word = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    tables = quality.library_tables(made, hot, spark.createDataFrame([(7,), (11,), (12,), (99_999,)], "id int"), word("手撕"), word("动态"), rules, q)
+    pick = lambda df: {x["seq"]: (x["f"]["titles"], x["f"]["ids"], x["f"]["hot_titles"], x["f"]["score"]) for x in df.collect()}
+    a = pick(quality.evaluate(posts_, q, rules, tables).select("seq", F.col("breakdown.algorithm").alias("f")))
+    b = pick(quality.evaluate(posts_, q, rules, column).select("seq", F.col("breakdown.algorithm").alias("f")))
+    assert a == b and len(a) == 42 and sum(len(v[0]) for v in b.values()) > 20
