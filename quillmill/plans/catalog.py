@@ -769,14 +769,14 @@ LEVELS = "case p_size % 4 when 1 then 'easy' when 2 then '中等' when 3 then 'H
 @query("written_lists", f"""with x as (select p_partkey, p_partkey + 1 as n, p_name, p_size, {LEVELS} as level from part)
 select row_number() over (order by n // 50, n) as seq, case when n > 0 then cast(n as bigint) end as id, p_name as title, case p_size % 4 when 1 then '容易' when 2 then '中等' when 3 then '困难' else '' end as difficulty, case when p_size % 3 = 0 then '2024-01-02' else '' end as last_date, case when p_size % 2 = 0 then cast(p_size as bigint) else 0 end as frequency, 'https://x.y/' || n as url from x""")
 def written_lists(spark, sf):
-    """Many written lists, some of them not in UTF-8, parsed on the executors."""
+    """Many written lists, some of them with a byte order mark, parsed on the executors."""
     p = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("n"), "p_name", "p_size")
     level = F.expr(LEVELS)
     lines = [F.concat(F.col("n").cast("string"), F.lit(". "), "p_name"), F.lit(""), F.concat(level, F.lit(" https://x.y/"), F.col("n").cast("string"))]
     block = F.concat_ws("\n", *lines, F.when(F.col("p_size") % 3 == 0, F.lit("2024-01-02")), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")))
     file = F.floor(F.col("n") / 50)
     texts = p.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("t"))
-    body = F.when(F.col("file") % 2 == 0, F.encode("t", "UTF-8")).otherwise(F.encode("t", "GBK"))
+    body = F.when(F.col("file") % 2 == 0, F.encode("t", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("t", "UTF-8")))
     found = readers.listed_entries(texts.select(F.format_string("%09d", "file").alias("path"), body.alias("content")))
     return found.select("seq", F.col("id").cast("long").alias("id"), "title", "difficulty", "last_date", F.col("frequency").cast("long").alias("frequency"), "url")
 
