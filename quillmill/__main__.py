@@ -29,7 +29,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     source.add_argument("--posts", help="Parquet: seq, id, uuid, detail_api_type, title, keyword, search_content")
     source.add_argument("--responses", help="JSON search responses: keyword, page, data")
     p.add_argument("--pages", type=int, help="pages of a keyword among which an empty one ends its scan")
-    p.add_argument("--details", help="Parquet: kind, key, content")
+    p.add_argument("--details", help="Parquet: kind, key, content, and page (HTML) if there is any")
     p.add_argument("--comments", help="JSON comment responses: post_id, page, data")
     p.add_argument("--library", help="JSON library of problems, as `library` writes it")
     p.add_argument("--companies", required=True, help="JSON list of organisations")
@@ -56,6 +56,8 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 def chosen_posts(spark: SparkSession, a: argparse.Namespace, s: config.Settings, pick: config.Selection, library: quality.LibraryTables | None, counts: stats.RunCounts) -> DataFrame:
     """The posts that the selection keeps, scored, with a number that tells them apart."""
     details = spark.read.parquet(a.details) if a.details else spark.createDataFrame([], "kind string, key string, content string")
+    if "page" in details.columns:  # pages as they were fetched, for what the service did not give
+        details = details.withColumn("content", readers.detail_content(F.col("content"), F.col("page")))
     mine = F.col("keyword").isin(*a.keywords) if a.keywords else F.lit(True)
     if a.stream:
         if a.mode not in ("pool", "first") or not a.posts:
@@ -107,7 +109,7 @@ def run_posts(spark: SparkSession, a: argparse.Namespace, counts: stats.RunCount
     extra = set(a.extra) - ({"comments"} if not a.comments else set()) - ({"annotations"} if not parts else set())
     if "annotations" in extra:
         chosen = posts.with_matches(chosen, knowledge.entries(parts["hot"]), s.rules)
-    chosen, entries = cut(chosen), entity.dictionary(spark, known)
+    chosen, entries = cut(chosen), entity.dictionary(spark, known, readers.owner_aliases(dict(s.owners)))
     beyond = refreshed(spark, a, chosen, entries, names) if a.lookups else None
     done = cut(counts.at("cleaned", posts.clean(chosen, entries, names, pick.items, not a.keep_unknown, beyond)))
     if a.samples:

@@ -144,9 +144,10 @@ def outline_content(c: Column) -> Column:
 
 
 def body_with_outline(body: Column, outline: Column) -> Column:
-    """The body, then the outline where there is one."""
-    b, o = markdown_content(body), outline_content(outline)
-    return F.when(F.length(o) == 0, b).when(F.length(b) == 0, o).otherwise(F.concat_ws("\n\n", b, o))
+    """The outline, then the body; only the body if it holds the outline's first line."""
+    b, o = strip(or_empty(body)), strip(or_empty(outline))
+    first = strip(F.split_part(F.regexp_replace(o, "\r\n?", "\n"), F.lit("\n"), F.lit(1)))
+    return F.when(F.length(o) == 0, b).when(F.length(b) == 0, o).when(F.contains(b, first), b).otherwise(F.concat_ws("\n\n", o, b))
 
 
 # ---------------------------------------------------------------- keys, numbers, URLs

@@ -696,6 +696,20 @@ def markdown_clean(spark, sf):
 # ---------------------------------------------------------------- nested sources, runs
 
 
+FIRST_LINE = "trim(split_part(trim(text, chr(10) || ' '), chr(10), 1))"
+
+
+@query("outline_merge", f"""with x as (select doc_id, trim(text, chr(10) || ' ') as b, case doc_id % 4 when 0 then {FIRST_LINE} || chr(10) || 'more' when 1 then '1. ' || doc_id || chr(10) || '2. b' when 2 then '' else '  1. z  ' end as raw from documents),
+y as (select doc_id, b, trim(raw) as o from x)
+select doc_id, md5(case when o = '' then b when b = '' then o when contains(b, trim(split_part(o, chr(10), 1))) then b else o || chr(10) || chr(10) || b end) as digest from y""")
+def outline_merge(spark, sf):
+    d = table(spark, sf, "documents")
+    first = F.trim(F.split_part(text.strip(F.col("text")), F.lit("\n"), F.lit(1)))
+    kind = F.col("doc_id") % 4
+    outline = F.when(kind == 0, F.concat(first, F.lit("\nmore"))).when(kind == 1, F.concat(F.lit("1. "), F.col("doc_id").cast("string"), F.lit("\n2. b"))).when(kind == 2, "").otherwise("  1. z  ")
+    return d.select("doc_id", F.md5(text.body_with_outline(F.col("text"), outline)).alias("digest"))
+
+
 @query("comments_flatten", "with r as (select conv_id, text, turn, turn - turn % 2 as top from conversations) select conv_id, string_agg(text, chr(10) order by turn) as comments from r group by conv_id")
 def comments_flatten(spark, sf):
     c = table(spark, sf, "conversations").withColumn("top", F.col("turn") - F.col("turn") % 2)

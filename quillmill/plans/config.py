@@ -199,6 +199,7 @@ class Settings:
     quality: Quality = field(default_factory=Quality)
     selection: Selection = field(default_factory=Selection)
     pages: int = 5
+    owners: tuple[tuple[str, str], ...] = ()
 
 
 def stable_hash(raw: dict) -> str:
@@ -337,4 +338,5 @@ def settings(raw: dict) -> Settings:
         step_ratio=float(s.get("heap_elastic_step_ratio", 0.25)), elastic=bool(s.get("heap_elastic_enabled", True)), replace_threshold=int(s.get("heap_elastic_replace_threshold", 6)),
         idle_rounds=int(s.get("heap_elastic_shrink_idle_rounds", 3)), batch=max(int(s.get("parallel_batch_size", 8)), 1),
     )
-    return Settings(rules, Quality(**given), selection, int(raw.get("max_pages") or 5))
+    owners = tuple((str(k or "").strip(), str(v or "").strip()) for k, v in _section(raw, "company_owner_aliases").items())
+    return Settings(rules, Quality(**given), selection, int(raw.get("max_pages") or 5), owners)

@@ -461,3 +461,24 @@ def test_segments_of_many_lines(spark):
     began = time.time()
     got = df.select(quality.numbered_ads(F.col("c")).alias("x")).first()["x"]
     assert got["segments"] == 8000 and time.time() - began < 4
+
+
+@pytest.mark.parametrize("body, outline, want", [("b", "", "b"), (" b ", None, "b"), ("", " 1. x ", "1. x"), ("b 1. x", "1. x\n2. y", "b 1. x"), ("b", "1. x\r\n2. y", "1. x\r\n2. y\n\nb"), (None, None, "")])
+def test_body_with_outline(spark, body, outline, want):
+    assert spark.createDataFrame([(body, outline)], "b string, o string").select(text.body_with_outline(F.col("b"), F.col("o"))).first()[0] == want
+
+
+def test_details_come_from_the_service_then_the_state_then_the_page(spark):
+    state = '{"prefetchData":{"1":{"ssrCommonData":{"contentData":{"content":"state"}}}}}'
+    html = lambda s: f"<html><script>window.__INITIAL_STATE__={s};</script><div class='post-content'>page</div></html>"
+    df = spark.createDataFrame([("api", html(state)), ("", html(state)), (None, html("")), (None, None)], "c string, p string")
+    assert [r[0] for r in df.select(readers.detail_content(F.col("c"), F.col("p"))).collect()] == ["api", "state", "page", None]
+
+
+def test_owners_of_a_configuration(spark):
+    s = config.settings({"company_owner_aliases": {" 小鹅 ": "腾讯", "": "x", "荣耀": "别家"}})
+    owners = readers.owner_aliases(dict(s.owners))
+    assert owners["小鹅"] == "腾讯" and owners["荣耀"] == "别家" and "" not in owners
+    titles = spark.createDataFrame([(1, "小鹅 面经"), (2, "荣耀 面经")], "seq long, title string")
+    found = entity.candidates(titles, entity.dictionary(spark, [], owners))
+    assert {r["seq"]: r["company"] for r in entity.best_company(titles, found).collect()} == {1: "腾讯", 2: "别家"}
