@@ -43,7 +43,7 @@ SIDE = LENGTH - GRAM
 #: Strings that start again up to PERIOD bytes on are found where they are.
 PERIOD = 4
 #: Anchors that a task ships together; text hashed at once; edge rows sorted at once.
-SHIP, HASHED, SORTED = 300_000, 1 << 19, 15_000
+SHIP, HASHED, SORTED = 200_000, 1 << 18, 15_000
 
 
 def sliding(a: np.ndarray, w: int, ufunc: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -168,7 +168,9 @@ class HashedRows:
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         self.prefix = np.zeros((len(rows), rows.shape[1] + 1), dtype=np.uint64)
-        np.cumsum(BYTE_VALUE[rows] * powers(BASE, rows.shape[1]), axis=1, out=self.prefix[:, 1:])
+        weight = powers(BASE, rows.shape[1])
+        for a in range(0, len(rows), 4096):  # a group of any size, with little beside its hashes
+            np.cumsum(BYTE_VALUE[rows[a : a + 4096]] * weight, axis=1, out=self.prefix[a : a + 4096, 1:])
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of rows a and b, by binary search on the hashes."""
