@@ -8,7 +8,8 @@ a rule without mandatory trigrams scans every row.
 
 Positions come from the text between matches: `split` gives the gaps and
 `regexp_extract_all` the matches, and running sums of their lengths give the spans in code
-points.
+points. Sums and redacted texts are made in blocks, so many secrets in one long text cost little
+more than as many short texts.
 
 Defined cases: a null text is empty and has no span; repeated rows are scanned each; extra
 columns are kept by `scan` (it adds `secret_spans`, replacing a column of that name); an
@@ -16,6 +17,7 @@ empty table gives no rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -187,22 +189,45 @@ def candidate(rule: Rule, bit: dict[str, int]) -> Column:
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: an expression that a lambda's body names is
+    computed for each element, an argument is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each value, op over zero and the values before it. A fold that grows a list copies it
+    with every element, so folds run over blocks of about the square root of their number."""
+
+    def folded(xs: Column, first: Column) -> Column:
+        none = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, none, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def over(xs: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(xs) / block).cast("int") - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(xs, k * block + 1, block))
+        totals = lambda bs: folded(F.transform(bs, lambda b: F.aggregate(b, zero, op)), zero)
+        return bound(blocks, lambda bs: F.flatten(F.zip_with(bs, totals(bs), folded)))
+
+    return bound(values, over)
+
+
 def spans(rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches of a rule that are long enough."""
     text, pattern = F.coalesce(F.col("text"), F.lit("")), F.lit(rule.pattern)
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.measured)), F.length)
-    rows = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), kept.alias("measure"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    rows = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), kept.alias("measure"))  # the last gap has no match
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        out = F.when(x["measure"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct((begin + F.coalesce(x["size"], F.lit(0))).alias("at"), out.alias("out"))
+    def placed(xs: Column) -> Column:
+        ends = before(F.transform(xs, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), F.lit(0), lambda a, x: a + x)
+        every = F.zip_with(xs, ends, lambda x, at: F.struct(x["measure"].alias("measure"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end")))
+        long = F.filter(every, lambda x: F.coalesce(x["measure"] >= rule.least, F.lit(False)))
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    return bound(rows, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -218,18 +243,29 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of the chunks from which redacted texts are put together.
+CHUNK = 512
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by <kind>; overlapping spans are replaced as one, under
     the kind that starts first. Other columns stay; n_chars, where present, follows the text."""
     found = scan(packed(docs, F.col("text")), rules)
     text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def replaced(x: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:  # characters a to b, from the chunks that hold them
+            first = F.floor(a / CHUNK).cast("int")
+            held = F.array_join(F.slice(x["chunks"], first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+            return F.substring(held, a - first * CHUNK + 1, b - a)
 
-    def step(s: Column, x: Column) -> Column:
-        piece = F.when(x["start"] >= s["at"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
+        ends = before(F.transform(x["spans"], lambda s: s["end"]), F.lit(0), lambda a, e: F.greatest(a, e))
+        parts = F.zip_with(x["spans"], ends, lambda s, at: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), part(last, x["n"]))
 
-    new = F.aggregate("secret_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    new = bound(F.struct(F.col("secret_spans").alias("spans"), chunks.alias("chunks"), F.length(text).alias("n")), replaced)
     any_ = F.size("secret_spans") > 0
     out = found.withColumn("text", F.when(any_, new).otherwise(F.col("text")))
     changed = {"text": F.col("text")}

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from quillmill.llm import secret_scan as secrets
 
@@ -68,3 +72,27 @@ def test_a_private_key_goes_with_its_body(spark):
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
     assert [out[i] for i in range(5)] == ["a <pem> z", "a <pem> z", "a <pem>\nand more words", "a <pem>", "a <pem> is a header"]
     assert secrets.derive(secrets.PEM) == secrets.derive("-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
+def test_many_secrets_in_one_text(spark):
+    """32,000 digests in a text: spans and redaction without copying what came before."""
+    r = random.Random(3)
+    texts = [" é ".join("".join(r.choice("0123456789abcdef") for _ in range(24 + k % 3)) for k in range(n)) + " token=abcdefgh" for n in (1, 2, 700, 32_000)]
+    df = docs(spark, texts).coalesce(1)
+    secrets.redact(docs(spark, texts[:2])).collect()
+    began = time.time()
+    got = {x["doc_id"]: x["text"] for x in secrets.redact(df).collect()}
+    took = time.time() - began
+    assert got == {i: re.sub("[0-9a-f]{24,}", "<hex>", t).replace("token=abcdefgh", "<assign>") for i, t in enumerate(texts)}
+    assert took < 12, took
+    scanned = {x["doc_id"]: x["secret_spans"] for x in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert [(x["start"], x["end"]) for x in scanned[i] if x["kind"] == "hex"] == [m.span() for m in re.finditer("[0-9a-f]{24,}", t)]
+
+
+def test_running_values_in_blocks(spark):
+    for n in (0, 1, 2, 3, 10, 1000):
+        xs = [(7 * k) % 11 - 3 for k in range(n)]
+        df = spark.createDataFrame([(xs,)], "v array<int>")
+        sums = df.select(secrets.before(F.col("v"), F.lit(0), lambda a, x: a + x)).first()[0]
+        assert sums == [sum(xs[:k]) for k in range(n)]
