@@ -178,6 +178,8 @@ def score(docs: DataFrame) -> DataFrame:
         cells = open_blocks.applyInPandas(held_out, "code long, n double, two double, one double")
         cells = cells.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()  # at most BUCKETS * CELLS**2 rows
     weights = fit(cells.sort_values("code").assign(bucket=lambda x: x["code"] // CELLS**2), vocabulary)
+    if not n:  # nothing was learned: all mass on the uniform floor
+        weights = np.tile(np.array([0.0, 0.0, 1.0]), (BUCKETS, 1))
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, lengths, _, word, before, pair = opened(pdf)

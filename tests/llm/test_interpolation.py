@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillmill.llm import interpolation
 
 from .helpers import awkward, docs, saved
@@ -64,3 +66,10 @@ def test_beats_the_base_on_held_out_text(spark):
 
 def test_no_rows(spark, tmp_path):
     assert interpolation.op7_interpolation(spark, saved(spark, tmp_path, [])).count() == 0
+
+
+def test_without_training_rows_the_model_is_uniform(spark):
+    """V = 0, so each token has all of the mass of the floor: probability 1, for any text."""
+    rows = docs(spark, ["a b", None, "c"]).select("doc_id", "text").withColumn("train", F.lit(False))
+    got = {r["doc_id"]: r for r in interpolation.score(rows).collect()}
+    assert {i: (r["n_tokens"], r["n_known"], r["score"]) for i, r in got.items()} == {0: (3, 0, 0.0), 1: (1, 0, 0.0), 2: (2, 0, 0.0)}
