@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import collisions, images, interpolation, jaccard, language, packing, registry, secret_scan, segmentations, suffixes, token_store
+from quillmill.llm import collisions, images, interpolation, jaccard, language, licenses, lloyd, packing, registry, resampling, secret_scan, segmentations, suffixes, token_store
 
 from .helpers import awkward, docs, prose
 
 CLASH = ["_kept", "_id", "_mark", "_i", "_m", "_low", "_bits0", "secret_spans", "row", "id", "mark", "key", "n", "range", "block", "kind", "lang_pred", "score", "rejected", "rank", "salt", "train", "component_id"]
-OPS = {"op3": jaccard.op3_jaccard, "op4": secret_scan.op4_secrets, "op5": language.op5_language, "op6": token_store.op6_token_store, "op7": interpolation.op7_interpolation, "op8": packing.op8_packing, "op10": suffixes.op10_suffixes}
+OPS = {"op3": jaccard.op3_jaccard, "op4": secret_scan.op4_secrets, "op5": language.op5_language, "op6": token_store.op6_token_store, "op7": interpolation.op7_interpolation, "op8": packing.op8_packing, "op10": suffixes.op10_suffixes, "op11": licenses.op11_licenses, "op13": resampling.op13_resampling}
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,7 @@ def where(spark, tmp_path_factory):
     odd = base.where("doc_id = 5").select(F.lit(99).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"))
     every = base.union(nulls).union(odd).union(base.where("doc_id in (5, 13)"))
     every.withColumns({c: F.lit("x") for c in CLASH}).write.parquet(f"{path}/documents.parquet")
+    base.select(F.col("doc_id").alias("item_id"), "text").withColumns({c: F.lit("x") for c in CLASH}).write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
@@ -45,6 +46,7 @@ def test_vectors_images_and_turns(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"id": F.lit("x"), "v": F.lit(1), "p": F.lit(1)}).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert collisions.op2_collisions(spark, str(tmp_path)).count() == 5
     assert images.op1_images(spark, str(tmp_path)).count() == 5
+    assert sorted((r["vec_id"] or 0, r["cluster"], r["distance"]) for r in lloyd.op12_lloyd(spark, str(tmp_path)).collect()) == [(0, 0, 0), (1, 0, 0), (1, 0, 0)]
     turns = [(None, 1, "u", "a b"), (1, None, "u", None), (1, 1, None, "c"), (1, 1, None, "c")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
     assert segmentations.op9_segmentations(spark, str(tmp_path)).select("conv_id", "turn").distinct().count() == 3
