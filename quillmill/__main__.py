@@ -49,6 +49,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     k = sub.add_parser("library")
     k.add_argument("--ranking", help="JSON ranking responses")
     k.add_argument("--list", help="written list of problems, or a folder of lists")
+    k.add_argument("--rows", action="store_true", help="write JSON lines instead of one JSON document")
     k.add_argument("--output", required=True)
     return top.parse_args(args)
 
@@ -129,13 +130,13 @@ def library_of(parts: dict, s: config.Settings) -> quality.LibraryTables | None:
 def run_library(spark: SparkSession, a: argparse.Namespace) -> str:
     sources = []
     if a.ranking:
-        sources.append(readers.ranking(spark.read.schema(readers.RANKING).json(a.ranking)))
+        sources.append(readers.ranking(spark.read.schema(readers.RANKING).json(a.ranking), whole=False))
     if a.list:
         sources.append(readers.written_lists(spark, a.list).withColumn("seq", F.col("seq") + (1 << 40)))
     if not sources:
         raise SystemExit("nothing to read: give --ranking or --list")
     merged = knowledge.merge(knowledge.entries(knowledge.unite(*sources)))
-    sinks.save_library(knowledge.slim(merged), a.output)
+    (sinks.save_library_rows if a.rows else sinks.save_library)(knowledge.slim(merged), a.output)
     return a.output
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import order
 from .components import components
 
 ENTRY = "seq long, id int, frontend_id string, title string, difficulty string, last_date string, frequency int, url string, source string"
@@ -95,6 +96,19 @@ def library(found: DataFrame) -> DataFrame:
     return one.select(F.lit(1).alias("version"), "problem_ids", F.array_distinct(F.filter(F.transform("all", lambda x: x["t"]), lambda t: F.length(t) > 0)).alias("problem_titles"), F.transform("all", lambda x: x["e"]).alias("interview_hot_problems"))
 
 
+def library_rows(found: DataFrame) -> DataFrame:
+    """The library as rows (kind, place, id, title, difficulty, frequency, url): its entries, most
+    frequent first; the titles, each at its first entry's place; the numbers, ascending. Places
+    come from sorted ranges, so a library of any size is nobody's single row."""
+    own = ["id", "title", "difficulty", "frequency", "url"]
+    entries = order.numbered(found.select(*own), F.desc("frequency"), F.coalesce("title", F.lit("")), *own, name="place")
+    titles = entries.where("length(title) > 0").groupBy("title").agg(F.min("place").alias("first"))
+    titles = order.numbered(titles, "first", name="place")
+    ids = order.numbered(found.where("id is not null").select("id").distinct(), "id", name="place")
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "place", *[(F.col(c) if c in df.columns else F.lit(None).cast(found.schema[c].dataType)).alias(c) for c in own])
+    return row(entries, "entry").union(row(titles, "title")).union(row(ids, "id"))
+
+
 def hot_scores(found: DataFrame) -> DataFrame:
     """Score of each title by its greatest frequency."""
     out = found.groupBy(text.title_key(F.col("title")).alias("title")).agg(F.max("frequency").alias("frequency"))

@@ -128,6 +128,19 @@ def pattern_hits_automaton(spark, sf):
     return normal(posts(spark, sf)).select(F.col("seq").alias("doc_id"), F.array_join(match.automaton_hits(F.col("c"), WORDS), ",").alias("hits"))
 
 
+LOOSE = Rules(must=("of the", "quote", "tion"), skip_enabled=True, max_skips=2, strip_chars=" .,-", normalization=PLAIN)
+
+
+def loose_sql(c: str) -> str:
+    return "(" + " or ".join(f"regexp_matches({c}, '{'[ .,-]{0,2}'.join(w)}')" for w in LOOSE.must) + ")"
+
+
+@query("skip_relevance", f"with {POSTS} select seq as doc_id from n where {loose_sql('t')} and {loose_sql('c')}")
+def skip_relevance(spark, sf):
+    """Relevance with skips on: characters that are passed over may stand within a word."""
+    return normal(posts(spark, sf)).where(match.relevant(F.col("t"), F.col("c"), LOOSE)).select(F.col("seq").alias("doc_id"))
+
+
 def times(c: str, w: str) -> str:
     return f"cast((length({c}) - length(replace({c}, '{w}', ''))) / {len(w)} as bigint)"
 
@@ -153,6 +166,13 @@ def pattern_counts_many(spark, sf):
     return rows.select(F.col("seq").alias("doc_id"), F.size("x.at").cast("long").alias("kinds"), sum_.alias("occurrences"), match.weighted(F.col("x"), [i % 7 + 1 for i in range(len(FEATURES))], True).cast("long").alias("total"))
 
 
+@query("pattern_hits_many", f"with {POSTS}, x as (select seq, {list_sql('c', FEATURES)} as h from n) select seq as doc_id, cast(len(h) as bigint) as n_hits, md5(array_to_string(h, ',')) as digest from x")
+def pattern_hits_many(spark, sf):
+    """Hits of 500 patterns, which the automaton finds."""
+    found = match.hits(F.col("c"), FEATURES)
+    return normal(posts(spark, sf)).select("seq", found.alias("h")).select(F.col("seq").alias("doc_id"), F.size("h").cast("long").alias("n_hits"), F.md5(F.array_join("h", ",")).alias("digest"))
+
+
 def whole(w: str) -> str:
     return f"cast(len([x for x in string_split(regexp_replace(c, '[^a-z0-9]+', ' ', 'g'), ' ') if x = '{w}']) as bigint)"
 
@@ -428,6 +448,16 @@ def entity_signatures(spark, sf):
     return entity.signatures(titles(spark, sf), brand_entries(spark, sf)).select("alias", F.col("k").alias("gram"), F.col("n").alias("titles"))
 
 
+ALIASES = {"type standard": "standard works", "brand brand#13": "thirteen"}
+
+
+@query("entity_canonical", f"with {ENTITY} select distinct seq, case company " + " ".join(f"when '{k}' then '{v}'" for k, v in ALIASES.items()) + f" else company end as company, cast(score as bigint) as score from cand")
+def entity_canonical(spark, sf):
+    """Candidates under the organisation behind each name."""
+    found = entity.candidates(titles(spark, sf), brand_entries(spark, sf), ALIASES)
+    return found.select("seq", "company", F.col("score").cast("long").alias("score")).distinct()
+
+
 @query("entity_best", f"with {ENTITY} select tt.seq, coalesce(best.company, '其他') as company from tt left join best on tt.seq = best.seq and rn = 1")
 def entity_best(spark, sf):
     return entity.best_company(titles(spark, sf), found_brands(spark, sf)).select("seq", "company")
@@ -647,8 +677,18 @@ def kb_merge_by_title(spark, sf):
 
 @query("library_lists", "select cast(count(distinct p_partkey % 500) filter (where p_partkey % 500 > 0) as bigint) as n_ids, cast(count(distinct p_name) as bigint) as n_titles, cast(count(*) as bigint) as n_entries from part")
 def library_lists(spark, sf):
-    slim = knowledge.slim(knowledge.entries(hot(spark, sf)))
-    return knowledge.library(slim).select(F.size("problem_ids").cast("long").alias("n_ids"), F.size("problem_titles").cast("long").alias("n_titles"), F.size("interview_hot_problems").cast("long").alias("n_entries"))
+    rows = knowledge.library_rows(knowledge.slim(knowledge.entries(hot(spark, sf))))
+    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    return rows.agg(n("id", "n_ids"), n("title", "n_titles"), n("entry", "n_entries"))
+
+
+@query("library_rows", """with e as (select case when p_partkey % 500 > 0 then p_partkey % 500 end as id, p_name as title, greatest(p_size, 1) as f from part),
+r as (select title, row_number() over (order by f desc, title, id nulls first) as place from e)
+select 'entry' as kind, place, title as value from r union all select 'title', row_number() over (order by min(place)), title from r group by title
+union all select 'id', row_number() over (order by id), cast(id as varchar) from (select distinct id from e where id is not null)""")
+def library_rows(spark, sf):
+    rows = knowledge.library_rows(knowledge.slim(knowledge.entries(hot(spark, sf))))
+    return rows.select("kind", "place", F.coalesce("title", F.col("id").cast("string")).alias("value"))
 
 
 @query("difficulty_norm", """select o_orderkey, case lower(split_part(o_orderpriority, '-', 2)) when 'high' then '困难' when 'medium' then '中等' when 'low' then '容易' else '' end as by_name,

@@ -272,8 +272,14 @@ def companies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def algorithm_library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Parts of a library file: markers, topics (categories among them), titles, ids (1 to 9999)
-    and hot entries."""
+    """Parts of a library: markers, topics (categories among them), titles, ids (1 to 9999) and hot
+    entries. A library is one JSON document, or rows as sinks.save_library_rows writes them."""
+    head = spark.read.text(path).first()
+    if head and head[0].startswith('{"kind":'):
+        rows = spark.read.schema("kind string, place long, id int, title string, difficulty string, frequency int, url string").json(path)
+        of = lambda kind, *c: rows.where(F.col("kind") == kind).select(F.col("place").alias("seq"), *c)
+        none = spark.createDataFrame([], "seq long, word string")
+        return {"markers": none, "topics": none, "titles": of("title", "title"), "ids": of("id", "id").where("id between 1 and 9999"), "hot": of("entry", "id", "title", "frequency", "difficulty", "url")}
     hot = "struct<id:string,frontend_id:string,title:string,frequency:string,count:string,difficulty:string,last_date:string,url:string,link:string,source:string>"
     schema = f"markers array<string>, categories array<string>, topic_keywords array<string>, problem_titles array<string>, problem_ids array<int>, interview_hot_problems array<{hot}>"
     one = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("x"))

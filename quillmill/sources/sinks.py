@@ -101,10 +101,15 @@ def export(rows: DataFrame, root: str, name: str, formats: list[str], order: str
 
 
 def save_library(found: DataFrame, path: str) -> None:
-    """The library as one JSON document; empty fields are left out."""
+    """The library as one JSON document, for programs that read one; empty fields are left out."""
     knowledge.library(found).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_library_rows(found: DataFrame, path: str) -> None:
+    """The library as JSON lines in the order of kinds and places, for libraries of any size."""
+    knowledge.library_rows(found).orderBy("kind", "place").write.mode("overwrite").json(path)
+
+
 def add_companies(known: DataFrame, new: DataFrame, path: str) -> DataFrame:
     """Append organisations that the dictionary at path lacks; returns those added."""
     added = new.select("company").distinct().join(known, "company", "left_anti").persist()

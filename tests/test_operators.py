@@ -233,6 +233,10 @@ def test_reports_and_library(spark, tmp_path):
     assert lib["problem_ids"] == [1] and lib["problem_titles"] == ["B", "A"]
     parts = readers.algorithm_library(spark, str(tmp_path / "lib"))
     assert parts["hot"].count() == 2 and parts["ids"].first()["id"] == 1
+    sinks.save_library_rows(knowledge.slim(entries), str(tmp_path / "rows"))
+    parts = readers.algorithm_library(spark, str(tmp_path / "rows"))
+    assert [r["title"] for r in parts["titles"].orderBy("seq").collect()] == ["B", "A"] and [r["id"] for r in parts["ids"].collect()] == [1]
+    assert [(r["title"], r["frequency"]) for r in parts["hot"].orderBy("seq").collect()] == [("B", 9), ("A", 5)]
 
 
 def test_a_report_is_written_whole_or_not_at_all(spark, tmp_path):
