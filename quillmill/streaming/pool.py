@@ -50,13 +50,13 @@ class Entrants(StatefulProcessor):
         heapq.heapify(heap)
         out = []
         for at, (seq, i, u, passed, score, chars) in enumerate(pdf[list(NEEDED)].itertuples(index=False, name=None)):
-            name = ("" if i is None else i, "" if u is None else u)
+            name = ("\0" if i is None else i, "\0" if u is None else u)  # state takes no nulls
             if self.seen.containsKey(name):
                 continue
             self.seen.updateValue(name, (int(seq),))
             if not passed:
                 continue
-            mine = (int(score), int(chars), name[0], -int(seq)) if self.best else (0, 0, "", -int(seq))
+            mine = (int(score), int(chars), i or "", -int(seq)) if self.best else (0, 0, "", -int(seq))
             if len(heap) < self.k:
                 heapq.heappush(heap, mine)
             elif self.k and mine > heap[0]:
