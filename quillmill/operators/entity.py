@@ -2,7 +2,8 @@
 
 Titles meet dictionaries by containment. Each entry is filed under its gram (two neighbouring
 characters) that the fewest titles hold, and titles ask for the grams that they hold, so the
-meeting is an equi-join that common beginnings do not heat up; the exact test follows."""
+meeting is an equi-join that common beginnings do not heat up; the exact test follows. A
+dictionary of a few entries is sent to the titles and tested entry by entry, without grams."""
 
 from __future__ import annotations
 
@@ -12,9 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, quoted, strip
+from ..sources.tables import cut, sized
 
 UNKNOWN = "其他"
 
+#: Entries that are tested one by one; from there on grams are cheaper.
+FEW = 200
+
 # Dictionaries of organisations and words.
 NOISE_WORDS = (
     "java", "python", "golang", "go", "c++", "cpp", "javascript", "js", "sql", "前端", "后端", "算法", "测试", "开发", "研发", "产品", "运营",
@@ -134,30 +139,42 @@ def grams(c: Column, alone: bool) -> Column:
 
 def signatures(titles: DataFrame, entries: DataFrame) -> DataFrame:
     """(alias, k, n): the gram under which an entry is filed, of those it holds the one that the
-    fewest titles hold, and by how many. Titles are counted for the dictionary's grams only."""
+    fewest titles hold, and by how many."""
     held = entries.select("alias").distinct().withColumn("k", F.explode(grams(F.col("alias"), False)))
-    asked = titles.select(F.explode(grams(F.col("title"), True)).alias("k")).join(held.select("k").distinct(), "k", "left_semi")
-    count = asked.groupBy("k").agg(F.count("*").alias("n"))
-    known = held.join(count, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # Counted before the meeting: a row a gram and task is shuffled, whatever the dictionary's size.
+    count = titles.select(F.explode(grams(F.col("title"), True)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    known = held.join(count.hint("merge"), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return known.groupBy("alias").agg(F.min(F.struct("n", "k")).alias("x")).select("alias", "x.k", "x.n")
 
 
+def few(entries: DataFrame) -> bool:
+    return entries.limit(FEW + 1).count() <= FEW
+
+
 def meetings(titles: DataFrame, entries: DataFrame) -> DataFrame:
-    """Titles with the entries whose gram they hold: all that contain an entry, and few more."""
-    filed = entries.join(signatures(titles, entries).where("n > 0").select("alias", "k"), "alias")
+    """Titles with the entries whose gram they hold: all that contain an entry, and few more. The
+    dictionary is written and sent to the titles; only a large one is met by a merge."""
+    entries = cut(entries)
+    if few(entries):
+        low = titles.select("seq", "title", F.lower("title").alias("_low"))
+        return low.join(F.broadcast(entries), F.contains(F.col("_low"), F.lower("alias"))).drop("_low")
+    filed = cut(entries.join(signatures(titles, entries).where("n > 0").select("alias", "k"), "alias"))
     asked = titles.select("seq", "title", F.explode(grams(F.col("title"), True)).alias("k"))
-    return asked.join(filed, "k").drop("k")
+    return asked.join(sized(filed), "k").drop("k")
 
 
 def contained(texts: DataFrame, words: DataFrame) -> DataFrame:
     """texts(seq, text) with `found`: those of words(word) that the text holds, sorted. Long texts
     do not travel with their grams: the few words that may be there are gathered by `seq`, joined
     to the texts, and tested there. Both sides must be in the same case."""
-    titles, entries = texts.select("seq", F.col("text").alias("title")), words.select(F.col("word").alias("alias")).where("alias <> ''").distinct()
-    filed = signatures(titles, entries).where("n > 0").select("alias", "k")
-    asked = titles.select("seq", F.explode(grams(F.col("title"), True)).alias("k"))
-    maybe = asked.join(filed, "k").groupBy("seq").agg(F.collect_set("alias").alias("_maybe"))
-    met = texts.join(maybe, "seq", "left")
+    titles, entries = texts.select("seq", F.col("text").alias("title")), cut(words.select(F.col("word").alias("alias")).where("alias <> ''").distinct())
+    if few(entries):
+        met = texts.crossJoin(F.broadcast(entries.agg(F.collect_list("alias").alias("_maybe"))))  # one row
+    else:
+        filed = cut(signatures(titles, entries).where("n > 0").select("alias", "k"))
+        asked = titles.select("seq", F.explode(grams(F.col("title"), True)).alias("k"))
+        maybe = asked.join(sized(filed), "k").groupBy("seq").agg(F.collect_set("alias").alias("_maybe"))
+        met = texts.join(maybe.hint("merge"), "seq", "left")
     found = F.filter(F.coalesce("_maybe", F.array().cast("array<string>")), lambda w: F.contains(F.col("text"), w))
     return met.withColumn("found", F.array_sort(found)).drop("_maybe")
 
@@ -178,7 +195,7 @@ def best_company(titles: DataFrame, found: DataFrame) -> DataFrame:
     """titles with `company`: that of the best candidate, or UNKNOWN."""
     w = Window.partitionBy("seq").orderBy(F.desc("score"), F.desc("len"), "pos", "rule", "company")
     top = found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("seq", "company")
-    return titles.join(top, "seq", "left").withColumn("company", F.coalesce("company", F.lit(UNKNOWN)))
+    return titles.join(top.hint("merge"), "seq", "left").withColumn("company", F.coalesce("company", F.lit(UNKNOWN)))
 
 
 def title_tokens(title: Column) -> Column:
@@ -260,10 +277,11 @@ def infer_owner(lookups: DataFrame, entries: DataFrame, aliases: dict[str, str]
     to, where the evidence reaches least. key names a lookup; it is the token itself as a rule."""
     own = lookups.select(F.col(key).alias("_key"), "token", F.slice("arr", 1, most).alias("arr"))
     rows = own.select("_key", "token", F.posexplode("arr").alias("i", "text")).where("trim(coalesce(text, '')) <> ''")
-    rows = rows.withColumn("seq", F.xxhash64("text"))
     gain = F.lit(2) + F.when(any_of(F.col("text"), hints), 2).otherwise(0) + F.when(position(F.col("text"), F.col("token")) >= 0, 1).otherwise(0)
-    met = candidates(rows.select("seq", F.col("text").alias("title")).distinct(), entries, aliases).select("seq", "alias", "company").distinct()
-    scored = rows.join(met, "seq").groupBy("_key", "company").agg(F.sum(gain).cast("int").alias("score"))
+    # Texts are written once and stay where they are: what meets by their hash are numbers.
+    rows = cut(rows.select("_key", F.xxhash64("text").alias("seq"), gain.alias("gain"), "text"))
+    met = candidates(rows.select("seq", F.col("text").alias("title")), entries, aliases).select("seq", "alias", "company").distinct()
+    scored = rows.select("_key", "seq", "gain").join(met.hint("merge"), "seq").groupBy("_key", "company").agg(F.sum("gain").cast("int").alias("score"))
     w = Window.partitionBy("_key").orderBy(F.desc("score"), "company")
     best = scored.withColumn("_rn", F.row_number().over(w)).where(f"_rn = 1 and score >= {least}")
     return best.select(F.col("_key").alias(key), "company", "score")

@@ -90,7 +90,7 @@ def clean(posts: DataFrame, entries: DataFrame, companies: DataFrame, per_keywor
     named = entity.best_company(titles, found).select("seq", "keyword", "company")
     kept = (F.col("company") != entity.UNKNOWN) if drop_unknown else F.lit(True)
     flags = rank.running_quota(named, per_keyword or (1 << 31) - 1, kept).drop("keyword")
-    out = posts.join(flags, "seq").withColumn("content", text.archive_content(F.col("content")))
+    out = posts.join(flags.hint("merge"), "seq").withColumn("content", text.archive_content(F.col("content")))
     if "comments" in posts.columns:
         out = out.withColumn("comments", text.archive_content(F.array_join("comments", "\n")))
     return out
