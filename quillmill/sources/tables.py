@@ -39,6 +39,16 @@ def folder(spark: SparkSession, name: str = "quillmill") -> str:
     return path
 
 
+#: Rows handed to Python at once; texts are long, and Spark's default of 10000 holds too many.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, however many rows a partition has."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 #: Rows of a written table that are sent whole to every task.
 SENT = 100_000
 
