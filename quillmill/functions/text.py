@@ -47,6 +47,19 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def unescape_closed(s: pd.Series) -> pd.Series:
+    """unescape for references that end in a semicolon; others, cut off or never meant, stay."""
+    import html
+    from html.entities import html5
+
+    def read(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+
+    known = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+    return s.map(lambda t: known.sub(read, t), na_action="ignore")
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once: an expression that a lambda's body names is
     computed for each element, an argument is not."""
@@ -101,10 +114,11 @@ def dense_length(c: Column) -> Column:
 # ---------------------------------------------------------------- HTML
 
 
-def scoring_content(c: Column) -> Column:
-    """Markup as text for scoring: breaks become lines, other tags and URLs spaces."""
+def scoring_content(c: Column, closed: bool = False) -> Column:
+    """Markup as text for scoring: breaks become lines, other tags and URLs spaces. closed: a
+    character reference counts only with its semicolon; else as browsers take it."""
     out = F.regexp_replace(or_empty(c), r"(?i)<\s*(?:br|/p|/div|/li|/tr|/h[1-6]|/blockquote)\b[^>]*>", "\n")
-    out = unescape(F.regexp_replace(out, "<[^>]+>", " "))
+    out = (unescape_closed if closed else unescape)(F.regexp_replace(out, "<[^>]+>", " "))
     return F.regexp_replace(out, r"(?U)(?i)(?:https?://|www\.)\S+", " ")
 
 
