@@ -151,7 +151,7 @@ def relevant(title: Column, content: Column, rules: Rules) -> Column:
 
 def longest_only(found: Column) -> Column:
     """Hits that lie in no other hit."""
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: (x != y) & F.contains(y, x)))
+    return bound(found, lambda every: F.filter(every, lambda x: ~F.exists(every, lambda y: (x != y) & F.contains(y, x))))
 
 
 def in_context(text: Column, title: str | Column, context: list[str], reach: int = 24) -> Column:

@@ -262,8 +262,14 @@ def algorithm_signal(title: Column, content: Column, raw: Column, q: Quality = Q
     ids = match.problem_ids(raw, F.array(*[F.lit(i) for i in library.ids])) if library.ids else F.array().cast("array<int>")
     size = lambda *words: F.size(match.hits(both, match.patterns(words, rules)))
     hot_ids = library.hot_ids if q.hot_enabled else {}
-    score = algorithm_score(size(*q.alg_markers, *library.markers), size(*library.topics, *q.alg_topics), F.size(problems), F.size(ids), hot_sum(hot, library.hot_titles), hot_sum(ids, hot_ids), q)
-    return F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), score.cast("int").alias("score"))
+
+    def whole(x: Column) -> Column:
+        score = algorithm_score(x["markers"], x["topics"], F.size(x["titles"]), F.size(x["ids"]), hot_sum(x["hot_titles"], library.hot_titles), hot_sum(x["ids"], hot_ids), q)
+        return F.struct(x["titles"].alias("titles"), x["ids"].alias("ids"), x["hot_titles"].alias("hot_titles"), score.cast("int").alias("score"))
+
+    # What was found is bound, so the score does not search the text again.
+    found = F.struct(problems.alias("titles"), ids.alias("ids"), hot.alias("hot_titles"), size(*q.alg_markers, *library.markers).alias("markers"), size(*library.topics, *q.alg_topics).alias("topics"))
+    return text.bound(found, whole)
 
 
 def evaluate(posts: DataFrame, q: Quality = Quality(), rules: Rules = Rules(), library: Library | LibraryTables | None = None) -> DataFrame:

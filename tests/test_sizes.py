@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillmill.operators import entity
+from quillmill.functions import match, text
+from quillmill.operators import entity, knowledge
 
 ENTRY = "alias string, company string, source string, weight int, rule int"
 
@@ -41,3 +42,49 @@ def test_few_words_are_found_as_many_are(spark):
     many = sorted(map(tuple, entity.contained(texts, words).collect()), key=str)
     few = sorted(map(tuple, entity.contained(texts, words.where("word in ('word1', 'word12', 'word2', 'word29', 'word299', '')")).collect()), key=str)
     assert many == few and (1, "a word1 and word12", ["word1", "word12"]) in few and (4, "word299", ["word2", "word29", "word299"]) in few
+
+
+def test_texts_of_lookups_stay_where_they_are(spark):
+    lookups = spark.createDataFrame([("and", ["salt and pepper of the sea", "the and of"] * 4)], "token string, arr array<string>")
+    entries = spark.createDataFrame([("of", "Alpha", "alias_map", 110, 0), ("the", "Beta", "alias_map", 110, 1)], ENTRY)
+    found = entity.infer_owner(lookups, entries, {})
+    assert "struct<_key:string,seq:bigint,gain:int>" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("and", "Alpha", 24)]
+
+
+def test_references_without_a_semicolon(spark):
+    t = "a &amp;lt; b&amp c &copy;&copy=1 &ampfoo; &#65;&#x42; &#65"
+    row = spark.createDataFrame([(t,)], "t string").select(text.scoring_content(F.col("t"), closed=True).alias("closed"), text.scoring_content(F.col("t")).alias("all")).first()
+    assert row["closed"] == "a &lt; b&amp c ©&copy=1 &ampfoo; AB &#65"
+    assert row["all"] == "a &lt; b& c ©©=1 &foo; AB A"
+
+
+def test_a_text_is_searched_once_for_titles(spark):
+    # The found titles were searched again for each of them.
+    inner = match.longest_only(F.filter(F.split("t", " "), lambda w: F.length(w) > 2))
+    df = spark.createDataFrame([("nation tion of on nations",)], "t string").select(inner.alias("x"))
+    assert df.first()["x"] == ["nations"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def brute(posts, hot):
+    out = {}
+    for seq, ids, titles in posts:
+        for i, title, f in hot:
+            by = (["id"] if i is not None and i in ids else []) + (["title"] if title.replace(" ", "") in titles else [])
+            if by:
+                key = f"id:{i}" if i is not None else "title:" + title.replace(" ", "")
+                out.setdefault((seq, key), []).append((by, f, title))
+    return {k: (min((("id" not in b), -f, t) for b, f, t in v)[1:], sorted({x for b, _, _ in v for x in b})) for k, v in out.items()}
+
+
+def test_entries_meet_posts_without_a_shuffle_of_the_meetings(spark):
+    hot = [(i, "same title", i % 3) for i in range(30)] + [(None, "same title", 2), (None, "free", 1), (50, "one", 4), (50, "two", 9), (50, "three", 1), (51, "one", 2)]
+    posts = [(s, [s, 40, 50 + s % 4], ["sametitle", "three", "one"][: s % 4]) for s in range(40)] + [(99, [50], ["free", "one", "two"])]
+    out = knowledge.match_details(spark.createDataFrame(posts, "seq long, ids array<int>, titles array<string>"), spark.createDataFrame(hot, "id int, title string, frequency int"))
+    got = {(r["seq"], r["key"]): ((-r["frequency"], r["title"]), r["matched_by"]) for r in out.collect()}
+    assert len(got) == out.count() and got == brute(posts, hot)
+    # Entries of one title: nothing is left to gather by post and entry.
+    out = knowledge.match_details(spark.createDataFrame(posts, "seq long, ids array<int>, titles array<string>"), spark.createDataFrame(hot[:31], "id int, title string, frequency int"))
+    assert {(r["seq"], r["key"]) for r in out.collect()} == set(brute(posts, hot[:31]))
+    assert "hashpartitioning(seq#" not in "\n".join(x for x in plan(out).split("== Initial Plan ==")[0].splitlines() if ", key#" in x)
