@@ -10,13 +10,16 @@
    is a copy if VOTES corners agree, and SHARE of the corners of the image that has fewer: large
    images have many corners, some of which agree by chance.
 
-In a bucket of at most SMALL descriptors all pairs are compared. In a larger one, as of many
-copies, each image is compared with one leader, another in each of ROUNDS rounds, and only
-images not yet connected take part; a group of copies so costs a few pairs an image.
+Equal images with corners are one image here. In a bucket of at most SMALL descriptors all pairs
+are compared. In a larger one, as of many copies, each image is first compared with one leader,
+another in each of ROUNDS rounds, and only images not yet connected take part; a group of copies
+so costs a few pairs an image. A last round takes every pair of every bucket whose images are not
+connected by then, with all their matches, so no link that joins two components is lost. Buckets
+of more than PART descriptors are dealt to tasks there by pairs of parts.
 
 Images are binary PGM (P5). Defined cases: null, empty or unreadable bytes, and images too
 small or flat for corners, link with nothing; equal images link; repeated rows share a
-component; extra columns are ignored; an empty table gives no rows."""
+component, an id names one image; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -36,7 +39,7 @@ AREA = 170
 SHARE = 0.25
 #: Half the side of a patch; turns told apart; pixels a shift may vary within a vote.
 REACH, TURNS, STEP = 7, 24, 8
-SMALL, ROUNDS = 12, 3
+SMALL, ROUNDS, PART = 12, 3, 256
 _TESTS = np.clip(np.random.default_rng(7).normal(0, REACH / 2.2, (BITS, 4)), -REACH, REACH)
 _HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
@@ -153,10 +156,34 @@ def copies(pairs: DataFrame) -> DataFrame:
     return votes.where((F.col("n") >= VOTES) & (F.col("n") >= F.col("of") * SHARE)).select("u", "v").distinct()
 
 
+def apart(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b), a of the smaller id, of all pairs of a bucket of listed(key, p) that found(id,
+    component_id) does not connect."""
+    now = listed.join(found, F.col("p.id") == F.col("id"), "left").select("key", "p", F.coalesce("component_id", "p.id").alias("c"))
+    several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own = F.pmod(F.xxhash64("p"), F.col("parts")).cast("int")
+    rows = now.join(several.select("key", parts.alias("parts")), "key").withColumn("own", own)
+    cell = lambda i, j, name: rows.select("key", i.alias("i"), j.alias("j"), F.col("p").alias(name), F.col("c").alias(f"c{name}"))
+    left = cell(F.col("own"), F.explode(F.sequence("own", F.col("parts") - 1)), "a")
+    right = cell(F.explode(F.sequence(F.lit(0), F.col("own"))), F.col("own"), "b")
+    met = left.join(right.hint("merge"), ["key", "i", "j"]).where("ca <> cb and (i < j or a.id < b.id)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def classes(images: DataFrame) -> DataFrame:
     """(id, n_points, component_id) of every row of images(id, image)."""
+    images = cut(images.select(known_id("id").alias("id"), F.sha2("image", 256).alias("same"), "image"))
+    first = images.groupBy(F.coalesce("same", F.col("id").cast("string")).alias("same")).agg(F.min("id").alias("first"), F.min_by("image", "id").alias("image"))
+    of = linked(first.select(F.col("first").alias("id"), "image")).select(F.col("id").alias("first"), "n_points", "component_id").dropDuplicates(["first"])
+    named = images.select("id", F.coalesce("same", F.col("id").cast("string")).alias("same")).join(first.select("same", "first"), "same").join(of, "first")
+    out = named.select("id", "n_points", F.when(F.col("n_points") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(null_id(F.col("id")).alias("id"), "n_points", null_id(F.col("component_id")).alias("component_id"))
+
+
+def linked(images: DataFrame) -> DataFrame:
+    """classes for different images, with ids that are known."""
     chunk = [F.conv(F.hex(F.substring("d", 4 * k + 1, 4)), 16, 10).cast("long").alias(f"c{k}") for k in range(BITS // 32)]
-    images = images.select(known_id("id").alias("id"), "image")
     points = cut(descriptors(images).select("id", "x", "y", "turn", "scale", "of", *chunk))
     point = F.struct("id", "x", "y", "turn", "scale", "of", *[f"c{k}" for k in range(BITS // 32)])
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("chunk"), F.col(f"c{k}").alias("value")) for k in range(BITS // 32)]))
@@ -174,9 +201,11 @@ def classes(images: DataFrame) -> DataFrame:
         met = now.join(lead.select("key", F.col("l.p").alias("a"), F.col("l.c").alias("ca")), "key").where("ca <> c").select("a", F.col("p").alias("b"))
         edges = cut(edges.union(copies(met)).distinct())
         found = components(edges)
+    edges = cut(edges.union(copies(apart(listed.select("key", "p"), found))).distinct())
+    found = components(edges)
     count = points.groupBy("id").agg(F.count("*").alias("n_points"))
     out = images.select("id").join(count, "id", "left").join(found, "id", "left")
-    return out.select(null_id(F.col("id")).alias("id"), F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), null_id(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select("id", F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 # ---------------------------------------------------------------- the query's images

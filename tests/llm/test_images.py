@@ -61,3 +61,14 @@ def test_crops_of_large_images_are_found(spark):
     got = {x["id"]: x["component_id"] for x in images.classes(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert sum(got[i] == o for i, o in want.items()) >= 0.9 * len(want)
     assert all(got[o] == o for o in want.values())
+
+
+def test_every_pair_left_in_a_large_bucket_is_taken(spark):
+    """No image of a bucket is compared with leaders only: all pairs of two components meet, each once."""
+    parts = {i: i % 3 for i in range(700)} | {i: i for i in range(700, 720)}
+    listed = spark.createDataFrame([("k", (i,)) for i in parts] + [("same", (i,)) for i in range(0, 300, 3)], "key string, p struct<id:long>")
+    found = spark.createDataFrame([(i, c) for i, c in parts.items() if i < 700], "id long, component_id long")
+    got = images.apart(listed, found).selectExpr("a.id as u", "b.id as v").toPandas()
+    want = sum(parts[i] != parts[j] for i in parts for j in parts if i < j)
+    assert len(got) == want and not got.duplicated().any() and (got["u"] < got["v"]).all()
+    assert all(parts[u] != parts[v] for u, v in got.itertuples(index=False))
