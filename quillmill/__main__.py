@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .operators import entity, knowledge, posts, quality, stats
 from .plans import config
 from .sources import lookups, readers, sinks
-from .sources.tables import cut
+from .sources.tables import cut, prepare
 from .streaming import pool
 from .streaming import posts as streams
 
@@ -143,6 +143,7 @@ def run_library(spark: SparkSession, a: argparse.Namespace) -> str:
 def main(args: list[str] | None = None) -> None:
     a = arguments(args)
     spark = SparkSession.builder.appName("quillmill").getOrCreate()
+    prepare(spark)
     if a.command == "library":
         print(run_library(spark, a))
         return
