@@ -144,7 +144,8 @@ def copies(pairs: DataFrame) -> DataFrame:
     near = F.lit(0)
     for k in range(BITS // 32):
         near = near + F.bit_count(F.col(f"a.c{k}").bitwiseXOR(F.col(f"b.c{k}")))
-    rows = pairs.where(near <= FAR).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.least("a.of", "b.of").alias("of"), *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("x", "y", "turn", "scale")]).distinct()
+    rows = pairs.where(near <= FAR).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.least("a.of", "b.of").alias("of"), *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("x", "y", "turn", "scale")])
+    rows = rows.repartition("u", "v").distinct()  # all that follows stays with a pair: matches are shuffled once
     spin = F.pmod(F.col("turn_b") - F.col("turn_a"), F.lit(TURNS))
     angle = spin * F.lit(2 * np.pi / TURNS)
     zoom = F.pow(F.lit(2.0), F.col("scale_b") - F.col("scale_a"))
