@@ -23,13 +23,16 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 BLOCK_BYTES = 1 << 19
 
 
-#: Rows handed to Python at once; texts are long, and Spark's default of 10000 holds too many.
-ARROW_ROWS = 1000
+#: Rows and bytes handed to Python at once; texts are long, and Spark's defaults hold too many.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        size = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if size and int(size[1]) > most:
+            spark.conf.set(key, str(most))
 
 
 #: Stands for a null id inside the operators, after all others.

@@ -305,8 +305,9 @@ def unpack(b: bytes | None) -> np.ndarray:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, text, runs) of the documents that lose bytes: mark is the hash of the
-    text, text its bytes, runs their starts, then their ends, as 64-bit integers."""
+    """(doc_id, mark, text, runs, start, end) of the documents that may lose bytes: mark is the
+    hash of the text, text its bytes, runs their starts, then their ends, as 64-bit integers;
+    start and end: further runs, of repeated strings at edges."""
     spark = docs.sparkSession
     parts = partitions(spark)
     found = cut(repeated(docs, parts))
@@ -353,19 +354,20 @@ def spans(docs: DataFrame) -> DataFrame:
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("m"))
     waiting = both.where("anchor is null and open").select("doc_id", "mark", "text", "runs").join(more, ["doc_id", "mark"], "left")
     waiting = waiting.select("doc_id", "mark", "text", "runs", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    ready = both.where("anchor is null and not open").select("doc_id", "mark", "text", "runs", F.lit(None).cast("array<bigint>").alias("start"), F.lit(None).cast("array<bigint>").alias("end"))
+    return ready.union(waiting)
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            runs = []
-            for b, s, e in zip(pdf["runs"], pdf["start"], pdf["end"], strict=True):
-                a = unpack(b)
-                more = [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, dtype=np.int64) for x in (s, e)]
-                runs.append(pack(*union(np.concatenate([a[0], more[0]]), np.concatenate([a[1], more[1]]))))
-            yield pdf[["doc_id", "mark", "text"]].assign(runs=runs)
 
-    out = "doc_id long, mark long, text binary, runs binary"
-    ready = both.where("anchor is null and not open").select("doc_id", "mark", "text", "runs")
-    return ready.union(waiting.mapInPandas(trimmed(merged), out)).where("octet_length(runs) > 0")
+def whole_runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """The rows of spans that lose bytes, and the runs of each, those from edges among them. They
+    are merged where they are used: another step in Python would keep two workers a task."""
+    runs = []
+    for b, s, e in zip(pdf["runs"], pdf["start"], pdf["end"], strict=True):
+        a = unpack(b)
+        more = [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, dtype=np.int64) for x in (s, e)]
+        runs.append(np.stack(union(np.concatenate([a[0], more[0]]), np.concatenate([a[1], more[1]]))))
+    some = np.array([r.shape[1] > 0 for r in runs], dtype=bool)
+    return pdf[some], [r for r in runs if r.shape[1]]
 
 
 def without(text: bytes, runs: np.ndarray, whole_characters: bool = False) -> bytes:
@@ -388,7 +390,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            runs = [unpack(x) for x in pdf["runs"]]
+            pdf, runs = whole_runs(pdf)
             kept = [without(t, r) for t, r in zip(pdf["text"], runs, strict=True)]
             yield pdf[["doc_id", "mark"]].assign(n_removed=[int((r[1] - r[0]).sum()) for r in runs], n_spans=[r.shape[1] for r in runs], kept=kept)
 
@@ -401,7 +403,8 @@ def strip(docs: DataFrame) -> DataFrame:
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = [without(t, unpack(r), True).decode("utf-8", "replace") for t, r in zip(pdf["text"], pdf["runs"], strict=True)]
+            pdf, runs = whole_runs(pdf)
+            kept = [without(t, r, True).decode("utf-8", "replace") for t, r in zip(pdf["text"], runs, strict=True)]
             yield pd.DataFrame({"_id": pdf["doc_id"], "_mark": pdf["mark"], "_kept": kept})
 
     new = spans(docs.select("doc_id", "text")).mapInPandas(trimmed(cut_out), "_id long, _mark long, _kept string").dropDuplicates(["_id", "_mark"])

@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quillmill.llm import suffixes
+from quillmill.llm import common, suffixes
 
 from .helpers import awkward, docs, prose, saved
 
@@ -99,3 +101,20 @@ def test_long_runs_need_few_anchors(spark):
             want[i] = (len(lost), bytes(x for k, x in enumerate(b) if k not in lost))
     got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.removed(docs(spark, texts)).collect()}
     assert got == want
+
+
+def test_one_step_in_python_after_the_edges(spark):
+    """Runs were merged in one step and cut out in another, which kept two workers a task."""
+    shared = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 260)))
+    texts = ["a" * 7 + shared + "b" * 50, "c" + shared + "d" * 90, "e" * 900, "f", shared[:230] + "g" + shared[30:]]
+    out = suffixes.removed(docs(spark, texts))
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInPandas") == 1
+    got = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    assert got == {i: n for i, (_, n, _, _) in enumerate(brute(texts)) if n} and len(got) == 4
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    common.prepare(spark)
+    long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = long.mapInPandas(lambda batches: (pd.DataFrame({"n": [int(b["t"].str.len().sum())]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 60 << 20 and max(r["n"] for r in sizes) <= 3 * common.ARROW_BYTES
