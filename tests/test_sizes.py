@@ -1,9 +1,13 @@
 """Plans that must not depend on how small a compressed table looks."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import match, text
 from quillmill.operators import entity, knowledge
+from quillmill.plans import catalog
 
 ENTRY = "alias string, company string, source string, weight int, rule int"
 
@@ -88,3 +92,17 @@ def test_entries_meet_posts_without_a_shuffle_of_the_meetings(spark):
     out = knowledge.match_details(spark.createDataFrame(posts, "seq long, ids array<int>, titles array<string>"), spark.createDataFrame(hot[:31], "id int, title string, frequency int"))
     assert {(r["seq"], r["key"]) for r in out.collect()} == set(brute(posts, hot[:31]))
     assert "hashpartitioning(seq#" not in "\n".join(x for x in plan(out).split("== Initial Plan ==")[0].splitlines() if ", key#" in x)
+
+
+@pytest.mark.parametrize("name", ["scan_clean"])
+def test_no_query_sends_its_titles(spark, tmp_path, name):
+    """Titles with their grams were sent to all tasks where the table was small on disk."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    copies_of = part.crossJoin(spark.range(40)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 1000).drop("id")
+    copies_of.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.QUERIES[name](spark, str(tmp_path))
+    shown = plan(out)
+    assert out.select("seq").distinct().count() == copies_of.count()
+    # What is sent is a dictionary or a row a range, never the table of titles.
+    sent = re.findall(r"BroadcastExchange[^\n]*\n(?:[^\n]*\n){0,8}", shown)
+    assert not any("p_name" in x or "title" in x for x in sent), sent
