@@ -94,7 +94,7 @@ def test_entries_meet_posts_without_a_shuffle_of_the_meetings(spark):
     assert "hashpartitioning(seq#" not in "\n".join(x for x in plan(out).split("== Initial Plan ==")[0].splitlines() if ", key#" in x)
 
 
-@pytest.mark.parametrize("name", ["entity_best", "entity_whitelist", "scan_clean"])
+@pytest.mark.parametrize("name", ["entity_canonical", "entity_best", "entity_whitelist", "scan_clean"])
 def test_no_query_sends_its_titles(spark, tmp_path, name):
     """Titles with their grams were sent to all tasks where the table was small on disk."""
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
