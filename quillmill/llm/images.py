@@ -14,8 +14,10 @@ Equal images with corners are one image here. In a bucket of at most SMALL descr
 are compared. In a larger one, as of many copies, each image is first compared with one leader,
 another in each of ROUNDS rounds, and only images not yet connected take part; a group of copies
 so costs a few pairs an image. A last round takes every pair of every bucket whose images are not
-connected by then, with all their matches, so no link that joins two components is lost. Buckets
-of more than PART descriptors are dealt to tasks there by pairs of parts.
+connected by then, with all their matches, so no link that joins two components is lost: images
+are dealt to groups, every two groups meet in one task, and pairs are made, counted and voted on
+there, on arrays, some at a time. What is shuffled is the packed descriptors, once a pair of
+groups; what leaves a task is a spanning forest of its links.
 
 Images are binary PGM (P5). Defined cases: null, empty or unreadable bytes, and images too
 small or flat for corners, link with nothing; equal images link; repeated rows share a
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, known_id, null_id, table
+from .common import Forest, components, cut, expand, known_id, null_id, squeeze, table
 
 BITS, FAR, POINTS, SCALES, VOTES = 128, 20, 24, 2, 4
 #: Pixels for each corner kept, so that a part of a large image has corners enough of its own.
@@ -40,6 +42,8 @@ SHARE = 0.25
 #: Half the side of a patch; turns told apart; pixels a shift may vary within a vote.
 REACH, TURNS, STEP = 7, 24, 8
 SMALL, ROUNDS, PART = 12, 3, 256
+#: Descriptors of a group of images; pairs of descriptors made at once, and held before they vote.
+GROUP, STRIDE, HELD = 100_000, 1 << 18, 1 << 21
 _TESTS = np.clip(np.random.default_rng(7).normal(0, REACH / 2.2, (BITS, 4)), -REACH, REACH)
 _HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
@@ -159,7 +163,8 @@ def copies(pairs: DataFrame) -> DataFrame:
 
 def apart(listed: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b), a of the smaller id, of all pairs of a bucket of listed(key, p) that found(id,
-    component_id) does not connect."""
+    component_id) does not connect: a row a pair. `crossing` finds the links among these without
+    such rows; tests hold it against them."""
     now = listed.join(found, F.col("p.id") == F.col("id"), "left").select("key", "p", F.coalesce("component_id", "p.id").alias("c"))
     several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     parts = F.ceil(F.col("n") / PART).cast("int")
@@ -172,6 +177,152 @@ def apart(listed: DataFrame, found: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+_FIELDS = ["id", "c", "x", "y", "turn", "scale", "of", *[f"c{k}" for k in range(BITS // 32)]]
+
+
+def words_of(points: dict[str, np.ndarray]) -> np.ndarray:
+    """A row a descriptor, of 64-bit words that hold two chunks each."""
+    c = [points[f"c{k}"].astype(np.uint64) for k in range(BITS // 32)]
+    return np.stack([c[k] << np.uint64(32) | c[k + 1] for k in range(0, len(c), 2)])
+
+
+def joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each combination of columns of whole numbers, in their order."""
+    key, size = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for c in columns:
+        low = c.min()
+        width = int(c.max() - low) + 1
+        if size * width >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            size = int(key.max()) + 1
+        key, size = key * width + (c - low).astype(np.int64), size * width
+    return key
+
+
+def least_votes(of: np.ndarray) -> np.ndarray:
+    return np.maximum(VOTES, np.ceil(SHARE * of)).astype(np.int64)
+
+
+def voted(u: dict[str, np.ndarray], v: dict[str, np.ndarray], pair: np.ndarray) -> np.ndarray:
+    """Those of pair, a number for each match of a descriptor of u with one of v, that `copies`
+    would take; u has the smaller id."""
+    spin, zoom = (v["turn"] - u["turn"]) % TURNS, v["scale"] - u["scale"]
+    angle, scale = spin * (2 * np.pi / TURNS), np.exp2(zoom)
+    tx = v["x"] - scale * (np.cos(angle) * u["x"] - np.sin(angle) * u["y"])
+    ty = v["y"] - scale * (np.sin(angle) * u["x"] + np.cos(angle) * u["y"])
+    least, point = least_votes(np.minimum(u["of"], v["of"])), joint([u["x"], u["y"], u["scale"]])
+    taken = [pair[:0]]
+    for sx in (0, 1):
+        for sy in (0, 1):
+            place = joint([pair, spin, zoom, np.floor(tx / (2 * STEP) + sx / 2), np.floor(ty / (2 * STEP) + sy / 2)])
+            each = joint([place, point])
+            order = np.argsort(each)
+            first = np.flatnonzero(np.diff(place[order], prepend=-1))
+            n = np.add.reduceat((np.diff(each[order], prepend=-1) != 0).astype(np.int64), first)
+            order = order[first]
+            taken.append(pair[order][n >= least[order]])
+    return np.unique(np.concatenate(taken))
+
+
+def links(a: dict[str, np.ndarray], b: dict[str, np.ndarray], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v), u < v, of images of a and b that are of different components and copies; own: a and
+    b are the same, so each pair is taken from one side. Descriptors of b are sorted by chunk and
+    component, so those of an image's own component are never met. The matches of two images are
+    counted first, and only those that are enough vote."""
+    order = np.argsort(a["id"], kind="stable")
+    a = {k: x[order] for k, x in a.items()}
+    names_a, image_a = np.unique(a["id"], return_inverse=True)
+    names_b, image_b = np.unique(b["id"], return_inverse=True)
+    parts = np.unique(np.concatenate([a["c"], b["c"]]))
+    ca, cb = (np.searchsorted(parts, x["c"]).astype(np.uint64) for x in (a, b))
+    wa, wb = words_of(a), words_of(b)
+    spans = []
+    for k in range(BITS // 32):
+        key = b[f"c{k}"].astype(np.uint64) << np.uint64(32) | cb
+        place = np.argsort(key)
+        key, value = key[place], a[f"c{k}"].astype(np.uint64) << np.uint64(32)
+        sorted_b = place.astype(np.int32), wb[:, place]
+        after = np.searchsorted(key, value | ca, "right")
+        spans.append((k, after, np.searchsorted(key, value | np.uint64(0xFFFFFFFF), "right") - after, *sorted_b))
+        if not own:
+            start = np.searchsorted(key, value)
+            spans.append((k, start, np.searchsorted(key, value | ca) - start, *sorted_b))
+    edge = np.searchsorted(image_a, np.arange(len(names_a) + 1))
+    upto = np.concatenate([[0], np.cumsum(sum(s[2] for s in spans))])[edge]
+    least_a, least_b = np.zeros(len(names_a), dtype=np.int64), np.zeros(len(names_b), dtype=np.int64)
+    least_a[image_a], least_b[image_b] = least_votes(a["of"]), least_votes(b["of"])
+    i = 0
+    while i < len(names_a):
+        e = int(np.searchsorted(upto, upto[i] + HELD, "right")) - 1
+        e = min(max(e, i + 1), i + max(1, HELD // len(names_b)), len(names_a))
+        found = list(matches(spans, wa, int(edge[i]), int(edge[e])))
+        pa, pb = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int32) for k in (0, 1))
+        pair = (image_a[pa] - i) * len(names_b) + image_b[pb]
+        count = np.bincount(pair, minlength=(e - i) * len(names_b)).reshape(e - i, -1)
+        enough = (count >= VOTES) & (count >= np.minimum(least_a[i:e, None], least_b))
+        many = np.flatnonzero(enough.reshape(-1)[pair])
+        if len(many):
+            pa, pb, pair = pa[many], pb[many], pair[many]
+            swap = a["id"][pa] > b["id"][pb]
+            u, v = ({f: np.where(swap == s, a[f][pa], b[f][pb]) for f in ("x", "y", "turn", "scale", "of")} for s in (False, True))
+            x, y = np.divmod(voted(u, v, pair), len(names_b))
+            yield np.minimum(names_a[x + i], names_b[y]), np.maximum(names_a[x + i], names_b[y])
+        i = e
+
+
+def matches(spans: list[tuple], wa: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(descriptor of a, descriptor of b) of those from lo to hi that are near the ones they share a
+    chunk with, each match once."""
+    for k, start, count, place, wb in spans:
+        n = count[lo:hi]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        p = 0
+        while p < hi - lo:
+            q = max(int(np.searchsorted(upto, upto[p] + STRIDE, "right")) - 1, p + 1)
+            of = np.repeat(np.arange(lo + p, lo + q, dtype=np.int32), n[p:q])
+            at = np.arange(upto[q] - upto[p]) + np.repeat(start[lo + p : lo + q] - upto[p:q] + upto[p], n[p:q])
+            differ = [wa[w][of] ^ wb[w][at] for w in range(len(wa))]
+            near = np.flatnonzero(sum(np.bitwise_count(d) for d in differ) <= FAR)
+            for earlier in range(k):  # a chunk before has the match already
+                half = differ[earlier // 2][near]
+                near = near[(half & np.uint64(0xFFFFFFFF) if earlier % 2 else half >> np.uint64(32)) != 0]
+            yield of[near], place[at[near]]
+            p = q
+
+
+def crossing(points: DataFrame, found: DataFrame) -> DataFrame:
+    """(u, v), a spanning forest a task of the links between images of points that found(id,
+    component_id) does not connect."""
+    groups = max(1, -(-points.count() // GROUP))
+    now = points.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+    now = now.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), *[F.col(f).cast("long") for f in _FIELDS])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(g, squeeze(part[_FIELDS].to_numpy().T.reshape(-1))) for g, part in pdf.groupby("g")]
+            yield pd.DataFrame(rows, columns=["g", "points"])
+
+    def unpack(packs: pd.Series) -> dict[str, np.ndarray]:
+        rows = np.concatenate([expand(b, np.int64).reshape(len(_FIELDS), -1) for b in packs], axis=1)
+        return dict(zip(_FIELDS, rows, strict=True))
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        forest, sides = Forest(), [pdf["points"][pdf["g"] == g] for g in (i, j)]
+        if all(map(len, sides)):
+            a = unpack(sides[0])
+            for us, vs in links(a, a if i == j else unpack(sides[1]), i == j):
+                for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+                    forest.join(u, v)
+        nodes, roots = forest.pairs()
+        return pd.DataFrame({"u": roots, "v": nodes}, dtype="int64")
+
+    packs = now.repartition("g").mapInPandas(pack, "g int, points binary")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    cells = packs.select("g", "points", other.alias("o")).select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "points")
+    return cells.repartition(groups * (groups + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(meet, "u long, v long")
+
+
 def classes(images: DataFrame) -> DataFrame:
     """(id, n_points, component_id) of every row of images(id, image)."""
     images = cut(images.select(known_id("id").alias("id"), F.sha2("image", 256).alias("same"), "image"))
@@ -202,7 +353,7 @@ def linked(images: DataFrame) -> DataFrame:
         met = now.join(lead.select("key", F.col("l.p").alias("a"), F.col("l.c").alias("ca")), "key").where("ca <> c").select("a", F.col("p").alias("b"))
         edges = cut(edges.union(copies(met)).distinct())
         found = components(edges)
-    edges = cut(edges.union(copies(apart(listed.select("key", "p"), found))).distinct())
+    edges = cut(edges.union(crossing(points, found)).distinct())
     found = components(edges)
     count = points.groupBy("id").agg(F.count("*").alias("n_points"))
     out = images.select("id").join(count, "id", "left").join(found, "id", "left")

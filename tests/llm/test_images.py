@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillmill.llm import images
 
@@ -72,3 +73,38 @@ def test_every_pair_left_in_a_large_bucket_is_taken(spark):
     want = sum(parts[i] != parts[j] for i in parts for j in parts if i < j)
     assert len(got) == want and not got.duplicated().any() and (got["u"] < got["v"]).all()
     assert all(parts[u] != parts[v] for u, v in got.itertuples(index=False))
+
+
+def test_last_round_takes_the_pairs_that_rows_would(spark, monkeypatch):
+    """Groups that meet in a task give the links that a row a match gives, with no such row."""
+    r = np.random.default_rng(5)
+    rows = [(i * 3 % 97, images.write_pgm(picture(i % 9) * r.uniform(0.8, 1) + r.normal(0, 3, (96, 96)) + r.integers(0, 25))) for i in range(40)]
+    rows += [(1000 + i, images.write_pgm(np.rot90(picture(i % 9)[4:90, 6:92], k=i % 4))) for i in range(9)]
+    frame = spark.createDataFrame(rows, "id long, image binary")
+    chunk = [F.conv(F.hex(F.substring("d", 4 * k + 1, 4)), 16, 10).cast("long").alias(f"c{k}") for k in range(images.BITS // 32)]
+    points = images.descriptors(frame).select("id", "x", "y", "turn", "scale", "of", *chunk).cache()
+    point = F.struct(*points.columns)
+    listed = points.select(F.explode(F.array(*[F.struct(F.lit(k).alias("chunk"), F.col(f"c{k}").alias("value")) for k in range(4)])).alias("key"), point.alias("p"))
+    found = spark.createDataFrame([(3, 0), (6, 0), (30, 0), (9, 6), (1003, 9)], "id long, component_id long")
+    want = {tuple(x) for x in images.copies(images.apart(listed, found)).collect()}
+    own = points.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).toPandas()
+    points.unpersist()
+    every = {f: own[f].to_numpy(dtype=np.int64) for f in images._FIELDS}
+    one, two = ({f: x[every["id"] % 2 == k] for f, x in every.items()} for k in (0, 1))
+    for stride, held in ((1 << 18, 1 << 21), (7, 100)):
+        monkeypatch.setattr(images, "STRIDE", stride)
+        monkeypatch.setattr(images, "HELD", held)
+        pairs = lambda a, b, same: {(int(u), int(v)) for us, vs in images.links(a, b, same) for u, v in zip(us, vs, strict=True)}
+        assert len(want) > 100 and pairs(every, every, True) == want
+        assert pairs(one, one, True) | pairs(two, two, True) | pairs(one, two, False) == want
+    monkeypatch.setattr(images, "GROUP", 150)
+    forest = images.components(images.crossing(points, found)).collect()
+    assert {tuple(x) for x in forest} == {tuple(x) for x in images.components(spark.createDataFrame(sorted(want), "u long, v long")).collect()}
+
+
+def test_no_row_a_match_is_made_in_the_last_round(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, images.write_pgm(picture(i % 5) + i)) for i in range(20)] + [(99, None)], "id long, image binary")
+    monkeypatch.setattr(images, "apart", None)
+    got = {x["id"]: x["component_id"] for x in images.classes(frame).collect()}
+    assert got == {i: i % 5 for i in range(20)} | {99: 99}
+    assert images.crossing(images.descriptors(frame.where("id > 50")).selectExpr("*", *[f"0L c{k}" for k in range(4)]), spark.createDataFrame([], "id long, component_id long")).count() == 0
