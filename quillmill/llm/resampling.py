@@ -38,8 +38,9 @@ def features(docs: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS) -> D
         if k:
             gram = F.concat(gram, F.lit(" "), F.col(f"_next{k}"))  # null where the document ends
         grams.append((F.crc32(gram) % buckets).cast("int"))
-    found = F.array_compact(F.array(*grams))
-    return ahead.select("row", "doc_id", "n_words", F.explode_outer(found).alias("bucket"))
+    # Spark interprets array_compact a word, so n-grams that a document's end cuts off go here.
+    found = ahead.select("row", "doc_id", "n_words", F.posexplode(F.array(*grams)).alias("more", "bucket"))
+    return found.where("more = 0 or bucket is not null").drop("more")
 
 
 def gains(own: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
